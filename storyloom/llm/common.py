@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,15 +67,10 @@ def bloom(keys: DataFrame, column: str, bits: int = 23) -> np.ndarray:
     Its size is fixed, so it may go to every task. With very many keys all bits are set, which costs only the pruning: whoever uses
     it joins exactly afterwards.
     """
-    low, high = F.col(column), F.shiftrightunsigned(F.col(column), 32)
-    word = lambda h: F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 5).cast("int")
-    bit = lambda h: F.shiftleft(F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(31)).cast("int"))
-    words = (
-        keys.select(F.explode(F.array(*(F.struct(word(h).alias("w"), bit(h).alias("b")) for h in (low, high)))).alias("x"))
-        .groupBy("x.w")
-        .agg(F.bit_or("x.b").alias("b"))
-        .toArrow()
-    )
+    most = (1 << bits) - 1
+    halves = (f"{column} & {most}", f"shiftrightunsigned({column}, 32) & {most}")
+    each = ", ".join(f"struct(cast(shiftright({h}, 5) as int) as w, shiftleft(1L, cast(({h}) & 31 as int)) as b)" for h in halves)
+    words = keys.select(F.explode(F.expr(f"array({each})")).alias("x")).groupBy("x.w").agg(F.bit_or("x.b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), dtype="<u4")
     out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype("<u4")
     return out
@@ -130,10 +125,6 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, key.size])
 
 
-def mapped(df: DataFrame, worker: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(worker, schema)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): for each node of edges (a, b: bigint) the smallest node that it reaches.
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from storyloom.llm.bpe_chunks import op5_bpe_chunk_reuse
+from storyloom.llm.quality_trees import op7_quality_classifier
 from storyloom.llm.simhash_dedup import op10_simhash_near_dedup
+from storyloom.llm.substring_dedup import op6_substring_dedup
 
 QUERIES = {
+    "op5_bpe_chunk_reuse": op5_bpe_chunk_reuse,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
