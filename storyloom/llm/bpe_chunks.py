@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import GEAR_BYTES, bloom, documents, gear, in_bloom, stash, text_slices
+from storyloom.llm.common import GEAR_BYTES, bloom, documents, gear, in_bloom, small_batches, stash, text_slices
 
 #: A cut wherever the hash has so many zero bits: about 1 kB a chunk.
 CUT_BITS = 10
@@ -47,22 +48,30 @@ class Codec:
     """Encodes and decodes with the vocabulary of a tokenizers file; ranks is the same vocabulary in tiktoken's form."""
 
     def __init__(self, path: str, ranks: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.path = path
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
         self.bytes = {i: b for b, i in table.items()} | {i: s.encode() for s, i in special.items()}
+        self.kind = "<u2" if max(self.bytes) < 1 << 16 else "<u4"
         self.decimal = [str(i) for i in range(max(self.bytes) + 1)]
 
+    @functools.cached_property
+    def slow(self):  # noqa: ANN201
+        """The tokenizers library's own, loaded where a piece needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.path)
+        slow.no_truncation()
+        slow.no_padding()
+        return slow
+
     def encode(self, text: str) -> list[int]:
         if _PLAIN.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
@@ -165,103 +174,91 @@ def chunks(batch: pa.RecordBatch, text: int = 1) -> tuple[np.ndarray, np.ndarray
     return np.stack([begin, end], axis=1) if begin.size else np.zeros((0, 2), dtype=np.int64), row, whole, digest
 
 
-def _texts(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.lit(0).alias("none"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-
 def shared_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(digest): chunks that occur at least twice in all texts."""
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(chunks(part)[3])], names=["digest"])
+        for part in text_slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(chunks(part, 0)[3])], names=["digest"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(worker, "digest long").groupBy("digest").count().where("count > 1").select("digest")
 
-    return _texts(docs, text_col).mapInArrow(worker, "digest long").groupBy("digest").count().where("count > 1").select("digest")
 
+RESULT = ("n_tokens", "ids_sha256", "decoded_sha256")
+_KINDS = (pa.int64(), pa.string(), pa.string())
 
-def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256, decoded_sha256, which replace columns of those names. Null texts count as empty.
 
-    Rows stay as they are, repeated ones too; equal texts that hold shared chunks are put together once.
+def encoded(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, path: str | None = None, ranks: str | None = None) -> DataFrame:
+    """The columns `keep` of docs (all, if not given) with n_tokens, ids_sha256, decoded_sha256, which replace columns of those names.
+
+    Null texts count as empty. Rows stay as they are, repeated ones too; equal texts that hold shared chunks are put together once.
     """
     path, ranks = path or vocabulary("byte_bpe_50k.json"), ranks or vocabulary("byte_bpe_50k.tiktoken")
+    small_batches(docs.sparkSession)
     shared = stash(shared_chunks(docs, text_col))
     known = bloom(shared, "digest")
-    outs = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kept = docs.select(*(c for c in docs.columns if c not in outs))
-    rows = kept.select(F.struct(*kept.columns).alias("row"), F.coalesce(kept[text_col].cast("string"), F.lit("")).alias("text"))
-
-    @F.pandas_udf(T.BooleanType())
-    def holds_shared(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        found = np.zeros(len(texts), dtype=bool)
-        at = 0
-        for part in text_slices([pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string())], names=["text"])], 0):
-            _, row, _, digest = chunks(part, 0)
-            found[at + row[in_bloom(known, digest)]] = True
-            at += part.num_rows
-        return pd.Series(found)
-
-    # In place: texts without a shared chunk.
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def encode(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
+    kept = [c for c in (keep if keep is not None else docs.columns) if c not in RESULT]
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*kept).alias("row"))
 
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts without a shared chunk are done here; the others go on with their text and a digest of it."""
         c = codec(path, ranks)
-        return pd.DataFrame([c.row(c.encode(x)) for x in texts], columns=list(outs))
-
-    flagged = rows.withColumn("shared", holds_shared("text"))
-    alone = flagged.where(~F.col("shared")).withColumn("e", encode("text")).select("row.*", "e.*")
-
-    # The others: each distinct text once, known by a digest of 128 bits.
-    pending = flagged.where("shared").withColumn("key", F.unhex(F.md5("text"))).select("key", "text", "row")
-    texts = stash(pending.groupBy("key").agg(F.min("text").alias("text")))
+        for part in text_slices(batches, 0):
+            _, row, _, digest = chunks(part, 0)
+            waits = np.zeros(part.num_rows, dtype=bool)
+            waits[row[in_bloom(known, digest)]] = True
+            texts = [x or "" for x in part.column(0).to_pylist()]
+            done = [(None, None, None) if w else c.row(c.encode(x)) for x, w in zip(texts, waits.tolist())]
+            keys = [hashlib.md5(x.encode()).digest() if w else None for x, w in zip(texts, waits.tolist())]
+            left = [x if w else None for x, w in zip(texts, waits.tolist())]
+            columns = [part.column(1), *(pa.array(x, k) for x, k in zip(zip(*done), _KINDS)), pa.array(keys, pa.binary()), pa.array(left, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", *RESULT, "key", "text"])
+
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string, key binary, text string")])
+    first = stash(rows.mapInArrow(in_place, schema))
+    texts = first.where("key is not null").groupBy("key").agg(F.min("text").alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             bounds, row, whole, digest = chunks(part)
             at = np.flatnonzero(in_bloom(known, digest))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at])), pa.array(bounds[at, 0]), pa.array(digest[at]), pa.array([whole[a:b].decode() for a, b in bounds[at].tolist()], type=pa.string())], names=["key", "start", "digest", "chunk"])
+            pieces = [whole[a:b].decode() for a, b in bounds[at].tolist()]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at])), pa.array(digest[at]), pa.array(pieces, type=pa.string())], names=["key", "digest", "chunk"])
 
-    occurrences = texts.mapInArrow(split, "key binary, start long, digest long, chunk string")
+    occurrences = texts.mapInArrow(split, "key binary, digest long, chunk string")
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, ranks)
         for part in text_slices(batches):
-            ids = [np.array(c.encode(x.as_py()), dtype="<u2" if len(c.decimal) <= 1 << 16 else "<u4").tobytes() for x in part.column(1)]
+            ids = [np.array(c.encode(x.as_py()), dtype=c.kind).tobytes() for x in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, type=pa.binary())], names=["digest", "chunk", "ids"])
 
-    once = occurrences.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("chunk").alias("chunk")).mapInArrow(encode_chunks, "digest long, chunk string, ids binary")
-    once = stash(once)
-    # A chunk whose digest meets another chunk's is told apart by its text, and then encoded in place.
-    known_ids = occurrences.select("key", "digest").distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "chunk", "ids")).alias("ready"))
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def assemble(texts, ready):  # noqa: ANN001, ANN202
-        import pandas as pd
+    # Two chunks of one digest are told apart by their text: the one that is not in this table is encoded in place.
+    once = occurrences.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("chunk").alias("chunk"))
+    once = stash(once.mapInArrow(encode_chunks, "digest long, chunk string, ids binary"))
+    ready = occurrences.select("key", "digest").distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("ready"))
 
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, ranks)
-        kind = "<u2" if len(c.decimal) <= 1 << 16 else "<u4"
-        out = []
-        for text, known_chunks in zip(texts, ready):
-            have = {x["chunk"]: np.frombuffer(x["ids"], dtype=kind).tolist() for x in (known_chunks if known_chunks is not None else ())}
-            bounds, _, whole, _ = chunks(pa.RecordBatch.from_arrays([pa.array([text], type=pa.string())], names=["text"]), 0)
-            pieces: list[tuple[int, int, list[int]]] = []
-            at = 0
-            for piece, shared_piece in _grouped([whole[a:b].decode() for a, b in bounds.tolist()], have):
-                pieces.append((at, at + len(piece), have[piece] if shared_piece else c.encode(piece)))
-                at += len(piece)
-            ids = c.joined(text, pieces) if pieces else []
-            if c.decode(ids) != text:
-                ids = c.encode(text)
-            out.append(c.row(ids))
-        return pd.DataFrame(out, columns=list(outs))
-
-    built = texts.join(known_ids, "key", "left").select("key", assemble("text", "ready").alias("e"))
-    joined = pending.select("key", "row").join(built, "key").select("row.*", "e.*")
-    return alone.unionByName(joined)
+        for part in text_slices(batches):
+            out = []
+            for text, known_chunks in zip(part.column(1), part.column(2)):
+                text = text.as_py()
+                have = {x["chunk"]: np.frombuffer(x["ids"], dtype=c.kind).tolist() for x in known_chunks.as_py() or ()}
+                bounds, _, whole, _ = chunks(pa.RecordBatch.from_arrays([pa.array([text], type=pa.string())], names=["text"]), 0)
+                pieces: list[tuple[int, int, list[int]]] = []
+                at = 0
+                for piece, shared_piece in _grouped([whole[a:b].decode() for a, b in bounds.tolist()], have):
+                    pieces.append((at, at + len(piece), have[piece] if shared_piece else c.encode(piece)))
+                    at += len(piece)
+                ids = c.joined(text, pieces) if pieces else []
+                out.append(c.row(ids if c.decode(ids) == text else c.encode(text)))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, k) for x, k in zip(zip(*out), _KINDS))], names=["key", *RESULT])
+
+    built = texts.join(ready, "key", "left").mapInArrow(assemble, "key binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    late = first.where("key is not null").select("key", "row").join(built, "key").select("row.*", *RESULT)
+    return first.where("key is null").select("row.*", *RESULT).unionByName(late)
 
 
 def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encoded(documents(spark, sf_dir), keep=["doc_id"])
