@@ -1,9 +1,13 @@
-"""Queries by name, with their DuckDB statements."""
+"""Queries by name, with their DuckDB statements. Modules register theirs on import."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from storyloom.registry import ORACLE, QUERIES
+from storyloom.operators import rollups  # noqa: F401  registers its queries
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+__all__ = ["QUERIES", "oracle_sql"]
