@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from storyloom.registry import ORACLE, QUERIES
-from storyloom.operators import filters, rollups, scoring  # noqa: F401  registering their queries
+from storyloom.operators import filters, rollups, scoring, similarity  # noqa: F401  registering their queries
 
 
 def oracle_sql() -> dict[str, str]:
