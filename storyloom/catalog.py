@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from storyloom.registry import ORACLE, QUERIES
-from storyloom.operators import events, filters, rollups, scoring, similarity, upserts  # noqa: F401  registering their queries
+from storyloom.operators import events, filters, rollups, scoring, selection, similarity, upserts  # noqa: F401  registering their queries
 from storyloom.sources import pages  # noqa: F401
 
 
