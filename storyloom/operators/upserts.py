@@ -67,7 +67,7 @@ def _discovered(a: DataFrame, s: DataFrame) -> DataFrame:
     links = a.where("id % 5 <> 0").select(F.md5(F.lower("title")).alias("story_id"), "url").distinct()
     x, y, z = discovered_article_upsert(arts, links, s.select("id", "last_seen"), found)
     count = lambda df, name, v: df.agg(F.count("*").alias("n"), F.sum(v).cast("long").alias("v")).select(F.lit(name).alias("name"), "n", "v")
-    return count(x, "articles", F.length("summary")).union(count(y, "links", F.length("url"))).union(count(z, "stories", F.unix_seconds(F.col("last_seen").cast("timestamp"))))
+    return count(x, "articles", F.length("summary")).union(count(y, "links", F.length("url"))).union(count(z, "stories", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', last_seen)")))
 
 
 register(
