@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from storyloom.registry import ORACLE, QUERIES
 from storyloom.operators import events, filters, rollups, scoring, selection, similarity, upserts  # noqa: F401  registering their queries
+from storyloom.plans import products  # noqa: F401
 from storyloom.sources import pages  # noqa: F401
 from storyloom.streaming import jobs  # noqa: F401
 
