@@ -1,7 +1,8 @@
 """Quotation linking for conversations, in DataFrame functions only.
 
 A line's quote level is the number of `>` that it starts with. Lines of one level that follow each other, up to a blank line, are a
-passage; normalised (lower case, white space to one space) it is known by its md5. A quoted passage comes from the earliest message of its
+passage; normalised (lower case, white space to one space) it is known by its md5, and so is each of its lines, as quotations are often cut
+short. A quoted passage or line comes from the earliest message of its
 conversation that says it in its own words, before the quoting one. A message replies to the message behind its passages of the lowest
 level, the one with most characters there, the later one of equals. Threads follow from the replies by pointer jumping: each round doubles
 the distance, so rounds grow with the logarithm of the longest chain.
@@ -24,8 +25,8 @@ BLANK = r"[\s\x00-\x20]+"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, role, text) with own (text without quotations) and units (level, passage)."""
-    lines = F.split(F.translate(F.coalesce("text", F.lit("")), "\x01\x02\r", ""), "\n")
+    """messages (conv_id, turn, role, text) with own (text without quotations) and units (level, passage, whole)."""
+    lines = F.split(F.translate(F.coalesce("text", F.lit("")), "\x01\x02\x03\r", ""), "\n")
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, QUOTE, 1), "[^>]", ""))
     rows = messages.withColumn("lines", F.transform(lines, lambda x: F.struct(level(x).alias("level"), F.when(level(x) > 0, F.regexp_replace(x, QUOTE, "")).otherwise(x).alias("line"))))
     said = "level = 0 and x.line rlike attribution and coalesce(get(lines, i + 1).level, 0) > 0"
@@ -34,12 +35,14 @@ def parsed(messages: DataFrame) -> DataFrame:
     own = F.expr("array_join(transform(filter(lines, x -> x.level = 0), x -> x.line), '\\n')")
     marked = F.expr(
         "array_join(transform(lines, (x, i) -> if(trim(x.line) = '' or x.level < 0, concat(chr(1), 'b', chr(2)),"
-        " if(i > 0 and get(lines, i - 1).level = x.level and trim(get(lines, i - 1).line) <> '', concat(' ', x.line),"
+        " if(i > 0 and get(lines, i - 1).level = x.level and trim(get(lines, i - 1).line) <> '', concat(chr(3), x.line),"
         " concat(chr(1), cast(x.level as string), chr(2), x.line)))), '')"
     )
     pieces = F.filter(F.split(marked, "\x01"), lambda x: (x != "") & ~x.startswith("b"))
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(F.substring_index(x, "\x02", -1)), BLANK, " "))
-    units = F.transform(pieces, lambda x: F.struct(F.substring_index(x, "\x02", 1).cast("int").alias("level"), normal(x).alias("passage")))
+    normal = lambda x: F.trim(F.regexp_replace(F.lower(F.translate(x, "\x03", " ")), BLANK, " "))
+    body = lambda x: F.substring_index(x, "\x02", -1)
+    unit = lambda x, text, whole: F.struct(F.substring_index(x, "\x02", 1).cast("int").alias("level"), normal(text).alias("passage"), F.lit(whole).alias("whole"))
+    units = F.flatten(F.transform(pieces, lambda x: F.when(x.contains("\x03"), F.concat(F.array(unit(x, body(x), True)), F.transform(F.split(body(x), "\x03"), lambda y: unit(x, y, False)))).otherwise(F.array(unit(x, body(x), True)))))
     return rows.select("conv_id", "turn", "role", F.regexp_replace(own, r"^\s+|\s+$", "").alias("own"), F.filter(units, lambda u: u["passage"] != "").alias("units"))
 
 
@@ -82,7 +85,7 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     role = F.coalesce("role", F.lit("unknown"))
     return joined.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
-        F.size(F.filter("units", lambda u: u["level"] > 0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+        F.size(F.filter("units", lambda u: (u["level"] > 0) & u["whole"])).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.concat(F.lit("<|"), role, F.lit("|>\n"), "own").alias("formatted"),
     )
 
@@ -100,15 +103,16 @@ a AS (SELECT rid, conv_id, turn, i, CASE WHEN lv > 0 THEN regexp_replace(raw, '^
 own AS (SELECT rid, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE lv = 0), ''), '^\s+|\s+$', '', 'g') AS own FROM a GROUP BY rid),
 s AS (SELECT *, CASE WHEN lag(lv) OVER w = lv AND trim(lag(line) OVER w, ' ') <> '' THEN 0 ELSE 1 END AS starts FROM a WINDOW w AS (PARTITION BY rid ORDER BY i)),
 g AS (SELECT *, sum(starts) OVER (PARTITION BY rid ORDER BY i) AS grp FROM s),
-u AS (SELECT rid, conv_id, turn, lv, trim(regexp_replace(lower(string_agg(line, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS passage FROM g
-  WHERE lv >= 0 AND trim(line, ' ') <> '' GROUP BY rid, conv_id, turn, lv, grp),
+u AS (SELECT rid, conv_id, turn, lv, trim(regexp_replace(lower(string_agg(line, ' ' ORDER BY i)), '\s+', ' ', 'g')) AS passage, true AS whole FROM g
+  WHERE lv >= 0 AND trim(line, ' ') <> '' GROUP BY rid, conv_id, turn, lv, grp UNION ALL SELECT rid, conv_id, turn, lv, trim(regexp_replace(lower(line), '\s+', ' ', 'g')), false FROM g
+  WHERE lv >= 0 AND trim(line, ' ') <> '' QUALIFY count(*) OVER (PARTITION BY rid, lv, grp) > 1),
 un AS (SELECT * FROM u WHERE passage <> ''),
 o AS (SELECT conv_id, passage, min(turn) AS origin FROM un WHERE lv = 0 GROUP BY ALL),
 k AS (SELECT un.conv_id, un.turn, un.lv, o.origin, sum(length(passage)) AS n, count(*) AS k FROM un JOIN o USING (conv_id, passage) WHERE un.lv > 0 AND origin < un.turn GROUP BY ALL),
 lk AS (SELECT conv_id, turn, first(origin ORDER BY lv, n DESC, origin DESC) AS reply_to, sum(k)::BIGINT AS n_linked FROM k GROUP BY ALL),
 t AS (SELECT conv_id, turn, reply_to AS thread, 1::BIGINT AS depth FROM lk UNION ALL SELECT t.conv_id, t.turn, lk.reply_to, t.depth + 1 FROM t JOIN lk ON lk.conv_id = t.conv_id AND lk.turn = t.thread),
 r AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM t GROUP BY ALL),
-nq AS (SELECT rid, count(*) FILTER (WHERE lv > 0)::BIGINT AS n FROM un GROUP BY rid)
+nq AS (SELECT rid, count(*) FILTER (WHERE lv > 0 AND whole)::BIGINT AS n FROM un GROUP BY rid)
 SELECT m.conv_id, m.turn, m.role, own.own AS text, lk.reply_to, coalesce(r.thread, m.turn) AS thread, coalesce(r.depth, 0)::BIGINT AS depth, coalesce(nq.n, 0) AS n_quotes,
   coalesce(lk.n_linked, 0) AS n_linked, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || own.own AS formatted
 FROM m JOIN own USING (rid) LEFT JOIN nq USING (rid) LEFT JOIN lk ON lk.conv_id = m.conv_id AND lk.turn = m.turn LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn
