@@ -105,24 +105,57 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of batches that are sorted by the first one, as arrays in which each key is whole."""
-    held: list[tuple[np.ndarray, ...]] = []
+#: Rows of one key that a task holds; keys with more are split over several tasks.
+MOST_OF_KEY = 200_000
+
+
+def by_key(batches: Iterable[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    """(whole, columns) of batches that are sorted by their first column.
+
+    Whole pieces hold each of their keys entirely. With `most`, the rows of a key that has more are passed on piece by piece with False,
+    so that never more than `most` rows and a batch are held.
+    """
+    held: list[tuple[np.ndarray, ...]] = []  # pieces of the last key seen
+    held_key, over = None, False  # over: that key has too many rows, and what came of it is passed on
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if over:
+            n = int(np.searchsorted(columns[0], held_key, side="right")) if columns[0][0] == held_key else 0
+            if n:
+                yield False, tuple(c[:n] for c in columns)
+            columns = tuple(c[n:] for c in columns)
+            if not columns[0].size:
+                continue
+            over = False
         key = columns[0]
-        if held and key[-1] == held[0][0][0]:
-            held.append(columns)
-            continue
         last = int(np.searchsorted(key, key[-1]))
-        if held or last:
-            parts = [*held, tuple(c[:last] for c in columns)]
-            yield tuple(np.concatenate(c) for c in zip(*parts))
-        held = [tuple(c[last:] for c in columns)]
+        if held and not last and key[0] == held_key:
+            held.append(columns)
+        else:
+            if held or last:
+                yield from _apart(tuple(np.concatenate(c) for c in zip(*held, tuple(c[:last] for c in columns))), most)
+            held = [tuple(c[last:] for c in columns)]
+        held_key = key[-1]
+        if most and sum(h[0].size for h in held) > most:
+            over = True
+            for h in held:
+                yield False, h
+            held = []
     if held:
-        yield tuple(np.concatenate(c) for c in zip(*held))
+        yield from _apart(tuple(np.concatenate(c) for c in zip(*held)), most)
+
+
+def _apart(piece: tuple[np.ndarray, ...], most: int | None) -> Iterator[tuple[bool, tuple[np.ndarray, ...]]]:
+    starts, sizes = runs(piece[0])
+    if not most or sizes.max(initial=0) <= most:
+        yield True, piece
+        return
+    large = np.repeat(sizes > most, sizes)
+    yield False, tuple(c[large] for c in piece)
+    if not large.all():
+        yield True, tuple(c[~large] for c in piece)
 
 
 def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import by_key, documents, runs, stash
+from storyloom.llm.common import MOST_OF_KEY, by_key, documents, runs, stash
 
 BITS, TERM_WORDS, RADIUS = 128, 3, 4
 _BLOCK = 1 << 15
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     return dealt.mapInArrow(pair, "doc_id long, text string, next_text string")
 
 
-def neighbours(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
+def neighbours(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, most: int = MOST_OF_KEY) -> DataFrame:
     """(fp, n_near): for each fingerprint of queries how many rows of fps have one within radius bits, equal ones included.
 
     fps and queries have a column fp. Equal fingerprints are counted first, so copies cost one row; buckets are read as sorted streams.
@@ -133,26 +133,46 @@ def neighbours(fps: DataFrame, queries: DataFrame, radius: int = RADIUS) -> Data
             halves = fp.copy().view(">u8").astype(np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.tile(np.arange(len(tables), dtype=np.int32), len(bits))), pa.array(halves[:, 0]).take(take), pa.array(halves[:, 1]).take(take), batch.column(1).take(take), batch.column(2).fill_null(False).take(take)], names=["key", "tab", "hi", "lo", "n", "asks"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, tab, hi, lo, n, asks in by_key(batches):
-            out: tuple[list, list, list] = ([], [], [])
-            starts, sizes = runs(key)
-            asked = np.add.reduceat(asks.astype(np.int64), starts) > 0
-            for s, size in zip(starts[asked].tolist(), sizes[asked].tolist()):
-                h, low, m = hi[s : s + size].view(np.uint64), lo[s : s + size].view(np.uint64), n[s : s + size]
-                for q in np.flatnonzero(asks[s : s + size]).tolist():
-                    near = np.flatnonzero(np.bitwise_count(h ^ h[q]) + np.bitwise_count(low ^ low[q]) <= radius)
-                    diff = np.unpackbits(np.stack([h[near] ^ h[q], low[near] ^ low[q]], axis=1).astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
-                    differs = np.stack([diff[:, b].any(axis=1) for b in blocks], axis=1)
-                    first = np.argsort(differs, axis=1, kind="stable")[:, :2]  # the first two equal blocks name the table that counts
-                    mine = (first == tables[tab[s]]).all(axis=1)
-                    out[0].append(int(hi[s + q]))
-                    out[1].append(int(lo[s + q]))
-                    out[2].append(int(m[near][mine].sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["hi", "lo", "n"])
-
+    def counted_pairs(key, tab, hi, lo, n, asks):  # noqa: ANN001, ANN202
+        out: tuple[list, list, list] = ([], [], [])
+        starts, sizes = runs(key)
+        asked = np.add.reduceat(asks.astype(np.int64), starts) > 0
+        for s, size in zip(starts[asked].tolist(), sizes[asked].tolist()):
+            h, low, m = hi[s : s + size].view(np.uint64), lo[s : s + size].view(np.uint64), n[s : s + size]
+            for q in np.flatnonzero(asks[s : s + size]).tolist():
+                near = np.flatnonzero(np.bitwise_count(h ^ h[q]) + np.bitwise_count(low ^ low[q]) <= radius)
+                diff = np.unpackbits(np.stack([h[near] ^ h[q], low[near] ^ low[q]], axis=1).astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
+                differs = np.stack([diff[:, b].any(axis=1) for b in blocks], axis=1)
+                first = np.argsort(differs, axis=1, kind="stable")[:, :2]  # the first two equal blocks name the table that counts
+                mine = (first == tables[tab[s]]).all(axis=1)
+                out[0].append(int(hi[s + q]))
+                out[1].append(int(lo[s + q]))
+                out[2].append(int(m[near][mine].sum()))
+        return out
+
+    def work(limit: int | None):  # noqa: ANN202
+        def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole, (key, tab, hi, lo, n, asks) in by_key(batches, limit):
+                if whole:
+                    hi, lo, n = (np.array(x, dtype=np.int64) for x in counted_pairs(key, tab, hi, lo, n, asks))
+                    key, tab, asks = np.zeros(hi.size, np.int64), np.zeros(hi.size, np.int32), np.zeros(hi.size, bool)
+                if hi.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, tab, hi, lo, n, asks, np.full(hi.size, whole))], names=["key", "tab", "hi", "lo", "n", "asks", "done"])
+
+        return worker
+
+    schema = "key long, tab int, hi long, lo long, n long, asks boolean, done boolean"
     dealt = counted.select("fp", "n", "asks").mapInArrow(keys, "key long, tab int, hi long, lo long, n long, asks boolean").repartition("key").sortWithinPartitions("key")
-    found = dealt.mapInArrow(count, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n_near"))
+    parts = stash(dealt.mapInArrow(work(most), schema))
+    found, rest = parts.where("done").select("hi", "lo", "n"), parts.where("not done")
+    if not rest.isEmpty():
+        # A bucket with very many fingerprints is dealt to shards; who asks goes to all of them, and counts itself in its own only.
+        sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(most))).cast("int").alias("parts"))
+        shards = rest.join(sizes, "key").withColumn("r", F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int"))
+        shards = shards.withColumn("q", F.explode(F.expr("if(asks, sequence(0, parts - 1), array(r))")))
+        units = shards.select(F.xxhash64("key", "q").alias("key"), "tab", "hi", "lo", F.when(F.col("q") == F.col("r"), F.col("n")).otherwise(0).alias("n"), "asks").repartition("key").sortWithinPartitions("key")
+        found = found.union(units.mapInArrow(work(None), schema).select("hi", "lo", "n"))
+    found = found.groupBy("hi", "lo").agg(F.sum("n").alias("n_near"))
     hexed = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo")))
     return found.select(F.unhex(hexed).alias("fp"), "n_near")
 

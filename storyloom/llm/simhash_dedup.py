@@ -6,7 +6,8 @@ eight groups, at least four groups have none. So fingerprints within four bits s
 the range join is an equi-join on the 70 choices, and loses no link. Each shared cell is then verified with exact Hamming distances.
 
 Only distinct fingerprints are joined, so copies cost one row. In a cell, a search from one fingerprint takes out of the rest what lies
-within the radius, so a cell of n near copies yields n - 1 links, never all pairs, and holds 8 bytes for each.
+within the radius, so a cell of n near copies yields n - 1 links, never all pairs, and holds 8 bytes for each. Cells with
+very many fingerprints are split over several tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import by_key, components, documents, runs, stash
+from storyloom.llm.common import MOST_OF_KEY, by_key, components, documents, runs, stash
 
 SEED, SHINGLE, RADIUS, GROUPS, EQUAL = 42, 4, 4, 8, 4
 _BLOCK = 1 << 16
@@ -101,24 +102,43 @@ def cluster(fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([empty, *found_a]), np.concatenate([empty, *found_b])
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints at most radius (up to four) bits apart, enough of them to connect all that are."""
+def _cell_links(cell: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    starts, sizes = runs(cell)
+    pair = starts[sizes == 2]
+    pair = pair[distance(fp[pair], fp[pair + 1]) <= radius]
+    more = [cluster(fp[s : s + n], radius) for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist())]
+    return np.concatenate([fp[pair], *(x[0] for x in more)]), np.concatenate([fp[pair + 1], *(x[1] for x in more)])
+
+
+def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST_OF_KEY) -> DataFrame:
+    """(a, b): links between distinct fingerprints at most radius (up to four) bits apart, enough of them to connect all that are.
+
+    A cell with more than `most` fingerprints is dealt anew: to shards, and each pair of shards is a unit of its own. Every two
+    fingerprints of the cell meet in a unit, and a unit holds about twice `most`.
+    """
     if radius > EQUAL:
         raise ValueError(f"the grid finds up to {EQUAL} bits")
 
-    def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, fp in by_key(batches):
-            starts, sizes = runs(cell)
-            pair = starts[sizes == 2]
-            pair = pair[distance(fp[pair], fp[pair + 1]) <= radius]
-            more = [cluster(fp[s : s + n], radius) for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist())]
-            a = np.concatenate([fp[pair], *(x[0] for x in more)])
-            b = np.concatenate([fp[pair + 1], *(x[1] for x in more)])
-            if a.size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+    def work(limit: int | None):  # noqa: ANN202
+        def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole, (cell, fp) in by_key(batches, limit):
+                a, b = _cell_links(cell, fp, radius) if whole else (cell, fp)
+                if whole:
+                    a, b = np.maximum(a, b), np.minimum(a, b)
+                if a.size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(a.size, whole)), pa.array(a), pa.array(b)], names=["linked", "a", "b"])
+
+        return worker
 
     dealt = cells(fps).repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(worker, "a long, b long").distinct()
+    found = stash(dealt.mapInArrow(work(most), "linked boolean, a long, b long"))
+    small, rest = found.where("linked").select("a", "b"), found.where("not linked").select(F.col("a").alias("cell"), F.col("b").alias("fp"))
+    if rest.isEmpty():
+        return small.distinct()
+    sizes = rest.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(most))).cast("int").alias("parts"))
+    shards = rest.join(sizes, "cell").withColumn("r", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
+    units = shards.select(F.xxhash64("cell", F.least("r", "q"), F.greatest("r", "q")).alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
+    return small.union(units.mapInArrow(work(None), "linked boolean, a long, b long").select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

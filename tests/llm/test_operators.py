@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from storyloom.llm import bpe_chunks, fingerprints, host_rules, language_id, mincut_html, poisson_mix, quality_trees, quote_links, simhash_dedup, substring_dedup
-from storyloom.llm.common import bloom, components, in_bloom
+from storyloom.llm.common import bloom, by_key, components, in_bloom
 from tests.llm.conftest import SCHEMA, awkward, prose
 
 ROWS = awkward()
@@ -196,8 +196,9 @@ def test_all_within_radius(spark):
     base = [rng.getrandbits(128) for _ in range(60)]
     many = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(0, 7))) for b in base for _ in range(3)] + base[:20]
     fps = spark.createDataFrame([(x.to_bytes(16, "big"),) for x in many], "fp binary")
-    got = {bytes(r["fp"]): r["n_near"] for r in fingerprints.neighbours(fps, fps).collect()}
-    assert got == {x.to_bytes(16, "big"): sum((x ^ y).bit_count() <= 4 for y in many) for x in set(many)}
+    want = {x.to_bytes(16, "big"): sum((x ^ y).bit_count() <= 4 for y in many) for x in set(many)}
+    for most in (1_000_000, 3, 1):  # the smaller ones split buckets over tasks
+        assert {bytes(r["fp"]): r["n_near"] for r in fingerprints.neighbours(fps, fps, most=most).collect()} == want
 
 
 def test_one_and_no_document(spark, nothing):
@@ -376,11 +377,33 @@ def test_links_connect_all(spark):
     base = [rng.getrandbits(64) for _ in range(40)]
     many = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 6))) for b in base for _ in range(12)})
     signed = [x - (1 << 64) if x >> 63 else x for x in many]
-    got = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
     at = {x: k for k, x in enumerate(signed)}
     want = reaches(len(many), [(a, b) for a in range(len(many)) for b in range(a) if (many[a] ^ many[b]).bit_count() <= 4])
-    assert reaches(len(many), [(at[r["a"]], at[r["b"]]) for r in got]) == want
-    assert all((many[at[r["a"]]] ^ many[at[r["b"]]]).bit_count() <= 4 for r in got)
+    for most in (1_000_000, 4, 1):  # the smaller ones split cells over tasks
+        got = simhash_dedup.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most).collect()
+        assert reaches(len(many), [(at[r["a"]], at[r["b"]]) for r in got]) == want
+        assert all((many[at[r["a"]]] ^ many[at[r["b"]]]).bit_count() <= 4 for r in got)
+
+
+def test_keys_stay_whole():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = [rng.randrange(1, 12) for _ in range(rng.randrange(1, 9))]
+        key = np.repeat(np.arange(len(sizes)), sizes)
+        cuts = sorted({0, len(key), *(rng.randrange(len(key) + 1) for _ in range(4))})
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(np.arange(a, b))], names=["k", "v"]) for a, b in zip(cuts, cuts[1:])]
+        for most in (None, 1, 3, 6):
+            seen, split = [], set()
+            for whole, (k, v) in by_key(batches, most):
+                seen += v.tolist()
+                for x in set(k.tolist()):
+                    if whole:
+                        assert (k == x).sum() == sizes[x] and (not most or sizes[x] <= most)
+                    else:
+                        split.add(x)
+            assert sorted(seen) == list(range(len(key))) and split == {x for x, n in enumerate(sizes) if most and n > most}
 
 
 def test_components_of_chains_and_hubs(spark):
