@@ -128,6 +128,20 @@ def event_append(rows: DataFrame, event_type: str, path: str) -> None:
     out.write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def _appended(e: DataFrame) -> DataFrame:
+    """Usage and gate events appended to one log, read back and counted by day."""
+    from storyloom.streaming.jobs import folder
+
+    path = f"{folder(e.sparkSession)}/log"
+    for kind in ("usage", "gate"):
+        event_append(e.where(F.col("event_type") == kind).select("created_at", "k", "value"), kind, path)
+    back = e.sparkSession.read.parquet(path)
+    return back.groupBy(F.date_format("event_date", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("detail", "$.k").cast("long")).alias("k"))
+
+
+register("event_append", "v_events", _appended, "SELECT strftime(created_at, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS k FROM v_events WHERE event_type IN ('usage', 'gate') GROUP BY 1, 2")
+
+
 def menu_snapshot(menu: DataFrame, events: DataFrame) -> DataFrame:
     """(menu_id, detail): menus (menu_id, rank, story_id, title) that the log does not hold yet, each as one JSON list by rank."""
     new = menu.join(events.select("menu_id").distinct(), "menu_id", "left_anti")

@@ -139,3 +139,17 @@ def feed_items_scan(spark, path: str, cap: int = 100) -> DataFrame:  # noqa: ANN
     items = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
     rows = items.withColumn("feed", F.input_file_name()).withColumn("n", F.monotonically_increasing_id())
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("feed").orderBy("n"))).where(F.col("pos") <= cap).select("feed", "title", "link", clean(F.col("description")).alias("snippet"), F.col("pubDate").alias("published"), "pos")
+
+
+def _landed_feed(articles: DataFrame) -> DataFrame:
+    """Articles landed as feed documents in the shared folder, and scanned from there."""
+    from storyloom.streaming.jobs import folder
+
+    path = f"{folder(articles.sparkSession)}/feeds"
+    flat = lambda c: F.regexp_replace(F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""), r"\s+", " ")
+    items = articles.where("trim(title) <> ''").select(flat("title").alias("title"), F.col("url").alias("link"), flat("summary").alias("description"))
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return feed_items_scan(articles.sparkSession, path, 1 << 30).select("title", "link", "snippet")
+
+
+register("feed_items_scan", "v_articles", _landed_feed, f"SELECT trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, url AS link, {_sql_clean('summary')} AS snippet FROM v_articles WHERE trim(title) <> ''")
