@@ -1,8 +1,8 @@
 """Token overlap between stories as an inverted-index join, merge decisions, clustering.
 
 Pairs that can merge share a token that is neither generic nor an action, or two action tokens. So candidates are found by equi-joins on
-strong tokens and on pairs of action tokens; generic tokens are counted afterwards, on the candidates only. A time bucket is part of every
-key (a story also looks in the bucket before), which bounds a key's rows by its frequency in twice the window; adaptive execution splits
+strong tokens and on pairs of action tokens, or where a least ratio is known on prefixes of rare tokens; the rest is counted on the
+candidates only. A time bucket is part of every key, which bounds a key's rows by its frequency in a few windows; adaptive execution splits
 what is still hot.
 """
 
@@ -80,17 +80,29 @@ def with_tokens(stories: DataFrame, actions: list[str] = L.ACTION_TOKENS, generi
     return out.withColumns({"strong": F.filter("tokens", lambda t: ~t.isin(actions) & ~t.isin(generic)), "action": F.filter("tokens", lambda t: t.isin(actions))})
 
 
-def overlap_pairs(tokens: DataFrame, days: int = 5) -> DataFrame:
-    """(i, j, ratio, shared, n_action, n_strong) of stories i < j that share a strong token or two action tokens, seen within some days.
+def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0) -> DataFrame:
+    """(i, j, ratio, shared, n_action, n_strong) of stories i < j that share a strong token or two action tokens, seen within some days,
+    with a ratio of `least`.
 
-    tokens: with_tokens(). A pair that shares several keys is kept once, by an aggregate on the ids alone.
+    tokens: with_tokens(). Without `least` the keys are strong tokens and pairs of action tokens. With it they are prefixes: of a set's
+    tokens, rarest first, one of the first n - ceil(least n) + 1 is in every other set that shares `least` of the smaller one; so a
+    frequent token is a key of few rows on one side. Pairs that share several keys are kept once, by an aggregate on the ids alone.
     """
-    pairs = F.transform(F.sequence(F.lit(0), F.size("action") - 2), lambda a: F.transform(F.slice("action", a + 2, F.size("action")), lambda b: F.concat_ws("+", F.array_sort(F.array(F.get("action", a), b)))))
-    keys = F.concat("strong", F.when(F.size("action") >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>")))
     bucket = F.floor(F.unix_seconds(F.col("last_seen").cast("timestamp")) / F.lit(days * 86_400))
-    rows = tokens.select("id", "last_seen", bucket.alias("bucket"), F.explode(F.array_distinct(keys)).alias("key"))
-    left = rows.select(F.col("id").alias("a"), F.col("last_seen").alias("ta"), "key", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    right = rows.select(F.col("id").alias("b"), F.col("last_seen").alias("tb"), "key", "bucket")
+    timed = tokens.withColumn("bucket", bucket)
+    if least > 0:
+        every = timed.select("id", "last_seen", "bucket", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+        df = every.groupBy("key").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
+        first = every.join(df, "key").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+        sides, around = (first, every), (-1, 0, 1)
+    else:
+        pairs = F.transform(F.sequence(F.lit(0), F.size("action") - 2), lambda a: F.transform(F.slice("action", a + 2, F.size("action")), lambda b: F.concat_ws("+", F.array_sort(F.array(F.get("action", a), b)))))
+        keys = F.concat("strong", F.when(F.size("action") >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>")))
+        rows = timed.select("id", "last_seen", "bucket", F.explode(F.array_distinct(keys)).alias("key"))
+        sides, around = (rows, rows), (0, -1)
+    left = sides[0].select(F.col("id").alias("a"), F.col("last_seen").alias("ta"), "key", F.explode(F.array(*(F.col("bucket") + k for k in around))).alias("bucket"))
+    right = sides[1].select(F.col("id").alias("b"), F.col("last_seen").alias("tb"), "key", "bucket")
     near = F.abs(F.unix_seconds(F.col("ta").cast("timestamp")) - F.unix_seconds(F.col("tb").cast("timestamp"))) <= days * 86_400
     found = left.join(right, ["key", "bucket"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
     cols = lambda p: tokens.select(F.col("id").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("tokens", "strong", "action")))
@@ -98,7 +110,8 @@ def overlap_pairs(tokens: DataFrame, days: int = 5) -> DataFrame:
     inter = lambda c: F.size(F.array_intersect(f"{c}_i", f"{c}_j"))
     shared = inter("tokens")
     ratio = shared / F.greatest(F.lit(1), F.least(F.size("tokens_i"), F.size("tokens_j")))
-    return both.select("i", "j", F.round(ratio, 6).alias("ratio"), shared.alias("shared"), inter("action").alias("n_action"), inter("strong").alias("n_strong"))
+    out = both.select("i", "j", F.round(ratio, 6).alias("ratio"), shared.alias("shared"), inter("action").alias("n_action"), inter("strong").alias("n_strong"))
+    return out.where((F.col("ratio") >= least) & ((F.col("n_strong") >= 1) | (F.col("n_action") >= 2)))
 
 
 def _token_sql(rows: str) -> str:
@@ -117,7 +130,7 @@ def data_tokens(stories: DataFrame) -> DataFrame:
 
 
 register("title_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_tokens(s)), PAIR_SQL + " SELECT i, j, ratio, CAST(shared AS INT) AS shared, CAST(n_action AS INT) AS n_action, CAST(n_strong AS INT) AS n_strong FROM o")
-register("topic_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_tokens(s), 5).where("ratio >= 0.4"), PAIR_SQL + " SELECT i, j, ratio, CAST(shared AS INT) AS shared, CAST(n_action AS INT) AS n_action, CAST(n_strong AS INT) AS n_strong FROM o WHERE ratio >= 0.4")
+register("topic_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_tokens(s), 5, 0.4), PAIR_SQL + " SELECT i, j, ratio, CAST(shared AS INT) AS shared, CAST(n_action AS INT) AS n_action, CAST(n_strong AS INT) AS n_strong FROM o WHERE ratio >= 0.4")
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
@@ -174,11 +187,12 @@ DECIDE_SQL = PAIR_SQL + f""", e AS (SELECT id, {_STATE_SQL} AS state, {_ENT_SQL}
     FROM o JOIN e a ON a.id = i JOIN e b ON b.id = j), m AS (SELECT *, veto IS NULL AND CASE WHEN ratio >= 0.56 THEN n_strong >= 1 OR n_action >= 2 ELSE ratio >= 0.3 AND shared >= 3 AND n_action >= 1 AND n_strong >= 1 END AS should_merge FROM v)"""
 
 
-def decided(s: DataFrame, theta: float = 0.56, days: int = 5) -> DataFrame:
-    return merge_decision(overlap_pairs(data_tokens(s), days), _states(s), theta)
+def decided(s: DataFrame, theta: float = 0.56, days: int = 5, least: float = 0.3) -> DataFrame:
+    """Decisions on the pairs that can merge or nearly do; no pair below a ratio of 0.3 merges."""
+    return merge_decision(overlap_pairs(data_tokens(s), days, least), _states(s), theta)
 
 
-register("merge_decision", "v_stories", lambda s: decided(s).select("i", "j", "veto", "should_merge"), DECIDE_SQL + " SELECT i, j, veto, should_merge FROM m")
+register("merge_decision", "v_stories", lambda s: decided(s, least=0.0).select("i", "j", "veto", "should_merge"), DECIDE_SQL + " SELECT i, j, veto, should_merge FROM m")
 register("duplicate_pair_audit", "v_stories", lambda s: decided(s, 0.54).where("should_merge").select("i", "j", "ratio"), DECIDE_SQL.replace("0.56", "0.54") + " SELECT i, j, ratio FROM m WHERE should_merge")
 
 

@@ -139,7 +139,7 @@ def newsletter_menu(stories: DataFrame, limit: int = 30, pool: int = 400) -> Dat
     collapsed = exact_title_collapse(scored).select("id", "story_ids")
     best = scored.join(collapsed, "id").orderBy(F.desc("score"), "id").limit(pool).withColumns({"pos": F.row_number().over(Window.orderBy(F.desc("score"), "id")), "pinned": F.col("status") == "pinned"})
     best = stored(best)
-    near = overlap_pairs(data_tokens(stories.join(best.select("id"), "id", "left_semi")))
+    near = overlap_pairs(data_tokens(stories.join(best.select("id"), "id", "left_semi")), least=0.4)
     cut = prior_overlap_penalty(best.select("id", "pos", "score", "pinned"), near)
     again = best.drop("pos", "score", "pinned").join(cut, "id").withColumns({"edition": F.lit("menu"), "pos": F.row_number().over(Window.orderBy(F.desc("pinned"), F.desc("score"), "id"))})
     chosen = diverse_selection(again, with_traits(stories), limit, pool)

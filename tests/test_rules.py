@@ -84,6 +84,9 @@ def test_blocking_loses_no_pair(spark):
     t = {r["id"]: r for r in tokens.collect()}
     want = {(a, b) for a in t for b in t if a < b and abs((t[a]["last_seen"] - t[b]["last_seen"]).total_seconds()) <= 5 * 86_400 and (set(t[a]["strong"]) & set(t[b]["strong"]) or len(set(t[a]["action"]) & set(t[b]["action"])) >= 2)}
     assert got == want
+    for least in (0.3, 0.4, 0.8):
+        near = {(r["i"], r["j"]) for r in overlap_pairs(tokens, least=least).collect()}
+        assert near == {(a, b) for a, b in want if len(set(t[a]["tokens"]) & set(t[b]["tokens"])) / min(len(t[a]["tokens"]), len(t[b]["tokens"])) >= least}
 
 
 def test_rollup_of_nothing(spark):
