@@ -220,3 +220,22 @@ def _title_sql() -> str:
 
 
 register("title_normalisation", "v_articles", lambda a: title_normalisation(a.withColumn("title", F.expr("concat(case when id % 7 = 0 then 'News | ' when id % 7 = 1 then 'From the ' else '' end, title, case when id % 5 = 0 then ' - Site' when id % 5 = 1 then ' | Jan 3, 2024' else '' end)"))), _title_sql())
+
+
+_HEAD = "concat(case id % 6 when 0 then 'dpscd and it teams: ' when 1 then 'TX 43RD $74.5K ' when 2 then 'IS IT K-12? ' when 3 then 'mcmahon, in 2024-25 ' else '' end, replace(replace(case id % 4 when 0 then upper(title) when 1 then lower(title) else title end, 'ß', 's'), 'SS', 's'))"
+
+
+def headlines(articles: DataFrame) -> DataFrame:
+    """(id, headline) for articles with a title."""
+    from storyloom.functions.headline import headline
+
+    return articles.where("trim(title) <> ''").select("id", headline(F.col("title")).alias("headline"))
+
+
+def _headline_sql() -> str:
+    from storyloom.functions.headline import sql_headline
+
+    return sql_headline(f"(SELECT id, {_HEAD} AS title FROM (SELECT id, replace(title, 'ß', 's') AS title FROM v_articles))")
+
+
+register("normalize_headline", "v_articles", lambda a: headlines(a.withColumn("title", F.expr("replace(title, 'ß', 's')")).withColumn("title", F.expr(_HEAD))), _headline_sql())

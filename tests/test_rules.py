@@ -148,3 +148,22 @@ def test_stream_equals_batch_over_many_files(spark, tmp_path):
     events.repartition(6).write.parquet(str(tmp_path / "events"))
     got = drained(daily_usage(read_stream(spark, str(tmp_path / "events"), files=2)), "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, daily_usage(events).collect()))
+
+
+def test_headlines(spark):
+    from storyloom.functions.headline import headline
+
+    cases = {
+        "dpscd will not renew charter for barack obama leadership academy": "DPSCD Will Not Renew Charter for Barack Obama Leadership Academy",
+        "Illinois bill to ban school cell phone use moves forward": "Illinois Bill to Ban School Cell Phone Use Moves Forward",
+        "One School, Nine Students. CA Pays Over $100,000 Per Kid to Keep Small Schools Open": "One School, Nine Students. CA Pays Over $100,000 Per Kid to Keep Small Schools Open",
+        "mcmahon: fy 27 proposal continues to shrink bloated bureaucracy": "McMahon: FY 27 Proposal Continues to Shrink Bloated Bureaucracy",
+        "Teacher Salaries Average $74.5K Nationally. IS IT Enough?": "Teacher Salaries Average $74.5K Nationally. Is It Enough?",
+        "‘Star Trek’ Didn’t Replace Teachers or Ban Screens; nor Should WE": "‘Star Trek’ Didn’t Replace Teachers or Ban Screens; nor Should We",
+        "North Carolina Ranks 43RD for Teacher Pay in 2024-25": "North Carolina Ranks 43rd for Teacher Pay in 2024-25",
+        "TX district expands K-12 AI policy": "TX District Expands K-12 AI Policy",
+        "professional development for IT teams in the age of digital citizenship": "Professional Development for IT Teams in the Age of Digital Citizenship",
+        "IN a Minneapolis Public School, a Cure for Toxic Politics": "In a Minneapolis Public School, a Cure for Toxic Politics",
+        "Search Underway for Two U.s. Soldiers Missing in Morocco": "Search Underway for Two U.S. Soldiers Missing in Morocco",
+    }
+    assert values(spark, headline(F.col("t")), [*cases, "", None]) == [*cases.values(), "", ""]
