@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import lexicons as L
+from storyloom.functions.summaries import fallback_summary, sanitized, sql_fallback, sql_sanitized
 from storyloom.functions.text import hits, sql_hits
 from storyloom.operators.filters import DATA_AUDIENCE, audiences, sql_audience
 from storyloom.registry import register
@@ -136,18 +137,7 @@ register("newsletter_ranking", "v_stories", lambda s: newsletter_ranking(rolled(
 # --- summaries ---------------------------------------------------------------------------------------------------------------------
 
 
-def sanitized(c: Column, most: int = 320) -> Column:
-    """Tags, links, addresses and white space out; cut to a length; empty below 40 characters or with too few distinct words."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]*>|!?\[([^\]]*)\]\([^)]*\)|https?://\S+|\S+@\S+\.\S+", " ")
-    t = F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
-    w = F.split(F.lower(t), " ")
-    varied = F.size(F.array_distinct(w)) / F.size(w)
-    cut = F.when(F.length(t) > most, F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…"))).otherwise(t)
-    return F.when((F.length(t) < 40) | ((F.size(w) >= 12) & (varied < 0.45)), "").otherwise(cut)
-
-
-_SAN = """WITH t AS (SELECT id, source_id, title, ts, trim(regexp_replace(regexp_replace(coalesce(summary, ''), '<[^>]*>|!?\\[([^\\]]*)\\]\\([^)]*\\)|https?://\\S+|\\S+@\\S+\\.\\S+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM v_articles),
-    c AS (SELECT *, string_split(lower(t), ' ') AS w FROM t), s AS (SELECT *, CASE WHEN length(t) < 40 OR (len(w) >= 12 AND len(list_distinct(w)) / len(w) < 0.45) THEN '' WHEN length(t) > 320 THEN concat(rtrim(substr(t, 1, 319), ' '), '…') ELSE t END AS summary FROM c)"""
+_SAN = sql_sanitized("v_articles", "id, source_id, title, ts")
 
 
 def echo(title: Column, summary: Column) -> Column:
@@ -291,3 +281,12 @@ register(
     lambda o: rerank_apply(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos")), o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), (F.lit(10**9) - F.col("o_orderkey")).alias("place"), F.expr("o_orderkey % 10 = 0").alias("demote"))),
     """SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 = 0 THEN 1000000000 - o_orderkey ELSE o_orderkey + 1000000 END, o_orderkey) AS INT) AS pos FROM orders WHERE o_orderkey % 10 <> 0 QUALIFY pos <= 60""",
 )
+
+
+def title_summaries(articles: DataFrame) -> DataFrame:
+    """(id, fallback): summaries made from titles alone."""
+    return articles.select("id", fallback_summary(F.col("title")).alias("fallback"))
+
+
+_TOPICAL = "concat(case id % 5 when 0 then 'Budget | ' when 1 then 'The court and ' when 2 then 'Literacy: ' else '' end, title)"
+register("fallback_summary", "v_articles", lambda a: title_summaries(a.withColumn("title", F.expr(_TOPICAL))), sql_fallback(f"(SELECT id, {_TOPICAL} AS title FROM v_articles)"))

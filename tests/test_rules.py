@@ -167,3 +167,14 @@ def test_headlines(spark):
         "Search Underway for Two U.s. Soldiers Missing in Morocco": "Search Underway for Two U.S. Soldiers Missing in Morocco",
     }
     assert values(spark, headline(F.col("t")), [*cases, "", None]) == [*cases.values(), "", ""]
+
+
+def test_summaries(spark):
+    from storyloom.functions.summaries import fallback_summary, hash31, sanitized
+
+    long = "The district board approved a plan that adds buses, lunches and tutors to nine schools next year"
+    cases = [f"![x](http://a.b/c) {long} Subscribe to read more", f"{long}. The post Budget appeared first on Paper.", "short", "word " * 40, None, f"See [the plan](https://a.org): {long} at me@a.org"]
+    assert values(spark, sanitized(F.col("t")), cases) == [long, f"{long}.", "", "", "", f"See the plan: {long} at"]
+    assert values(spark, hash31(F.col("t")), ["", "a", "abc", "polygenelubricants"]) == [0, 97, 96354, 2147483648]
+    made = values(spark, fallback_summary(F.col("t")), ["Budget cuts hit nine schools", "Short"])
+    assert made[0].startswith(("Budget coverage now centers on budget cuts", "New finance reporting highlights budget cuts", "District budget attention is shifting toward budget cuts")) and "Why it matters" in made[0] and made[1] == ""
