@@ -74,7 +74,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    ranges = 4 * parts if parts > 1 else 1  # several to a task, so that tasks get alike shares
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else None
     cuts = np.array(sorted(set(cuts or ())), dtype=np.int64)
 
     @F.pandas_udf("int")
