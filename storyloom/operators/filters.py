@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from storyloom.functions import lexicons as L
 from storyloom.functions import patterns as P
@@ -342,8 +341,8 @@ def item_admission(items: DataFrame, patterns: dict = P.TOPIC) -> DataFrame:
 
 register(
     "item_admission", "v_articles", lambda a: item_admission(_varied(a), P.DATA_TOPIC).groupBy("reject_reason").agg(F.count("*").alias("n")),
-    _QUALITY_SQL.replace("WITH a AS", "WITH a AS", 1) + ", " + _topic_sql(rows=VARIED)[5:].replace("WITH ", "").replace("t AS (SELECT *,", "tt AS (SELECT *,", 1).replace("FROM t)", "FROM tt)", 1).replace("f AS (SELECT *, regexp", "ff AS (SELECT *, regexp", 1).replace("crime FROM tt)", "crime FROM tt)", 1).replace("g AS (SELECT *, higher", "gg AS (SELECT *, higher", 1).replace("FROM f)", "FROM ff)", 1).replace("FROM g)", "FROM gg)", 1)
+    _QUALITY_SQL + f", topical AS ({_topic_sql(rows=VARIED)} SELECT * FROM h)"
     + f""" SELECT reason AS reject_reason, count(*) AS n FROM (SELECT CASE WHEN trim(title) = '' THEN 'missing_title' WHEN NOT regexp_matches(url, '(?i)^https?://[^/]+') THEN 'unresolved_url' WHEN regexp_matches(url, {lit(P.JOB_URL)}) OR regexp_matches(title, {lit(P.JOB_TITLE)}) THEN 'job_listing'
     WHEN regexp_matches(trim(regexp_replace(title, '\\s+', ' ', 'g')), {lit(P.NON_STORY_TITLE)}) OR (regexp_matches(trim(title), {lit(P.NON_STORY_SHORT)}) AND len(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' ')) <= CASE WHEN lower(title) LIKE 'privacy%' THEN 6 ELSE 7 END)
-    OR regexp_matches({_PATH}, {lit(P.NON_STORY_PATH)}) THEN 'non_story' WHEN r.quality_label = 'non_article' THEN 'non_article' WHEN off_topic THEN 'off_topic' WHEN NOT signal THEN 'no_signal' END AS reason FROM h JOIN r USING (id)) GROUP BY 1""",
+    OR regexp_matches({_PATH}, {lit(P.NON_STORY_PATH)}) THEN 'non_story' WHEN r.quality_label = 'non_article' THEN 'non_article' WHEN off_topic THEN 'off_topic' WHEN NOT signal THEN 'no_signal' END AS reason FROM topical JOIN r USING (id)) GROUP BY 1""",
 )

@@ -39,8 +39,8 @@ def ranked_pool(stories: DataFrame, k: int) -> DataFrame:
 
 register(
     "prior_overlap_penalty", "v_stories", lambda s: prior_overlap_penalty(ranked_pool(s, 200).select("id", "pos", "score", "pinned"), overlap_pairs(data_tokens(s), least=SIMILAR)),
-    HOME_SQL + ", pool AS (SELECT id, score, status = 'pinned' AS pinned, row_number() OVER (ORDER BY score DESC, id) AS pos FROM q QUALIFY pos <= 200), " + PAIR_SQL[5:].replace("t AS (SELECT *, list_filter", "tt AS (SELECT *, list_filter").replace("FROM t a JOIN t b", "FROM tt a JOIN tt b").replace("k0 AS", "kk0 AS").replace("FROM k0)", "FROM kk0)").replace(" k AS (SELECT * EXCLUDE", " kk AS (SELECT * EXCLUDE").replace("FROM k)", "FROM kk)", 1).replace(" p AS (SELECT a.id AS i", " pp AS (SELECT a.id AS i").replace("FROM p WHERE", "FROM pp WHERE")
-    + """, b AS (SELECT i, j, ratio FROM o UNION ALL SELECT j, i, ratio FROM o), w AS (SELECT b.i, max(ratio) AS overlap FROM b JOIN pool x ON x.id = b.i JOIN pool y ON y.id = b.j WHERE y.pos < x.pos GROUP BY 1)
+    HOME_SQL + f", pool AS (SELECT id, score, status = 'pinned' AS pinned, row_number() OVER (ORDER BY score DESC, id) AS pos FROM q QUALIFY pos <= 200), near AS ({PAIR_SQL} SELECT i, j, ratio FROM o)"
+    + """, b AS (SELECT i, j, ratio FROM near UNION ALL SELECT j, i, ratio FROM near), w AS (SELECT b.i, max(ratio) AS overlap FROM b JOIN pool x ON x.id = b.i JOIN pool y ON y.id = b.j WHERE y.pos < x.pos GROUP BY 1)
     SELECT id, pinned, round(score * CASE WHEN pinned OR coalesce(overlap, 0) < 0.4 THEN 1.0::DOUBLE WHEN overlap >= 0.58 THEN 0.62::DOUBLE ELSE 0.8::DOUBLE END, 2) AS score FROM pool LEFT JOIN w ON i = id""",
 )
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from storyloom.registry import register
 from storyloom.sources.pages import _HOST, domain
 
-JUNK = r"(?i)^(read more|click here|subscribe)|!\[|\b(\w+ \w+) \2\b"
-
-
 def better_summary(old: Column, new: Column) -> Column:
     """The new summary where the old one is blank, short, junk or shorter; never a blank one."""
     o, n = F.coalesce(F.trim(old), F.lit("")), F.coalesce(F.trim(new), F.lit(""))

@@ -16,7 +16,7 @@ from storyloom.operators.filters import DATA_AUDIENCE, VARIED, _varied, article_
 from storyloom.operators.rollups import rank_apply_join, state_saturation
 from storyloom.operators.scoring import _CS, _SAN, DATA_LEXICON, HOME_SQL, _candidates, candidate_score, newsletter_ranking, rolled, sanitized, story_preview, story_ranking, summary_adjudication
 from storyloom.operators.selection import diverse_selection, display_summary_dedupe, editions, exact_title_collapse, prior_overlap_penalty, with_traits
-from storyloom.operators.similarity import DECIDE_SQL, coverage_join, data_tokens, decided, cluster_labels, merge_apply, overlap_pairs, state_of, stored
+from storyloom.operators.similarity import coverage_join, data_tokens, decided, cluster_labels, merge_apply, overlap_pairs, state_of, stored
 from storyloom.registry import register
 from storyloom.sources.pages import domain
 from storyloom.sources.views import AS_OF

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.operators.filters import host_of, lit, path_of
+from storyloom.operators.filters import host_of, path_of
 from storyloom.registry import register
 
 _TRACK = r"(?i)(utm_[^=&]*|gclid|fbclid)(=[^&]*)?"
