@@ -14,9 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
