@@ -2,12 +2,14 @@
 
 The gear rolling hash of the 16 bytes before each word ranks the words; a text is cut before a word whose rank is the least among its
 neighbours three words to either side. Cuts depend on a few words around them only, so after an insertion, or in another text, the same
-passage has the same cuts from the second chunk on. Chunks (seven words on average) are known by 128-bit digests. A chunk that stands
-earlier (by document id, then place) is a repeat; runs of adjoining repeats that together have at least MIN_WORDS words are taken out of
-every text but the first. The words before the first and after the last cut of a passage stay, as they share a chunk with the text around.
-
-Work: one aggregate of all digests with a partial step, one join of the repeated ones' occurrences (found through a Bloom filter of fixed
-size) and one join of the runs back to the texts.
+passage has the same cuts from the second chunk on. Chunks (seven words on average) are known by 128-bit digests, and so are windows: the
+shortest stretches of adjoining chunks with at least MIN_WORDS words. A window that stands earlier (by document id, then place) as a whole
+is a repeat, and its chunks are taken out of every text but the first; chunks that are common each by itself, in different texts, stay.
+Repeats inside one text count too. The words before the first and after the last cut of a passage stay, as they share a chunk with the
+text around.
+
+Work: one aggregate of all windows' digests with a partial step, one join of the repeated ones' occurrences (found through a Bloom filter
+of fixed size) and one join of the runs back to the texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from storyloom.llm.common import bloom, documents, gear, in_bloom, stash, text_s
 
 #: Words on either side among which a cut has the least rank, and the words after which a text without cuts is cut all the same.
 REACH, MOST = 3, 64
-#: Runs of repeated chunks with fewer words stay. A passage of 50 words holds at least so many between its cuts.
+#: Repeats with fewer words stay. A passage of 50 words holds at least so many between its cuts.
 MIN_WORDS = 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,40 +83,68 @@ def chunks(batch: pa.RecordBatch, text: int = 1) -> tuple[np.ndarray, ...]:
     return begin, end, begin_row, n_words, number, digest, whole
 
 
-def _emit(known: np.ndarray | None):  # noqa: ANN202
+def windows(row: np.ndarray, n_words: np.ndarray, digest: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (past the last) and digests of the shortest stretches of chunks of one text that have at least min_words words.
+
+    All that begin and all that end at a chunk: whatever stretch of at least so many words repeats is covered by those within it.
+    """
+    total = np.r_[0, np.cumsum(n_words)]
+    at = np.arange(row.size)
+    end = np.searchsorted(total, total[:-1] + min_words)
+    ahead = np.flatnonzero(end <= row.size)
+    ahead = ahead[row[end[ahead] - 1] == row[ahead]]
+    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    behind = np.flatnonzero(start >= 0)
+    behind = behind[row[start[behind]] == row[behind]]
+    both = np.unique(np.r_[at[ahead] * (row.size + 1) + end[ahead], start[behind] * (row.size + 1) + at[behind] + 1])
+    start, end = both // (row.size + 1), both % (row.size + 1)
+    raw = digest.tobytes()
+    found = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[16 * a : 16 * b]) for a, b in zip(start.tolist(), end.tolist())]), dtype="<i8").reshape(-1, 2)
+    return start, end, found
+
+
+def _emit(known: np.ndarray | None, min_words: int):  # noqa: ANN202
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             _, _, row, n_words, number, digest, _ = chunks(part)
-            take = np.flatnonzero(n_words > 0 if known is None else (n_words > 0) & in_bloom(known, np.ascontiguousarray(digest[:, 0])))
-            yield pa.RecordBatch.from_arrays([pa.array(digest[take, 0]), pa.array(digest[take, 1]), part.column(0).take(pa.array(row[take])), pa.array(number[take].astype(np.int32)), pa.array(n_words[take].astype(np.int32))], names=["h1", "h2", "doc_id", "no", "words"])
+            full = n_words > 0
+            row, number = row[full], number[full]
+            start, end, found = windows(row, n_words[full], digest[full], min_words)
+            if known is not None:
+                take = np.flatnonzero(in_bloom(known, np.ascontiguousarray(found[:, 0])))
+                start, end, found = start[take], end[take], found[take]
+            place = (part.column(2).to_numpy().astype(np.int64)[row[start]] << 32) + number[start]
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), part.column(0).take(pa.array(row[start])), pa.array(place), pa.array((end - start).astype(np.int32))], names=["h1", "h2", "doc_id", "place", "n"])
 
     return worker
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, nos array<int>, first_ids array): chunk numbers to take out of each text, and where they stand first."""
-    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("no", T.IntegerType()), T.StructField("words", T.IntegerType())])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    every = rows.mapInArrow(_emit(None), schema)
-    twice = stash(every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "no")).alias("first")).where("n > 1").drop("n"))
+    """(doc_id, tie, nos array<int>, first_ids array): chunk numbers to take out of each text, and where they stand first.
+
+    tie is the hash of the text, which tells texts of one id, or of none, apart. Null ids come last.
+    """
+    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("place", T.LongType()), T.StructField("n", T.IntegerType())])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.hash("text"))
+    every = rows.mapInArrow(_emit(None, min_words), schema)
+    where = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "place")
+    twice = stash(every.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(where).alias("first")).where("times > 1").drop("times"))
     known = bloom(twice, "h1", 25)
-    again = rows.mapInArrow(_emit(known), schema).join(twice, ["h1", "h2"]).where("doc_id <> first.doc_id or no <> first.no")
-    flagged = again.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "words", F.col("first.doc_id").cast("long").alias("first_id")))).alias("c"))
-    return flagged.select("doc_id", _long_runs("c", min_words).alias("c")).where(F.size("c.nos") > 0).select("doc_id", "c.nos", "c.first_ids")
+    again = rows.mapInArrow(_emit(known, min_words), schema).join(twice, ["h1", "h2"]).where("not (doc_id <=> first.doc_id) or place <> first.place")
+    window = F.struct((F.col("place").bitwiseAND(0xFFFFFFFF)).cast("int").alias("no"), "n", F.col("first.doc_id").cast("long").alias("first_id"))
+    flagged = again.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("tie")).agg(F.collect_list(window).alias("c"))
+    return flagged.select("doc_id", "tie", _covered("c").alias("c")).select("doc_id", "tie", "c.nos", "c.first_ids")
 
 
-def _long_runs(column: str, min_words: int):  # noqa: ANN202
+def _covered(column: str):  # noqa: ANN202
     @F.pandas_udf("nos array<int>, first_ids array<long>")
     def select(repeats):  # noqa: ANN001, ANN202
         import pandas as pd
 
         out = []
         for c in repeats:
-            no = np.array([x["no"] for x in c], dtype=np.int64)
-            words = np.array([x["words"] for x in c], dtype=np.int64)
-            run = np.cumsum(np.r_[0, np.diff(no) != 1])
-            long = np.bincount(run, words)[run] >= min_words
-            out.append((no[long].tolist(), sorted({x["first_id"] for x, keep in zip(c, long) if keep and x["first_id"] is not None})))
+            nos = {k for x in c for k in range(x["no"], x["no"] + x["n"])}
+            out.append((sorted(nos), sorted({x["first_id"] for x in c if x["first_id"] is not None})))
         return pd.DataFrame(out, columns=["nos", "first_ids"])
 
     return select(F.col(column))
@@ -123,12 +153,12 @@ def _long_runs(column: str, min_words: int):  # noqa: ANN202
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeats taken out of the text, and n_removed_words, n_removed_chars, first_ids (texts that keep what was taken out).
 
-    Null texts stay null; a text may become empty. Of rows with one id (which should not be) all lose the same numbers of chunks.
+    Null texts stay null; a text may become empty. Rows with one id, or none, are told apart by their texts; equal ones count as one.
     Columns named like the new ones are replaced, all others stay.
     """
     new = ("n_removed_words", "n_removed_chars", "first_ids")
     kept = docs.select(*(c for c in docs.columns if c not in new))
-    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("_run_id"), F.struct("nos", "first_ids").alias("_run"))
+    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("_run_id"), F.col("tie").alias("_run_tie"), F.struct("nos", "first_ids").alias("_run"))
 
     @F.pandas_udf("text string, words long, chars long")
     def take_out(texts, nos):  # noqa: ANN001, ANN202
@@ -145,7 +175,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.append((left, int(n_words[gone].sum()), len(text) - len(left)))
         return pd.DataFrame(out, columns=["text", "words", "chars"])
 
-    joined = kept.join(runs, kept[id_col] == runs["_run_id"], "left").drop("_run_id")
+    joined = kept.join(runs, kept[id_col].eqNullSafe(runs["_run_id"]) & (F.hash(kept[text_col].cast("string")) == runs["_run_tie"]), "left").drop("_run_id", "_run_tie")
     touched = joined.withColumn("_out", F.when(F.col("_run").isNotNull(), take_out(F.col(text_col), F.col("_run.nos"))))
     return touched.select(
         *(F.when(F.col("_run").isNotNull(), F.col("_out.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in kept.columns),

@@ -260,6 +260,46 @@ def test_cuts_resist_insertions():
     assert b"".join(text.encode()[x:y] for x, y in zip(*substring_dedup.chunks(pa.RecordBatch.from_arrays([pa.array([text])], names=["t"]), 0)[:2])) == text.encode()
 
 
+def test_stitched_chunks_stay(spark):
+    import pyarrow as pa
+
+    def pieces(text):
+        begin, end, *_ = substring_dedup.chunks(pa.RecordBatch.from_arrays([pa.array([text])], names=["t"]), 0)
+        return [text.encode()[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]
+
+    texts = [prose(60 + k, 80) for k in range(12)]
+    stitched = "".join(pieces(t)[4] for t in texts)
+    known = {c.strip() for t in texts for c in pieces(t)}
+    assert sum(len(c.split()) for c in pieces(stitched) if c.strip() in known) >= 60  # most chunks stand elsewhere, no two of them side by side
+    long = "".join(pieces(texts[3])[2:9])
+    rows = [*enumerate(texts), (20, stitched), (21, prose(80, 40) + " " + long + prose(81, 40))]
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[20]["text"] == stitched and got[20]["n_removed_words"] == 0
+    assert got[21]["first_ids"] == [3] and "".join(pieces(texts[3])[3:8]).strip() not in got[21]["text"]
+
+
+def test_windows_cover_every_repeat():
+    rng = random.Random(8)
+    for _ in range(100):
+        words = np.array([rng.choice((1, 3, 7, 25)) for _ in range(rng.randrange(1, 30))])
+        row = np.sort([rng.randrange(3) for _ in words])
+        start, end, _ = substring_dedup.windows(row, words, np.arange(2 * words.size).reshape(-1, 2))
+        assert all(row[a] == row[b - 1] and words[a:b].sum() >= 20 for a, b in zip(start, end))
+        for a in range(words.size):
+            for b in range(a + 1, words.size + 1):
+                if row[a] == row[b - 1] and words[a:b].sum() >= 20:
+                    assert {k for x, y in zip(start, end) if a <= x and y <= b for k in range(x, y)} == set(range(a, b))
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    passage = prose(90, 70)
+    rows = [(1, passage), (2, prose(91, 30) + " " + passage), (2, prose(92, 100)), (None, prose(93, 30) + " " + passage), (None, prose(94, 100))]
+    got = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    core = " ".join(passage.split()[15:-15])
+    assert len(got) == 5 and sum(core in r["text"] for r in got) == 1
+    assert {prose(92, 100), prose(94, 100)} <= {r["text"] for r in got} and all(r["first_ids"] == [1] for r in got if r["n_removed_words"])
+
+
 def test_nothing_repeats(nothing):
     assert substring_dedup.deduplicated(nothing).collect() == []
 
