@@ -12,13 +12,13 @@ very many fingerprints are split over several tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,16 +48,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp bigint) for each row. Null and wordless texts have fingerprint zero; other columns are left out."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp bigint) and the columns of keep for each row. Null and wordless texts have fingerprint zero; other columns are left out."""
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(worker, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *(docs.schema[c] for c in keep)])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep).mapInArrow(worker, schema)
 
 
 def _group_codes() -> np.ndarray:
@@ -141,25 +141,44 @@ def links(fps: DataFrame, radius: int = RADIUS, most: int = MOST_OF_KEY) -> Data
     return small.union(units.mapInArrow(work(None), "linked boolean, a long, b long").select("a", "b")).distinct()
 
 
+def _tie(docs: DataFrame) -> Column:
+    """A hash of all columns that have one (maps have none)."""
+    return F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, component, doc_id, tie) of each fingerprint: its component, by a fingerprint, and that one's first row.
+
+    The first row has the smallest id; null ids come last, and rows of one id, or of none, go by tie, the hash of all their columns.
+    """
+    fps = stash(fingerprints(docs.withColumn("_tie", _tie(docs)), id_col, text_col, keep=["_tie"]))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col("_tie").alias("tie"))).alias("first")
+    reps = stash(fps.groupBy("fp").agg(first))
+    groups = components(stash(links(reps.select("fp"))))
+    named = reps.join(groups, reps["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    best = named.groupBy("component").agg(F.min("first").alias("first"))
+    return fps.drop("_tie"), named.select("fp", "component").join(best, "component").select("fp", "component", "first.doc_id", "first.tie")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id that links of at most radius bits reach.
 
-    Equal fingerprints link, and so do all wordless texts. Repeated ids keep all their rows. A null id is in a component, but names
-    none unless all ids of its fingerprint are null; then component_id is null. An empty table gives an empty result.
+    Equal fingerprints link, and so do all wordless texts. Repeated ids keep all their rows. A null id is in a component and links
+    others, but names none unless all ids of its component are null; then component_id is null. An empty table gives an empty result.
     """
-    fps = stash(fingerprints(docs, id_col, text_col))
-    reps = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = stash(links(reps.select("fp")))
-    ends = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
-    groups = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = reps.join(groups, reps["rep"] == groups["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    fps, named = _components(docs, id_col, text_col, radius)
+    return fps.join(named.select("fp", F.col("doc_id").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, with all its columns."""
-    found = near_duplicates(docs, id_col, text_col, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(found, docs[id_col] == found["doc_id"], "left_semi").dropDuplicates([id_col])
+    """docs without near-duplicates: of each component one row stays, with all its columns.
+
+    It is the one with the smallest id. Null ids come last; rows of one id, or of none, are told apart by a hash of all their columns.
+    """
+    _, named = _components(docs, id_col, text_col, radius)
+    found = named.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_found")).distinct()
+    rows = docs.withColumn("_tie", _tie(docs))
+    return rows.join(found, (rows["_tie"] == found["_found"]) & rows[id_col].eqNullSafe(found["_id"]), "left_semi").dropDuplicates(["_tie", id_col]).drop("_tie")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -412,6 +412,27 @@ def test_near_duplicates(docs):
     assert simhash_dedup.near_duplicates(docs).count() == len(ROWS)
 
 
+def test_null_and_shared_ids_keep_their_texts(spark):
+    near = {64: None}
+    base = prose(70, 400).split()
+    for k in range(400):  # one word changed, at most four bits away from the first text
+        text = " ".join([*base[:k], "changed", *base[k + 1 :]])
+        near[(plain_fingerprint(" ".join(base)) ^ plain_fingerprint(text)).bit_count()] = text
+    copy = near[min(b for b in near if b)]
+    rows = [(1, prose(71, 90)), (2, prose(71, 90)), (2, prose(72, 90)), (3, prose(73, 90)), (3, prose(74, 90)), (None, prose(75, 90)), (None, prose(76, 90)), (None, prose(76, 90)), (None, prose(71, 90)), (9, copy), (None, " ".join(base))]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows[:7])] + [(*rows[7], 6)] + [(*r, k) for k, r in enumerate(rows[8:], 8)], "doc_id long, text string, row long").repartition(4)
+    kept = rows_of(simhash_dedup.keep_representatives(docs), "doc_id", "text")
+    assert kept == sorted([(1, prose(71, 90)), (2, prose(72, 90)), (3, prose(73, 90)), (3, prose(74, 90)), (None, prose(75, 90)), (None, prose(76, 90)), (9, copy)], key=repr)
+
+
+def test_chain_over_null_ids(spark, monkeypatch):
+    at = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": -1}
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, *_, **__: docs.select("doc_id", F.create_map(*(F.lit(x) for p in at.items() for x in p))[F.col("text")].cast("long").alias("fp"), "_tie"))
+    docs = spark.createDataFrame([(4, "a"), (None, "b"), (6, "c"), (None, "d")], "doc_id long, text string")
+    assert rows_of(simhash_dedup.near_duplicates(docs), "doc_id", "component_id") == sorted([(4, 4), (None, 4), (6, 4), (None, None)], key=repr)
+    assert rows_of(simhash_dedup.keep_representatives(docs), "doc_id", "text") == sorted([(4, "a"), (None, "d")], key=repr)
+
+
 def test_links_connect_all(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
