@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import documents
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|select|title|iframe|math|object|canvas|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?:/?[a-zA-Z]|[!?/])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Elements whose content is no text of the page. Unclosed ones end at their tag.
+_SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "noscript template svg textarea select title iframe canvas button".split()}
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。！？](?=[\s\"'”’)]|$)")
 
@@ -37,13 +39,17 @@ _ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 #: Classifier: costs in favour of boilerplate (negative) or content (positive) for an element or a word of a class name above a block.
-ELEMENT = {"nav": -60, "footer": -60, "aside": -60, "form": -60, "menu": -40, "dialog": -60, "fieldset": -30, "header": -60, "article": 6, "main": 5}
-NAME = re.compile(
-    r"(?P<bad>(?:^|[\s_-])(?:ads?|advert\w*|adbox|adslot|adsense|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookies?|consent|gdpr|notice|alert|nav\w*|menus?|breadcrumbs?|sidebar\w*|side|aside|rail|footer\w*|footnav|masthead|topbar|header|site-header|page-header|comments?|commentlist|respond|replies|disqus|discussion|share|sharing|social\w*|related|recommend\w*|trending|newsletter|subscribe|signup|login|search\w*|widget\w*|toolbar|pagination|pager|tags?|copyright|disclaimer|complementary|contentinfo|navigation|toc|skip\w*)(?=$|[\s_-]))"
-    r"|(?P<good>(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|body|text|articlebody)(?=$|[\s_-]))",
+ELEMENT = {"nav": -10, "footer": -10, "aside": -10, "form": -6, "menu": -8, "dialog": -10, "fieldset": -5, "header": -10, "article": 6, "main": 5}
+#: A bad name is a whole class name: one of the words, with a place before it and a part of a page after it at most (no tag-politics, has-sidebar).
+BAD = re.compile(
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[_-])?"
+    r"(?:ads?|advert\w*|adbox|adslot|adsense|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookies?|consent|gdpr|notice|alert|nav|navbar|navigation|menus?|breadcrumbs?|sidebar\w*|side|aside|rail|footer\w*|footnav|masthead|topbar|header|comments?|commentlist|respond|replies|disqus|discussion|share|sharing|social|related|recommend\w*|trending|newsletter|subscribe|signup|login|search|searchbox|searchform|widgets?|toolbar|pagination|pager|tags?|copyright|disclaimer|complementary|contentinfo|toc|skip)"
+    r"(?:[_-](?:\d+|left|right|top|bottom|main|bar|box|body|content|text|list|links?|wrap|wrapper|container|inner|outer|area|section|block|unit|slot|menu|nav|notice|banner|icons?|buttons?|posts?|items?|form|signup|widgets?|overlay|consent))*"
+    r"|(?:post|entry|article|story)[_-](?:comments?|footer|share|sharing|tags|nav|navigation|related)",
     re.I,
 )
-BAD_NAME, GOOD_NAME = -40, 2
+GOOD = re.compile(r"(?:^|[_-])(?:article\w*|post|entry|story|content|main|body|text|articlebody)(?=$|[_-])", re.I)
+BAD_NAME, GOOD_NAME = -10, 2
 NEIGHBOUR, HOLDER = 3.0, 1.5
 
 
@@ -54,29 +60,29 @@ class Block:
         self.text, self.path, self.linked, self.heading, self.prior = text, path, linked, heading, prior
 
 
-def _prior(name: str, attrs: str, article: bool) -> float:
-    """What an element adds to the cost of the blocks below it."""
+def _prior(above: float, name: str, attrs: str, article: bool) -> float:
+    """What an element and those above it add to the cost of the blocks below: an unlikely element has nothing of what speaks for those above."""
     value = float(ELEMENT.get(name, 0))
     if name == "header" and article:
         value = 0.0  # an article's own header holds its title
     if attrs:
         if _HIDDEN.search(attrs):
-            return -80.0
-        words = " ".join(x for m in _NAMES.findall(attrs) for x in m if x)
+            return min(above, 0.0) - 80.0
+        words = [w for m in _NAMES.findall(attrs) for x in m for w in x.split()]
         if words and name not in ("body", "html"):
-            kinds = {m.lastgroup for m in NAME.finditer(words)}
-            if "bad" in kinds:
+            if any(BAD.fullmatch(w) for w in words):
                 value += BAD_NAME
-            elif "good" in kinds:
+            elif any(GOOD.search(w) for w in words):
                 value += GOOD_NAME
-    return value
+    return (min(above, 0.0) if value < 0 else above) + value
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, each with its path of (element number, element name)."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # name, number, what it adds
+    stack: list[tuple[str, int, float]] = []  # name, number, what it and those above add
     pieces: list[str] = []
+    unclosed: set[str] = set()
     linked = count = at = 0
 
     def flush() -> None:
@@ -86,23 +92,28 @@ def blocks(page: str) -> list[Block]:
         if text:
             path = tuple((n, name) for name, n, _ in stack if name in BLOCKS)
             heading = any(name[0] == "h" and name[1:].isdigit() for name, _, _ in stack)
-            out.append(Block(text, path, linked, heading, sum(v for _, _, v in stack)))
+            out.append(Block(text, path, linked, heading, stack[-1][2] if stack else 0.0))
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
             if any(name == "a" for name, _, _ in stack):
                 linked += len(piece.strip())
         at = m.end()
-        if m["raw"]:
-            if m["raw"].lower() == "title" or stack and stack[-1][0] == "head":
-                flush()
-            continue
-        name = (m["name"] or "").lower()
+        name = (m["raw"] or m["name"] or "").lower()
         if not name:
             continue
+        if m["raw"] or name in _SKIPPED and not m["close"] and not (m["attrs"] or "").endswith("/"):
+            if name == "title" or stack and stack[-1][0] == "head":
+                flush()
+            if not m["raw"] and name not in unclosed:
+                if end := _SKIPPED[name].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(name)
+            continue
         if name == "br":
             pieces.append(" ")
             continue
@@ -133,7 +144,7 @@ def blocks(page: str) -> list[Block]:
                 break
         count += 1
         article = any(x in ("article", "main") for x, _, _ in stack)
-        stack.append((name, count, _prior(name, m["attrs"] or "", article)))
+        stack.append((name, count, _prior(stack[-1][2] if stack else 0.0, name, m["attrs"] or "", article)))
         if m["attrs"] and m["attrs"].endswith("/") and name not in BLOCKS:
             stack.pop()
     pieces.append(page[at:])

@@ -64,6 +64,26 @@ def test_broken_and_large_pages():
     assert mincut_html.main_text("<p " + "'" * 2000) is not None
 
 
+STORY = "<h1>A title of the day</h1>" + "".join(f"<p>Paragraph number {k} has quite some words in it, as a paragraph of a story has. It ends here.</p>" for k in range(4))
+STORY_TEXT = "\n\n".join(["A title of the day", *(f"Paragraph number {k} has quite some words in it, as a paragraph of a story has. It ends here." for k in range(4))])
+
+
+@pytest.mark.parametrize("page", [
+    f'<article class="post-1 post type-post hentry tag-politics">{STORY}</article>', f'<div class="container has-sidebar"><article>{STORY}</article></div>', f'<div class="no-sidebar content">{STORY}</div>',
+    f'<div class="comments-open post">{STORY}</div>', f'<div class="story social-science">{STORY}</div>', f'<div class="right-sidebar"><article class="entry">{STORY}</article></div>',
+    f'<article><header class="entry-header">{STORY}</header></article>', f'<article>{STORY}<aside><p>{prose(5, 30)}.</p></aside></article>', f'<article>{STORY}<div class="related-posts"><p>{prose(6, 30)}.</p></div></article>',
+    f'<div id="content">{STORY}</div><div class="comment-list"><article class="comment-body"><p>{prose(7, 40)}.</p></article></div>', f"<button><article>{STORY}</article>", f"<svg><article>{STORY}</article>",
+])
+def test_names_of_real_pages(page):
+    body = f'<body class="single"><header class="site-header"><a href="/">Home</a></header><nav class="main-nav"><a href="/a">One</a></nav>{page}<footer class="site-footer"><p>About the paper. Write to us.</p></footer></body>'
+    assert mincut_html.main_text(body) == STORY_TEXT
+
+
+def test_formulas_and_objects_are_text():
+    text = mincut_html.main_text("<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is known.</p><object><p>A picture of it is described here.</p></object></article>")
+    assert "a+b is known." in text and "described here" in text
+
+
 def test_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
