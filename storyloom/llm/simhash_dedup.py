@@ -154,7 +154,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tup
     fps = stash(fingerprints(docs.withColumn("_tie", _tie(docs)), id_col, text_col, keep=["_tie"]))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.col("_tie").alias("tie"))).alias("first")
     reps = stash(fps.groupBy("fp").agg(first))
-    groups = components(stash(links(reps.select("fp"))))
+    groups = components(stash(links(reps.select("fp"), radius)))
     named = reps.join(groups, reps["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     best = named.groupBy("component").agg(F.min("first").alias("first"))
     return fps.drop("_tie"), named.select("fp", "component").join(best, "component").select("fp", "component", "first.doc_id", "first.tie")

@@ -453,6 +453,13 @@ def test_chain_over_null_ids(spark, monkeypatch):
     assert rows_of(simhash_dedup.keep_representatives(docs), "doc_id", "text") == sorted([(4, "a"), (None, "d")], key=repr)
 
 
+def test_radius_is_passed_on(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(simhash_dedup, "links", lambda fps, radius=4, **_: asked.append(radius) or spark.createDataFrame([], "a long, b long"))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+    assert simhash_dedup.near_duplicates(docs, radius=1).count() == simhash_dedup.keep_representatives(docs, radius=2).count() == 2 and asked == [1, 2]
+
+
 def test_links_connect_all(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
