@@ -205,7 +205,8 @@ def _matched(a: DataFrame, x: DataFrame) -> DataFrame:
     rows = topic_flags(a, P.DATA_TOPIC).withColumns({"family": family(domain(F.col("url"))), "state": state_of(F.col("title"), L.DATA["states"])})
     rows = rows.withColumn("family", F.col("source_id"))
     linked = x.select("article_id", "story_id")
-    return corroboration_match(rows.where("id % 10 = 0").join(linked.withColumnRenamed("article_id", "id"), "id"), rows, linked)
+    single = linked.groupBy("story_id").agg(F.countDistinct("article_id").alias("n"), F.min("article_id").alias("id")).where("n = 1").select("id", "story_id")
+    return corroboration_match(rows.join(single, "id"), rows, linked)
 
 
 register("corroboration_match", "v_articles v_links", _matched)
