@@ -1,11 +1,14 @@
 """Main text of web pages by minimum cuts.
 
-A page is read into text blocks with the chain of elements above each. A linear classifier over a block's own marks (length, link density,
-sentence ends, elements and class names above it) gives a cost for calling it content and one for calling it boilerplate: the capacities
-of its edges from the source and to the sink. Smoothness edges run between neighbours, stronger the nearer they are in the DOM, and
-between blocks and the elements that hold several of them. The maximum flow's cut is the labelling of least total cost; blocks on the
-source's side are the main text, in page order.
-
+A page is read into text blocks, which hang in its tree of elements. The graph has a node for each block and for each element that speaks
+for or against what it holds. Terminal capacities are the costs of a linear classifier, in log-odds: a block's from its text alone (length,
+link density, sentence ends, heading, likeness to the page's title), an element's from its kind and class names, once for each block that
+hangs on it. Smoothness edges run from blocks to their element, from elements to the one around them, from blocks to the element that holds
+several of them, and between neighbours, the stronger the nearer they are in the tree; an element that speaks against its content is tied
+weakly to what is around it. The maximum flow's cut is the labelling of least total cost: text that reads like prose goes with the advert or
+the comments that hold it, a bare link between paragraphs stays, a teaser among links goes, and an element's bad name yields to long prose.
+
+Costs and edges are of one order, so no kind of evidence decides alone. Reading is linear in the page's length, whatever its depth.
 Every page is a graph of its own, so pages are mapped where they are read; nothing is shuffled.
 """
 
@@ -14,6 +17,8 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
+from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,140 +32,216 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-#: Elements whose content is no text of the page. Unclosed ones end at their tag.
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
+#: Elements whose content is no text of the page. One that is not closed ends at its tag, and so does a button or select around blocks.
 _SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "noscript template svg textarea select title iframe canvas button".split()}
+_INLINE_ONLY = ("button", "select")
+_BLOCK_START = re.compile(rf"<(?:button|select|{'|'.join(sorted(BLOCKS))})[\s/>]", re.I)
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。！？](?=[\s\"'”’)]|$)")
 
-BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-#: A start tag of the first kind ends an open element of the second.
+#: A start tag of the first kind ends an open p.
 _ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
-_SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that a start tag of their own family ends, and the elements beyond which it does not look.
+_FAMILY = {"p": "p", "li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td"}
+_SCOPE = {"td": ("p",), "th": ("p",), "table": ("p", "tr", "td"), "ul": ("li",), "ol": ("li",), "dl": ("dd",), "tr": ("td",)}
 
-#: Classifier: costs in favour of boilerplate (negative) or content (positive) for an element or a word of a class name above a block.
-ELEMENT = {"nav": -10, "footer": -10, "aside": -10, "form": -6, "menu": -8, "dialog": -10, "fieldset": -5, "header": -10, "article": 6, "main": 5}
+#: What an element says for (positive) or against each block that hangs on it, in log-odds.
+ELEMENT = {"nav": -7.5, "footer": -7.5, "aside": -7.5, "menu": -7.5, "dialog": -7.5, "header": -7.5, "form": -6.0, "fieldset": -4.0, "article": 1.0, "main": 1.0}
 #: A bad name is a whole class name: one of the words, with a place before it and a part of a page after it at most (no tag-politics, has-sidebar).
+_PART = r"(?:[_-](?:\d+|left|right|top|bottom|main|bar|box|body|content|text|list|links?|wrap|wrapper|container|inner|outer|area|section|block|unit|slot|menu|nav|notice|banner|icons?|buttons?|posts?|items?|form|signup|widgets?|overlay|consent))*"
 BAD = re.compile(
-    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary)[_-])?"
-    r"(?:ads?|advert\w*|adbox|adslot|adsense|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookies?|consent|gdpr|notice|alert|nav|navbar|navigation|menus?|breadcrumbs?|sidebar\w*|side|aside|rail|footer\w*|footnav|masthead|topbar|header|comments?|commentlist|respond|replies|disqus|discussion|share|sharing|social|related|recommend\w*|trending|newsletter|subscribe|signup|login|search|searchbox|searchform|widgets?|toolbar|pagination|pager|tags?|copyright|disclaimer|complementary|contentinfo|toc|skip)"
-    r"(?:[_-](?:\d+|left|right|top|bottom|main|bar|box|body|content|text|list|links?|wrap|wrapper|container|inner|outer|area|section|block|unit|slot|menu|nav|notice|banner|icons?|buttons?|posts?|items?|form|signup|widgets?|overlay|consent))*"
-    r"|(?:post|entry|article|story)[_-](?:comments?|footer|share|sharing|tags|nav|navigation|related)",
+    r"(?:(?:site|main|global|top|bottom|left|right|primary|secondary)[_-])?"
+    r"(?:ads?|advert\w*|adbox|adslot|adsense|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookies?|consent|gdpr|notice|alert|nav|navbar|navigation|menus?|breadcrumbs?|sidebar\w*|side|aside|rail|footer\w*|footnav|masthead|topbar|header|share|sharing|social|related|recommend\w*|trending|newsletter|subscribe|signup|login|search|searchbox|searchform|widgets?|toolbar|pagination|pager|tags?|copyright|disclaimer|complementary|contentinfo|toc|skip)"
+    + _PART + r"|page[_-](?:footer|nav|navigation|menu|sidebar)|(?:post|entry|article|story)[_-](?:footer|share|sharing|tags|nav|navigation|related)",
     re.I,
 )
+COMMENTS = re.compile(r"(?:(?:post|entry|article|story|reader|user)[_-])?(?:comments?|commentlist|respond|replies|disqus|discussion)" + _PART, re.I)
 GOOD = re.compile(r"(?:^|[_-])(?:article\w*|post|entry|story|content|main|body|text|articlebody)(?=$|[_-])", re.I)
-BAD_NAME, GOOD_NAME = -10, 2
-NEIGHBOUR, HOLDER = 3.0, 1.5
+BAD_NAME, COMMENT_NAME, GOOD_NAME, HIDDEN = -6.0, -8.5, 1.0, -100.0
+#: Edges: from a block to an element that speaks against it or for it, to the one that holds several, and between siblings.
+AGAINST, FOR, HOLDER, NEIGHBOUR = 8.0, 3.0, 1.5, 2.0
+#: What is left of an edge that crosses into an element that speaks against its content.
+CROSSING = 0.2
 
 
+@dataclass(slots=True)
 class Block:
-    __slots__ = ("text", "path", "linked", "heading", "prior")
-
-    def __init__(self, text: str, path: tuple, linked: int, heading: bool, prior: float):
-        self.text, self.path, self.linked, self.heading, self.prior = text, path, linked, heading, prior
-
-
-def _prior(above: float, name: str, attrs: str, article: bool) -> float:
-    """What an element and those above it add to the cost of the blocks below: an unlikely element has nothing of what speaks for those above."""
-    value = float(ELEMENT.get(name, 0))
+    """A text, the element it hangs on, and what its own words say."""
+
+    text: str
+    element: int
+    linked: int
+    heading: str
+    paragraph: bool
+
+
+@dataclass(slots=True)
+class Tree:
+    """Elements by number: parent, depth, evidence by kind and by names, whether an article or main element or a bad name is around.
+
+    Number 0 is the page itself.
+    """
+
+    parent: list[int] = field(default_factory=lambda: [0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    name: list[str] = field(default_factory=lambda: [""])
+    kind: list[float] = field(default_factory=lambda: [0.0])
+    names: list[float] = field(default_factory=lambda: [0.0])
+    article: list[bool] = field(default_factory=lambda: [False])
+    named: list[bool] = field(default_factory=lambda: [False])
+    title: str = ""
+
+    def add(self, parent: int, name: str, attrs: str, article: bool) -> int:
+        kind, names = evidence(name, attrs, article)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.name.append(name)
+        self.kind.append(kind)
+        self.names.append(names)
+        self.article.append(article or name in ("article", "main"))
+        self.named.append(names < 0 or self.named[parent])
+        return len(self.parent) - 1
+
+    def steps(self, a: int, b: int) -> int:
+        """How many steps lead from one element to another."""
+        n = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            n += 1
+        return n
+
+
+def evidence(name: str, attrs: str, article: bool) -> tuple[float, float]:
+    """What an element says by its kind, and by its names, which may be wrong."""
+    kind, names = ELEMENT.get(name, 0.0), 0.0
     if name == "header" and article:
-        value = 0.0  # an article's own header holds its title
+        kind = 0.0  # an article's own header holds its title
+    if name == "form":
+        kind, names = 0.0, kind  # some pages are one form
     if attrs:
         if _HIDDEN.search(attrs):
-            return min(above, 0.0) - 80.0
+            return HIDDEN, 0.0
         words = [w for m in _NAMES.findall(attrs) for x in m for w in x.split()]
         if words and name not in ("body", "html"):
+            if any(COMMENTS.fullmatch(w) for w in words):
+                return min(kind, 0.0) + COMMENT_NAME, names
             if any(BAD.fullmatch(w) for w in words):
-                value += BAD_NAME
-            elif any(GOOD.search(w) for w in words):
-                value += GOOD_NAME
-    return (min(above, 0.0) if value < 0 else above) + value
+                return min(kind, 0.0), names + BAD_NAME
+            if any(GOOD.search(w) for w in words):
+                kind += GOOD_NAME
+    return kind, names
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element: its number in the tree, the stack's places of open p, li, dd, tr and td in scope, and what else is asked of it."""
+
+    name: str
+    element: int
+    scope: dict[str, int]
+    block: int
+    heading: str
+    paragraph: bool
+    article: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, each with its path of (element number, element name)."""
+def read(page: str) -> tuple[list[Block], Tree]:
+    """The page's text blocks in order, and its tree of elements. The head's text is none of them."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float]] = []  # name, number, what it and those above add
+    tree = Tree()
+    root = _Open("", 0, {}, -1, "", False, False)
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}
     pieces: list[str] = []
     unclosed: set[str] = set()
-    linked = count = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
-        pieces.clear()
-        if text:
-            path = tuple((n, name) for name, n, _ in stack if name in BLOCKS)
-            heading = any(name[0] == "h" and name[1:].isdigit() for name, _, _ in stack)
-            out.append(Block(text, path, linked, heading, stack[-1][2] if stack else 0.0))
+        if pieces:
+            text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+            pieces.clear()
+            if text and not places.get("head"):
+                top = stack[-1] if stack else root
+                out.append(Block(text, top.element, linked, top.heading, top.paragraph))
         linked = 0
 
+    def shut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().name].pop()
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
-            if any(name == "a" for name, _, _ in stack):
+            if places.get("a"):
                 linked += len(piece.strip())
         at = m.end()
         name = (m["raw"] or m["name"] or "").lower()
-        if not name:
+        if not name or m["raw"]:
             continue
-        if m["raw"] or name in _SKIPPED and not m["close"] and not (m["attrs"] or "").endswith("/"):
-            if name == "title" or stack and stack[-1][0] == "head":
-                flush()
-            if not m["raw"] and name not in unclosed:
-                if end := _SKIPPED[name].search(page, at):
-                    at = end.end()
-                else:
-                    unclosed.add(name)
+        attrs = m["attrs"] or ""
+        if name in _SKIPPED and not m["close"] and not attrs.endswith("/"):
+            end = None if name in unclosed else _SKIPPED[name].search(page, at)
+            if end is None:
+                unclosed.add(name)
+            elif name not in _INLINE_ONLY or not _BLOCK_START.search(page, at, end.start()):
+                if name == "title" and not tree.title:
+                    tree.title = _SPACE.sub(" ", html.unescape(page[at : end.start()])).strip().casefold()
+                at = end.end()
             continue
         if name == "br":
             pieces.append(" ")
             continue
-        if name in BLOCKS:
+        if name in BLOCKS or name == "head":
             flush()
         if m["close"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCKS and stack[k][0] in BLOCKS:
-                    break  # an inline end tag closes nothing beyond its block
+            k = places[name][-1] if places.get(name) else -1
+            if k >= 0 and (name in BLOCKS or stack[-1].block <= k):  # an inline end tag closes nothing beyond its block
+                shut(k)
             continue
-        if name in VOID:
+        if name in VOID or name not in BLOCKS and attrs.endswith("/"):
             continue
-        if name in _ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("td", "th", "button", "table"):
-                    break
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in _SIBLINGS.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                break
-        count += 1
-        article = any(x in ("article", "main") for x, _, _ in stack)
-        stack.append((name, count, _prior(stack[-1][2] if stack else 0.0, name, m["attrs"] or "", article)))
-        if m["attrs"] and m["attrs"].endswith("/") and name not in BLOCKS:
-            stack.pop()
+        if name in BLOCKS and (k := places["head"][-1] if places.get("head") else -1) >= 0:
+            shut(k)  # the head ends where the body's elements begin
+        if name in _ENDS_P and stack and (k := stack[-1].scope.get("p", -1)) >= 0:
+            shut(k)
+        family = _FAMILY.get(name)
+        if family and family != "p" and stack and (k := stack[-1].scope.get(family, -1)) >= 0:
+            shut(k)
+        above = stack[-1] if stack else root
+        here = len(stack)
+        scope = above.scope
+        if name in _SCOPE and any(x in scope for x in _SCOPE[name]):
+            scope = {x: k for x, k in scope.items() if x not in _SCOPE[name]}
+        if family:
+            scope = {**scope, family: here}
+        block = name in BLOCKS
+        stack.append(_Open(
+            name, tree.add(above.element, name, attrs, above.article) if block else above.element, scope, here if block else above.block,
+            name if name[0] == "h" and name[1:].isdigit() else above.heading, above.paragraph or name == "p", above.article or name in ("article", "main"),
+        ))
+        places.setdefault(name, []).append(here)
     pieces.append(page[at:])
     flush()
-    return out
+    return out, tree
 
 
-def cost(block: Block) -> float:
-    """The classifier: positive for content, by so much."""
+def cost(block: Block, title: str = "") -> float:
+    """What a block's own text says: positive for content, by so much."""
     n = len(block.text)
-    density = min(1.0, block.linked / n)
-    value = block.prior + 0.2 + min(4.0, n / 60) + min(2.0, 0.7 * len(_SENTENCE.findall(block.text[-400:]))) - 7.0 * density
-    if block.heading or any(name == "p" for _, name in block.path):
-        value += 0.8
+    value = min(3.0, n / 50) + min(2.5, max(0.0, (n - 300) / 400)) - 5.0 * min(1.0, block.linked / n)
+    value += 0.75 * sum(1 for _ in islice(_SENTENCE.finditer(block.text), 2))
+    if block.heading or block.paragraph:
+        value += 0.5
+    if block.heading and len(title) > 2 and (block.text.casefold() in title or title in block.text.casefold()):
+        value += 2.5
     if "©" in block.text[:40]:
-        value -= 4.0
+        value -= 3.0
     return value
 
 
@@ -226,40 +307,86 @@ def cut(n: int, source: list[float], sink: list[float], edges: list[tuple[int, i
                 v = to[path.pop() ^ 1]
 
 
-def label(found: list[Block]) -> list[bool]:
-    """Which blocks are content."""
+_LEAVES = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def label(found: list[Block], tree: Tree, by_name: bool = True) -> list[bool]:
+    """Which blocks are content. Without by_name, what elements say by their names does not count."""
     n = len(found)
-    costs = [cost(b) for b in found]
+    total = [tree.kind[e] + tree.names[e] * by_name for e in range(len(tree.parent))]
+    zone = [0] * len(total)  # the nearest element with evidence, from each element on
+    for e in range(1, len(total)):
+        zone[e] = e if total[e] else zone[tree.parent[e]]
+    zones = [zone[b.element] for b in found]
+    node: dict[int, int] = {}
+    hanging: dict[int, int] = {}
+    for z in zones:
+        while z and z not in node:  # the elements with evidence around a block
+            node[z] = n + len(node)
+            z = zone[tree.parent[z]]
+    for z in zones:
+        hanging[z] = hanging.get(z, 0) + 1
     edges: list[tuple[int, int, float]] = []
-    holders: dict[int, int] = {}
-    size = n
-    for k in range(1, n):
-        a, b = found[k - 1].path, found[k].path
-        common = sum(1 for x, y in zip(a, b) if x == y)
-        steps = len(a) + len(b) - 2 * common
-        edges.append((k - 1, k, NEIGHBOUR / (1 + steps)))
+    costs = [cost(b, tree.title) for b in found] + [0.0] * len(node)
+    for k, z in enumerate(zones):
+        if z:
+            edges.append((k, node[z], 1e6 if total[z] <= HIDDEN / 2 else AGAINST if total[z] < 0 else FOR))
+    below = dict(hanging)
+    for z in sorted(node, reverse=True):  # inner ones have the larger numbers
+        m = below.get(z, 0)
+        costs[node[z]] += total[z] * hanging.get(z, 0)
+        outer = zone[tree.parent[z]]
+        if outer:
+            below[outer] = below.get(outer, 0) + (m if total[z] > 0 else 0)
+            strong = total[outer] < 0 < total[z]
+            if strong:
+                costs[node[outer]] += total[outer] * m  # it speaks against these as well
+            edges.append((node[z], node[outer], AGAINST * m if strong else HOLDER if total[z] > 0 else HOLDER * CROSSING))
     held: dict[int, list[int]] = {}
     for k, b in enumerate(found):
-        if len(b.path) > 1:
-            held.setdefault(b.path[-2][0] if b.path[-1][1] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else b.path[-1][0], []).append(k)
+        held.setdefault(tree.parent[b.element] if tree.name[b.element] in _LEAVES else b.element, []).append(k)
+        if k:
+            a = found[k - 1]
+            near = NEIGHBOUR / (1 + max(0, tree.steps(a.element, b.element) - 2))
+            edges.append((k - 1, k, near if zones[k - 1] == zones[k] else near * CROSSING))
+    size = n + len(node)
     for holder, members in held.items():
-        if len(members) > 1:
-            holders[holder] = size
-            edges += [(k, size, HOLDER) for k in members]
+        if holder and len(members) > 1:
+            around = zone[holder]
+            edges += [(k, size, HOLDER if zones[k] == around else HOLDER * CROSSING) for k in members]
+            costs.append(0.0)
             size += 1
-    source = [max(0.0, c) for c in costs] + [0.0] * (size - n)
-    sink = [max(0.0, -c) for c in costs] + [0.0] * (size - n)
-    return cut(size, source, sink, edges)[:n]
+    return cut(size, [max(0.0, c) for c in costs], [max(0.0, -c) for c in costs], edges)[:n]
+
+
+def content(page: str | None) -> list[str]:
+    """The page's content blocks in order.
+
+    Names are not believed where they leave next to nothing of a page's prose and no article or main element holds what they leave.
+    """
+    found, tree = read(page or "")
+    keep = label(found, tree)
+    if any(tree.names):
+        left = [b for b, k in zip(found, keep) if k]
+        sure = any(tree.article[b.element] for b in left)
+        prose = sum(len(b.text) for b in found if tree.named[b.element] and cost(b) > 0)
+        size = sum(len(b.text) for b in left)
+        if not sure and (not left or prose >= max(200, 6 * size)):
+            keep = label(found, tree, by_name=False)
+    return [b.text for b, k in zip(found, keep) if k]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: content blocks joined by a blank line; empty for null, empty or textless pages."""
-    found = [b for b in blocks(page or "") if not any(name == "head" for _, name in b.path)]
-    return "\n\n".join(b.text for b, keep in zip(found, label(found)) if keep)
+    return "\n\n".join(content(page))
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages without the html and with text and n_chars (code points), which replace columns of those names."""
+    """pages without the html and with text and n_chars (code points), which replace columns of those names.
+
+    Null, empty and textless pages have an empty text. Repeated rows are read each, null ids and urls stay, no page is too long or too deep,
+    and an empty table gives an empty result.
+    """
     kept = pages.select(*(c for c in pages.columns if c not in ("text", "n_chars") or c == html_col))
 
     @F.pandas_udf("string")

@@ -1,6 +1,7 @@
 """The ten operators on awkward rows, against plain versions and exact round trips."""
 
 import hashlib
+import html
 import random
 import re
 from collections import Counter, defaultdict
@@ -84,6 +85,57 @@ def test_formulas_and_objects_are_text():
     assert "a+b is known." in text and "described here" in text
 
 
+PROSE = "<p>This is a paragraph of the story with words enough to be prose. It goes on for a while.</p>"
+RAIL = "<div><a href=1>The first link of this list</a><p>A teaser in the rail.</p><a href=2>The second link of it</a><a href=3>A third link again</a></div>"
+
+
+def own(page):
+    found, tree = mincut_html.read(page)
+    return [(b.text[:6], mincut_html.cost(b, tree.title) > 0, keep) for b, keep in zip(found, mincut_html.label(found, tree))]
+
+
+def test_cut_overrules_a_blocks_own_cost():
+    page = f"<article>{PROSE}<p><a href=x>Read the full report</a></p>{PROSE}<div class=ad>Buy this now. It is cheap.</div>{PROSE}</article>{RAIL}"
+    got = {text: (alone, keep) for text, alone, keep in own(page)}
+    assert got["Read t"] == (False, True)  # a bare link between paragraphs
+    assert got["Buy th"] == (True, False) and got["A teas"] == (True, False)  # prose in an advert, prose among links
+    assert got["This i"] == (True, True) and got["The fi"] == (False, False)
+
+
+def test_cut_changes_labels_on_the_tables():
+    pages = pd.read_parquet("/root/testdata/sf0.001/pages.parquet")["html"]
+    labels = [x for p in pages for x in own(p)]
+    flipped = sum(alone != keep for _, alone, keep in labels)
+    assert 0.01 * len(labels) < flipped < 0.2 * len(labels)
+    for p in pages:
+        body = re.search(r"<article>(.*?)</article>", p, re.S)[1]
+        want = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
+        assert mincut_html.main_text(p) == "\n\n".join(x for x in want if x)
+
+
+@pytest.mark.parametrize("wrapper", ['<main class="has-sidebar">', '<div class="alert-story">', '<div class="wp-block-group search-results-story">', '<div class="promo-free related">', '<div class="related">', "<form id=f>", '<div class="post-header">', '<div class="page-header">'])
+def test_a_name_alone_does_not_empty_a_page(wrapper):
+    page = f"<title>A title of the day - Paper</title><nav><a href=x>Home</a></nav>{wrapper}<h1>A title of the day</h1>{PROSE * 3}</div></form></main><footer><p>All rights reserved.</p></footer>"
+    assert len(mincut_html.content(page)) == 4
+
+
+def test_unclosed_elements_lose_nothing():
+    for name in ("button", "select", "object", "canvas", "svg", "noscript", "iframe", "textarea", "math"):
+        assert len(mincut_html.content(f"<article>{PROSE}<{name}>{PROSE}</article>{PROSE}")) == 3
+    assert len(mincut_html.content(f"<article>{PROSE}<button>Go{PROSE}</article><button>x</button>")) == 3
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert mincut_html.main_text("<div>" * 20_000 + "x y z") == "x y z"
+    assert time.perf_counter() - began < 2
+    mincut_html.main_text("<div class=ad>some text. " * 20_000 + PROSE)
+    mincut_html.main_text((PROSE + "<ul><li><a href=x>a link here</a></ul>") * 20_000)
+    assert time.perf_counter() - began < 30
+
+
 def test_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
@@ -96,8 +148,10 @@ def test_cut_is_minimal():
 
 
 def test_pages_table(spark):
-    pages = spark.createDataFrame([(1, "u", PAGE, "clash", 5), (2, None, None, None, None)], "page_id int, url string, html string, text string, n_chars long")
-    got = {r["page_id"]: r for r in mincut_html.extracted(pages).collect()}
+    pages = spark.createDataFrame([(1, "u", PAGE, "clash", 5), (2, None, None, None, None), (1, "u", PAGE, "clash", 5), (None, "u", "<p>A text.", None, None)], "page_id int, url string, html string, text string, n_chars long")
+    rows = mincut_html.extracted(pages).collect()
+    got = {r["page_id"]: r for r in rows}
+    assert len(rows) == 4 and got[None]["text"] == "A text." and len({r["text"] for r in rows if r["page_id"] == 1}) == 1
     assert got[2]["text"] == "" and got[2]["n_chars"] == 0 and got[1]["n_chars"] == len(got[1]["text"]) and "html" not in got[1].asDict()
     assert mincut_html.extracted(pages.limit(0)).collect() == []
 
