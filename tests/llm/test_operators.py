@@ -374,6 +374,58 @@ def test_texts_of_one_id_are_told_apart(spark):
     assert {prose(92, 100), prose(94, 100)} <= {r["text"] for r in got} and all(r["first_ids"] == [1] for r in got if r["n_removed_words"])
 
 
+def plain_dedup(rows, min_words=20):
+    """What substring dedup has to do, window by window over the operator's own chunks, one text after the other."""
+    import pyarrow as pa
+
+    def pieces(text):
+        begin, end, _, n, *_ = substring_dedup.chunks(pa.RecordBatch.from_arrays([pa.array([text or ""])], names=["t"]), 0)
+        raw = (text or "").encode()
+        return [(raw[a:b].decode(), k) for a, b, k in zip(begin.tolist(), end.tolist(), n.tolist())]
+
+    def stretches(cut):
+        enough = lambda a, b: sum(k for _, k in cut[a:b]) >= min_words
+        ends = [next((b for b in range(a + 1, len(cut) + 1) if enough(a, b)), None) for a in range(len(cut))]
+        starts = [next((a for a in range(b - 1, -1, -1) if enough(a, b)), None) for b in range(1, len(cut) + 1)]
+        for a, b in {(a, b) for a, b in enumerate(ends) if b} | {(a, b) for b, a in enumerate(starts, 1) if a is not None}:
+            yield a, b, " | ".join(" ".join(x.split()) for x, _ in cut[a:b])
+
+    order = sorted({(r[0] is None, r[0] if r[0] is not None else 0, r[1]) for r in rows if r[1]}, key=lambda r: (r[0], r[1]))
+    seen, out = {}, {}
+    for missing, i, text in order:
+        cut = pieces(text)
+        gone = {k for a, b, w in stretches(cut) if w in seen for k in range(a, b)}
+        for _, _, w in stretches(cut):
+            seen.setdefault(w, text)
+        out[None if missing else i, text] = "".join(x for k, (x, _) in enumerate(cut) if k not in gone)
+    return sorted(((r[0], out.get((r[0], r[1]), r[1])) for r in rows), key=repr)
+
+
+def test_dedup_against_a_plain_version(spark, docs):
+    rng = random.Random(21)
+    shared = [prose(200 + k, 60) for k in range(3)] + ["of " * 55, "a b c " * 20]
+    rows = [(r[0], r[1]) for r in ROWS] + [(100 + k, " ".join(x for _ in range(3) for x in (prose(rng.randrange(10**6), 30), rng.choice(shared)))) for k in range(12)]
+    rows += [(200, prose(202, 60).replace(" ", "\n")), (201, None), (None, prose(201, 60)), (None, "")]
+    rows = [r for r in rows if r[0] is not None or r[1] != prose(9, 50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(substring_dedup.deduplicated(table), "doc_id", "text") == plain_dedup(rows)
+    words = spark.createDataFrame([(None if i is None else f"d{i:04}", t, "x") for i, t in rows], "doc_id string, text string, first_ids string").repartition(3)
+    got = substring_dedup.deduplicated(words)
+    assert rows_of(got, "doc_id", "text") == plain_dedup([(None if i is None else f"d{i:04}", t) for i, t in rows]) and got.schema["first_ids"].dataType.simpleString() == "array<string>"
+
+
+@pytest.mark.parametrize("passage", ["Of " * 60, "ha ho " * 30, "one two three " * 20, prose(77, 51), "ein und zwei, " * 18])
+def test_passages_of_few_words_go(spark, passage):
+    rows = [(1, prose(301, 80) + " " + passage + prose(302, 50)), (2, prose(303, 45) + "\n" + passage + prose(304, 50)), (3, prose(305, 100)), (4, passage + passage)]
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed_words"] == 0 == got[3]["n_removed_words"] and got[2]["n_removed_words"] >= 20 and got[4]["n_removed_words"] >= 40 and got[2]["first_ids"] == [1]
+
+
+def test_repeats_inside_one_text_stay(spark):
+    text = " ".join([prose(401, 60)] * 3)
+    assert [r["text"] for r in substring_dedup.deduplicated(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [text]
+
+
 def test_nothing_repeats(nothing):
     assert substring_dedup.deduplicated(nothing).collect() == []
 
