@@ -477,23 +477,68 @@ TALK = [
 ]
 
 
+MESSAGE_KINDS = {"conv_id": "bigint", "turn": "bigint", "role": "varchar", "text": "varchar"}
+
+
+def same_as_sql(got, rows):
+    talk = pd.DataFrame(rows, columns=list(MESSAGE_KINDS)).astype({"conv_id": "Int64", "turn": "Int64"})
+    want = duck_rows(quote_links.OP8_SQL, conversations=(talk, MESSAGE_KINDS))
+    plain = lambda x: None if x is None or pd.isna(x) else (int(x) if not isinstance(x, str) else x)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got, *want.columns) == sorted((tuple(map(plain, r)) for r in want.itertuples(index=False)), key=repr)
+
+
 def test_quotes(spark):
     rows = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").withColumn("own", F.lit("clash")).withColumn("units", F.lit(1))
-    got = quote_links.linked_conversations(rows)
+    got = quote_links.conversations(rows)
     by = {(r["conv_id"], r["turn"]): r for r in got.collect()}
     assert (by[1, 1]["reply_to"], by[1, 2]["reply_to"], by[1, 3]["reply_to"], by[1, 4]["reply_to"], by[1, 5]["reply_to"]) == (0, 0, 1, None, 2)
     assert by[1, 3]["text"] == "Repairs." and by[1, 3]["thread"] == 0 and by[1, 3]["depth"] == 2 and by[1, 2]["text"] == "The ferry is full." and by[3, 1]["reply_to"] is None
-    talk = pd.DataFrame(TALK, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
-    want = duck_rows(quote_links.OP8_SQL, conversations=(talk, {"conv_id": "bigint", "turn": "bigint", "role": "varchar", "text": "varchar"}))
-    plain = lambda x: None if x is None or pd.isna(x) else (int(x) if not isinstance(x, str) else x)
-    assert rows_of(got, *want.columns) == sorted((tuple(map(plain, r)) for r in want.itertuples(index=False)), key=repr)
-    assert quote_links.linked_conversations(rows.limit(0)).collect() == []
+    assert [by[1, k]["position"] for k in (0, 1, 3, 2, 5)] == [0, 1, 2, 3, 4]  # the answer to an answer stands before the next answer
+    assert by[1, 0]["conversation"].startswith("<|ann|>\nHello all,") and by[1, 0]["conversation"].count("<|") == 6 and by[1, 1]["conversation"] is None
+    same_as_sql(got, TALK)
+    assert quote_links.conversations(rows.limit(0)).collect() == []
+
+
+def test_odd_characters_and_long_attributions_stay(spark):
+    rows = [(1, 0, "a", "one\x01two\x02 three\x03.\rnext\r\nlast"), (1, 1, "b", "On Monday, " + "a long name " * 60 + "wrote:\n> one\x01two\x02 three\x03.\nyes"), (1, 2, "c", "> next\n> last\n\x0b\n")]
+    got = quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    by = {r["turn"]: r for r in got.collect()}
+    assert by[0]["text"] == "one\x01two\x02 three\x03.\nnext\nlast" and by[1]["text"] == "yes" and by[1]["reply_to"] == by[2]["reply_to"] == 0
+    same_as_sql(got, rows)
+
+
+def many_messages(n, convs, seed):
+    """Messages that quote earlier ones of their conversation; a third of all are in one, and half of those answer its first one."""
+    rng = random.Random(seed)
+    said, rows = defaultdict(list), []
+    for k in range(n):
+        c = 0 if rng.random() < 0.33 else rng.randrange(1, convs)
+        t = len(said[c])
+        own = f"message {k} says {rng.randrange(n)}.\n\nAnd {prose(k, 6)} {k}."
+        text = own
+        if t and rng.random() < 0.8:
+            to = 0 if c == 0 and rng.random() < 0.5 else rng.randrange(max(0, t - 30), t)
+            text = (f"x{to} wrote:\n" if rng.random() < 0.5 else "") + "\n".join("> " + line for line in said[c][to].split("\n")[: rng.choice((1, 3))]) + "\n" + own
+        said[c].append(own)
+        rows.append((c, t, f"r{k % 5}", text))
+    return rows
+
+
+def test_reply_order_of_many_messages(spark):
+    rows = many_messages(4000, 60, 5)
+    got = quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    assert got.where("reply_to is not null").count() > 2000
+    same_as_sql(got, rows)
+    linked = quote_links.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    parts = {(r["conv_id"], r["thread"], r["part"]): r for r in quote_links.formatted_threads(linked, 7).collect()}
+    assert max(r["n_messages"] for r in parts.values()) == 7 and sum(r["n_messages"] for r in parts.values()) == 4000
 
 
 def test_long_thread(spark):
     rows = [(1, k, "r", (f"> line number {k - 1}\n" if k else "") + f"line number {k}") for k in range(70)]
-    got = {r["turn"]: (r["thread"], r["depth"]) for r in quote_links.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {k: (0, k) for k in range(70)}
+    got = {r["turn"]: (r["thread"], r["depth"], r["position"]) for r in quote_links.linked_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {k: (0, k, k) for k in range(70)}
 
 
 # --- 9 ---
