@@ -237,6 +237,33 @@ def test_bad_host_goes(spark):
     assert not any(got[1000 + k] for k in range(200)) and got[2000] and all(got[k] for k in range(700) if k % 10)
 
 
+def differing_hosts():
+    """A host for each rule that nearly all of its documents fail, plain ones, a tiny one, and a third of all rows in one."""
+    kinds = {
+        "short": lambda k: "too short " + prose(k, 4), "again": lambda k: "the same few words over and over again here " * 6, "signs": lambda k: " ".join(w + "##" for w in prose(k, 40).split()),
+        "lines": lambda k: ("a line of the page\n" + prose(k, 12) + "\n") * 3 + prose(k + 1, 60), "plain": lambda k: prose(k, 50), "hot": lambda k: prose(k, 50),
+    }
+    rng, rows = random.Random(9), []
+    for k in range(1500):
+        host = "hot" if k % 3 == 0 else rng.choice([x for x in kinds if x != "hot"])
+        kind = host if rng.random() < 0.9 else "plain"
+        rows.append((k, kinds[kind](k), None, host + str(k % 2) if host != "hot" else host))
+    return [*rows, (5000, prose(1, 50), None, "tiny"), (5001, "word", None, "tiny"), (5002, prose(2, 50), None, None)]
+
+
+def test_hosts_that_differ_against_sql(spark):
+    rows = differing_hosts()
+    got = host_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)).withColumn("host_rate", F.round("host_rate", 6))
+    frame = pd.DataFrame([(*r, 0) for r in rows], columns=list(DOC_KINDS)).astype({"doc_id": "Int64"})
+    want = duck_rows(host_rules.OP3_SQL, documents=(frame, DOC_KINDS))
+    columns = ["doc_id", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_rule"]
+    assert rows_of(got, *columns) == sorted((tuple(x if isinstance(x, (str, bool)) else float(x) if c == "host_rate" else int(x) if c != "base_failed" and c != "kept" else bool(x) for c, x in zip(columns, r)) for r in want[columns].itertuples(index=False)), key=repr)
+    gone = {r["host"]: r["host_rule"] for r in got.where("not base_failed and not kept").collect()}
+    assert set(gone) == {f"{x}{k}" for x in ("short", "again", "signs", "lines") for k in (0, 1)} and len(set(gone.values())) > 1
+    rates = {(r["host"], r["rule"]): r["rate"] for r in host_rules.rule_rates(host_rules.with_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id", "text", "source")).collect()}
+    assert rates["signs0", "symbols"] > 0.8 and rates["plain0", "symbols"] < 0.1 and 0.1 < rates["tiny", "few_words"] < 0.5
+
+
 def test_salted_host_join_is_the_same(docs, monkeypatch):
     want = rows_of(host_rules.judged(docs), "doc_id", "kept")
     monkeypatch.setattr(host_rules, "BROADCAST_HOSTS", 0)
