@@ -27,23 +27,47 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a new temporary one, in local mode only."""
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base
 
 
+#: Folders that stash() has written in this application and drop_stashes() has not taken away.
+_STASHED: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read back: it cuts lineage and outlives lost executors."""
+    """df, written once to the shared folder and read back: it cuts lineage and outlives lost executors. See drop_stashes()."""
     path = f"{shared_dir(df.sparkSession)}/stash/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stashes(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> int:
+    """Deletes what stash() has written so far, but for what `keep` reads; their number. Call it when results that read them are written."""
+    kept = {name.rsplit("/", 1)[0].split("/stash/")[-1] for df in keep for name in df.inputFiles()}
+    gone = [path for path in _STASHED if path.split("/stash/")[-1] not in kept]
+    for path in gone:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _STASHED.remove(path)
+    return len(gone)
+
+
+def parts_of(df: DataFrame, size: int = 256 << 20) -> int:
+    """Partitions for a shuffle of df: the session's setting, or more if Spark's estimate of its bytes asks for it."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, -(-estimate // size)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
