@@ -70,15 +70,16 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, stats array<double>) for each row."""
+    """(doc_id, tie, stats array<double>) for each row; tie is a hash of the text."""
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = pa.array([statistics(x.as_py()) for x in batch.column(1)], type=pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), stats], names=["doc_id", "stats"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), stats], names=["doc_id", "tie", "stats"])
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(worker, schema)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("tie", T.LongType()), T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie")).mapInArrow(worker, schema)
 
 
 @dataclass(frozen=True)
@@ -156,28 +157,34 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     return fit(x, rows["quality"].to_numpy(dtype=float))
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs; labels has (doc_id, quality 0/1).
-
-    Null and empty texts are scored like any other, repeated rows each on their own; without labels every score is 1.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tie, score) for each row."""
     stats = stash(with_statistics(docs, id_col, text_col))
     trees = train(stats, labels)
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(x))], names=["doc_id", "score"])
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees.score(x))], names=["doc_id", "tie", "score"])
+
+    return stats.mapInArrow(worker, T.StructType([stats.schema["doc_id"], stats.schema["tie"], T.StructField("score", T.DoubleType())]))
 
-    schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    out = stats.mapInArrow(worker, schema)
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of docs; labels has (doc_id, quality 0/1).
+
+    Null and empty texts are scored like any other, texts of any length by all of their words, repeated rows each on their own; rows with
+    one score are alike. Other columns are left out, an empty table gives an empty result, and without labels every score is 1.
+    """
+    out = _scored(docs, labels, id_col, text_col)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the classifier rejects, with all columns. A repeated id stays if any of its rows is good."""
-    good = scored(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(good["_good_id"]), "left_semi")
+    """docs without the rows that the classifier rejects, with all columns. Rows of one id, or of none, are told apart by their texts."""
+    good = _scored(docs, labels, id_col, text_col).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_good_id"), F.col("tie").alias("_good_tie")).distinct()
+    rows = docs.withColumn("_tie", F.xxhash64(F.col(text_col).cast("string")))
+    return rows.join(good, (rows["_tie"] == good["_good_tie"]) & rows[id_col].eqNullSafe(good["_good_id"]), "left_semi").drop("_tie")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
