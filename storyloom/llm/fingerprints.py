@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.llm.common import MOST_OF_KEY, by_key, documents, runs, stash
+from storyloom.llm.common import MOST_OF_KEY, by_key, documents, parts_of, runs, stash
 
 BITS, TERM_WORDS, RADIUS = 128, 3, 4
 _BLOCK = 1 << 15
@@ -70,11 +70,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     Ids are dealt to ranges by approximate quantiles; the largest id of each range is then taken exactly, one small row a range, and
     that document goes to the range before as well. Texts are shuffled once and read in order; a task holds two of them at a time.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or parts_of(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
-    ranges = 4 * parts if parts > 1 else 1  # several to a task, so that tasks get alike shares
+    ranges = 4 * parts if 1 < parts <= 10_000 else parts  # several to a task, so that tasks get alike shares
     cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else None
     cuts = np.array(sorted(set(cuts or ())), dtype=np.int64)
 
@@ -179,7 +178,11 @@ def neighbours(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, most: i
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract columns, and n_near for the query rows (ids divisible by 20): rows of all documents within RADIUS bits, itself included."""
+    """Contract columns, and n_near for the query rows (ids divisible by 20): rows of all documents within RADIUS bits, itself included.
+
+    Null texts count as empty, texts of one id, or of none, follow each other by text (null ids last), repeated rows each have the next one
+    after them, a text of any length is read whole. Other columns are left out; an empty table gives an empty result.
+    """
     pairs = with_next(documents(spark, sf_dir))
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
