@@ -234,7 +234,8 @@ def encoded(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, type=pa.binary())], names=["digest", "chunk", "ids"])
 
     # Two chunks of one digest are told apart by their text: the one that is not in this table is encoded in place.
-    once = occurrences.join(shared, "digest", "left_semi").groupBy("digest").agg(F.min("chunk").alias("chunk"))
+    # Occurrences are reduced in their own tasks first, so a chunk that all texts hold is a few rows when it is joined.
+    once = occurrences.groupBy("digest").agg(F.min("chunk").alias("chunk")).join(shared, "digest", "left_semi")
     once = stash(once.mapInArrow(encode_chunks, "digest long, chunk string, ids binary"))
     ready = occurrences.select("key", "digest").distinct().join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("ready"))
 
