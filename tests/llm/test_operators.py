@@ -203,6 +203,21 @@ def test_poisson_large_rate(spark):
     assert abs(poisson_mix.mixed(rows, weights).count() - 3001) < 300
 
 
+def test_poisson_large_rates_against_sql(spark, monkeypatch):
+    monkeypatch.setattr(poisson_mix, "MOST", 2)
+    rows = [(k, "x" * (4000 if k % 10 else 3), "en", "big" if k % 10 else "small", 0) for k in range(200)]
+    got = poisson_mix.mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), temperature=0.1)
+    sql = poisson_mix.OP2_SQL.replace("pow(n, 0.7)", "pow(n, 0.1)").replace("rate / 16", "rate / 2")
+    want = duck_rows(sql, documents=(pd.DataFrame(rows, columns=list(DOC_KINDS)), DOC_KINDS))
+    assert len(want) > 3000 and rows_of(got, "doc_id", "copy", "shuffle_key") == sorted(((int(a), int(b), int(c)) for a, b, c in zip(want["doc_id"], want["copy"], want["shuffle_key"])), key=repr)
+
+
+def test_poisson_of_a_very_large_mean(spark):
+    rows = spark.createDataFrame([(k, "x" * (1 if k else 200_000), "a" if not k else "b") for k in range(3)], "doc_id long, text string, source string")
+    n = poisson_mix.mixed(rows, spark.createDataFrame([("b", 1.0)], "source string, weight double")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in n} == {1, 2} and all(abs(r["count"] / 100_001 - 1) < 0.02 for r in n)
+
+
 def test_nothing_to_mix(nothing):
     assert poisson_mix.mixed(nothing).collect() == []
 
@@ -292,6 +307,32 @@ def test_likeness():
     assert fingerprints.likeness(fa, fc) > fingerprints.likeness(fa, fb)
 
 
+def test_fingerprint_against_a_plain_version():
+    for text in [ROWS[k][1] for k in (1, 3, 4, 9, 10, 11, 13)] + ["a b", "a b c", "a b c d a b c"]:
+        words = text.split(" ") if "\n" not in text else text.split()
+        words = [w for w in words if w]
+        terms = Counter(" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))) if words else Counter()
+        votes = [0.0] * 128
+        for term, n in terms.items():
+            bits = f"{xxhash.xxh3_128_intdigest(term.encode()):0128b}"
+            votes = [v + (1 + np.log(n)) * (1 if b == "1" else -1) for v, b in zip(votes, bits)]
+        got = f"{int.from_bytes(fingerprints.fingerprint(text), 'big'):0128b}"
+        assert all(g == str(int(v > 0)) for g, v in zip(got, votes) if abs(v) > 1e-3)
+
+
+def test_edited_texts(spark, tmp_path):
+    rows = [(r[0], r[1]) for r in ROWS if r[0] is not None and r[0] != 17]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [t or "" for _, t in sorted(rows, key=lambda r: -r[0])]
+    got = {r["doc_id"]: r for r in fingerprints.op4_document_fingerprints(spark, f"file://{tmp_path}").collect()}
+    for (d, _), text, after in zip(sorted(rows, key=lambda r: -r[0]), texts, texts[1:] + texts[:1]):
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        own, changed, following = (fingerprints.fingerprint(x) for x in (text, edited, after))
+        want = (len(text), hashlib.sha256(edited.encode()).hexdigest(), own.hex(), changed.hex(), fingerprints.likeness(own, changed), fingerprints.likeness(own, following))
+        assert tuple(got[d][c] for c in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")) == want
+
+
 def test_all_within_radius(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(128) for _ in range(60)]
@@ -334,6 +375,32 @@ def test_joins_of_any_pieces():
             assert c.joined(text, pieces) == c.slow.encode(text, add_special_tokens=False).ids
 
 
+def test_every_kind_of_character():
+    import sys
+    import unicodedata
+
+    c = bpe_chunks.codec(bpe_chunks.vocabulary("byte_bpe_50k.json"), bpe_chunks.vocabulary("byte_bpe_50k.tiktoken"))
+    kinds = defaultdict(list)
+    for k in range(1, sys.maxunicode + 1, 7):
+        if unicodedata.category(chr(k)) != "Cs":
+            kinds[unicodedata.category(chr(k))].append(chr(k))
+    rng = random.Random(12)
+    for chars in kinds.values():
+        for _ in range(3):
+            text = "".join(rng.choice(("a", " ", "x1", rng.choice(chars), "'s ")) for _ in range(200))
+            assert c.encode(text) == c.slow.encode(text, add_special_tokens=False).ids
+            assert c.decode(c.encode(text)) == c.slow.decode(c.encode(text), skip_special_tokens=False)
+
+
+def test_texts_of_megabytes(spark):
+    texts = [prose(31, 200_000), "ab" * 600_000, prose(31, 200_000) + " end", "no-space-" * 120_000, "x" * 1000 + prose(33, 40)]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe_chunks.vocabulary("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["ids_sha256"] for r in bpe_chunks.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == {k: hashlib.sha256(",".join(map(str, t.encode(x, add_special_tokens=False).ids)).encode()).hexdigest() for k, x in enumerate(texts)}
+
+
 def test_no_texts(nothing):
     assert bpe_chunks.encoded(nothing).collect() == []
 
@@ -480,6 +547,45 @@ def test_trees_learn_and_traverse():
     assert np.allclose([slow(r) for r in x[2000:2050]], p[:50])
 
 
+def test_fit_takes_the_best_splits():
+    """One tree of two levels against a search over all splits."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = ((x[:, 1] > 0.3) & (x[:, 2] < 0.8) | (x[:, 0] > 1)).astype(float)
+    trees = quality_trees.fit(x, y, trees=1, depth=2)
+    p = y.mean()
+    grad, hess = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(rows, f, t):
+        left = rows & (x[:, f] <= t)
+        right = rows & ~left
+        part = lambda r: grad[r].sum() ** 2 / (hess[r].sum() + quality_trees.RIDGE)
+        least = min(hess[left].sum(), hess[right].sum()) * 4 >= quality_trees.LEAST / 4
+        return part(left) + part(right) - part(rows) if least else 0.0
+
+    def best(rows):
+        edges = [(f, t) for f in range(3) for t in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality_trees.BINS + 1)[1:-1]))]
+        return max(gain(rows, f, t) for f, t in edges)
+
+    every = np.ones(len(y), dtype=bool)
+    f, t = trees.feature[0], trees.threshold[0]
+    assert np.isclose(gain(every, f[0], t[0]), best(every))
+    low = x[:, f[0]] <= t[0]
+    for rows, k in ((low, 1), (~low, 2)):
+        assert np.isclose(gain(rows, f[k], t[k]) if np.isfinite(t[k]) else 0.0, max(0.0, best(rows)))
+    for leaf, rows in enumerate((low & (x[:, f[1]] <= t[1]), low & (x[:, f[1]] > t[1]), ~low & (x[:, f[2]] <= t[2]), ~low & (x[:, f[2]] > t[2]))):
+        assert np.isclose(trees.leaf[0][leaf], -quality_trees.RATE * grad[rows].sum() / (hess[rows].sum() + quality_trees.RIDGE))
+
+
+def test_rejected_texts_go_whatever_their_ids(spark):
+    good = [(100 + k, prose(k, 100)) for k in range(120)]
+    bad = [(300 + k, " ".join(w.upper() + "!!" for w in prose(k, 100).split())) for k in range(120)]
+    labels = spark.createDataFrame([(d, int(d < 300), 0) for d, _ in good + bad], "doc_id long, quality int, toxic int")
+    extra = [(None, prose(500, 100)), (None, bad[0][1]), (100, bad[1][1]), (100, prose(501, 100)), (None, prose(500, 100)), (7, prose(502, 60_000))]
+    kept = rows_of(quality_trees.keep_good(spark.createDataFrame(good + bad + extra, "doc_id long, text string"), labels), "doc_id", "text")
+    assert kept == sorted([*good, extra[0], extra[3], extra[4], extra[5]], key=repr)
+
+
 def test_quality(spark, docs, nothing):
     good = [(100 + k, prose(k, 100)) for k in range(120)]
     bad = [(300 + k, " ".join(w.upper() + "!!" for w in prose(k, 100).split())) for k in range(120)]
@@ -586,6 +692,38 @@ def test_language(spark, docs, nothing):
     assert {x["lang_pred"] for x in language_id.identified(table, language_id.train(nothing)).collect()} == {"und"} and language_id.identified(nothing, model).collect() == []
 
 
+def test_language_against_a_plain_version():
+    rng = random.Random(15)
+    texts = [prose(k, 30) for k in range(20)] + ["é" * 40, "Über " * 9]
+    vectors = []
+    for text in texts:
+        counts = np.zeros(language_id.DIMS)
+        line = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        for n in (2, 3):
+            for i in range(len(line) - n + 1):
+                a, b, *c = (ord(x) for x in line[i : i + n])
+                h = (a * 0x9E3779B1 + b * 0x85EBCA77) % 2**32
+                if c:
+                    h = (h * 0xC2B2AE3D + c[0] * 0x27D4EB2F + 1) % 2**32
+                counts[((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 20] += 1
+        assert (counts == language_id.counts(text)).all()
+        vectors.append(np.log1p(counts) / np.linalg.norm(np.log1p(counts)))
+    pick = [rng.randrange(len(texts)) for _ in range(6)]
+    model = language_id.Model(np.ones(language_id.DIMS, dtype=np.float32), [f"l{k}" for k in range(6)], np.array([vectors[k] for k in pick], dtype=np.float32), np.full(6, 0.5))
+    for text, v, (lang, score, rejected) in zip(texts, vectors, model.predict(texts)):
+        cosines = [float(v @ vectors[k]) for k in pick]
+        best = max(range(6), key=lambda k: (round(cosines[k], 5), -k))  # of equally near ones the first
+        assert abs(cosines[int(lang[1:])] - max(cosines)) < 1e-5 and abs(score - cosines[best]) < 1e-4 and rejected == (score < 0.5)
+
+
+def test_repeated_ids_and_languages(spark):
+    rows = [(k % 7, prose(k, 40), "en") for k in range(60)] + [(3, "ñandú " * 40, "es")] * 20
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = language_id.identified(table, language_id.train(table)).collect()
+    assert len(got) == 80 and {r["lang_pred"] for r in got} == {"en", "es"}
+    assert language_id.train(table).centroids.tolist() == language_id.train(table.repartition(5)).centroids.tolist()
+
+
 # --- 10 ---
 
 
@@ -688,5 +826,25 @@ def test_bloom(spark):
     assert in_bloom(words, keys[:10_000]).all() and in_bloom(words, keys[10_000:]).mean() < 0.01
 
 
+def test_stashes_go(spark):
+    from storyloom.llm.common import drop_stashes, stash
+
+    a, b = stash(spark.range(5)), stash(spark.range(7))
+    assert drop_stashes(spark, keep=[b]) >= 1 and b.count() == 7
+    with pytest.raises(Exception):  # noqa: B017
+        a.count()
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from storyloom.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=conf))
+
+
 def test_schema_is_whole():
     assert len(SCHEMA.split(", ")) == len(ROWS[0])

@@ -63,5 +63,31 @@ def test_stages(spark, tmp_path):
     assert sorted(zip(mix["doc_id"], map(len, ids), (hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids))) == sorted(zip(out["doc_id"], out["n_tokens"], out["ids_sha256"]))
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+def test_run(spark, tmp_path):
+    """run() has the rows that its stages give one after the other."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = corpus_pipeline.run(spark, DATA)
+    assert got.columns == docs.columns and rows(got) == rows(docs) and docs.count() > 50
+
+
+def test_awkward_rows_and_empty_tables(spark, docs, nothing, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, table in (("some", docs), ("none", nothing)):
+        folder = tmp_path / name
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            before = kept
+            stage(spark, kept, f"file://{folder}").write.parquet(f"{folder}/{k}")
+            kept = spark.read.parquet(f"{folder}/{k}")
+            if k < 4:
+                assert kept.columns == list(corpus_pipeline.COLUMNS)
+            if name == "some" and stage_name in ("quality", "repeated_passages", "tokens"):
+                assert kept.count() == before.count()  # without labels nothing is rejected
+        assert (kept.count() > 5) == (name == "some")
+        assert corpus_pipeline.run(spark, f"file://{folder}").count() == kept.count()
