@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.llm import bpe_chunks, poisson_mix, quality_trees, simhash_dedup, substring_dedup
-from storyloom.llm.common import documents, small_batches, stash
+from storyloom.llm.common import documents, drop_stashes, small_batches, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -57,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage leaves behind goes when the next one has it."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
+        drop_stashes(spark, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)
