@@ -265,7 +265,7 @@ def summary_refill(stories: DataFrame, links: DataFrame, articles: DataFrame) ->
     return needy.select("id").join(story_summary_choice(links, articles).withColumnRenamed("story_id", "id"), "id")
 
 
-register("summary_refill", "v_stories v_links v_articles", lambda s, x, a: summary_refill(s.withColumn("summary", F.expr("if(substr(id, 1, 1) < '6', title, summary)")), x, a).select("id"), "SELECT id FROM v_stories WHERE substr(id, 1, 1) < '6' OR length(trim(summary)) < 40")
+register("summary_refill", "v_stories v_links v_articles", lambda s, x, a: summary_refill(s.withColumn("summary", F.expr("if(substr(id, 1, 1) < '6', title, summary)")), x, a).select("id"), "SELECT id FROM v_stories WHERE substr(id, 1, 1) < '6' OR length(trim(summary)) < 40 OR starts_with(trim(summary), 'Coverage of ') OR lower(trim(summary)) = lower(title)")
 
 
 def preview_quality_report(shown: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def views(d: type) -> dict[str, str]:
             FROM (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS k FROM documents)""",
         "v_articles": f"""SELECT doc_id AS id, source AS source_id, lang,
             concat('https://', CASE WHEN doc_id % 5 = 0 THEN 'www.' ELSE '' END, source, '.example.org/', CASE WHEN doc_id % 13 = 0 THEN 'jobs/' WHEN doc_id % 17 = 0 THEN 'author/' ELSE '' END, lang, '/', CAST(doc_id % 700 AS STRING), CASE WHEN doc_id % 3 = 0 THEN '?utm_source=x&id=7#top' ELSE '' END) AS url,
-            trim(substr(regexp_extract(text, '^[^.\\n]*'  , 0), 1, 140)) AS title, substr(text, 1, 400) AS summary,
+            trim(regexp_extract(text, '^[^.\\n]*', 0)) AS title, text AS summary,
             {d.ts(AS_OF)} - {d.hours('doc_id % 720')} AS ts,
             CASE WHEN doc_id % 11 = 0 THEN 'non_article' WHEN doc_id % 11 = 1 THEN 'uncertain' WHEN doc_id % 11 = 2 THEN NULL ELSE 'article' END AS quality_label
             FROM documents""",
