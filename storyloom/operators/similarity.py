@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from storyloom.functions import lexicons as L
 from storyloom.functions.text import q, sql_distinct_first, sql_words, words
+from storyloom.operators.graphs import path_compress
 from storyloom.registry import register
 from storyloom.sources.views import AS_OF
 
@@ -288,28 +289,6 @@ register(
 )
 
 
-def path_compress(plan: DataFrame, rounds: int = 40) -> DataFrame:
-    """(source, target) with chains of merges resolved to their last target, by pointer jumping."""
-    out = plan.select("source", "target")
-    for _ in range(rounds):
-        nxt = out.select(F.col("source").alias("target"), F.col("target").alias("beyond"))
-        out = stored(out.join(nxt, "target", "left").select("source", F.coalesce("beyond", "target").alias("target"), F.col("beyond").isNotNull().alias("moved")))
-        if not out.where("moved").limit(1).count():
-            return out.drop("moved")
-        out = out.drop("moved")
-    raise ValueError("the plan has a cycle")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the cluster's folder, or where none is set in a new temporary one."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
-
-
 def merge_apply(stories: DataFrame, links: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Snapshots after the merges: sources disappear, their links move, blanks of a target are filled from its sources, pinned wins."""
     from storyloom.operators.rollups import link_union_merge
@@ -377,52 +356,6 @@ register(
 )
 
 
-def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72) -> DataFrame:
-    """(i, j, cosine): vectors within some hours of each other with a cosine above theta, exact.
-
-    Unit vectors whose cosine is at least theta lie sqrt(2 - 2 theta) apart at most, and so do their projections to one direction: cells
-    of that width, with a bin of time, are the keys of an equi-join that loses no pair.
-    """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    unit = vectors.select("id", "ts", F.transform("embedding", lambda x: x / norm).alias("u"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(hours * 3600)).alias("bin"))
-    width = (2 - 2 * theta) ** 0.5
-    p = F.aggregate(F.slice("u", 1, 16), F.lit(0.0), lambda s, x: s + x) / F.lit(4.0)
-    unit = unit.withColumn("cell", F.floor(p / F.lit(width)))
-    around = F.array(*(F.struct((F.col("bin") + a).alias("bin"), (F.col("cell") + b).alias("cell")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    left = unit.select(F.col("id").alias("i"), F.col("ts").alias("ti"), F.col("u").alias("ui"), F.explode(around).alias("k")).select("i", "ti", "ui", "k.*")
-    right = unit.select(F.col("id").alias("j"), F.col("ts").alias("tj"), F.col("u").alias("uj"), "bin", "cell")
-    near = F.abs(F.unix_seconds(F.col("ti").cast("timestamp")) - F.unix_seconds(F.col("tj").cast("timestamp"))) <= hours * 3600
-    dot = F.aggregate(F.zip_with("ui", "uj", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, ["bin", "cell"]).where((F.col("i") < F.col("j")) & near).select("i", "j", F.round(dot, 4).alias("cosine")).where(F.col("cosine") > theta)
-
-
-_COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4)"
-_EMB = f"SELECT a.id AS i, b.id AS j, {_COS} AS cosine FROM v_vectors a JOIN v_vectors b ON a.id < b.id AND abs(date_diff('second', a.ts, b.ts)) <= 259200 WHERE {_COS} > 0.35"
-register("embedding_cluster_pairs", "v_vectors", lambda v: embedding_pairs(v, 0.35), _EMB)
-
-
-def cluster_labels(ids: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, cluster_id): connected components, named by their smallest id; each round passes labels on and jumps once."""
-    both = stored(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")).union(pairs.select("j", "i")).distinct())
-    labels = ids.select("id", F.col("id").alias("cluster_id"))
-    for _ in range(rounds):
-        least = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster_id").alias("m"))
-        new = labels.join(least, "id", "left").select("id", F.least("cluster_id", F.coalesce("m", "cluster_id")).alias("c"), "cluster_id")
-        up = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        new = stored(new.join(up, "c", "left").select("id", F.least("c", F.coalesce("cc", "c")).alias("c"), F.col("cluster_id").alias("old")))
-        changed = new.where("c <> old").limit(1).count()
-        labels = new.select("id", F.col("c").alias("cluster_id"))
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
-register(
-    "embedding_cluster", "v_vectors", lambda v: cluster_labels(v, embedding_pairs(v, 0.35)),
-    f"""WITH RECURSIVE e AS ({_EMB}), g AS (SELECT i AS a, j AS b FROM e UNION SELECT j, i FROM e), r AS (SELECT id, id AS root FROM v_vectors UNION SELECT g.b, r.root FROM r JOIN g ON g.a = r.id) SELECT id, min(root) AS cluster_id FROM r GROUP BY id""",
-)
-
-
 def cluster_title_pick(clusters: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Each cluster's headline from its weightiest source, then newest; with source count and last time."""
     rows = clusters.join(articles, "id").join(sources.select(F.col("id").alias("source_id"), "weight"), "source_id", "left")

@@ -13,10 +13,11 @@ from storyloom.functions import lexicons as L
 from storyloom.functions import patterns as P
 from storyloom.functions.text import family
 from storyloom.operators.filters import DATA_AUDIENCE, VARIED, _varied, article_quality, lanes, reject_titles, topic_flags
+from storyloom.operators.graphs import merge_plan, stored
 from storyloom.operators.rollups import rank_apply_join, state_saturation
 from storyloom.operators.scoring import _CS, _SAN, DATA_LEXICON, HOME_SQL, _candidates, candidate_score, newsletter_ranking, rolled, sanitized, story_preview, story_ranking, summary_adjudication
 from storyloom.operators.selection import diverse_selection, display_summary_dedupe, editions, exact_title_collapse, prior_overlap_penalty, with_traits
-from storyloom.operators.similarity import coverage_join, data_tokens, decided, cluster_labels, merge_apply, overlap_pairs, state_of, stored
+from storyloom.operators.similarity import coverage_join, data_tokens, decided, merge_apply, overlap_pairs, state_of
 from storyloom.registry import register
 from storyloom.sources.pages import domain
 from storyloom.sources.views import AS_OF
@@ -25,40 +26,6 @@ from storyloom.sources.views import AS_OF
 # --- merging -----------------------------------------------------------------------------------------------------------------------
 
 
-def merge_plan(stories: DataFrame, decisions: DataFrame, most: int | None = None) -> DataFrame:
-    """(source, target, seq): which story goes into which, each at most once as a source.
-
-    The greedy walk over pairs depends on earlier merges within one connected component only. So pairs are grouped by component, and each
-    component's walk is one group; a cap is a prefix of the global order of pairs. stories (id, status, article_count, last_seen).
-    """
-    pairs = decisions.where("should_merge").select("i", "j")
-    groups = cluster_labels(stories.join(pairs.select(F.col("i").alias("id")).union(pairs.select("j")).distinct(), "id", "left_semi").select("id"), pairs)
-    s = lambda p: stories.select(F.col("id").alias(p), F.struct((F.col("status") == "pinned").alias("pinned"), "article_count", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', last_seen)").alias("t")).alias(f"s_{p}"))
-    rows = pairs.join(s("i"), "i").join(s("j"), "j").join(groups.withColumnRenamed("id", "i"), "i")
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        for r in part.itertuples():
-            state[r.i], state[r.j] = dict(r.s_i), dict(r.s_j)
-        order = {i: k for k, i in enumerate(sorted(state, key=lambda i: (-state[i]["t"], i)))}
-        gone, out = set(), []
-        edges = sorted(((min(order[a], order[b]), max(order[a], order[b]), a, b) for a, b in zip(part["i"], part["j"])))
-        for x, y, a, b in edges:
-            a, b = (a, b) if order[a] == x else (b, a)
-            if a in gone or b in gone:
-                continue
-            key = lambda i: (state[i]["pinned"], state[i]["article_count"], state[i]["t"])
-            target, source = (a, b) if key(a) >= key(b) else (b, a)
-            gone.add(source)
-            state[target]["article_count"] += state[source]["article_count"]
-            state[target]["t"] = max(state[target]["t"], state[source]["t"])
-            out.append((source, target, f"{-state[a]['t']:020d}/{a}/{b}"))
-        return pd.DataFrame(out, columns=["source", "target", "seq"])
-
-    plan = rows.groupBy("cluster_id").applyInPandas(walk, "source string, target string, seq string")
-    return plan if most is None else plan.orderBy("seq").limit(most)
-
-
 def _deciding(stories: DataFrame, theta: float) -> DataFrame:
     return decided(stories, theta)
 

@@ -6,7 +6,6 @@ Each query here runs its stream with an available-now trigger and returns what i
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,14 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators.graphs import shared_folder
 from storyloom.registry import ORACLE, QUERIES
 from storyloom.sources.views import duck
 
 
 def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
