@@ -21,6 +21,23 @@ CANONICAL_FORMS = {
 ACTION_TOKENS = "lawsuit closure vote raid investigation ruling strike ban funding budget layoff leave".split()
 GENERIC_TOKENS = "school district student teacher parent public charter education policy state union supreme court board law bill legislation program plan system official".split()
 
+#: The same for tokens of what is displayed.
+TOPIC_STOPWORDS = "the and for with from this that into over under after before about amid amidst will would could should what why how says say report reports latest update updates school schools district districts board boards education educator educators teacher teachers student students public official officials plan plans bill bills lawmakers legislature session union unions state states".split()
+TOPIC_FORMS = {
+    "lawsuit": "sue sues sued suing lawsuit lawsuits filed filing challenge challenges challenged challenging",
+    "closure": "close closes closed closing closure closures shutdown shutdowns shut shuts",
+    "vote": "vote votes voted voting approve approves approved approval",
+    "funding": "fund funds funded funding finance financial",
+    "raid": "raid raids raided warrant warrants",
+    "investigation": "probe probes investigated investigation investigations inquiry inquiries",
+}
+TOPIC_ACTIONS = "lawsuit closure vote raid investigation strike ban funding budget layoff leave".split()
+TOPIC_GENERIC = "school district student teacher parent public charter education policy state union board law bill legislation program plan system official".split()
+NOVELTY_HINTS = ["new details", "developing", "latest", "breaking", "now", "names acting", "appoints", "approved", "passes", "settlement", "charged", "indicted", "resigns", "steps down"]
+#: Words that say nothing of what an article covers.
+COVERAGE_STOPWORDS = "a an and are as at be by for from how in is it new of on or over report reports says school schools student students teacher teachers the this to was what when where why will with".split()
+SUMMARY_STOPWORDS = "that this with from which their there about after before under over into while where when".split()
+
 IMPACT = "legislation bill policy funding budget superintendent district statewide board mandate".split()
 URGENCY = "emergency closure lockdown safety security threat shooting outbreak urgent".split()
 NOVELTY = "pilot launch new first rollout initiative program expansion".split()
@@ -42,7 +59,7 @@ LANE_POLICY = "bill law lawsuit funding budget board regulation state federal co
 
 FAMILY_ALIASES = {"apnews.com": "associated-press", "reuters.com": "reuters"}
 MULTIPART_SUFFIXES = ["co.uk", "org.uk", "com.au", "co.nz", "k12.ca.us"]
-AGGREGATORS = ["news.google.com", "news.yahoo.com", "msn.com", "flipboard.com", "smartnews.com"]
+AGGREGATORS = ["apple.news", "aol.com", "finance.yahoo.com", "flipboard.com", "ground.news", "msn.com", "news.google.com", "newsbreak.com", "smartnews.com", "yahoo.com"]
 
 #: Lexicon for the driver's invented prose: frequent words stand for the classes that the default lists seldom hit there.
 DATA = {

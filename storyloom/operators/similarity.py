@@ -8,79 +8,32 @@ what is still hot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import lexicons as L
 from storyloom.functions.text import q, sql_distinct_first, sql_words, words
-from storyloom.operators.graphs import path_compress
+from storyloom.functions.summaries import sanitized, sql_sanitized
+from storyloom.functions.tokens import coverage_tokens, merge_tokens, sql_coverage_tokens, sql_merge_tokens, sql_topic_tokens, topic_tokens
+from storyloom.operators.graphs import path_compress, stored
 from storyloom.registry import register
 from storyloom.sources.views import AS_OF
 
 
-def stem_sql(x: str):  # noqa: ANN201
-    """A token's stem as SQL text: the first suffix rule, and the second one as a function of what it applies to."""
-    one = f"CASE WHEN {x} LIKE '%ies' AND length({x}) > 4 THEN concat(substr({x}, 1, length({x}) - 3), 'y') WHEN {x} LIKE '%es' AND length({x}) > 4 THEN substr({x}, 1, length({x}) - 2) WHEN {x} LIKE '%s' AND length({x}) > 3 THEN substr({x}, 1, length({x}) - 1) ELSE {x} END"
-    return one, lambda y: f"CASE WHEN {y} LIKE '%ing' AND length({y}) > 5 THEN substr({y}, 1, length({y}) - 3) WHEN {y} LIKE '%ed' AND length({y}) > 4 THEN substr({y}, 1, length({y}) - 2) ELSE {y} END"
-
-
-FORMS = {form: name for name, forms in L.CANONICAL_FORMS.items() for form in forms.split()}
-
-
-def _canon(x: str, forms: dict[str, str] = FORMS) -> str:
-    by: dict[str, list[str]] = {}
-    for form, name in forms.items():
-        by.setdefault(name, []).append(form)
-    return "CASE " + " ".join(f"WHEN {x} IN ({q(f)}) THEN '{name}'" for name, f in by.items()) + " END"
-
-
-def merge_tokens(title: Column, most: int = 24, stopwords: list[str] = L.STOPWORDS, aliases: dict = L.TOKEN_ALIASES) -> Column:
-    """Canonical, stemmed, alias-expanded, distinct tokens of a title, the first `most`."""
-    step1 = F.transform(words(title), lambda x: F.struct(x.alias("w"), _suffix1(x).alias("s")))
-    step2 = F.transform(step1, lambda x: F.coalesce(_when_forms(x["w"]), _when_forms(_suffix2(x["s"])), _suffix2(x["s"])))
-    expanded = F.flatten(F.transform(step2, lambda x: _with_aliases(x, aliases)))
-    return F.slice(F.array_distinct(F.filter(expanded, lambda x: (F.length(x) >= 3) & ~x.isin(stopwords))), 1, most)
-
-
-def _suffix1(x: Column) -> Column:
-    n = F.length(x)
-    return F.when(x.endswith("ies") & (n > 4), F.concat(x.substr(F.lit(1), n - 3), F.lit("y"))).when(x.endswith("es") & (n > 4), x.substr(F.lit(1), n - 2)).when(x.endswith("s") & (n > 3), x.substr(F.lit(1), n - 1)).otherwise(x)
-
-
-def _suffix2(x: Column) -> Column:
-    n = F.length(x)
-    return F.when(x.endswith("ing") & (n > 5), x.substr(F.lit(1), n - 3)).when(x.endswith("ed") & (n > 4), x.substr(F.lit(1), n - 2)).otherwise(x)
-
-
-def _when_forms(x: Column) -> Column:
-    out = None
-    for name, forms in L.CANONICAL_FORMS.items():
-        out = F.when(x.isin(forms.split()), name) if out is None else out.when(x.isin(forms.split()), name)
-    return out
-
-
-def _with_aliases(x: Column, aliases: dict) -> Column:
-    out = F.array(x)
-    for token, names in aliases.items():
-        out = F.when(x == token, F.array(x, *(F.lit(n) for n in names))).otherwise(out)
-    return out
-
-
-def sql_merge_tokens(title: str, most: int = 24) -> str:
-    one, two = stem_sql("w")
-    inner = f"list_transform({sql_words(title)}, lambda w: coalesce({_canon('w')}, {_canon('(' + two('(' + one + ')') + ')')}, {two('(' + one + ')')}))"
-    alias = "list_concat([w], CASE " + " ".join(f"WHEN w = '{k}' THEN [{q(v)}]" for k, v in L.TOKEN_ALIASES.items()) + " ELSE [] END)"
-    kept = f"list_filter(flatten(list_transform({inner}, lambda w: {alias})), lambda w: length(w) >= 3 AND w NOT IN ({q(L.STOPWORDS)}))"
-    return kept, most
-
-
-def with_tokens(stories: DataFrame, actions: list[str] = L.ACTION_TOKENS, generic: list[str] = L.GENERIC_TOKENS) -> DataFrame:
+def with_tokens(stories: DataFrame, actions: list[str] = L.ACTION_TOKENS, generic: list[str] = L.GENERIC_TOKENS, dialect: Callable[[Column], Column] = merge_tokens) -> DataFrame:
     """stories (id, title, last_seen) with their tokens and those of each class."""
-    out = stories.withColumn("tokens", merge_tokens(F.coalesce("title", F.lit(""))))
+    out = stories.withColumn("tokens", dialect(F.coalesce("title", F.lit(""))))
     return out.withColumns({"strong": F.filter("tokens", lambda t: ~t.isin(actions) & ~t.isin(generic)), "action": F.filter("tokens", lambda t: t.isin(actions))})
 
 
+def topical(stories: DataFrame, actions: list[str] = L.TOPIC_ACTIONS, generic: list[str] = L.TOPIC_GENERIC) -> DataFrame:
+    """The same with the tokens of what is displayed."""
+    return with_tokens(stories, actions, generic, topic_tokens)
+
+
 def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0) -> DataFrame:
     """(i, j, ratio, shared, n_action, n_strong) of stories i < j that share a strong token or two action tokens, seen within some days,
     with a ratio of `least`.
@@ -95,7 +48,7 @@ def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0) -> DataF
         every = timed.select("id", "last_seen", "bucket", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
         df = every.groupBy("key").agg(F.count("*").alias("df"))
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
-        first = every.join(df, "key").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+        first = every.join(df, "key").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least - 5e-7) * F.col("n")) + 1)
         sides, around = (first, every), (-1, 0, 1)
     else:
         pairs = F.transform(F.sequence(F.lit(0), F.size("action") - 2), lambda a: F.transform(F.slice("action", a + 2, F.size("action")), lambda b: F.concat_ws("+", F.array_sort(F.array(F.get("action", a), b)))))
@@ -115,23 +68,33 @@ def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0) -> DataF
     return out.where((F.col("ratio") >= least) & ((F.col("n_strong") >= 1) | (F.col("n_action") >= 2)))
 
 
-def _token_sql(rows: str) -> str:
-    kept, most = sql_merge_tokens("title")
+def _token_sql(rows: str, dialect: Callable = sql_merge_tokens) -> str:
+    kept, most = dialect("title")
     act, gen = q(L.DATA["actions"]), q(L.DATA["generic"])
     return f"""WITH k0 AS (SELECT id, title, last_seen, article_count, status, {kept} AS raw FROM {rows}), k AS (SELECT * EXCLUDE raw, {sql_distinct_first('raw', most)} AS tokens FROM k0),
     t AS (SELECT *, list_filter(tokens, lambda x: x NOT IN ({act}) AND x NOT IN ({gen})) AS strong, list_filter(tokens, lambda x: x IN ({act})) AS action FROM k)"""
 
 
-PAIR_SQL = _token_sql("v_stories") + """, p AS (SELECT a.id AS i, b.id AS j, len(list_intersect(a.tokens, b.tokens)) AS shared, len(list_intersect(a.action, b.action)) AS n_action, len(list_intersect(a.strong, b.strong)) AS n_strong,
+def _pair_sql(dialect: Callable) -> str:
+    return _token_sql("v_stories", dialect) + """, p AS (SELECT a.id AS i, b.id AS j, len(list_intersect(a.tokens, b.tokens)) AS shared, len(list_intersect(a.action, b.action)) AS n_action, len(list_intersect(a.strong, b.strong)) AS n_strong,
     len(a.tokens) AS na, len(b.tokens) AS nb FROM t a JOIN t b ON a.id < b.id AND abs(date_diff('second', a.last_seen, b.last_seen)) <= 432000), o AS (SELECT i, j, round(shared / greatest(1, least(na, nb)), 6) AS ratio, shared, n_action, n_strong FROM p WHERE n_strong >= 1 OR n_action >= 2)"""
 
 
+PAIR_SQL, TOPIC_PAIR_SQL = _pair_sql(sql_merge_tokens), _pair_sql(sql_topic_tokens)
+
+
 def data_tokens(stories: DataFrame) -> DataFrame:
     return with_tokens(stories, L.DATA["actions"], L.DATA["generic"])
 
 
-register("title_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_tokens(s)), PAIR_SQL + " SELECT i, j, ratio, CAST(shared AS INT) AS shared, CAST(n_action AS INT) AS n_action, CAST(n_strong AS INT) AS n_strong FROM o")
-register("topic_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_tokens(s), 5, 0.4), PAIR_SQL + " SELECT i, j, ratio, CAST(shared AS INT) AS shared, CAST(n_action AS INT) AS n_action, CAST(n_strong AS INT) AS n_strong FROM o WHERE ratio >= 0.4")
+def data_topical(stories: DataFrame) -> DataFrame:
+    return topical(stories, L.DATA["actions"], L.DATA["generic"])
+
+
+_PAIRS = "SELECT i, j, ratio, CAST(shared AS INT) AS shared, CAST(n_action AS INT) AS n_action, CAST(n_strong AS INT) AS n_strong FROM o"
+#: No pair below a ratio of 0.3 merges, whatever else it shares.
+register("title_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_tokens(s), least=0.3), f"{PAIR_SQL} {_PAIRS} WHERE ratio >= 0.3")
+register("topic_overlap_pairs", "v_stories", lambda s: overlap_pairs(data_topical(s), 5, 0.4), f"{TOPIC_PAIR_SQL} {_PAIRS} WHERE ratio >= 0.4")
 
 
 def token_index(tokens: DataFrame) -> DataFrame:
@@ -140,7 +103,38 @@ def token_index(tokens: DataFrame) -> DataFrame:
     return tokens.select("id", "strong", "action", F.explode("tokens").alias("token")).groupBy("token", kind.alias("class")).agg(F.count("*").alias("df"))
 
 
-register("token_index", "v_stories", lambda s: token_index(data_tokens(s)), _token_sql("v_stories") + f" SELECT token, CASE WHEN token IN ({q(L.DATA['actions'])}) THEN 'action' WHEN token IN ({q(L.DATA['generic'])}) THEN 'generic' ELSE 'strong' END AS class, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM t) GROUP BY 1, 2")
+def token_indices(stories: DataFrame, actions: list[str], generic: list[str]) -> DataFrame:
+    """(dialect, token, class, df): the index of each dialect; coverage tokens have no classes."""
+    by = {"merge": merge_tokens, "topic": topic_tokens, "coverage": coverage_tokens}
+    out = None
+    for name, dialect in by.items():
+        none = name == "coverage"
+        one = token_index(with_tokens(stories.select("id", "title"), [] if none else actions, [] if none else generic, dialect)).withColumn("dialect", F.lit(name))
+        one = one.withColumn("class", F.lit(None).cast("string")) if none else one
+        out = one if out is None else out.unionByName(one)
+    return out.select("dialect", "token", "class", "df")
+
+
+def _index_sql() -> str:
+    kind = f"CASE WHEN token IN ({q(L.DATA['actions'])}) THEN 'action' WHEN token IN ({q(L.DATA['generic'])}) THEN 'generic' ELSE 'strong' END"
+    tokens = {"merge": sql_distinct_first("merged", 24), "topic": sql_distinct_first("shown", 18), "coverage": "covered"}
+    each = " UNION ALL ".join(f"SELECT '{name}' AS dialect, unnest({x}) AS token FROM w" for name, x in tokens.items())
+    return f"""WITH w AS (SELECT {sql_merge_tokens('title')[0]} AS merged, {sql_topic_tokens('title')[0]} AS shown, {sql_coverage_tokens('title')} AS covered FROM v_stories), d AS ({each})
+    SELECT dialect, token, CASE WHEN dialect <> 'coverage' THEN {kind} END AS class, count(*) AS df FROM d GROUP BY ALL"""
+
+
+register("token_index", "v_stories", lambda s: token_indices(s, L.DATA["actions"], L.DATA["generic"]), _index_sql())
+
+
+def _veto(n_strong: Column, n_action: Column) -> Column:
+    """Why two stories (states s_i, s_j, entities e_i, e_j) must not be merged, or null."""
+    conflict = (F.size("e_i") >= 2) & (F.size("e_j") >= 2) & (F.size(F.array_intersect("e_i", "e_j")) == 0) & (n_strong == 0) & (n_action >= 1)
+    return F.when(F.col("s_i").isNotNull() & F.col("s_j").isNotNull() & (F.col("s_i") != F.col("s_j")), "state_mismatch").when(conflict, "entity_conflict")
+
+
+def _by_opening(rows: DataFrame) -> DataFrame:
+    """Rows grouped by the first letters of their titles, as stories of mixed articles."""
+    return rows.withColumn("story_id", F.expr("substr(lower(title), 1, 3)"))
 
 
 def merge_decision(pairs: DataFrame, states: DataFrame, theta: float = 0.56) -> DataFrame:
@@ -149,8 +143,7 @@ def merge_decision(pairs: DataFrame, states: DataFrame, theta: float = 0.56) ->
     s = lambda p: states.select(F.col("id").alias(p), F.col("state").alias(f"s_{p}"), F.col("entities").alias(f"e_{p}"))
     c = F.col
     joined = pairs.join(s("i"), "i").join(s("j"), "j")
-    conflict = (F.size("e_i") >= 2) & (F.size("e_j") >= 2) & (F.size(F.array_intersect("e_i", "e_j")) == 0) & (c("n_strong") == 0) & (c("n_action") >= 1)
-    veto = F.when(c("s_i").isNotNull() & c("s_j").isNotNull() & (c("s_i") != c("s_j")), "state_mismatch").when(conflict, "entity_conflict")
+    veto = _veto(c("n_strong"), c("n_action"))
     alike = F.when(c("ratio") >= theta, (c("n_strong") >= 1) | (c("n_action") >= 2)).otherwise((c("ratio") >= 0.3) & (c("shared") >= 3) & (c("n_action") >= 1) & (c("n_strong") >= 1))
     out = joined.withColumn("veto", veto)
     return out.select("i", "j", "ratio", "shared", "n_action", "n_strong", "veto", (F.col("veto").isNull() & alike).alias("should_merge"))
@@ -193,7 +186,7 @@ def decided(s: DataFrame, theta: float = 0.56, days: int = 5, least: float = 0.3
     return merge_decision(overlap_pairs(data_tokens(s), days, least), _states(s), theta)
 
 
-register("merge_decision", "v_stories", lambda s: decided(s, least=0.0).select("i", "j", "veto", "should_merge"), DECIDE_SQL + " SELECT i, j, veto, should_merge FROM m")
+register("merge_decision", "v_stories", lambda s: decided(s).select("i", "j", "veto", "should_merge"), DECIDE_SQL + " SELECT i, j, veto, should_merge FROM m WHERE ratio >= 0.3")
 register("duplicate_pair_audit", "v_stories", lambda s: decided(s, 0.54).where("should_merge").select("i", "j", "ratio"), DECIDE_SQL.replace("0.56", "0.54") + " SELECT i, j, ratio FROM m WHERE should_merge")
 
 
@@ -217,13 +210,16 @@ def story_key_jaccard(stories: DataFrame, theta: float = 0.6, days: int = 4, k:
     """(source, target, overlap): stories whose title tokens have a Jaccard index of theta; the one with more articles, then newer, is the target.
 
     Prefix filter: with tokens ordered by rarity, sets of Jaccard theta share one of their first |s| - ceil(theta |s|) + 1.
+    A bucket of `days` is part of the key, and one side looks into the next one as well.
     """
     t = stories.select("id", "last_seen", "article_count", F.array_distinct(words(F.coalesce("title", F.lit("")))).alias("tokens")).where(F.size("tokens") > 0)
     df = t.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    ranked = t.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token")
+    bucket = F.floor(F.unix_seconds(F.col("last_seen").cast("timestamp")) / F.lit(days * 86_400)).alias("bucket")
+    ranked = t.select("id", bucket, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(df, "token")
     place = F.row_number().over(Window.partitionBy("id").orderBy("count", "token"))
-    prefix = ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(theta) * F.col("n")) + 1).select("id", "token")
-    found = prefix.alias("x").join(prefix.alias("y"), "token").where("x.id < y.id").select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
+    prefix = ranked.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(theta - 5e-7) * F.col("n")) + 1).select("id", "token", "bucket")
+    left = prefix.select(F.col("id").alias("i"), "token", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    found = left.join(prefix.withColumnRenamed("id", "j"), ["token", "bucket"]).where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
     c = lambda p: t.select(F.col("id").alias(p), *(F.col(k).alias(f"{k}_{p}") for k in ("tokens", "last_seen", "article_count")))
     both = found.join(c("i"), "i").join(c("j"), "j").where(F.abs(F.unix_seconds(F.col("last_seen_i").cast("timestamp")) - F.unix_seconds(F.col("last_seen_j").cast("timestamp"))) <= days * 86_400)
     inter = F.size(F.array_intersect("tokens_i", "tokens_j"))
@@ -241,28 +237,51 @@ register(
 )
 
 
+def _near(left: str, right: str, hours: int) -> Column:
+    return F.abs(F.unix_seconds(F.col(left).cast("timestamp")) - F.unix_seconds(F.col(right).cast("timestamp"))) <= hours * 3600
+
+
 def coverage_join(seeds: DataFrame, candidates: DataFrame, hours: int = 72, least: float = 0.28) -> DataFrame:
-    """(seed, cand, similarity): candidates within some hours of a seed whose title tokens overlap by `least` of the smaller set.
+    """(seed, cand, similarity): candidates within some hours of a seed whose tokens overlap by `least` of the smaller set, in the titles
+    or in titles and summaries together, whichever is more.
 
-    An interval join as an equi-join: on a token and a bin of `hours`, the seed looking in three bins; null times match nothing.
+    seeds and candidates (id, title, summary, ts). An interval join as an equi-join: on a token and a bin of `hours`, the seed looking in
+    three bins; null times match nothing. Keys are prefixes, as in overlap_pairs: of the tokens of a set, rarest first, one of the first
+    n - ceil(least n) + 1 is in every set that shares `least` of the smaller one, on one side or the other. So a frequent token is a key of
+    few rows on at least one side.
     """
     bins = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(hours * 3600))
-    t = lambda df, p: df.where("ts is not null").select(F.col("id").alias(p), F.col("ts").alias(f"ts_{p}"), bins.alias("bin"), merge_tokens(F.coalesce("title", F.lit(""))).alias(f"t_{p}"))
-    s, c = t(seeds, "seed"), t(candidates, "cand")
-    around = F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)
-    keys_s = s.withColumn("bin", F.explode(around)).select("seed", "ts_seed", "bin", F.explode("t_seed").alias("token"))
-    keys_c = c.select("cand", "ts_cand", "bin", F.explode("t_cand").alias("token"))
-    near = F.abs(F.unix_seconds(F.col("ts_seed").cast("timestamp")) - F.unix_seconds(F.col("ts_cand").cast("timestamp"))) <= hours * 3600
-    shared = keys_s.join(keys_c, ["token", "bin"]).where(near & (F.col("seed") != F.col("cand"))).groupBy("seed", "cand").agg(F.count("*").alias("n"))
-    sized = shared.join(s.select("seed", F.size("t_seed").alias("a")), "seed").join(c.select("cand", F.size("t_cand").alias("b")), "cand")
-    return sized.select("seed", "cand", F.round(F.col("n") / F.least("a", "b"), 3).alias("similarity")).where(F.col("similarity") >= least)
+    title, both = F.coalesce("title", F.lit("")), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    sets = lambda df: df.where("ts is not null").select("id", "ts", bins.alias("bin"), F.explode(F.array(F.struct(F.lit(1).alias("part"), coverage_tokens(title).alias("t")), F.struct(F.lit(2).alias("part"), coverage_tokens(both).alias("t")))).alias("x")).select("id", "ts", "bin", "x.*").where(F.size("t") > 0)
+    s, c = stored(sets(seeds)), stored(sets(candidates))
+    df = c.select("part", F.explode("t").alias("token")).groupBy("part", "token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id", "part").orderBy("df", "token"))
 
+    def keys(rows: DataFrame) -> DataFrame:
+        every = rows.select("id", "part", "bin", F.size("t").alias("n"), F.explode("t").alias("token")).join(df, ["part", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        return every.withColumn("first", place <= F.col("n") - F.ceil(F.lit(least - 0.0005) * F.col("n")) + 1).select("id", "part", "bin", "token", "first")
 
-_CKEPT, _CMOST = sql_merge_tokens("title")
-_COV = f"""WITH k0 AS (SELECT id, source_id, title, ts, {_CKEPT} AS raw FROM v_articles), k AS (SELECT id, source_id, ts, {sql_distinct_first('raw', _CMOST)} AS w FROM k0),
-    p AS (SELECT a.id AS seed, b.id AS cand, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 3) AS similarity FROM k a JOIN k b ON a.id <> b.id AND abs(date_diff('second', a.ts, b.ts)) <= 259200 WHERE a.id % 10 = 0 AND len(a.w) > 0 AND len(b.w) > 0), o AS (SELECT * FROM p WHERE similarity >= 0.28)"""
-register("coverage_similarity", "v_articles", lambda a: coverage_join(a.where("id % 10 = 0"), a), _COV + " SELECT * FROM o")
-register("coverage_window_join", "v_articles", lambda a: coverage_join(a.where("id % 10 = 0"), a, 24, 0.5), _COV.replace("259200", "86400").replace("0.28", "0.5") + " SELECT * FROM o")
+    around = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
+    left, right = keys(s).withColumn("bin", around).withColumnsRenamed({"id": "seed", "first": "first_s"}), keys(c).withColumnsRenamed({"id": "cand", "first": "first_c"})
+    on = ["part", "token", "bin"]
+    # Either side's prefix against all of the other: two joins, so that no pair of two frequent tokens is made.
+    found = left.where("first_s").join(right, on).select("seed", "cand", "part").union(left.join(right.where("first_c"), on).select("seed", "cand", "part")).where(F.col("seed") != F.col("cand")).distinct()
+    at = lambda rows, p: rows.select(F.col("id").alias(p), "part", F.col("ts").alias(f"ts_{p}"), F.col("t").alias(f"t_{p}"))
+    pairs = found.join(at(s, "seed"), ["seed", "part"]).join(at(c, "cand"), ["cand", "part"]).where(_near("ts_seed", "ts_cand", hours))
+    overlap = F.size(F.array_intersect("t_seed", "t_cand")) / F.least(F.size("t_seed"), F.size("t_cand"))
+    return pairs.groupBy("seed", "cand").agg(F.max(F.round(overlap, 3)).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def with_ledes(articles: DataFrame) -> DataFrame:
+    """articles with their summaries cleaned to ledes."""
+    return articles.withColumn("summary", sanitized(F.col("summary")))
+
+
+_COV = f"""{sql_sanitized("v_articles", "id, title, ts")}, k AS (SELECT id, ts, {sql_coverage_tokens('title')} AS w, {sql_coverage_tokens("concat(title, ' ', summary)")} AS b FROM s),
+    p AS (SELECT a.id AS seed, c.id AS cand, coalesce(round(len(list_intersect(a.w, c.w)) / nullif(least(len(a.w), len(c.w)), 0), 3), 0) AS x, coalesce(round(len(list_intersect(a.b, c.b)) / nullif(least(len(a.b), len(c.b)), 0), 3), 0) AS y FROM k a JOIN k c ON a.id <> c.id AND abs(date_diff('second', a.ts, c.ts)) <= 259200),
+    o AS (SELECT seed, cand, greatest(x, y) AS similarity FROM p WHERE greatest(x, y) >= 0.28)"""
+register("coverage_similarity", "v_articles", lambda a: coverage_join(with_ledes(a), with_ledes(a)), _COV + " SELECT * FROM o")
+register("coverage_window_join", "v_articles", lambda a: coverage_join(with_ledes(a), with_ledes(a), 24, 0.5), _COV.replace("259200", "86400").replace("0.28", "0.5") + " SELECT * FROM o")
 
 
 # --- clustering --------------------------------------------------------------------------------------------------------------------
@@ -280,10 +299,10 @@ def group_by_story_key(articles: DataFrame, stories: DataFrame, at: str = AS_OF,
     return joined.select("id", story.alias("story_id"), F.col("found").isNull().alias("is_new"), (F.col("found").isNull() & (alone | (F.col("id") == F.col("first_id")))).alias("is_primary"))
 
 
-_GK = "substr(lower(title), 1, 4)"
+_GK = "concat_ws('-', split_part(lower(title), ' ', 1), split_part(lower(title), ' ', 2))"
 register(
-    "group_by_story_key", "v_articles v_stories", lambda a, s: group_by_story_key(a.where("id % 2 = 0").withColumn("story_key", F.expr(_GK)), s.where("substr(id, 1, 1) < '4'").withColumn("story_key", F.expr(_GK))),
-    f"""WITH a AS (SELECT id, ts, {_GK} AS k FROM v_articles WHERE id % 2 = 0), s AS (SELECT {_GK} AS k, arg_max(id, struct_pack(t := last_seen, i := id)) AS found FROM v_stories WHERE substr(id, 1, 1) < '4' AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOURS GROUP BY 1),
+    "group_by_story_key", "v_articles v_stories", lambda a, s: group_by_story_key(a.withColumn("story_key", F.expr(_GK)), s.where("status = 'active'").withColumn("story_key", F.expr(_GK))),
+    f"""WITH a AS (SELECT id, ts, {_GK} AS k FROM v_articles), s AS (SELECT {_GK} AS k, arg_max(id, struct_pack(t := last_seen, i := id)) AS found FROM v_stories WHERE status = 'active' AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOURS GROUP BY 1),
     n AS (SELECT k, max(ts) AS newest, arg_max(id, struct_pack(t := ts, i := id)) AS first_id FROM a GROUP BY k), j AS (SELECT a.*, found, first_id, found IS NULL AND newest < TIMESTAMP '{AS_OF}' - INTERVAL 168 HOURS AS alone FROM a JOIN n USING (k) LEFT JOIN s USING (k))
     SELECT id, CASE WHEN found IS NOT NULL THEN found WHEN alone THEN md5(concat('a:', id)) ELSE md5(concat('k:', k)) END AS story_id, found IS NULL AS is_new, found IS NULL AND (alone OR id = first_id) AS is_primary FROM j""",
 )
@@ -317,42 +336,86 @@ register(
 )
 
 
-def split_mixed(links: DataFrame, dominant: DataFrame, most: int | None = None) -> DataFrame:
-    """(story_id, article_id, new_story): from each story the newest article whose state is not the story's dominant one.
+def split_mixed(stories: DataFrame, links: DataFrame, dominant: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stories, links, counts) after each story's newest article of another state than the story's dominant one has moved.
 
-    links: (story_id, article_id, ts, state). One article a story and run, as repeated runs drain the rest.
+    stories (id, story_key, title, last_seen); links (story_id, article_id, is_primary, ts, state, story_key, title), the last two of the
+    article; dominant (story_id, state). An article goes to the newest other story of its key, else to a new one of its own. Stories
+    without articles go; the others' last times and primary articles are set anew. One article a story and run, as repeated runs drain the
+    rest; counts has the candidates, all outliers and the moves. With `most`, only the newest so many stories are split.
     """
-    out = links.join(dominant.where("state is not null").select("story_id", F.col("state").alias("main")), "story_id").where("state is not null and state <> main")
-    newest = out.groupBy("story_id").agg(F.max_by(F.struct("article_id", "state"), F.struct("ts", "article_id")).alias("a"))
-    rows = newest.select("story_id", "a.article_id", F.concat_ws("-", "story_id", "a.state").alias("new_story"))
-    return rows if most is None else rows.orderBy("story_id").limit(most)
+    outliers = links.join(dominant.where("state is not null").select("story_id", F.col("state").alias("main")), "story_id").where("state is not null and state <> main")
+    newest = outliers.groupBy("story_id").agg(F.max_by(F.struct("article_id", "story_key", "title", "ts"), F.struct("ts", "article_id")).alias("a")).select("story_id", "a.*")
+    if most is not None:
+        newest = newest.join(stories.select(F.col("id").alias("story_id"), "last_seen"), "story_id").orderBy(F.desc("last_seen"), F.desc("story_id")).limit(most).drop("last_seen")
+    # The newest story of each key and the next one after it: one of the two is another story than the article's own.
+    by_key = stories.select("story_key", F.struct("last_seen", "id").alias("s"))
+    first = by_key.groupBy("story_key").agg(F.max("s").alias("first"))
+    second = by_key.join(first, "story_key").where("s <> first").groupBy("story_key").agg(F.max("s").alias("second"))
+    at = newest.join(first, "story_key", "left").join(second, "story_key", "left")
+    other = F.when(F.col("first.id") != F.col("story_id"), F.col("first.id")).otherwise(F.col("second.id"))
+    moves = stored(at.select("story_id", "article_id", "title", "story_key", "ts", F.coalesce(other, F.concat_ws("-", F.lit("split"), "article_id")).alias("target"), other.isNull().alias("created")))
+    moved = links.join(moves.select("story_id", "article_id", "target", "created"), ["story_id", "article_id"], "left")
+    after = moved.select(F.coalesce("target", "story_id").alias("story_id"), "article_id", F.when(F.col("target").isNotNull(), F.col("created")).otherwise(F.col("is_primary")).alias("is_primary"), "ts")
+    after = after.groupBy("story_id", "article_id").agg(F.max("is_primary").alias("is_primary"), F.max("ts").alias("ts"))
+    per = Window.partitionBy("story_id")
+    lead = F.row_number().over(per.orderBy(F.desc("ts"), F.desc("article_id"))) == 1
+    after = after.withColumn("is_primary", F.when(F.max(F.col("is_primary").cast("int")).over(per) == 1, F.col("is_primary")).otherwise(lead))
+    every = stories.select("id", "title").unionByName(moves.where("created").select(F.col("target").alias("id"), "title"))
+    seen = after.groupBy(F.col("story_id").alias("id")).agg(F.max("ts").alias("last_seen"))
+    named = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    counts = named("candidates", links.select("story_id").distinct()).union(named("flagged", outliers)).union(named("split", moves))
+    return every.join(seen, "id"), after.select("story_id", "article_id", "is_primary"), counts.agg(*(F.max(F.when(F.col("name") == x, F.col("n"))).alias(x) for x in ("candidates", "flagged", "split")))
+
+
+_SPLIT_STATE = "CASE source_id % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'west' END"
 
 
 def _split(x: DataFrame) -> DataFrame:
-    from storyloom.operators.rollups import _STATE, dominant_value
+    from storyloom.operators.rollups import dominant_value
 
-    rows = x.select("story_id", "article_id", "ts", F.expr(_STATE).alias("state"))
+    key = "substr(title, 1, 8)"
+    rows = x.select(F.col("story_id").cast("string").alias("story_id"), "article_id", "is_primary", "ts", F.expr(_SPLIT_STATE).alias("state"), F.expr(key).alias("story_key"), "title")
+    stories = rows.groupBy(F.col("story_id").alias("id")).agg(F.min("story_key").alias("story_key"), F.min("title").alias("title"), F.max("ts").alias("last_seen"))
     none = rows.select("story_id").distinct().withColumn("own_state", F.lit(None).cast("string"))
-    return split_mixed(rows, dominant_value(rows.select("story_id", "state"), none, 2, 0.5))
+    s, links, counts = split_mixed(stories, rows, dominant_value(rows.select("story_id", "state"), none, 2, 0.67))
+    out = links.join(s, links["story_id"] == s["id"]).select("story_id", "article_id", "is_primary", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    return out.unionByName(counts.select(F.lit("counts").alias("story_id"), F.concat_ws(",", "candidates", "flagged", "split").alias("article_id"), F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("string").alias("last_seen")))
 
 
 register(
     "split_mixed_stories", "star_links", _split,
-    """WITH a AS (SELECT story_id, article_id, ts, CASE source_id % 4 WHEN 0 THEN 'north' WHEN 1 THEN 'south' WHEN 2 THEN 'west' END AS state FROM star_links), c AS (SELECT story_id, state, count(*) AS n FROM a GROUP BY ALL), t AS (SELECT story_id, sum(n) AS total FROM c GROUP BY 1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, state) AS r, lead(n) OVER (PARTITION BY story_id ORDER BY n DESC, state) AS second FROM c WHERE state IS NOT NULL), b AS (SELECT r.story_id, state AS main FROM r JOIN t USING (story_id) WHERE r = 1 AND n >= 2 AND n > coalesce(second, 0) AND n >= 0.5 * total)
-    SELECT story_id, article_id, concat(story_id, '-', state) AS new_story FROM a JOIN b USING (story_id) WHERE state <> main QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY ts DESC, article_id DESC) = 1""",
+    f"""WITH a AS (SELECT CAST(story_id AS VARCHAR) AS story_id, article_id, is_primary, ts, title, substr(title, 1, 8) AS k, {_SPLIT_STATE} AS state FROM star_links), c AS (SELECT story_id, state, count(*) AS n FROM a GROUP BY ALL), t AS (SELECT story_id, sum(n) AS total FROM c GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY n DESC, state) AS r, lead(n) OVER (PARTITION BY story_id ORDER BY n DESC, state) AS second FROM c WHERE state IS NOT NULL), b AS (SELECT r.story_id, state AS main FROM r JOIN t USING (story_id) WHERE r = 1 AND n >= 2 AND n > coalesce(second, 0) AND n >= 0.67 * total),
+    o AS (SELECT a.* FROM a JOIN b USING (story_id) WHERE state <> main), w AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY ts DESC, article_id DESC) = 1),
+    s AS (SELECT story_id AS id, min(k) AS k, max(ts) AS last_seen FROM a GROUP BY 1), m AS (SELECT w.story_id, w.article_id, (SELECT s.id FROM s WHERE s.k = w.k AND s.id <> w.story_id ORDER BY s.last_seen DESC, s.id DESC LIMIT 1) AS found FROM w),
+    f AS (SELECT CASE WHEN m.article_id IS NULL THEN a.story_id ELSE coalesce(m.found, concat('split-', a.article_id)) END AS story_id, a.article_id, max(CASE WHEN m.article_id IS NULL THEN is_primary ELSE m.found IS NULL END) AS p, max(a.ts) AS ts FROM a LEFT JOIN m ON m.story_id = a.story_id AND m.article_id = a.article_id GROUP BY 1, 2),
+    g AS (SELECT *, bool_or(p) OVER (PARTITION BY story_id) AS has, row_number() OVER (PARTITION BY story_id ORDER BY ts DESC, article_id DESC) = 1 AS newest, max(ts) OVER (PARTITION BY story_id) AS seen FROM f)
+    SELECT story_id, article_id, CASE WHEN has THEN p ELSE newest END AS is_primary, strftime(seen, '%Y-%m-%d %H:%M:%S') AS last_seen FROM g
+    UNION ALL SELECT 'counts', concat_ws(',', (SELECT count(*) FROM s), (SELECT count(*) FROM o), (SELECT count(*) FROM m)), NULL, NULL""",
 )
 
 
-def cluster_outlier_counts(links: DataFrame, own: DataFrame) -> DataFrame:
-    """Per story how many of its articles are of another state than the story. links (story_id, state); own (story_id, own_state)."""
-    return links.join(own, "story_id").groupBy("story_id").agg(F.count_if(F.col("state") != F.col("own_state")).alias("state_n"))
+def cluster_outlier_counts(links: DataFrame, stories: DataFrame, states: list[list[str]], generic: list[str], actions: list[str], theta: float = 0.56) -> DataFrame:
+    """(story_id, n, state_n, entity_n): how many titles a story's articles have, and how many of them the merge decision would veto
+    beside the story's own title, for its state or for its entities. links (story_id, title); stories (id, title)."""
+    side = lambda df, key, p: with_tokens(df, actions, generic).select(*key, *(F.col(c).alias(f"{c}_{p}") for c in ("tokens", "strong", "action")), state_of(F.col("title"), states).alias(f"s_{p}"), entity_tokens(F.col("title"), generic).alias(f"e_{p}"))
+    titled = links.where(F.trim(F.coalesce("title", F.lit(""))) != "")
+    both = side(titled, ["story_id"], "j").join(side(stories, [F.col("id").alias("story_id")], "i"), "story_id")
+    inter = lambda c: F.size(F.array_intersect(f"{c}_i", f"{c}_j"))
+    veto = _veto(inter("strong"), inter("action"))
+    return both.withColumn("veto", veto).groupBy("story_id").agg(F.count("*").alias("n"), F.count_if(F.col("veto") == "state_mismatch").alias("state_n"), F.count_if(F.col("veto") == "entity_conflict").alias("entity_n"))
 
 
 register(
-    "cluster_outlier_counts", "star_links orders",
-    lambda x, o: cluster_outlier_counts(x.select("story_id", F.expr("concat('s', source_id % 3)").alias("state")), o.select(F.col("o_orderkey").alias("story_id"), F.expr("concat('s', o_custkey % 3)").alias("own_state"))),
-    "SELECT story_id, count(*) FILTER (WHERE source_id % 3 <> o_custkey % 3) AS state_n FROM star_links JOIN orders ON o_orderkey = story_id GROUP BY story_id",
+    "cluster_outlier_counts", "v_stories v_articles",
+    lambda s, a: cluster_outlier_counts(_by_opening(a.select("id", "title")).select("story_id", "title"), _by_opening(s.select("id", "title")).groupBy(F.col("story_id").alias("id")).agg(F.min("title").alias("title")), L.DATA["states"], L.DATA["generic"], L.DATA["actions"]),
+    f"""WITH x AS (SELECT substr(lower(title), 1, 3) AS story_id, title FROM v_articles WHERE trim(title) <> ''), y AS (SELECT substr(lower(title), 1, 3) AS story_id, min(title) AS title FROM v_stories GROUP BY 1),
+    k0 AS (SELECT story_id, title, 'i' AS side, {sql_merge_tokens('title')[0]} AS raw FROM y UNION ALL SELECT story_id, title, 'j', {sql_merge_tokens('title')[0]} FROM x), k AS (SELECT *, {sql_distinct_first('raw', 24)} AS tokens, {_STATE_SQL} AS state, {_ENT_SQL} AS ent FROM k0),
+    t AS (SELECT *, list_filter(tokens, lambda x: x NOT IN ({q(L.DATA['actions'])}) AND x NOT IN ({q(L.DATA['generic'])})) AS strong, list_filter(tokens, lambda x: x IN ({q(L.DATA['actions'])})) AS action FROM k),
+    v AS (SELECT j.story_id, CASE WHEN i.state <> j.state THEN 'state_mismatch' WHEN len(i.ent) >= 2 AND len(j.ent) >= 2 AND len(list_intersect(i.ent, j.ent)) = 0 AND len(list_intersect(i.strong, j.strong)) = 0 AND len(list_intersect(i.action, j.action)) >= 1 THEN 'entity_conflict' END AS veto
+      FROM t j JOIN t i ON i.story_id = j.story_id AND i.side = 'i' AND j.side = 'j')
+    SELECT story_id, count(*) AS n, count(*) FILTER (WHERE veto = 'state_mismatch') AS state_n, count(*) FILTER (WHERE veto = 'entity_conflict') AS entity_n FROM v GROUP BY 1""",
 )
 
 

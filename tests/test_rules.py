@@ -8,7 +8,8 @@ from storyloom.functions.text import family, hits, story_key
 from storyloom.operators.filters import article_quality, audiences, non_story, topic_flags
 from storyloom.operators.rollups import feed_health, state_saturation, story_rollup
 from storyloom.operators.selection import select_diverse
-from storyloom.operators.similarity import merge_decision, merge_tokens, overlap_pairs, state_of, with_tokens
+from storyloom.functions.tokens import merge_tokens
+from storyloom.operators.similarity import merge_decision, overlap_pairs, state_of, with_tokens
 from storyloom.operators.upserts import article_upsert
 from storyloom.sources.pages import feed_items_scan, normal_url, page_canonical_url, page_lede
 
