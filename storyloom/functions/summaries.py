@@ -91,6 +91,58 @@ def sql_sanitized(rows: str, keep: str) -> str:
     s AS (SELECT *, CASE WHEN {bad} OR (len(w) >= 16 AND len(list_distinct(w)) / len(w) < 0.55) OR length(t) < {SHORTEST} THEN '' WHEN length(t) > {LONGEST} THEN concat(trim(substr(t, 1, {LONGEST}), ' '), '…') ELSE t END AS summary FROM s2)"""
 
 
+#: What is not displayed. Terms anywhere, templates at the start, generic reasons at the end.
+DISCARDED = ["sign up", "subscribe", "newsletter", "republish", "sponsor", "advertis", "getty images", "base64-image-removed"]
+TEMPLATES = [
+    r"^(coverage|reporting)\s+(is\s+)?(converging on|focused on|centered on|now centers on)\b", r"^(new coverage highlights|recent reporting points to|new reporting points to|districts are now tracking)\b",
+    r"^(budget coverage now centers on|new (finance|budget) reporting highlights|district budget attention is shifting toward)\b", r"^(policy coverage is focused on|legal and policy reporting now centers on|new governance reporting highlights)\b",
+    r"^(education reporting is focused on|classroom-focused coverage now highlights|new school reporting points to)\b",
+]
+GENERIC_REASON = r"\bwhy it matters:\s*(district leaders and educators may need to adjust policy,\s*staffing,\s*or classroom practice\.?|school systems may need to revisit planning,\s*staffing,\s*or implementation decisions\.?|this could influence district priorities and how schools execute day-to-day operations\.?)$"
+_DISPLAYED_MARKUP = [MARKUP[0], MARKUP[1], ("<base64-image-removed>", False), *MARKUP[3:]]
+_HIDDEN = "|".join([*(t.replace("-", "\\-") for t in DISCARDED), *TEMPLATES, GENERIC_REASON])
+
+
+def display_summary(c: Column) -> Column:
+    """A summary fit for display: without markup, addresses and trailing boilerplate; null if it is short, junk, a template or repeats
+    itself; 320 characters at most."""
+    t = F.coalesce(c, F.lit(""))
+    for pattern, stays in _DISPLAYED_MARKUP:
+        t = F.regexp_replace(t, f"(?i){pattern}", "$1" if stays else " ")
+    t = _squeezed(t)
+    for pattern in TAILS:
+        t = F.regexp_replace(t, f"(?is){pattern}", " ")
+    return let(_squeezed(t), _displayed)
+
+
+def _displayed(t: Column) -> Column:
+    w = F.filter(F.transform(F.split(F.lower(t), " "), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
+    dull = let(w, lambda w: (F.size(w) >= 16) & (F.size(F.array_distinct(w)) / F.size(w) < 0.55))
+    bad = t.rlike(f"(?i){_HIDDEN}") | reduce(lambda a, b: a | b, (t.rlike(f"(?i){p}") for p in REPEATS)) | (F.size(F.split(t, " ")) < 8) | dull
+    return F.when(~bad, F.when(F.length(t) > LONGEST, F.concat(F.trim(F.substring(t, 1, LONGEST)), F.lit("…"))).otherwise(t))
+
+
+def sql_display(rows: str) -> str:
+    """Common table expressions that end in dz (id, kind, clean) for rows (id, kind, raw)."""
+    t = "coalesce(raw, '')"
+    for pattern, stays in _DISPLAYED_MARKUP:
+        t = f"regexp_replace({t}, {_lit('(?i)' + pattern)}, '{chr(92) + '1' if stays else ' '}', 'g')"
+    tails = _sql_squeezed(t)
+    for pattern in TAILS:
+        tails = f"regexp_replace({tails}, {_lit('(?is)' + pattern)}, ' ', 'g')"
+    bad = " OR ".join([f"regexp_matches(t, {_lit('(?i)' + _HIDDEN)})", *(f"regexp_matches(t, {_lit('(?i)' + p)})" for p in REPEATS)])
+    return f"""dx AS (SELECT id, kind, {_sql_squeezed(tails)} AS t FROM {rows}), dy AS (SELECT *, list_filter(list_transform(string_split(lower(t), ' '), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: x <> '') AS w FROM dx),
+    dz AS (SELECT id, kind, CASE WHEN NOT ({bad} OR len(string_split(t, ' ')) < 8 OR (len(w) >= 16 AND len(list_distinct(w)) / len(w) < 0.55)) THEN CASE WHEN length(t) > {LONGEST} THEN concat(trim(substr(t, 1, {LONGEST}), ' '), '…') ELSE t END END AS clean FROM dy)"""
+
+
+def low_quality(c: Column) -> Column:
+    """Whether a text is no summary: short, junk, or repeating itself."""
+    t = F.coalesce(c, F.lit(""))
+    w = F.filter(F.transform(F.split(F.lower(t), r"\s+"), lambda x: F.regexp_replace(x, "[^a-z0-9]", "")), lambda x: x != "")
+    junk = t.rlike("(?i)" + "|".join(JUNK)) | reduce(lambda a, b: a | b, (t.rlike(f"(?i){p}") for p in REPEATS))
+    return (F.length(t) < SHORTEST) | junk | let(w, lambda w: (F.size(w) >= 16) & (F.size(F.array_distinct(w)) / F.size(w) < 0.55)) | (F.size(F.filter(F.split(t, r"\s+"), lambda x: x != "")) < 8)
+
+
 def hash31(c: Column) -> Column:
     """The 32-bit hash 31 h + code over the characters, without its sign."""
     codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))

@@ -151,8 +151,8 @@ def menu_snapshot(menu: DataFrame, events: DataFrame) -> DataFrame:
 
 register(
     "menu_snapshot", "orders events",
-    lambda o, e: menu_snapshot(o.where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("menu_id"), F.col("o_orderkey").alias("rank"), F.col("o_orderkey").alias("story_id")), e.select((F.col("user_id") * 2).alias("menu_id"))),
-    "SELECT o_custkey AS menu_id, CAST(to_json(list(struct_pack(rank := o_orderkey, story_id := o_orderkey) ORDER BY o_orderkey)) AS VARCHAR) AS detail FROM orders WHERE o_orderkey % 50 = 0 AND o_custkey NOT IN (SELECT user_id * 2 FROM events) GROUP BY 1",
+    lambda o, e: menu_snapshot(o.select(F.col("o_custkey").alias("menu_id"), F.col("o_orderkey").alias("rank"), F.col("o_orderkey").alias("story_id")), e.select((F.col("user_id") * 2).alias("menu_id"))),
+    "SELECT o_custkey AS menu_id, CAST(to_json(list(struct_pack(rank := o_orderkey, story_id := o_orderkey) ORDER BY o_orderkey)) AS VARCHAR) AS detail FROM orders WHERE o_custkey NOT IN (SELECT user_id * 2 FROM events) GROUP BY 1",
 )
 
 

@@ -147,8 +147,8 @@ def article_quality_rescan(articles: DataFrame, n: int | None = 3000) -> DataFra
 
 
 register(
-    "article_quality_rescan", "v_articles", lambda a: article_quality_rescan(_varied(a), 500),
-    _QUALITY_SQL + " SELECT coalesce(v.quality_label, 'unknown') AS old_label, r.quality_label, count(*) AS n FROM r JOIN (SELECT * FROM v_articles ORDER BY ts DESC, id DESC LIMIT 500) v USING (id) GROUP BY 1, 2",
+    "article_quality_rescan", "v_articles", lambda a: article_quality_rescan(_varied(a), None),
+    _QUALITY_SQL + " SELECT coalesce(v.quality_label, 'unknown') AS old_label, r.quality_label, count(*) AS n FROM r JOIN v_articles v USING (id) GROUP BY 1, 2",
 )
 
 
@@ -318,12 +318,12 @@ _SCORES = "SELECT id, id % 5 > 1 AS relevant, CAST(id % 10 AS DOUBLE) / 10 AS sc
 
 def _gate(a: DataFrame) -> DataFrame:
     run = lambda s: a.sparkSession.sql(s.replace("v_articles", "{a}"), a=a)
-    return relevance_gate(run(_ITEMS), run(_SCORES), 100)
+    return relevance_gate(run(_ITEMS), run(_SCORES), None)
 
 
 register(
     "relevance_gate", "v_articles", _gate,
-    f"""WITH i AS ({_ITEMS}), s AS ({_SCORES}), k AS (SELECT id FROM i WHERE needs_check ORDER BY ord LIMIT 100), j AS (SELECT i.*, s.relevant, s.score FROM i LEFT JOIN (SELECT s.* FROM s JOIN k USING (id)) s USING (id))
+    f"""WITH i AS ({_ITEMS}), s AS ({_SCORES}), k AS (SELECT id FROM i WHERE needs_check), j AS (SELECT i.*, s.relevant, s.score FROM i LEFT JOIN (SELECT s.* FROM s JOIN k USING (id)) s USING (id))
     SELECT id, CASE WHEN score >= 0.3 AND score < 0.5 THEN 'uncertain' ELSE label END AS label FROM j WHERE NOT coalesce(NOT relevant AND score < 0.3, false) AND NOT (wire AND NOT strict_signal AND coalesce(score, 0) < 0.5)""",
 )
 

@@ -103,8 +103,8 @@ def ungrouped_articles(articles: DataFrame, links: DataFrame, n: int | None = 30
 
 
 register(
-    "ungrouped_articles", "v_articles v_links", lambda a, x: ungrouped_articles(a, x.where("substr(story_id, 1, 1) < '8'")),
-    """SELECT id, title FROM v_articles WHERE coalesce(quality_label, 'unknown') <> 'non_article' AND id NOT IN (SELECT article_id FROM v_links WHERE substr(story_id, 1, 1) < '8') ORDER BY ts DESC, id DESC LIMIT 300""",
+    "ungrouped_articles", "v_articles v_links", lambda a, x: ungrouped_articles(a, x.where("is_primary"), None),
+    """SELECT id, title FROM v_articles WHERE coalesce(quality_label, 'unknown') <> 'non_article' AND id NOT IN (SELECT article_id FROM v_links WHERE is_primary)""",
 )
 
 
@@ -167,15 +167,23 @@ register(
 
 
 def story_rollup(links: DataFrame, sources: DataFrame, at: str = STAR_AS_OF, recent_hours: int = 24, days: int | None = None, k: int | None = None) -> DataFrame:
-    """Per story: articles, distinct source domains, recent articles, mean source weight (unknown: 1), latest time; the newest k.
+    """Per story: articles, distinct source domains and their families, recent articles, mean source weight (unknown: 1), latest time; the
+    newest k.
 
-    Partial sums go through one shuffle on the story. With `days`, only articles of that window count.
+    Partial sums go through one shuffle on the story. With `days`, only articles of that window count. Where links have a url, its host
+    stands for an unknown source.
     """
+    from storyloom.functions.text import family
+    from storyloom.sources.pages import domain
+
     rows = links if days is None else links.where(since("ts", at, 24 * days))
     rows = rows.join(sources.select(F.col("id").alias("source_id"), "domain", "weight"), "source_id", "left")
+    if "url" in links.columns:
+        rows = rows.withColumn("domain", F.coalesce("domain", F.nullif(domain(F.col("url")), F.lit(""))))
     out = rows.groupBy("story_id").agg(
         F.count("*").alias("article_count"),
         F.count_distinct("domain").alias("source_count"),
+        F.count_distinct(family(F.col("domain"))).alias("family_count"),
         F.count_if(since("ts", at, recent_hours)).alias("recent_count"),
         F.round(F.avg(F.coalesce("weight", F.lit(1.0))), 6).alias("avg_weight"),
         F.max("ts").alias("latest_at"),
@@ -184,7 +192,7 @@ def story_rollup(links: DataFrame, sources: DataFrame, at: str = STAR_AS_OF, rec
 
 
 def _rolled(at: str, hours: int, where: str, order: str = "") -> str:
-    return f"""SELECT story_id, count(*) AS article_count, count(DISTINCT domain) AS source_count, count(*) FILTER (WHERE ts >= TIMESTAMP '{at}' - INTERVAL {hours} HOURS) AS recent_count,
+    return f"""SELECT story_id, count(*) AS article_count, count(DISTINCT domain) AS source_count, count(DISTINCT array_to_string(string_split(domain, '.')[-2:], '.')) AS family_count, count(*) FILTER (WHERE ts >= TIMESTAMP '{at}' - INTERVAL {hours} HOURS) AS recent_count,
     round(avg(coalesce(weight, 1.0)), 6) AS avg_weight, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest_at FROM star_links l LEFT JOIN star_sources s ON s.id = l.source_id {where} GROUP BY story_id {order}"""
 
 
@@ -193,16 +201,16 @@ register("story_rollup_newest", "star_links star_sources", lambda x, s: story_ro
 register("story_rollup_weekly", "star_links star_sources", lambda x, s: story_rollup(x, s, recent_hours=72, days=700).withColumn("latest_at", text_ts("latest_at")), _rolled(STAR_AS_OF, 72, f"WHERE ts >= TIMESTAMP '{STAR_AS_OF}' - INTERVAL 16800 HOURS"))
 
 
-def merge_candidates(stories: DataFrame, at: str = AS_OF, days: int = 5, least: int = 1, k: int = 280) -> DataFrame:
-    """Visible stories seen within some days with at least so many articles, the newest k."""
+def merge_candidates(stories: DataFrame, at: str = AS_OF, days: int = 5, least: int = 1, k: int | None = None) -> DataFrame:
+    """Visible stories seen within some days with at least so many articles; with k, the newest so many."""
     rows = stories.where(f"status <> 'hidden' and article_count >= {least}").where(since("last_seen", at, 24 * days))
-    return rows.orderBy(F.desc("last_seen"), F.desc("id")).limit(k).select("id", "title", "article_count")
+    return (rows if k is None else rows.orderBy(F.desc("last_seen"), F.desc("id")).limit(k)).select("id", "title", "article_count")
 
 
-for _name, _days, _least, _k in (("merge_candidates", 5, 1, 280), ("split_candidates", 30, 2, 220)):
+for _name, _days, _least in (("merge_candidates", 5, 1), ("split_candidates", 30, 2)):
     register(
-        _name, "v_stories", lambda s, d=_days, n=_least, k=_k: merge_candidates(s, days=d, least=n, k=k),
-        f"SELECT id, title, article_count FROM v_stories WHERE status <> 'hidden' AND article_count >= {_least} AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL {24 * _days} HOURS ORDER BY last_seen DESC, id DESC LIMIT {_k}", needs="v_stories",
+        _name, "v_stories", lambda s, d=_days, n=_least: merge_candidates(s, days=d, least=n),
+        f"SELECT id, title, article_count FROM v_stories WHERE status <> 'hidden' AND article_count >= {_least} AND last_seen >= TIMESTAMP '{AS_OF}' - INTERVAL {24 * _days} HOURS", needs="v_stories",
     )
 
 

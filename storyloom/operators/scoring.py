@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import lexicons as L
-from storyloom.functions.summaries import fallback_summary, sanitized, sql_fallback, sql_sanitized
+from storyloom.functions.summaries import display_summary, fallback_summary, sanitized, sql_display, sql_fallback, sql_sanitized
 from storyloom.functions.text import hits, sql_hits
-from storyloom.operators.filters import DATA_AUDIENCE, audiences, sql_audience
+from storyloom.operators.filters import DATA_AUDIENCE, SERVABLE_SQL, audiences, servable, sql_audience
+from storyloom.operators.rollups import story_latest_summary, story_latest_summary_windowed, story_rollup
 from storyloom.registry import register
 from storyloom.sources.views import AS_OF
 
@@ -94,23 +95,68 @@ def newsletter_ranking(rolled: DataFrame, as_of: str = AS_OF, lexicon: dict = DE
     return out.withColumns({"score": F.round(_product(c("sum") + operator) * boost, 2), "why": F.when(F.size(reasons) == 0, F.array(F.lit("high_impact"))).otherwise(F.slice(reasons, 1, 3))})
 
 
-#: Rolled-up stories over the text view, with derived counts.
-ROLLED = """SELECT id, title, summary, article_count, article_count % 4 AS source_count, article_count % 3 AS family_count, article_count % 5 AS recent_count,
-    CASE WHEN article_count % 2 = 0 THEN 1.1e0 ELSE 0.7e0 END + length(title) % 3 * 0.1e0 AS avg_weight, last_seen AS latest_at, status, homepage_rank, first_seen FROM v_stories"""
+# --- stories with their rollup and preview ------------------------------------------------------------------------------------------
 
+#: A stored preview counts from this confidence on.
+MIN_CONFIDENCE = 0.58
 
-def rolled(stories: DataFrame) -> DataFrame:
-    return stories.sparkSession.sql(ROLLED.replace("v_stories", "{s}"), s=stories)
+
+def resolved_previews(stories: DataFrame) -> DataFrame:
+    """stories with auto_summary, preview_type, preview_confidence, summary (the editor's, else the automatic one) and preview_factor.
+
+    A stored preview decides if there is one (a headline without text, confidence and reason is none); else the story's own summary or its
+    newest article's counts half. Reads preview_text, preview_type, preview_confidence, preview_reason, editor_summary, summary and
+    latest_summary. A story without summary loses a tenth of its score, one with a doubtful one four hundredths.
+    """
+    c = F.col
+    text, kind, sure = display_summary(c("preview_text")), F.lower(F.coalesce("preview_type", F.lit(""))), F.coalesce("preview_confidence", F.lit(0.0))
+    rows = stories.withColumns({"_text": text, "_editor": display_summary(c("editor_summary")), "_own": F.coalesce(display_summary(c("summary")), display_summary(c("latest_summary"))), "_sure": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)), 2)})
+    empty = (kind == "headline_only") & c("_text").isNull() & (c("_sure") == 0) & (F.trim(F.coalesce("preview_reason", F.lit(""))) == "")
+    stored_one = kind.isin("full", "excerpt", "headline_only") & ~empty
+    used = stored_one & kind.isin("full", "excerpt") & c("_text").isNotNull() & (c("_sure") >= MIN_CONFIDENCE)
+    rows = rows.withColumns({"auto_summary": F.when(used, c("_text")).when(~stored_one, c("_own")), "_kind": F.when(used, kind).when(~stored_one & c("_own").isNotNull(), "excerpt").otherwise("headline_only"), "_conf": F.when(stored_one, c("_sure")).otherwise(F.when(c("_own").isNotNull(), 0.5).otherwise(0.0))})
+    factor = F.when(c("_editor").isNotNull(), 1.0).when(c("auto_summary").isNull(), 0.9).when(c("_conf") < MIN_CONFIDENCE + 0.08, 0.96).otherwise(1.0)
+    rows = rows.withColumns({"preview_factor": factor, "preview_type": F.when(c("_editor").isNotNull(), "full").otherwise(c("_kind")), "preview_confidence": F.when(c("_editor").isNotNull(), 1.0).otherwise(c("_conf")), "summary": F.coalesce("_editor", "auto_summary"), "editor_summary": c("_editor")})
+    return rows.drop("_text", "_editor", "_own", "_sure", "_kind", "_conf")
+
+
+def board(stories: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, at: str = AS_OF, recent_hours: int = 24, days: int | None = None, k: int | None = None) -> DataFrame:
+    """Stories with servable articles: their rollup, title and preview as shown; of the newest k, or of the last days, if given."""
+    good = articles.where(servable())
+    rows = links.select("story_id", "article_id").join(good.select(F.col("id").alias("article_id"), "source_id", "url", "ts"), "article_id")
+    roll = story_rollup(rows, sources, at, recent_hours, days, k).withColumnRenamed("story_id", "id")
+    latest = story_latest_summary(links, good) if days is None else story_latest_summary_windowed(links, good, at, days)
+    out = stories.drop("article_count").join(roll, "id").join(latest.select(F.col("story_id").alias("id"), F.col("summary").alias("latest_summary")), "id", "left")
+    return resolved_previews(out).drop("latest_summary").withColumn("title", F.coalesce(F.nullif(F.trim("editor_title"), F.lit("")), F.col("title")))
+
+
+def board_sql(recent_hours: int = 24, days: int | None = None) -> str:
+    """Common table expressions that end in r: the rows of board()."""
+    window = "" if days is None else f" AND a.ts >= TIMESTAMP '{AS_OF}' - INTERVAL {24 * days} HOURS"
+    order = "struct_pack(ts := a.ts, id := a.id)" if days is None else "struct_pack(p := is_primary, ts := a.ts, id := a.id)"
+    fam = "array_to_string(string_split(domain, '.')[CASE WHEN domain LIKE '%.co.uk' THEN -3 ELSE -2 END:], '.')"
+    raw = "(SELECT id, 'e' AS kind, editor_summary AS raw FROM v_stories UNION ALL SELECT id, 'p', preview_text FROM v_stories UNION ALL SELECT id, 's', summary FROM v_stories UNION ALL SELECT story_id, 'l', summary FROM lt)"
+    return f"""WITH ga AS (SELECT * FROM v_articles WHERE {SERVABLE_SQL}), ro AS (SELECT story_id, count(*) AS article_count, count(DISTINCT domain) AS source_count, count(DISTINCT {fam}) AS family_count,
+      count(*) FILTER (WHERE a.ts >= TIMESTAMP '{AS_OF}' - INTERVAL {recent_hours} HOURS) AS recent_count, round(avg(coalesce(weight, 1.0)), 6) AS avg_weight, max(a.ts) AS latest_at FROM v_links l JOIN ga a ON a.id = l.article_id{window} LEFT JOIN v_sources c ON c.id = a.source_id GROUP BY 1),
+    lt AS (SELECT story_id, arg_max(summary, {order}) AS summary FROM v_links l JOIN ga a ON a.id = l.article_id WHERE trim(summary) <> ''{window} GROUP BY 1), {sql_display(raw)},
+    pv AS (SELECT v.id, max(clean) FILTER (WHERE kind = 'e') AS ed, max(clean) FILTER (WHERE kind = 'p') AS tx, coalesce(max(clean) FILTER (WHERE kind = 's'), max(clean) FILTER (WHERE kind = 'l')) AS own FROM v_stories v JOIN dz ON dz.id = v.id GROUP BY 1),
+    pw AS (SELECT v.*, pv.ed, pv.tx, pv.own, round(coalesce(v.preview_confidence, 0), 2) AS sure, v.preview_type IS NOT NULL AND NOT (v.preview_type = 'headline_only' AND tx IS NULL AND round(coalesce(v.preview_confidence, 0), 2) = 0 AND trim(coalesce(v.preview_reason, '')) = '') AS st FROM v_stories v JOIN pv USING (id)),
+    py AS (SELECT *, st AND preview_type IN ('full', 'excerpt') AND tx IS NOT NULL AND sure >= {MIN_CONFIDENCE} AS used FROM pw), pz AS (SELECT *, CASE WHEN used THEN tx WHEN NOT st THEN own END AS auto_summary, CASE WHEN st THEN sure WHEN own IS NOT NULL THEN 0.5 ELSE 0 END AS conf FROM py),
+    r AS (SELECT z.id, coalesce(nullif(trim(editor_title), ''), title) AS title, coalesce(ed, auto_summary) AS summary, ed AS editor_summary, auto_summary, CASE WHEN ed IS NOT NULL THEN 'full' WHEN used THEN preview_type WHEN NOT st AND own IS NOT NULL THEN 'excerpt' ELSE 'headline_only' END AS preview_type,
+      CASE WHEN ed IS NOT NULL THEN 1.0::DOUBLE WHEN auto_summary IS NULL THEN 0.9::DOUBLE WHEN conf < {MIN_CONFIDENCE + 0.08} THEN 0.96::DOUBLE ELSE 1.0::DOUBLE END AS preview_factor, ro.* EXCLUDE story_id, status, homepage_rank, first_seen FROM pz z JOIN ro ON ro.story_id = z.id)"""
+
+
+BOARD = "v_stories v_links v_articles v_sources"
 
 
 def _score_sql(w: dict, weekly: bool) -> str:
     x = L.DATA
     h = {k: sql_hits("concat_ws(' ', title, summary)", x[k], 3 if k in ("impact", "urgency", "novelty", "relevance", "policy") else 9) for k in DEFAULT}
     cols = ", ".join(f"{v} AS n_{k}" for k, v in h.items())
-    a = sql_audience("concat(title, ' ', summary)")
+    a = sql_audience("concat_ws(' ', title, summary)")
     soft = "n_impact = 0 AND n_policy = 0" if weekly else "n_urgency + least(n_policy, 1) = 0"
     novelty = "0" if weekly else "n_novelty"
-    return f"""WITH r AS ({ROLLED}), h AS (SELECT *, {cols}, CASE WHEN family_count > 0 THEN family_count ELSE source_count END AS ind, date_diff('second', latest_at, TIMESTAMP '{AS_OF}') / 3600.0::DOUBLE AS hours,
+    return f"""{board_sql(72, 14) if weekly else board_sql()}, h AS (SELECT *, {cols}, CASE WHEN family_count > 0 THEN family_count ELSE source_count END AS ind, date_diff('second', latest_at, TIMESTAMP '{AS_OF}') / 3600.0::DOUBLE AS hours,
       greatest(0.3, least(2.2, pow(greatest(0.45, least(1.5, avg_weight)), 3))) AS authority, {a['admins']} AS f_admins, {a['teachers']} AS f_teachers, {a['edtech']} AS f_edtech FROM r),
     k AS (SELECT *, hours > {w['weak']} AND ind <= 1 AND recent_count <= 1 AS weak, n_urgency > 0 AND (hours <= {w['urgent']} OR recent_count >= 2) AS urgent, ind <= 1 AND recent_count <= 1 AND article_count <= 1 AS lone FROM h),
     t AS (SELECT *, CASE WHEN n_opinion > 0 THEN 'opinion' WHEN n_breaking > 0 THEN 'breaking' WHEN n_policy > 0 THEN 'policy' WHEN n_evergreen > 0 OR (n_instructional > 0 AND n_policy = 0 AND n_urgency = 0 AND n_impact = 0 AND {novelty} = 0) OR (n_instructional > 0 AND weak) THEN 'evergreen' ELSE 'feature' END AS story_type,
@@ -124,14 +170,14 @@ def _score_sql(w: dict, weekly: bool) -> str:
 
 HOME_SQL = _score_sql(HOMEPAGE, False) + """, q AS (SELECT *, CASE WHEN story_type = 'evergreen' AND NOT urgent THEN 'evergreen_instructional' WHEN story_type = 'opinion' AND NOT urgent THEN 'opinion_demoted' WHEN low_single AND NOT urgent THEN 'single_low_authority_source'
     WHEN low_news THEN 'low_newsworthiness_feature' END AS lead_reason, round(base * factor, 2) AS score FROM p)"""
-register("story_type", "v_stories", lambda s: story_ranking(rolled(s), lexicon={k: L.DATA[k] for k in DEFAULT}).groupBy("story_type").agg(F.count("*").alias("n")), HOME_SQL + " SELECT story_type, count(*) AS n FROM q GROUP BY 1")
+register("story_type", BOARD, lambda *t: story_ranking(board(*t), lexicon={k: L.DATA[k] for k in DEFAULT}).groupBy("story_type").agg(F.count("*").alias("n")), HOME_SQL + " SELECT story_type, count(*) AS n FROM q GROUP BY 1")
 DATA_LEXICON = {k: L.DATA[k] for k in DEFAULT}
-register("story_ranking", "v_stories", lambda s: story_ranking(rolled(s), lexicon=DATA_LEXICON).select("id", "score", "story_type", "lead_eligible", "lead_reason", "urgent"), HOME_SQL + " SELECT id, score, story_type, lead_reason IS NULL AS lead_eligible, lead_reason, urgent FROM q")
+register("story_ranking", BOARD, lambda *t: story_ranking(board(*t), lexicon=DATA_LEXICON).select("id", "score", "story_type", "lead_eligible", "lead_reason", "urgent"), HOME_SQL + " SELECT id, score, story_type, lead_reason IS NULL AS lead_eligible, lead_reason, urgent FROM q")
 
 WEEK_SQL = _score_sql(WEEKLY, True) + """, q AS (SELECT *, round((base + least(1.2, CAST(f_admins AS INT) * 0.75 + CAST(f_teachers AS INT) * 0.35 + CAST(f_edtech AS INT) * 0.35)) * factor * CASE WHEN ind >= 4 THEN 1.6 WHEN ind = 3 THEN 1.42 WHEN ind = 2 THEN 1.24 ELSE 1 END, 2) AS score,
     list_filter([CASE WHEN n_impact >= 2 THEN 'high_impact' END, CASE WHEN n_policy > 0 THEN 'policy' END, CASE WHEN n_urgency > 0 AND (hours <= 72 OR recent_count >= 2) THEN 'urgent' END, CASE WHEN ind >= 2 OR source_count >= 2 THEN 'multi_source' END,
     CASE WHEN f_admins AND (n_impact > 0 OR n_policy > 0) THEN 'district_impact' END, CASE WHEN f_teachers AND NOT f_admins THEN 'classroom_relevance' END, CASE WHEN f_edtech THEN 'edtech' END, CASE WHEN recent_count >= 3 OR article_count >= 4 THEN 'momentum' END], lambda x: x IS NOT NULL) AS why FROM p)"""
-register("newsletter_ranking", "v_stories", lambda s: newsletter_ranking(rolled(s), lexicon=DATA_LEXICON, audience=DATA_AUDIENCE).select("id", "score", F.array_join("why", ",").alias("why")), WEEK_SQL + " SELECT id, score, CASE WHEN len(why) = 0 THEN 'high_impact' ELSE array_to_string(why[1:3], ',') END AS why FROM q")
+register("newsletter_ranking", BOARD, lambda *t: newsletter_ranking(board(*t, recent_hours=72, days=14), lexicon=DATA_LEXICON, audience=DATA_AUDIENCE).select("id", "score", F.array_join("why", ",").alias("why")), WEEK_SQL + " SELECT id, score, CASE WHEN len(why) = 0 THEN 'high_impact' ELSE array_to_string(why[1:3], ',') END AS why FROM q")
 
 
 # --- summaries ---------------------------------------------------------------------------------------------------------------------
@@ -189,12 +235,12 @@ def summary_adjudication(candidates: DataFrame) -> DataFrame:
     return best.select("id", "kind", "summary", F.round(confidence, 4).alias("confidence"))
 
 
-_CAND = "SELECT id, title, kind, ord, summary FROM (SELECT *, 'feed' AS kind, 1 AS ord FROM s UNION ALL SELECT * REPLACE (substr(summary, 1, 120) AS summary), 'page' AS kind, 2 AS ord FROM s UNION ALL SELECT * REPLACE (concat('Coverage of ', title) AS summary), 'fallback', 3 FROM s)"
+_CAND = "SELECT id, title, kind, ord, summary FROM (SELECT *, 'feed' AS kind, 1 AS ord FROM s UNION ALL SELECT * REPLACE (regexp_extract(summary, '^[^.!?]*[.!?]?', 0) AS summary), 'page' AS kind, 2 AS ord FROM s UNION ALL SELECT * REPLACE (concat('Coverage of ', title) AS summary), 'fallback', 3 FROM s)"
 
 
 def _candidates(a: DataFrame) -> DataFrame:
     s = a.withColumn("summary", sanitized(F.col("summary")))
-    page, fallback = s.withColumn("summary", F.substring("summary", 1, 120)), s.withColumn("summary", F.concat(F.lit("Coverage of "), "title"))
+    page, fallback = s.withColumn("summary", F.regexp_extract("summary", "^[^.!?]*[.!?]?", 0)), s.withColumn("summary", F.concat(F.lit("Coverage of "), "title"))
     parts = [(s, "feed", 1), (page, "page", 2), (fallback, "fallback", 3)]
     return parts[0][0].sparkSession.createDataFrame([], "id long, title string, summary string, kind string, ord int").unionByName(_stack(parts))
 

@@ -6,6 +6,9 @@ a top-k first; editions run in parallel and no task holds more than one pool.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ from pyspark.sql.window import Window
 from storyloom.functions import lexicons as L
 from storyloom.functions.text import normal
 from storyloom.operators.filters import DATA_AUDIENCE, audiences
-from storyloom.operators.scoring import DATA_LEXICON, HOME_SQL, rolled, story_ranking
-from storyloom.operators.similarity import PAIR_SQL, data_tokens, overlap_pairs, state_of
+from storyloom.operators.scoring import BOARD, DATA_LEXICON, HOME_SQL, board, board_sql, story_ranking
+from storyloom.operators.similarity import TOPIC_PAIR_SQL, TOPICS, data_topical, overlap_pairs, state_of, topic_of
 from storyloom.registry import register
 
 SIMILAR, STRONG = 0.4, 0.58
@@ -31,15 +34,15 @@ def prior_overlap_penalty(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("id", "pinned", F.round(F.col("score") * factor, 2).alias("score"))
 
 
-def ranked_pool(stories: DataFrame, k: int) -> DataFrame:
+def ranked_pool(rolled: DataFrame, k: int) -> DataFrame:
     """The k best stories of the homepage score, with their place."""
-    best = story_ranking(rolled(stories), lexicon=DATA_LEXICON).orderBy(F.desc("score"), "id").limit(k)
+    best = story_ranking(rolled, lexicon=DATA_LEXICON).orderBy(F.desc("score"), "id").limit(k)
     return best.withColumns({"pos": F.row_number().over(Window.orderBy(F.desc("score"), "id")), "pinned": F.col("status") == "pinned"})
 
 
 register(
-    "prior_overlap_penalty", "v_stories", lambda s: prior_overlap_penalty(ranked_pool(s, 200).select("id", "pos", "score", "pinned"), overlap_pairs(data_tokens(s), least=SIMILAR)),
-    HOME_SQL + f", pool AS (SELECT id, score, status = 'pinned' AS pinned, row_number() OVER (ORDER BY score DESC, id) AS pos FROM q QUALIFY pos <= 200), near AS ({PAIR_SQL} SELECT i, j, ratio FROM o)"
+    "prior_overlap_penalty", BOARD, lambda s, *t: prior_overlap_penalty(ranked_pool(board(s, *t), 200).select("id", "pos", "score", "pinned"), overlap_pairs(data_topical(s), least=SIMILAR)),
+    HOME_SQL + f", pool AS (SELECT id, score, status = 'pinned' AS pinned, row_number() OVER (ORDER BY score DESC, id) AS pos FROM q QUALIFY pos <= 200), near AS ({TOPIC_PAIR_SQL} SELECT i, j, ratio FROM o)"
     + """, b AS (SELECT i, j, ratio FROM near UNION ALL SELECT j, i, ratio FROM near), w AS (SELECT b.i, max(ratio) AS overlap FROM b JOIN pool x ON x.id = b.i JOIN pool y ON y.id = b.j WHERE y.pos < x.pos GROUP BY 1)
     SELECT id, pinned, round(score * CASE WHEN pinned OR coalesce(overlap, 0) < 0.4 THEN 1.0::DOUBLE WHEN overlap >= 0.58 THEN 0.62::DOUBLE ELSE 0.8::DOUBLE END, 2) AS score FROM pool LEFT JOIN w ON i = id""",
 )
@@ -56,11 +59,13 @@ def exact_title_collapse(candidates: DataFrame) -> DataFrame:
     ).drop("k")
 
 
+#: Titles up to their first comma, so that some are equal.
+_BEFORE_COMMA = "regexp_extract(title, '^[^,]*', 0)"
 register(
-    "exact_title_collapse", "v_stories", lambda s: exact_title_collapse(rolled(s.withColumn("title", F.substring("title", 1, 5)))),
-    """WITH r AS (SELECT *, substr(title, 1, 5) AS t5, CASE WHEN article_count % 2 = 0 THEN 1.1::DOUBLE ELSE 0.7::DOUBLE END + length(substr(title, 1, 5)) % 3 * 0.1::DOUBLE AS avg_weight FROM v_stories), k AS (SELECT *, trim(regexp_replace(lower(regexp_replace(t5, '^[^|]{1,30}\\|', '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM r)
+    "exact_title_collapse", BOARD, lambda *t: exact_title_collapse(board(*t).withColumn("title", F.expr(_BEFORE_COMMA))),
+    board_sql() + f""", k AS (SELECT *, trim(regexp_replace(lower(regexp_replace({_BEFORE_COMMA}, '^[^|]{{1,30}}\\|', '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM r)
     SELECT first(id ORDER BY status <> 'pinned', article_count DESC, id) AS id, string_agg(id, ',' ORDER BY id) AS story_ids, CAST(sum(article_count) AS BIGINT) AS article_count, round(sum(avg_weight * article_count) / sum(article_count), 6) AS avg_weight,
-    min(CASE WHEN homepage_rank > 0 THEN homepage_rank END) AS homepage_rank, first(summary ORDER BY status <> 'pinned', article_count DESC, id) AS summary FROM k GROUP BY k""",
+    min(CASE WHEN homepage_rank > 0 THEN homepage_rank END) AS homepage_rank, first(summary ORDER BY status <> 'pinned', article_count DESC, id) FILTER (WHERE summary IS NOT NULL) AS summary FROM k GROUP BY k""",
 )
 
 
@@ -70,7 +75,7 @@ def menu_sort(candidates: DataFrame, limit: int = 60) -> DataFrame:
     return best.select("id", F.row_number().over(Window.orderBy(*keys)).alias("pos"))
 
 
-register("menu_sort", "v_stories", lambda s: menu_sort(story_ranking(rolled(s), lexicon=DATA_LEXICON)), HOME_SQL + " SELECT id, CAST(row_number() OVER (ORDER BY score DESC, family_count DESC, source_count DESC, article_count DESC, latest_at DESC, id) AS INT) AS pos FROM q QUALIFY pos <= 60")
+register("menu_sort", BOARD, lambda *t: menu_sort(story_ranking(board(*t), lexicon=DATA_LEXICON)), HOME_SQL + " SELECT id, CAST(row_number() OVER (ORDER BY score DESC, family_count DESC, source_count DESC, article_count DESC, latest_at DESC, id) AS INT) AS pos FROM q QUALIFY pos <= 60")
 
 
 def preview_ready_fallback(scored: DataFrame, limit: int) -> DataFrame:
@@ -92,25 +97,34 @@ def pool_stats(staged: DataFrame) -> DataFrame:
 
 
 register(
-    "pool_stats", "v_stories", lambda s: pool_stats(rolled(s).select("source_count", F.expr("status = 'active'").alias("filtered"), F.expr("status = 'active' and article_count > 1").alias("returned"))),
-    """SELECT count(*) AS candidates, count(*) FILTER (WHERE status = 'active') AS filtered, count(*) FILTER (WHERE status = 'active' AND article_count > 1) AS returned, count(*) FILTER (WHERE m) AS candidates_multi,
-    count(*) FILTER (WHERE m AND status = 'active') AS filtered_multi, count(*) FILTER (WHERE m AND status = 'active' AND article_count > 1) AS returned_multi FROM (SELECT *, article_count % 4 > 1 AS m FROM v_stories)""",
+    "pool_stats", BOARD, lambda *t: pool_stats(board(*t).select("source_count", F.expr("status = 'active'").alias("filtered"), F.expr("status = 'active' and article_count > 1").alias("returned"))),
+    board_sql() + """ SELECT count(*) AS candidates, count(*) FILTER (WHERE status = 'active') AS filtered, count(*) FILTER (WHERE status = 'active' AND article_count > 1) AS returned, count(*) FILTER (WHERE m) AS candidates_multi,
+    count(*) FILTER (WHERE m AND status = 'active') AS filtered_multi, count(*) FILTER (WHERE m AND status = 'active' AND article_count > 1) AS returned_multi FROM (SELECT *, source_count > 1 AS m FROM r)""",
 )
 
 
-def with_traits(stories: DataFrame) -> DataFrame:
-    """What the selection rules look at: tokens by class, state, audiences."""
-    tokens = data_tokens(stories).select("id", "tokens", "action", "strong")
-    return stories.select("id", state_of(F.col("title"), L.DATA["states"]).alias("state"), audiences(F.concat_ws(" ", "title", "summary"), DATA_AUDIENCE).alias("audience")).join(tokens, "id")
+def with_traits(stories: DataFrame, states: list = L.DATA["states"], topics: list = TOPICS, audience: dict | None = DATA_AUDIENCE, hints: list[str] = L.NOVELTY_HINTS, tokens: Callable[[DataFrame], DataFrame] = data_topical) -> DataFrame:
+    """What the selection rules look at: tokens by class, state, topic, audiences, whether the title hints at news. stories (id, title, summary)."""
+    by_class = tokens(stories.select("id", "title")).select("id", "tokens", "action", "strong")
+    hint = F.lower(F.coalesce("title", F.lit(""))).rlike("|".join(hints))
+    own = stories.select("id", state_of(F.col("title"), states).alias("state"), topic_of(F.col("title"), topics).alias("topic"), audiences(F.concat_ws(" ", "title", "summary"), audience).alias("audience"), hint.alias("hint"))
+    return own.join(by_class, "id")
 
 
 def _overlap(a: set, b: set) -> float:
     return len(a & b) / max(1, min(len(a), len(b))) if a and b else 0.0
 
 
-def select_diverse(pool: pd.DataFrame, limit: int, state_limit: int = 1, audience_limit: int = 3, window: int = 10, events: int = 20) -> list:
-    """Ids of the chosen rows of one edition, in order. pool: rows in rank order with id, pinned, urgent, state, audience, source_count,
-    recent_count, latest, tokens, action, strong."""
+def same_event(a: dict, b: dict) -> bool:
+    """Whether two rows tell of one event: much overlap with a strong token or two actions, or some overlap of both kinds."""
+    shared, ratio = len(a["tokens"] & b["tokens"]), _overlap(a["tokens"], b["tokens"])
+    strong, action = len(a["strong"] & b["strong"]), len(a["action"] & b["action"])
+    return strong >= 1 or action >= 2 if ratio >= SIMILAR else ratio >= 0.3 and shared >= 3 and action >= 1 and strong >= 1
+
+
+def select_diverse(pool: pd.DataFrame, limit: int, state_limit: int = 1, audience_limit: int = 1, window: int = 10, events: int = 20) -> list:
+    """Ids of the chosen rows of one edition, in order. pool: rows in rank order with id, pinned, urgent, state, topic, audience, hint,
+    source_count, recent_count, latest, tokens, action, strong."""
     rows = [{**r, "tokens": set(r["tokens"]), "action": set(r["action"]), "strong": set(r["strong"])} for r in pool.to_dict("records")]
     if len(rows) <= limit:
         return [r["id"] for r in rows]
@@ -130,12 +144,13 @@ def select_diverse(pool: pd.DataFrame, limit: int, state_limit: int = 1, audienc
     def event_ok(r: dict) -> bool:
         if len(chosen) >= events:
             return True
-        same = [(_overlap(r["tokens"], c["tokens"]), c) for c in chosen if len(r["tokens"] & c["tokens"]) >= 3 and r["strong"] & c["strong"] and r["action"] & c["action"]]
+        same = [c for c in chosen if same_event(r, c)]
         if not same:
             return True
-        other = max(same, key=lambda x: x[0])[1]
+        other = max(same, key=lambda c: _overlap(r["tokens"], c["tokens"]))
         hours = (r["latest"] - other["latest"]).total_seconds() / 3600
-        return hours >= 24 and r["source_count"] - other["source_count"] >= 4 and r["recent_count"] - other["recent_count"] >= 2
+        sources, recent = r["source_count"] - other["source_count"], r["recent_count"] - other["recent_count"]
+        return bool(r["hint"]) and hours >= 6 and (sources >= 1 or recent >= 2) or hours >= 24 and sources >= 4 and recent >= 2
 
     for strict in (True, False):
         for r in rows:
@@ -152,7 +167,7 @@ def select_diverse(pool: pd.DataFrame, limit: int, state_limit: int = 1, audienc
 
 def diverse_selection(ranked: DataFrame, traits: DataFrame, limit: int = 20, pool: int = 200) -> DataFrame:
     """(edition, id, pos): the greedy choice of each edition. ranked (edition, id, pos, pinned, urgent, source_count, recent_count, latest_at)."""
-    rows = ranked.where(F.col("pos") <= pool).join(traits, "id").withColumnRenamed("latest_at", "latest")
+    rows = ranked.where(F.col("pos") <= pool).select("edition", "id", "pos", "pinned", "urgent", "source_count", "recent_count", F.col("latest_at").alias("latest")).join(traits, "id")
 
     def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         ids = select_diverse(part.sort_values(["pos", "id"]).assign(state=lambda d: d["state"].where(d["state"].notna(), None)), limit)
@@ -161,37 +176,51 @@ def diverse_selection(ranked: DataFrame, traits: DataFrame, limit: int = 20, poo
     return rows.groupBy("edition").applyInPandas(fold, "edition string, id string, pos int")
 
 
-def editions(stories: DataFrame, k: int = 200) -> DataFrame:
-    """Stories ranked for each edition; the text view's editions are the languages that its titles seem to be of."""
-    scored = story_ranking(rolled(stories), lexicon=DATA_LEXICON).withColumn("edition", F.substring("id", 1, 1))
+def editions(rolled: DataFrame, k: int = 200, lexicon: dict = DATA_LEXICON, audience: dict | None = DATA_AUDIENCE) -> DataFrame:
+    """Stories ranked for each edition: one of all, and one for each audience that a story concerns; the k best of each."""
+    who = audiences(F.concat_ws(" ", "title", "summary"), audience)
+    scored = story_ranking(rolled, lexicon=lexicon).withColumn("edition", F.explode(F.concat(F.array(F.lit("all")), who)))
     pos = F.row_number().over(Window.partitionBy("edition").orderBy(F.desc("score"), "id"))
     return scored.withColumns({"pos": pos, "pinned": F.col("status") == "pinned"}).where(F.col("pos") <= k)
 
 
-register("diverse_selection", "v_stories", lambda s: diverse_selection(editions(s), with_traits(s), 5))
+def _chosen(s: DataFrame, *t: DataFrame) -> DataFrame:
+    rolled = board(s, *t)
+    return diverse_selection(editions(rolled), with_traits(rolled), 20)
+
+
+register("diverse_selection", BOARD, _chosen)
+
+
+def near_words(text: str) -> set:
+    """Words of a summary that tell it from others."""
+    return {w for w in re.split(r"\s+", re.sub(r"[^a-z0-9\s]", " ", text.lower())) if len(w) >= 4 and w not in L.SUMMARY_STOPWORDS}
+
+
+def near_duplicate(a: str, b: str, theta: float = 0.82) -> bool:
+    """Whether two summaries nearly repeat each other."""
+    if " ".join(a.lower().split()) == " ".join(b.lower().split()):
+        return True
+    return _overlap(near_words(a), near_words(b)) >= theta
 
 
 def display_summary_dedupe(ranked: DataFrame, pool: int = 200, theta: float = 0.82) -> DataFrame:
     """ranked (edition, id, pos, editor_summary, summary) with the summary that is shown: none that nearly repeats one shown above."""
 
     def fold(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = []
+        seen: list[str] = []
         shown = []
         for r in part.sort_values(["pos", "id"]).itertuples():
-            pick = None
-            for text in (r.editor_summary, r.summary):
-                words = {w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if len(w) >= 4}
-                if text and not any(words == s or _overlap(words, s) >= theta for s in seen):
-                    pick = text
-                    seen.append(words)
-                    break
+            pick = next((x for x in (r.editor_summary, r.summary) if x and not any(near_duplicate(x, s, theta) for s in seen)), None)
+            if pick:
+                seen.append(pick)
             shown.append((key[0], r.id, pick))
         return pd.DataFrame(shown, columns=["edition", "id", "shown"])
 
-    return ranked.where(F.col("pos") <= pool).groupBy("edition").applyInPandas(fold, "edition string, id string, shown string")
+    return ranked.where(F.col("pos") <= pool).select("edition", "id", "pos", "editor_summary", "summary").groupBy("edition").applyInPandas(fold, "edition string, id string, shown string")
 
 
-register("display_summary_dedupe", "v_stories", lambda s: display_summary_dedupe(editions(s).select("edition", "id", "pos", F.lit(None).cast("string").alias("editor_summary"), F.substring("summary", 1, 60).alias("summary"))))
+register("display_summary_dedupe", BOARD, lambda *t: display_summary_dedupe(editions(board(*t)).select("edition", "id", "pos", "editor_summary", F.col("auto_summary").alias("summary"))))
 
 
 def title_normalisation(articles: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from storyloom.functions.text import family
 from storyloom.operators.filters import DATA_AUDIENCE, VARIED, _varied, article_quality, lanes, reject_titles, topic_flags
 from storyloom.operators.graphs import merge_plan, stored
 from storyloom.operators.rollups import rank_apply_join, state_saturation
-from storyloom.operators.scoring import _CS, _SAN, DATA_LEXICON, HOME_SQL, _candidates, candidate_score, newsletter_ranking, rolled, sanitized, story_preview, story_ranking, summary_adjudication
+from storyloom.operators.scoring import _CS, _SAN, DATA_LEXICON, HOME_SQL, _candidates, candidate_score, newsletter_ranking, sanitized, story_preview, story_ranking, summary_adjudication
 from storyloom.operators.selection import diverse_selection, display_summary_dedupe, editions, exact_title_collapse, prior_overlap_penalty, with_traits
 from storyloom.operators.similarity import coverage_join, data_tokens, decided, merge_apply, overlap_pairs, state_of
 from storyloom.registry import register
@@ -101,7 +101,7 @@ register(
 
 def newsletter_menu(stories: DataFrame, limit: int = 30, pool: int = 400) -> DataFrame:
     """(pos, id, score, lanes, story_ids): the weekly menu: scored, titles collapsed, penalised, chosen with diversity."""
-    scored = newsletter_ranking(rolled(stories.where("status not in ('hidden', 'demoted')")), lexicon=DATA_LEXICON, audience=DATA_AUDIENCE)
+    scored = newsletter_ranking((stories.where("status not in ('hidden', 'demoted')")), lexicon=DATA_LEXICON, audience=DATA_AUDIENCE)
     scored = stored(scored.select("id", "title", "summary", "status", "score", "story_type", "why", "article_count", "source_count", "recent_count", "avg_weight", "homepage_rank", "latest_at", "urgent"))
     collapsed = exact_title_collapse(scored).select("id", "story_ids")
     best = scored.join(collapsed, "id").orderBy(F.desc("score"), "id").limit(pool).withColumns({"pos": F.row_number().over(Window.orderBy(F.desc("score"), "id")), "pinned": F.col("status") == "pinned"})
@@ -132,7 +132,7 @@ def publish_gate(top: DataFrame, as_of: str = AS_OF, thin_hours: int = 48, stale
 
 
 def _top(s: DataFrame) -> DataFrame:
-    scored = story_ranking(rolled(s), lexicon=DATA_LEXICON).orderBy(F.desc("score"), "id").limit(100)
+    scored = story_ranking((s), lexicon=DATA_LEXICON).orderBy(F.desc("score"), "id").limit(100)
     return scored.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "title", "source_count", "article_count", state_of(F.col("title"), L.DATA["states"]).alias("state"), (F.col("status") == "pinned").alias("pinned"), "latest_at")
 
 

@@ -45,7 +45,7 @@ class DuckText:
 
 def views(d: type) -> dict[str, str]:
     return {
-        "v_sources": """SELECT source AS id, source AS name, concat(source, '.example.org') AS domain,
+        "v_sources": """SELECT source AS id, source AS name, concat(source, CASE WHEN k % 3 = 0 THEN '.example.org' WHEN k % 3 = 1 THEN '.example.net' ELSE concat('.paper', CAST(k % 4 AS STRING), '.co.uk') END) AS domain,
             CASE WHEN k % 4 = 0 THEN 'A' WHEN k % 4 = 1 THEN 'B' ELSE 'unknown' END AS tier,
             CASE WHEN k % 4 = 0 THEN 1.1e0 WHEN k % 4 = 1 THEN 1.0e0 ELSE 0.7e0 END AS weight
             FROM (SELECT DISTINCT source, CAST(substr(source, 4) AS INT) AS k FROM documents)""",
@@ -56,7 +56,9 @@ def views(d: type) -> dict[str, str]:
             CASE WHEN doc_id % 11 = 0 THEN 'non_article' WHEN doc_id % 11 = 1 THEN 'uncertain' WHEN doc_id % 11 = 2 THEN NULL ELSE 'article' END AS quality_label
             FROM documents""",
         "v_links": """SELECT md5(lower(title)) AS story_id, id AS article_id, ts, row_number() OVER (PARTITION BY md5(lower(title)) ORDER BY ts, id) = 1 AS is_primary FROM v_articles""",
-        "v_stories": f"""SELECT md5(lower(title)) AS id, min(title) AS title, CAST(NULL AS STRING) AS editor_title, CASE WHEN max(id) % 29 = 0 THEN 'pinned' WHEN max(id) % 31 = 0 THEN 'hidden' WHEN max(id) % 37 = 0 THEN 'demoted' ELSE 'active' END AS status,
+        "v_stories": f"""SELECT md5(lower(title)) AS id, min(title) AS title, CASE WHEN max(id) % 41 = 0 THEN concat('Edited ', min(title)) END AS editor_title,
+            CASE WHEN max(id) % 23 = 0 THEN concat('An editor wrote that this story is about ', min(title)) END AS editor_summary, CASE max(id) % 7 WHEN 0 THEN 'full' WHEN 1 THEN 'excerpt' WHEN 2 THEN 'headline_only' END AS preview_type,
+            CASE WHEN max(id) % 7 < 2 THEN max(summary) END AS preview_text, CAST(max(id) % 10 AS DOUBLE) / 10 AS preview_confidence, CASE WHEN max(id) % 2 = 0 THEN 'chosen' END AS preview_reason, CASE WHEN max(id) % 29 = 0 THEN 'pinned' WHEN max(id) % 31 = 0 THEN 'hidden' WHEN max(id) % 37 = 0 THEN 'demoted' ELSE 'active' END AS status,
             min(summary) AS summary, CASE WHEN max(id) % 3 = 0 THEN CAST(max(id) % 100 AS INT) END AS homepage_rank, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS article_count FROM v_articles GROUP BY md5(lower(title))""",
         "star_links": """SELECT story_id, id AS article_id, title, source_id, ts, row_number() OVER (PARTITION BY story_id ORDER BY ts, id) = 1 AS is_primary FROM
             (SELECT DISTINCT l_orderkey AS story_id, concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(l_linenumber AS STRING), CAST(CAST(l_shipdate AS DATE) AS STRING)) AS id,
