@@ -25,13 +25,15 @@ SIMILAR, STRONG = 0.4, 0.58
 
 
 def prior_overlap_penalty(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """ranked (id, pos, score, pinned) with scores cut by the largest overlap with any story ranked before; pairs (i, j, ratio)."""
+    """ranked (id, pos, score, pinned, and edition if there are several lists) with scores cut by the largest overlap with any story
+    ranked before; pairs (i, j, ratio)."""
+    list_of = [c for c in ranked.columns if c == "edition"]
     both = pairs.select("i", "j", "ratio").union(pairs.select("j", "i", "ratio"))
-    at = ranked.select(F.col("id").alias("j"), F.col("pos").alias("pos_j"))
-    worst = both.join(at, "j").join(ranked.select(F.col("id").alias("i"), "pos"), "i").where("pos_j < pos").groupBy("i").agg(F.max("ratio").alias("overlap"))
-    out = ranked.join(worst, ranked["id"] == worst["i"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    at = ranked.select(*list_of, F.col("id").alias("j"), F.col("pos").alias("pos_j"))
+    worst = both.join(at, "j").join(ranked.select(*list_of, F.col("id").alias("i"), "pos"), ["i", *list_of]).where("pos_j < pos").groupBy(*list_of, F.col("i").alias("id")).agg(F.max("ratio").alias("overlap"))
+    out = ranked.join(worst, ["id", *list_of], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     factor = F.when(F.col("pinned") | (F.col("overlap") < SIMILAR), 1.0).when(F.col("overlap") >= STRONG, 0.62).otherwise(0.8)
-    return out.select("id", "pinned", F.round(F.col("score") * factor, 2).alias("score"))
+    return out.select(*list_of, "id", "pinned", F.round(F.col("score") * factor, 2).alias("score"))
 
 
 def ranked_pool(rolled: DataFrame, k: int) -> DataFrame:
