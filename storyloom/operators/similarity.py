@@ -265,7 +265,9 @@ def coverage_join(seeds: DataFrame, candidates: DataFrame, hours: int = 72, leas
     left, right = keys(s).withColumn("bin", around).withColumnsRenamed({"id": "seed", "first": "first_s"}), keys(c).withColumnsRenamed({"id": "cand", "first": "first_c"})
     on = ["part", "token", "bin"]
     # Either side's prefix against all of the other: two joins, so that no pair of two frequent tokens is made.
-    found = left.where("first_s").join(right, on).select("seed", "cand", "part").union(left.join(right.where("first_c"), on).select("seed", "cand", "part")).where(F.col("seed") != F.col("cand")).distinct()
+    found = left.where("first_s").join(right, on).select("seed", "cand", "part").union(left.join(right.where("first_c"), on).select("seed", "cand", "part")).distinct()
+    if seeds.schema["id"].dataType == candidates.schema["id"].dataType:
+        found = found.where(F.col("seed") != F.col("cand"))
     at = lambda rows, p: rows.select(F.col("id").alias(p), "part", F.col("ts").alias(f"ts_{p}"), F.col("t").alias(f"t_{p}"))
     pairs = found.join(at(s, "seed"), ["seed", "part"]).join(at(c, "cand"), ["cand", "part"]).where(_near("ts_seed", "ts_cand", hours))
     overlap = F.size(F.array_intersect("t_seed", "t_cand")) / F.least(F.size("t_seed"), F.size("t_cand"))

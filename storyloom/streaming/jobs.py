@@ -1,7 +1,8 @@
 """Structured Streaming jobs over landed files, each equal to its batch twin on the same input.
 
-Late data: every job takes a watermark delay as a parameter; rows behind it are left to the batch upsert, which takes rows of any age.
-Each query here runs its stream with an available-now trigger and returns what its sink holds.
+Late data: windowed counts take a delay as a parameter; rows that come later than that after the newest one of earlier batches go to a side
+table, which the batch job adds. What a job knows of earlier batches is on storage, so it goes on after a restart, and a batch that runs
+again writes the same folders again. Each query here runs its stream with an available-now trigger and returns what its sink holds.
 """
 
 from __future__ import annotations
@@ -50,16 +51,69 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.parquet(*last) if last else spark.createDataFrame([], stream.schema)
 
 
+def folders(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """The complete batch folders below path, by number, with the names of the folders within."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[str]] = {}
+    for batch in system.listStatus(at) if system.exists(at) else ():
+        name = batch.getPath().getName()
+        if name.startswith("batch="):
+            inner = [f.getPath().getName() for f in system.listStatus(batch.getPath())]
+            if "_SUCCESS" in inner:
+                out[int(name[6:])] = [x for x in inner if "=" in x]
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def windowed(events: DataFrame, counts: Callable[[DataFrame], DataFrame], path: str, delay: str = "7 days") -> None:
+    """A stream of events (ts, ...) into `windows` (what counts makes of each batch, to be summed), `late` (events that came too late) and
+    `seen` (each batch's newest time) below path. Nothing is held in memory between batches."""
+    spark = events.sparkSession
+
+    def take(batch: DataFrame, number: int) -> None:
+        before = [f"{path}/seen/batch={k}" for k in folders(spark, f"{path}/seen") if k < number]
+        newest = spark.read.parquet(*before).agg(F.max("ts")).first()[0] if before else None
+        late = F.lit(False) if newest is None else F.coalesce(F.col("ts") < F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        counts(batch.where(~late)).write.mode("overwrite").parquet(f"{path}/windows/batch={number}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    events.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+
+
+def window_totals(spark: SparkSession, path: str, counts: Callable[[DataFrame], DataFrame], late: bool = True) -> DataFrame:
+    """The sums of all batches, and of the late events if asked for."""
+    parts = spark.read.parquet(*(f"{path}/windows/batch={k}" for k in folders(spark, f"{path}/windows")))
+    if late:
+        parts = parts.unionByName(counts(spark.read.parquet(*(f"{path}/late/batch={k}" for k in folders(spark, f"{path}/late")))))
+    *keys, value = parts.columns
+    return parts.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
 def daily_usage(events: DataFrame) -> DataFrame:
     """(day, calls) in tumbling days."""
     return events.where("event_type = 'signup'").groupBy(F.window("ts", "1 day").alias("w")).agg(F.sum(F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(1))).alias("calls")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "calls")
 
 
-def recent_counts(events: DataFrame, length: str = "24 hours", slide: str = "6 hours") -> DataFrame:
+def recent_counts(events: DataFrame, length: str = "24 hours", slide: str = "30 minutes") -> DataFrame:
     """(story, start, n): counts in sliding windows."""
     return events.groupBy(F.col("user_id").alias("story"), F.window("ts", length, slide).alias("w")).agg(F.count("*").alias("n")).select("story", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+def _windows(counts: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        path = folder(s)
+        windowed(_events(s, d), counts, path)
+        return window_totals(s, path, counts)
+
+    return run
+
+
 def url_dedupe(events: DataFrame, delay: str = "60 days") -> DataFrame:
     """The first row of each url within the delay."""
     return events.select(F.concat(F.lit("https://e.org/"), "user_id").alias("url"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["url"]).select("url")
@@ -70,6 +124,11 @@ def story_sessions(events: DataFrame, gap: str = "1 day") -> DataFrame:
     return events.groupBy(F.col("user_id").alias("story"), F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("story", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+def in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order of time; maxFilesPerTrigger bounds what a micro-batch holds."""
+    return pd.concat(list(parts)).sort_values(["ts", "id"])
+
+
 def alert_cooldown(minutes: int = 60) -> Callable:
     """Passes an alert on unless the last one sent for its key has the same fingerprint and is less than so many minutes old.
 
@@ -77,7 +136,7 @@ def alert_cooldown(minutes: int = 60) -> Callable:
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        rows = in_order(parts)
         last, sent = state.get if state.exists else (None, None)
         out = []
         for i, f, t in zip(rows["id"], rows["fingerprint"], rows["ts"]):
@@ -92,10 +151,10 @@ def alert_cooldown(minutes: int = 60) -> Callable:
 
 def once_per_story() -> Callable:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        if not state.exists:
-            state.update((int(rows["id"].iloc[0]),))
-            yield pd.DataFrame({"key": [key[0]], "id": rows["id"].iloc[:1]})
+        first = min((min(zip(p["ts"], p["id"])) for p in parts if len(p)), default=None)  # part by part: no key's rows are put together
+        if first and not state.exists:
+            state.update((int(first[1]),))
+            yield pd.DataFrame({"key": [key[0]], "id": [first[1]]})
 
     return step
 
@@ -105,7 +164,7 @@ def feed_state() -> Callable:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         n, error, ok = state.get if state.exists else (0, None, None)
-        for r in pd.concat(list(parts)).sort_values(["ts", "id"]).itertuples():
+        for r in in_order(parts).itertuples():
             n, error, ok = (0, error, int(r.ts)) if r.success else (n + 1, r.error, ok)
         state.update((n, error, ok))
         yield pd.DataFrame({"feed_id": [key[0]], "failures": [n], "last_error": [error], "last_success": [ok]})
@@ -124,23 +183,42 @@ def seconds(column: str = "ts"):  # noqa: ANN201
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
 
 
-def stream_ingest(items: DataFrame, gate: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """Micro-batches of items through a gate into a snapshot: each batch is upserted into the newest snapshot folder, and a new folder is
-    written beside it; a batch that runs again writes the same folder again."""
+BUCKETS = 16
+
+
+def ingest_table(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket of stream_ingest's table, of batches before a number if given."""
+    newest: dict[int, str] = {}
+    for number, inner in sorted(folders(spark, f"{path}/rows").items()):
+        if before is None or number < before:
+            newest |= {int(x[7:]): f"{path}/rows/batch={number}/{x}" for x in inner if x.startswith("bucket=")}
+    return newest
+
+
+def stream_ingest(items: DataFrame, gate: Callable[[DataFrame], DataFrame], path: str, buckets: int = BUCKETS) -> None:
+    """Micro-batches of items through a gate into a table of buckets by url: a batch reads the newest folder of each bucket that it touches,
+    upserts, and writes these buckets anew; the others stay as they are. The table is found on storage at each batch, so a new start goes
+    on where the last one ended. Folders that a complete later batch has replaced are deleted one batch after that."""
     from storyloom.operators.upserts import article_upsert
 
     spark = items.sparkSession
-    known: list[str] = []
+    bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = gate(batch)
-        if known:
-            old = spark.read.parquet(known[-1]).select(F.lit(1).alias("id"), "url", "title", "summary", "relevance", F.col("ts").cast("timestamp_ntz").alias("ts"))
+        new = gate(batch).persist()
+        touched = {r[0] for r in new.select(bucket).distinct().collect()}
+        known = ingest_table(spark, path, number)
+        old = [f for b, f in known.items() if b in touched]
+        if old:
+            rows = spark.read.parquet(*old).select(F.lit(1).alias("id"), "url", "title", "summary", "relevance", F.col("ts").cast("timestamp_ntz").alias("ts"))
         else:
-            old = new.limit(0).select("id", "url", "title", "summary", "relevance", "ts")
-        out = f"{path}/snapshot-{number}"
-        article_upsert(old, new).write.mode("overwrite").parquet(out)
-        known.append(out)
+            rows = new.limit(0).select("id", "url", "title", "summary", "relevance", "ts")
+        article_upsert(rows, new).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={number}")
+        new.unpersist()
+        for earlier, inner in folders(spark, f"{path}/rows").items():
+            for x in inner if earlier < number else ():
+                if known.get(int(x[7:])) != f"{path}/rows/batch={earlier}/{x}":
+                    remove(spark, f"{path}/rows/batch={earlier}/{x}")
 
     items.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
 
@@ -154,10 +232,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return read_stream(spark, f"{d}/events.parquet")
 
 
-_register("stream_daily_usage", lambda s, d: drained(daily_usage(_events(s, d)), "complete"), "SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 1)) AS BIGINT) AS calls FROM events WHERE event_type = 'signup' GROUP BY 1")
+_register("stream_daily_usage", _windows(daily_usage), "SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 1)) AS BIGINT) AS calls FROM events WHERE event_type = 'signup' GROUP BY 1")
 _register(
-    "stream_recent_counts", lambda s, d: drained(recent_counts(_events(s, d)), "complete"),
-    """SELECT user_id AS story, strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, (SELECT unnest(range(0, 4)) AS k) GROUP BY 1, 2""",
+    "stream_recent_counts", _windows(recent_counts),
+    """SELECT user_id AS story, strftime(time_bucket(INTERVAL 30 MINUTES, ts, TIMESTAMP '1970-01-01') - to_minutes(30 * k), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events, (SELECT unnest(range(0, 48)) AS k) GROUP BY 1, 2""",
 )
 _register("stream_url_dedupe", lambda s, d: drained(url_dedupe(_events(s, d))), "SELECT DISTINCT concat('https://e.org/', user_id) AS url FROM events")
 _register(
@@ -207,24 +285,15 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
 
     path = folder(s)
     items = read_stream(s, f"{d}/documents.parquet").select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), F.col("doc_id") % 700).alias("url"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 300).alias("summary"),
+        F.col("doc_id").alias("id"), F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "lang", F.lit("/"), F.col("doc_id") % 700).alias("url"), F.trim(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("title"), F.col("text").alias("summary"),
         F.lit(None).cast("double").alias("relevance"), F.expr("TIMESTAMP_NTZ '2024-01-31 00:00:00' - make_interval(0, 0, 0, 0, cast(doc_id % 720 as int))").alias("ts"), F.lit("article").alias("quality_label"),
     )
     stream_ingest(items, lambda b: b.where(servable()), path)
-    names = [r for r in _snapshots(s, path)]
-    return s.read.parquet(names[-1]).select("url", "title", "ts")
-
-
-def _snapshots(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-    names = [f.getPath().toString() for f in found if f.getPath().getName().startswith("snapshot-")]
-    return sorted(names, key=lambda n: int(n.rsplit("-", 1)[1]))
+    return s.read.parquet(*ingest_table(s, path).values()).select("url", "title", "ts")
 
 
 _register(
     "stream_ingest", _ingest,
-    """WITH i AS (SELECT doc_id AS id, concat('https://', source, '.example.org/', lang, '/', doc_id % 700) AS url, substr(text, 1, 60) AS title, TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id % 720) AS ts FROM documents)
+    """WITH i AS (SELECT doc_id AS id, concat('https://', source, '.example.org/', lang, '/', doc_id % 700) AS url, trim(regexp_extract(text, '^[^.\n]*', 0)) AS title, TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id % 720) AS ts FROM documents)
     SELECT url, title, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM i WHERE title NOT ILIKE 'from %' QUALIFY row_number() OVER (PARTITION BY url ORDER BY i.ts DESC, id DESC) = 1""",
 )
