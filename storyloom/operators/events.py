@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyloom.functions.summaries import let
 from storyloom.registry import register
 
 
@@ -170,3 +171,28 @@ def _responses(e: DataFrame) -> DataFrame:
 
 
 register("response_parse", "v_events", lambda e: response_parse(_responses(e))[0].select("id", "relevant", F.round("score", 4).alias("score")), "SELECT id, k % 4 = 1 AS relevant, round(k / 100, 4) AS score FROM v_events WHERE k % 4 <> 0")
+
+
+def parse_blurb(body: Column) -> Column:
+    """A model's answer as (headline, summary): from JSON, from labelled lines, or from the first line or sentence; null if it has not both."""
+    fenced = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(body, F.lit(""))), r"(?i)^```(json|text|markdown)?", ""), r"```$", "")
+    squeeze = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\*\*", ""), r"\s+", " "))
+    full = lambda h, s: (F.length(h) > 0) & (F.length(s) > 0)
+
+    def parts(t: Column) -> Column:
+        made = F.from_json(F.regexp_extract(t, r"(?s)\{.*\}", 0), "headline string, summary string")
+        a, b = squeeze(F.coalesce(made["headline"], F.lit(""))), squeeze(F.coalesce(made["summary"], F.lit("")))
+        label = r"^\s*(?:[-*]\s+)?(?:\*\*)?(?:%s)\s*:"
+        field = lambda names: squeeze(F.regexp_extract(t, rf"(?ims){label % names}(.*?)(?={label % 'headline|title|summary|blurb'}|\z)", 1))
+        h, s = field("headline|title"), field("summary|blurb")
+        lines = F.filter(F.transform(F.split(t, "\n"), squeeze), lambda x: x != "")
+        rest = squeeze(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " "))
+        sentences = F.split(lines[0], r"(?<=[.!?])\s+")
+        loose_h = F.when(F.size(lines) >= 2, lines[0]).otherwise(sentences[0])
+        loose_s = F.when(F.size(lines) >= 2, rest).when(F.size(sentences) >= 2, lines[0]).otherwise("")
+        hh, ss = F.coalesce(F.nullif(h, F.lit("")), loose_h), F.coalesce(F.nullif(s, F.lit("")), loose_s)
+        pair = lambda x, y: F.struct(F.substring(x, 1, 140).alias("headline"), F.substring(y, 1, 500).alias("summary"))
+        usable = (t != "") & (F.upper(t) != "UNUSABLE")
+        return F.when(usable & full(a, b), pair(a, b)).when(usable & full(hh, ss), pair(hh, ss))
+
+    return let(F.trim(fenced), parts)

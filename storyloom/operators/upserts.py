@@ -33,13 +33,13 @@ def _old(a: DataFrame) -> DataFrame:
 
 
 def _new(a: DataFrame) -> DataFrame:
-    return a.where("id % 2 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.expr("if(id % 5 = 0, '', substr(summary, 1, cast(id % 90 as int)))").alias("summary"), F.expr("if(id % 3 = 0, 0.5D, null)").alias("relevance"), "ts")
+    return a.where("id % 2 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.expr("case id % 5 when 0 then '' when 1 then 'Short.' when 2 then concat(summary, ' More of it.') else summary end").alias("summary"), F.expr("if(id % 3 = 0, 0.5D, null)").alias("relevance"), "ts")
 
 
 register(
     "article_upsert", "v_articles", lambda a: article_upsert(_old(a), _new(a)),
     """WITH o AS (SELECT *, CASE WHEN id % 2 = 0 THEN id % 10 / 10.0::DOUBLE END AS relevance FROM v_articles WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1),
-    n AS (SELECT id, url, concat('new ', title) AS title, CASE WHEN id % 5 = 0 THEN '' ELSE substr(summary, 1, id % 90) END AS summary, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE END AS relevance, ts FROM v_articles WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1)
+    n AS (SELECT id, url, concat('new ', title) AS title, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Short.' WHEN 2 THEN concat(summary, ' More of it.') ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE END AS relevance, ts FROM v_articles WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1)
     SELECT coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, CASE WHEN coalesce(trim(n.summary), '') = '' THEN o.summary WHEN coalesce(trim(o.summary), '') = '' OR length(trim(o.summary)) < 40 OR regexp_matches(trim(o.summary), '(?i)^(read more|click here|subscribe)|!\\[') THEN n.summary
     WHEN length(trim(n.summary)) > length(trim(o.summary)) THEN n.summary ELSE o.summary END AS summary, coalesce(n.relevance, o.relevance) AS relevance, strftime(coalesce(n.ts, o.ts), '%Y-%m-%d %H:%M:%S') AS ts,
     CASE WHEN n.url IS NULL THEN 'kept' WHEN o.url IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.url = n.url""",
@@ -121,20 +121,39 @@ register(
 )
 
 
-def editor_overrides(stories: DataFrame, edits: DataFrame) -> DataFrame:
-    """stories after the editors' changes (story_id, status, title, at): the last one of each field wins, nulls change nothing."""
-    last = edits.groupBy("story_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "id"))).alias(f"new_{c}") for c in ("status", "title")))
-    return stories.join(last, stories["id"] == last["story_id"], "left").select("id", F.coalesce("new_status", "status").alias("status"), F.coalesce("new_title", "title").alias("title"))
+def last_edits(edits: DataFrame, fields: list[str]) -> DataFrame:
+    """(target, new_<field>): the last change of each field of each row, from edits (id, target, at, fields); nulls change nothing."""
+    return edits.groupBy("target").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "id"))).alias(f"new_{c}") for c in fields))
+
+
+def editor_overrides(rows: DataFrame, edits: DataFrame, fields: list[str]) -> DataFrame:
+    """rows (id, fields) after the editors' changes. Of stories status, title and summary, of feeds the activity, of sources tier and weight."""
+    last = last_edits(edits, fields)
+    return rows.join(last, rows["id"] == last["target"], "left").select("id", *(F.coalesce(f"new_{c}", c).alias(c) for c in fields))
+
+
+def _edited(o: DataFrame, s: DataFrame, e: DataFrame) -> DataFrame:
+    """Stories, feeds and sources after the same log of edits, as (kind, id, status, title, active, tier, weight)."""
+    at = F.col("ts").alias("at")
+    pick = lambda m, k, what: F.expr(f"if(event_id % {m} = {k}, {what}, null)")
+    stories = editor_overrides(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("title")), e.select(F.col("event_id").alias("id"), F.col("user_id").alias("target"), pick(2, 0, "event_type").alias("status"), pick(3, 0, "concat('t', event_id)").alias("title"), at), ["status", "title"])
+    feeds = editor_overrides(o.select(F.col("o_custkey").alias("id")).distinct().withColumn("active", F.lit(True)), e.select(F.col("event_id").alias("id"), F.col("user_id").alias("target"), pick(5, 0, "value > 50").alias("active"), at), ["active"])
+    sources = editor_overrides(s.select(F.col("s_suppkey").alias("id"), F.lit("unknown").alias("tier"), F.lit(0.7).alias("weight")), e.select(F.col("event_id").alias("id"), (F.col("user_id") % 100).alias("target"), pick(4, 1, "upper(substr(event_type, 1, 1))").alias("tier"), pick(7, 2, "event_id / 10.0D").alias("weight"), at), ["tier", "weight"])
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    return (
+        stories.select(F.lit("story").alias("kind"), "id", "status", "title", none("active", "boolean"), none("tier", "string"), none("weight", "double"))
+        .unionByName(feeds.select(F.lit("feed").alias("kind"), "id", none("status", "string"), none("title", "string"), "active", none("tier", "string"), none("weight", "double")))
+        .unionByName(sources.select(F.lit("source").alias("kind"), "id", none("status", "string"), none("title", "string"), none("active", "boolean"), "tier", "weight"))
+    )
 
 
 register(
-    "editor_overrides", "orders events",
-    lambda o, e: editor_overrides(
-        o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("title")),
-        e.select(F.col("event_id").alias("id"), F.col("user_id").alias("story_id"), F.expr("if(event_id % 2 = 0, event_type, null)").alias("status"), F.expr("if(event_id % 3 = 0, concat('t', event_id), null)").alias("title"), F.col("ts").alias("at")),
-    ),
-    """SELECT o_orderkey AS id, coalesce(s, o_orderstatus) AS status, coalesce(t, o_orderpriority) AS title FROM orders LEFT JOIN (SELECT user_id, arg_max(event_type, struct_pack(ts := ts, i := event_id)) FILTER (WHERE event_id % 2 = 0) AS s,
-    arg_max(concat('t', event_id), struct_pack(ts := ts, i := event_id)) FILTER (WHERE event_id % 3 = 0) AS t FROM events GROUP BY 1) ON user_id = o_orderkey""",
+    "editor_overrides", "orders supplier events", _edited,
+    """WITH x AS (SELECT *, struct_pack(ts := ts, i := event_id) AS w FROM events), a AS (SELECT user_id, arg_max(event_type, w) FILTER (WHERE event_id % 2 = 0) AS s, arg_max(concat('t', event_id), w) FILTER (WHERE event_id % 3 = 0) AS t, arg_max(value > 50, w) FILTER (WHERE event_id % 5 = 0 AND value IS NOT NULL) AS f FROM x GROUP BY 1),
+    b AS (SELECT user_id % 100 AS k, arg_max(upper(substr(event_type, 1, 1)), w) FILTER (WHERE event_id % 4 = 1) AS t, arg_max(event_id / 10.0::DOUBLE, w) FILTER (WHERE event_id % 7 = 2) AS v FROM x GROUP BY 1)
+    SELECT 'story' AS kind, o_orderkey AS id, coalesce(s, o_orderstatus) AS status, coalesce(t, o_orderpriority) AS title, NULL::BOOLEAN AS active, NULL::VARCHAR AS tier, NULL::DOUBLE AS weight FROM orders LEFT JOIN a ON user_id = o_orderkey
+    UNION ALL SELECT 'feed', id, NULL, NULL, coalesce(f, true), NULL, NULL FROM (SELECT DISTINCT o_custkey AS id FROM orders) LEFT JOIN a ON user_id = id
+    UNION ALL SELECT 'source', s_suppkey, NULL, NULL, NULL, coalesce(t, 'unknown'), coalesce(v, 0.7) FROM supplier LEFT JOIN b ON k = s_suppkey""",
 )
 
 
