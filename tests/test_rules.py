@@ -179,13 +179,3 @@ def test_summaries(spark):
     assert values(spark, hash31(F.col("t")), ["", "a", "abc", "polygenelubricants"]) == [0, 97, 96354, 2147483648]
     made = values(spark, fallback_summary(F.col("t")), ["Budget cuts hit nine schools", "Short"])
     assert made[0].startswith(("Budget coverage now centers on budget cuts", "New finance reporting highlights budget cuts", "District budget attention is shifting toward budget cuts")) and "Why it matters" in made[0] and made[1] == ""
-
-
-def test_all_single_stories_are_corroborated(spark):
-    from storyloom.plans import products
-
-    titles = ["Senate passes the school budget bill in Ohio"] * 2 + ["Senate passes school budget bill after long debate", "School budget bill passes the Senate at night"]
-    at = dt.datetime(2024, 5, 1, 8)
-    articles = spark.createDataFrame([(k, t, at, f"s{k}", "https://a.example.org/x", "Text.", "article") for k, t in enumerate(titles, 1)], "id long, title string, ts timestamp, source_id string, url string, summary string, quality_label string")
-    links = spark.createDataFrame([("double", 1), ("double", 2), ("one", 3), ("other", 4)], "story_id string, article_id long")
-    assert {r["seed"] for r in products._matched(articles, links).collect()} == {3, 4}
