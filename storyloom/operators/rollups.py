@@ -144,7 +144,7 @@ def key_lookup_join(articles: DataFrame, stories: DataFrame, at: str = AS_OF, da
     return articles.join(latest, "story_key", "left").select("id", "story_key", "story_id")
 
 
-_KEY = "lower(substr(title, 1, 6))"
+_KEY = "concat_ws('-', split_part(lower(title), ' ', 1), split_part(lower(title), ' ', 2))"
 register(
     "key_lookup_join", "v_articles v_stories", lambda a, s: key_lookup_join(a.withColumn("story_key", F.expr(_KEY)), s.withColumn("story_key", F.expr(_KEY))),
     f"""SELECT a.id, {_KEY.replace('title', 'a.title')} AS story_key, s.id AS story_id FROM v_articles a LEFT JOIN (SELECT * FROM (SELECT id, {_KEY} AS k, row_number() OVER (PARTITION BY {_KEY} ORDER BY last_seen DESC, id DESC) AS r

@@ -33,13 +33,13 @@ def _old(a: DataFrame) -> DataFrame:
 
 
 def _new(a: DataFrame) -> DataFrame:
-    return a.where("id % 2 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.expr("case id % 5 when 0 then '' when 1 then 'Short.' when 2 then concat(summary, ' More of it.') else summary end").alias("summary"), F.expr("if(id % 3 = 0, 0.5D, null)").alias("relevance"), "ts")
+    return a.where("id % 2 = 0 or id % 3 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.expr("case id % 5 when 0 then '' when 1 then 'Short.' when 2 then concat(summary, ' More of it.') else summary end").alias("summary"), F.expr("if(id % 3 = 0, 0.5D, null)").alias("relevance"), "ts")
 
 
 register(
     "article_upsert", "v_articles", lambda a: article_upsert(_old(a), _new(a)),
     """WITH o AS (SELECT *, CASE WHEN id % 2 = 0 THEN id % 10 / 10.0::DOUBLE END AS relevance FROM v_articles WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1),
-    n AS (SELECT id, url, concat('new ', title) AS title, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Short.' WHEN 2 THEN concat(summary, ' More of it.') ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE END AS relevance, ts FROM v_articles WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1)
+    n AS (SELECT id, url, concat('new ', title) AS title, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Short.' WHEN 2 THEN concat(summary, ' More of it.') ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE END AS relevance, ts FROM v_articles WHERE id % 2 = 0 OR id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1)
     SELECT coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, CASE WHEN coalesce(trim(n.summary), '') = '' THEN o.summary WHEN coalesce(trim(o.summary), '') = '' OR length(trim(o.summary)) < 40 OR regexp_matches(trim(o.summary), '(?i)^(read more|click here|subscribe)|!\\[') THEN n.summary
     WHEN length(trim(n.summary)) > length(trim(o.summary)) THEN n.summary ELSE o.summary END AS summary, coalesce(n.relevance, o.relevance) AS relevance, strftime(coalesce(n.ts, o.ts), '%Y-%m-%d %H:%M:%S') AS ts,
     CASE WHEN n.url IS NULL THEN 'kept' WHEN o.url IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.url = n.url""",
@@ -60,7 +60,7 @@ def discovered_article_upsert(articles: DataFrame, links: DataFrame, stories: Da
 
 def _discovered(a: DataFrame, s: DataFrame) -> DataFrame:
     arts = a.where("id % 3 <> 0").groupBy("url").agg(F.max_by(F.struct("title", F.expr("if(id % 4 = 0, 'short', summary)").alias("summary")), "id").alias("x")).select("url", "x.*")
-    found = a.where("id % 2 = 0").select(F.md5(F.lower("title")).alias("story_id"), "url", F.upper("title").alias("title"), "summary", "ts")
+    found = a.where("id % 2 = 0 or id % 3 = 0").select(F.md5(F.lower("title")).alias("story_id"), "url", F.upper("title").alias("title"), "summary", "ts")
     links = a.where("id % 5 <> 0").select(F.md5(F.lower("title")).alias("story_id"), "url").distinct()
     x, y, z = discovered_article_upsert(arts, links, s.select("id", "last_seen"), found)
     count = lambda df, name, v: df.agg(F.count("*").alias("n"), F.sum(v).cast("long").alias("v")).select(F.lit(name).alias("name"), "n", "v")
@@ -70,7 +70,7 @@ def _discovered(a: DataFrame, s: DataFrame) -> DataFrame:
 register(
     "discovered_article_upsert", "v_articles v_stories", _discovered,
     """WITH o AS (SELECT url, title, CASE WHEN id % 4 = 0 THEN 'short' ELSE summary END AS summary FROM v_articles WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1),
-    f AS (SELECT md5(lower(title)) AS story_id, url, summary, ts FROM v_articles WHERE id % 2 = 0), n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, story_id DESC) = 1),
+    f AS (SELECT md5(lower(title)) AS story_id, url, summary, ts FROM v_articles WHERE id % 2 = 0 OR id % 3 = 0), n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, story_id DESC) = 1),
     a AS (SELECT CASE WHEN n.url IS NOT NULL AND length(coalesce(trim(o.summary), '')) < 40 THEN n.summary ELSE o.summary END AS summary FROM o FULL JOIN n ON o.url = n.url),
     l AS (SELECT DISTINCT md5(lower(title)) AS story_id, url FROM v_articles WHERE id % 5 <> 0 UNION SELECT story_id, url FROM f), t AS (SELECT story_id, max(ts) AS t FROM f GROUP BY 1), s AS (SELECT greatest(last_seen, coalesce(t, last_seen)) AS last_seen FROM v_stories LEFT JOIN t ON story_id = id)
     SELECT 'articles' AS name, count(*) AS n, CAST(sum(length(summary)) AS BIGINT) AS v FROM a UNION ALL SELECT 'links', count(*), CAST(sum(length(url)) AS BIGINT) FROM l UNION ALL SELECT 'stories', count(*), CAST(sum(epoch(last_seen)) AS BIGINT) FROM s""",
