@@ -20,6 +20,8 @@ from storyloom.registry import register
 
 #: Pivots at most, and vectors of one side of a unit.
 PIVOTS, UNIT = 128, 4096
+#: Vectors for each pivot at least.
+PER_PIVOT = 512
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -39,7 +41,9 @@ def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
     kind = vectors.schema["id"].dataType.simpleString()
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     rows = vectors.where("embedding is not null and ts is not null").select("id", seconds.alias("t"), F.floor(seconds / F.lit(hours * 3600)).alias("bin"), F.col("embedding").cast("array<double>").alias("v"))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").toArrow().column("v")
+    # A pivot for some hundred vectors: more cells would cost more copies than they spare products.
+    most = min(pivots, 1 + rows.count() // PER_PIVOT)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toArrow().column("v")
     if not len(sample):
         return rows.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("cosine"))
     centres, tau = _unit(sample), float(np.arccos(min(1.0, theta - 5e-5))) + 1e-9

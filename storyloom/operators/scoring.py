@@ -10,6 +10,7 @@ from storyloom.functions import lexicons as L
 from storyloom.functions.summaries import display_summary, fallback_summary, sanitized, sql_display, sql_fallback, sql_sanitized
 from storyloom.functions.text import hits, sql_hits
 from storyloom.operators.filters import DATA_AUDIENCE, SERVABLE_SQL, audiences, servable, sql_audience
+from storyloom.operators.graphs import stored
 from storyloom.operators.rollups import story_latest_summary, story_latest_summary_windowed, story_rollup
 from storyloom.registry import register
 from storyloom.sources.views import AS_OF
@@ -125,6 +126,9 @@ def board(stories: DataFrame, links: DataFrame, articles: DataFrame, sources: Da
     good = articles.where(servable())
     rows = links.select("story_id", "article_id").join(good.select(F.col("id").alias("article_id"), "source_id", "url", "ts"), "article_id")
     roll = story_rollup(rows, sources, at, recent_hours, days, k).withColumnRenamed("story_id", "id")
+    if k is not None:  # few stories: only their articles' texts are read on
+        roll = stored(roll)
+        links = links.join(roll.select(F.col("id").alias("story_id")), "story_id", "left_semi")
     latest = story_latest_summary(links, good) if days is None else story_latest_summary_windowed(links, good, at, days)
     out = stories.drop("article_count").join(roll, "id").join(latest.select(F.col("story_id").alias("id"), F.col("summary").alias("latest_summary")), "id", "left")
     return resolved_previews(out).drop("latest_summary").withColumn("title", F.coalesce(F.nullif(F.trim("editor_title"), F.lit("")), F.col("title")))

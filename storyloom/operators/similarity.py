@@ -253,7 +253,8 @@ def coverage_join(seeds: DataFrame, candidates: DataFrame, hours: int = 72, leas
     bins = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(hours * 3600))
     title, both = F.coalesce("title", F.lit("")), F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
     sets = lambda df: df.where("ts is not null").select("id", "ts", bins.alias("bin"), F.explode(F.array(F.struct(F.lit(1).alias("part"), coverage_tokens(title).alias("t")), F.struct(F.lit(2).alias("part"), coverage_tokens(both).alias("t")))).alias("x")).select("id", "ts", "bin", "x.*").where(F.size("t") > 0)
-    s, c = stored(sets(seeds)), stored(sets(candidates))
+    s = stored(sets(seeds))
+    c = s if candidates is seeds else stored(sets(candidates))
     df = c.select("part", F.explode("t").alias("token")).groupBy("part", "token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id", "part").orderBy("df", "token"))
 
@@ -274,6 +275,10 @@ def coverage_join(seeds: DataFrame, candidates: DataFrame, hours: int = 72, leas
     return pairs.groupBy("seed", "cand").agg(F.max(F.round(overlap, 3)).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def _among(articles: DataFrame, *options) -> DataFrame:  # noqa: ANN002
+    return coverage_join(articles, articles, *options)
+
+
 def with_ledes(articles: DataFrame) -> DataFrame:
     """articles with their summaries cleaned to ledes."""
     return articles.withColumn("summary", sanitized(F.col("summary")))
@@ -282,8 +287,8 @@ def with_ledes(articles: DataFrame) -> DataFrame:
 _COV = f"""{sql_sanitized("v_articles", "id, title, ts")}, k AS (SELECT id, ts, {sql_coverage_tokens('title')} AS w, {sql_coverage_tokens("concat(title, ' ', summary)")} AS b FROM s),
     p AS (SELECT a.id AS seed, c.id AS cand, coalesce(round(len(list_intersect(a.w, c.w)) / nullif(least(len(a.w), len(c.w)), 0), 3), 0) AS x, coalesce(round(len(list_intersect(a.b, c.b)) / nullif(least(len(a.b), len(c.b)), 0), 3), 0) AS y FROM k a JOIN k c ON a.id <> c.id AND abs(date_diff('second', a.ts, c.ts)) <= 259200),
     o AS (SELECT seed, cand, greatest(x, y) AS similarity FROM p WHERE greatest(x, y) >= 0.28)"""
-register("coverage_similarity", "v_articles", lambda a: coverage_join(with_ledes(a), with_ledes(a)), _COV + " SELECT * FROM o")
-register("coverage_window_join", "v_articles", lambda a: coverage_join(with_ledes(a), with_ledes(a), 24, 0.5), _COV.replace("259200", "86400").replace("0.28", "0.5") + " SELECT * FROM o")
+register("coverage_similarity", "v_articles", lambda a: _among(with_ledes(a)), _COV + " SELECT * FROM o")
+register("coverage_window_join", "v_articles", lambda a: _among(with_ledes(a), 24, 0.5), _COV.replace("259200", "86400").replace("0.28", "0.5") + " SELECT * FROM o")
 
 
 # --- clustering --------------------------------------------------------------------------------------------------------------------

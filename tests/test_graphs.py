@@ -48,11 +48,13 @@ def test_components_and_chains(spark, bound):
         path_compress(spark.createDataFrame([(1, 2), (2, 1)], "source long, target long"), rounds=5, bound=bound).collect()
 
 
-def test_embedding_pairs_of_clusters_and_noise(spark):
+def test_embedding_pairs_of_clusters_and_noise(spark, monkeypatch):
     import numpy as np
 
+    from storyloom.operators import embeddings
     from storyloom.operators.embeddings import embedding_pairs
 
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 4)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 32))
     x = np.concatenate([*(c + 0.35 * rng.normal(size=(25, 32)) for c in centres), rng.normal(size=(30, 32))])
