@@ -7,6 +7,7 @@ from storyloom.llm.fingerprints import op4_document_fingerprints
 from storyloom.llm.host_rules import OP3_SQL, op3_host_rules
 from storyloom.llm.language_id import op9_language_id
 from storyloom.llm.mincut_html import op1_mincut_html
+from storyloom.llm.piece_bpe import op12_sentencepiece_backtracking
 from storyloom.llm.poisson_mix import OP2_SQL, op2_poisson_mix
 from storyloom.llm.quality_trees import op7_quality_classifier
 from storyloom.llm.quote_links import OP8_SQL, op8_quote_links
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quote_links": op8_quote_links,
     "op9_language_id": op9_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_sentencepiece_backtracking": op12_sentencepiece_backtracking,
 }
 
 ORACLE_SQL = {"op2_poisson_mix": OP2_SQL, "op3_host_rules": OP3_SQL, "op8_quote_links": OP8_SQL}
