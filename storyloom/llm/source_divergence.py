@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +29,7 @@ MIN_DF, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: Sources of a tile, and kept terms of a bucket on average.
 TILE, BUCKET_TERMS = 64, 4096
 #: Terms that a task sums before it passes them on.
-HELD_TERMS = 400_000
+HELD_TERMS = 800_000
 #: Bytes outside of terms become spaces, A to Z small letters; bytes of longer characters stay.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -80,19 +81,27 @@ def group_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), empty).alias(name) for c, name in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = {}
+        """Vectors of the task's documents, summed for each language and source; a row for each language and term."""
+        counts: dict[str, dict[str, Counter]] = {}
         having: dict[str, Counter] = {}
 
         def passed_on() -> Iterator[pa.RecordBatch]:
             for lang, terms in having.items():
-                of = [(source, c) for (x, source), c in counts.items() if x == lang]
-                names = [source for source, _ in of]
-                listed = list(terms)
-                for a in range(0, len(listed), 50_000):
-                    some = listed[a : a + 50_000]
-                    found = [[(k, c[t]) for k, (_, c) in enumerate(of) if t in c] for t in some]
+                of = counts[lang]
+                place = {t: k for k, t in enumerate(terms)}
+                entries = sum(map(len, of.values()))
+                term = np.fromiter((place[t] for c in of.values() for t in c), dtype=np.int64, count=entries)
+                n = np.fromiter((k for c in of.values() for k in c.values()), dtype=np.int64, count=entries)
+                order = np.argsort(term, kind="stable")
+                source = pa.array(list(of), pa.string()).take(pa.array(np.repeat(np.arange(len(of)), [len(c) for c in of.values()])[order]))
+                n, ends = n[order], np.r_[0, np.cumsum(np.bincount(term, minlength=len(terms)))]
+                names, df = pa.array(list(terms), pa.binary()).cast(pa.string()), np.fromiter(terms.values(), dtype=np.int64, count=len(terms))
+                for a in range(0, len(terms), 50_000):
+                    b = min(a + 50_000, len(terms))
+                    lo, hi = int(ends[a]), int(ends[b])
+                    offsets = pa.array(ends[a : b + 1] - lo, pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([terms[t] for t in some], pa.int64()), pa.array([[names[k] for k, _ in f] for f in found], pa.list_(pa.string())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int64()))],
+                        [pa.array([lang] * (b - a), pa.string()), names.slice(a, b - a), pa.array(df[a:b]), pa.ListArray.from_arrays(offsets, source.slice(lo, hi - lo)), pa.ListArray.from_arrays(offsets, pa.array(n[lo:hi]))],
                         names=["lang", "term", "df", "sources", "counts"],
                     )
             counts.clear()
@@ -101,48 +110,63 @@ def group_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         for part in text_slices(batches, 0):
             for text, lang, source in zip(*(c.to_pylist() for c in part.columns)):
                 terms = terms_of(text)
-                counts.setdefault((lang, source), Counter()).update(terms)
+                counts.setdefault(lang, {}).setdefault(source, Counter()).update(terms)
                 having.setdefault(lang, Counter()).update(set(terms))
-            if sum(map(len, counts.values())) > HELD_TERMS:
+            if sum(len(c) for of in counts.values() for c in of.values()) > HELD_TERMS:
                 yield from passed_on()
         yield from passed_on()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one term stand together: added up, and written where its document frequency suffices."""
-        out: list[tuple] = []
-        key, df, found = None, 0, Counter()
-
-        def closed() -> None:
-            if key is not None and df >= min_df:
-                n = sum(found.values())
-                out.extend((*key, df, n, source, c, k == 0) for k, (source, c) in enumerate(sorted(found.items())))
-
-        def batch() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _KEPT_TYPES)], names=_KEPT_NAMES)
-            out.clear()
-            return made
-
+        """Rows of one term stand together: added up, and written where its document frequency suffices. The last term waits for the next batch."""
+        held: pa.RecordBatch | None = None
         for part in batches:
-            for lang, term, more, sources, counts in zip(*(c.to_pylist() for c in part.columns)):
-                if (lang, term) != key:
-                    closed()
-                    key, df, found = (lang, term), 0, Counter()
-                    if len(out) > 20_000:
-                        yield batch()
-                df += more
-                for source, n in zip(sources, counts):
-                    found[source] += n
-        closed()
-        if out:
-            yield batch()
+            if part.num_rows:
+                part = part if held is None else pa.concat_batches([held, part])
+                starts = _starts(part)
+                last = int(starts[-1])
+                held = part.slice(last)
+                if last:
+                    yield from _kept(part.slice(0, last), starts[:-1], min_df)
+        if held is not None:
+            yield from _kept(held, np.zeros(1, dtype=np.int64), min_df)
 
     partial = rows.mapInArrow(sums, "lang string, term string, df long, sources array<string>, counts array<long>")
     return partial.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merged, _KEPT)
 
 
 _KEPT = "lang string, term string, df long, n_lang long, source string, n long, first boolean"
-_KEPT_NAMES = [x.split()[0] for x in _KEPT.split(", ")]
-_KEPT_TYPES = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    """Where runs of one language and term begin."""
+    n = rows.num_rows
+    differs = np.zeros(max(0, n - 1), dtype=bool)
+    for name in ("lang", "term"):
+        column = rows.column(name)
+        differs |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.r_[0, np.flatnonzero(differs) + 1]
+
+
+def _kept(rows: pa.RecordBatch, starts: np.ndarray, min_df: int) -> Iterator[pa.RecordBatch]:
+    """Runs of terms with enough documents, as a row for each source."""
+    df = np.add.reduceat(rows.column("df").to_numpy(), starts)
+    run = np.repeat(np.arange(starts.size), np.diff(np.r_[starts, rows.num_rows]))
+    some = np.flatnonzero(df[run] >= min_df)
+    if not some.size:
+        return
+    taken = rows.take(pa.array(some))
+    sources, n = taken.column("sources").flatten().dictionary_encode(), taken.column("counts").flatten().to_numpy()
+    run = np.repeat(run[some], pc.list_value_length(taken.column("sources")).to_numpy())
+    key, place = np.unique(run * len(sources.dictionary) + sources.indices.to_numpy().astype(np.int64), return_inverse=True)
+    total, whole = np.zeros(key.size, dtype=np.int64), np.zeros(starts.size, dtype=np.int64)
+    np.add.at(total, place, n)
+    np.add.at(whole, run, n)
+    of, source = np.divmod(key, len(sources.dictionary))
+    at = pa.array(starts[of])
+    yield pa.RecordBatch.from_arrays(
+        [rows.column("lang").take(at), rows.column("term").take(at), pa.array(df[of]), pa.array(whole[of]), sources.dictionary.take(pa.array(source)), pa.array(total), pa.array(np.r_[True, of[1:] != of[:-1]])],
+        names=[x.split()[0] for x in _KEPT.split(", ")],
+    )
 
 
 def _share(n: Column, total: Column, size: Column) -> Column:
