@@ -34,14 +34,16 @@ def topical(stories: DataFrame, actions: list[str] = L.TOPIC_ACTIONS, generic: l
     return with_tokens(stories, actions, generic, topic_tokens)
 
 
-def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0) -> DataFrame:
+def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0, touched: DataFrame | None = None) -> DataFrame:
     """(i, j, ratio, shared, n_action, n_strong) of stories i < j that share a strong token or two action tokens, seen within some days,
     with a ratio of `least`.
 
     tokens: with_tokens(). Without `least` the keys are strong tokens and pairs of action tokens. With it they are prefixes: of a set's
     tokens, rarest first, one of the first n - ceil(least n) + 1 is in every other set that shares `least` of the smaller one; so a
     frequent token is a key of few rows on one side. Pairs that share several keys are kept once, by an aggregate on the ids alone.
+    With `touched` (id) only pairs that have one of these ids on a side.
     """
+    some = (lambda rows: rows) if touched is None else (lambda rows: rows.join(touched.select("id"), "id", "left_semi"))
     bucket = F.floor(F.unix_seconds(F.col("last_seen").cast("timestamp")) / F.lit(days * 86_400))
     timed = tokens.withColumn("bucket", bucket)
     if least > 0:
@@ -49,16 +51,20 @@ def overlap_pairs(tokens: DataFrame, days: int = 5, least: float = 0.0) -> DataF
         df = every.groupBy("key").agg(F.count("*").alias("df"))
         place = F.row_number().over(Window.partitionBy("id").orderBy("df", "key"))
         first = every.join(df, "key").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.lit(least - 5e-7) * F.col("n")) + 1)
-        sides, around = (first, every), (-1, 0, 1)
+        joins, around = [(some(first), every)] + ([] if touched is None else [(first, some(every))]), (-1, 0, 1)
     else:
         pairs = F.transform(F.sequence(F.lit(0), F.size("action") - 2), lambda a: F.transform(F.slice("action", a + 2, F.size("action")), lambda b: F.concat_ws("+", F.array_sort(F.array(F.get("action", a), b)))))
         keys = F.concat("strong", F.when(F.size("action") >= 2, F.flatten(pairs)).otherwise(F.array().cast("array<string>")))
         rows = timed.select("id", "last_seen", "bucket", F.explode(F.array_distinct(keys)).alias("key"))
-        sides, around = (rows, rows), (0, -1)
-    left = sides[0].select(F.col("id").alias("a"), F.col("last_seen").alias("ta"), "key", F.explode(F.array(*(F.col("bucket") + k for k in around))).alias("bucket"))
-    right = sides[1].select(F.col("id").alias("b"), F.col("last_seen").alias("tb"), "key", "bucket")
+        joins, around = [(some(rows), rows)], (0, -1) if touched is None else (-1, 0, 1)
     near = F.abs(F.unix_seconds(F.col("ta").cast("timestamp")) - F.unix_seconds(F.col("tb").cast("timestamp"))) <= days * 86_400
-    found = left.join(right, ["key", "bucket"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).distinct()
+    found = None
+    for a, b in joins:
+        left = a.select(F.col("id").alias("a"), F.col("last_seen").alias("ta"), "key", F.explode(F.array(*(F.col("bucket") + k for k in around))).alias("bucket"))
+        right = b.select(F.col("id").alias("b"), F.col("last_seen").alias("tb"), "key", "bucket")
+        met = left.join(right, ["key", "bucket"]).where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+        found = met if found is None else found.union(met)
+    found = found.distinct()
     cols = lambda p: tokens.select(F.col("id").alias(p), *(F.col(c).alias(f"{c}_{p}") for c in ("tokens", "strong", "action")))
     both = found.join(cols("i"), "i").join(cols("j"), "j")
     inter = lambda c: F.size(F.array_intersect(f"{c}_i", f"{c}_j"))
@@ -181,9 +187,9 @@ DECIDE_SQL = PAIR_SQL + f""", e AS (SELECT id, {_STATE_SQL} AS state, {_ENT_SQL}
     FROM o JOIN e a ON a.id = i JOIN e b ON b.id = j), m AS (SELECT *, veto IS NULL AND CASE WHEN ratio >= 0.56 THEN n_strong >= 1 OR n_action >= 2 ELSE ratio >= 0.3 AND shared >= 3 AND n_action >= 1 AND n_strong >= 1 END AS should_merge FROM v)"""
 
 
-def decided(s: DataFrame, theta: float = 0.56, days: int = 5, least: float = 0.3) -> DataFrame:
-    """Decisions on the pairs that can merge or nearly do; no pair below a ratio of 0.3 merges."""
-    return merge_decision(overlap_pairs(data_tokens(s), days, least), _states(s), theta)
+def decided(s: DataFrame, theta: float = 0.56, days: int = 5, least: float = 0.3, touched: DataFrame | None = None) -> DataFrame:
+    """Decisions on the pairs that can merge or nearly do; no pair below a ratio of 0.3 merges. With `touched` (id) only pairs of these."""
+    return merge_decision(overlap_pairs(data_tokens(s), days, least, touched), _states(s), theta)
 
 
 register("merge_decision", "v_stories", lambda s: decided(s).select("i", "j", "veto", "should_merge"), DECIDE_SQL + " SELECT i, j, veto, should_merge FROM m WHERE ratio >= 0.3")

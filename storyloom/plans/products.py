@@ -19,26 +19,35 @@ from storyloom.sources.pages import domain
 # --- merging -----------------------------------------------------------------------------------------------------------------------
 
 
-def _deciding(stories: DataFrame, theta: float) -> DataFrame:
-    return decided(stories, theta)
+def _deciding(stories: DataFrame, theta: float, touched: DataFrame | None = None) -> DataFrame:
+    return decided(stories, theta, touched=touched)
 
 
 register("merge_plan", "v_stories", lambda s: merge_plan(s, _deciding(s, 0.56)))
 
 
-def merge_passes(stories: DataFrame, links: DataFrame, decide: Callable[[DataFrame], DataFrame], passes: int = 3, most: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """Merges until a pass finds none, at most `passes` times; each pass works on the snapshot of the one before."""
-    done = 0
+def merge_passes(stories: DataFrame, links: DataFrame, decide: Callable[[DataFrame, DataFrame | None], DataFrame], passes: int = 3, most: int | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(stories, links, pairs decided on in each pass): merges until a pass finds none, at most `passes` times.
+
+    decide(stories, touched) gives decisions on all pairs, or on those with a touched story (id) on a side. A pass leaves no pair of two
+    unchanged stories that would merge, as the walk joins every such pair whose sides are both there; so the next one decides only pairs with
+    a story that a merge has changed. With `most` a pass may leave pairs over, and the next one decides on all again.
+    """
+    counts: list[int] = []
+    touched = None
     for _ in range(passes):
-        plan = stored(merge_plan(stories, decide(stories), most))
+        decisions = stored(decide(stories, touched))
+        counts.append(decisions.count())
+        plan = stored(merge_plan(stories, decisions, most))
         if plan.isEmpty():
             break
         stories, links = (stored(x) for x in merge_apply(stories, links, plan.select("source", "target")))
-        done += 1
-    return stories, links, done
+        if most is None:
+            touched = stored(plan.select(F.col("target").alias("id")).distinct().join(stories, "id", "left_semi"))
+    return stories, links, counts
 
 
-register("merge_passes", "v_stories v_links", lambda s, x: merge_passes(s, x, lambda t: _deciding(t, 0.56))[0].select("id", "title", "status", "article_count"))
+register("merge_passes", "v_stories v_links", lambda s, x: merge_passes(s, x, lambda t, touched: _deciding(t, 0.56, touched))[0].select("id", "title", "status", "article_count"))
 
 
 def premerge_top(stories: DataFrame, links: DataFrame, top: DataFrame, decide: Callable[[DataFrame], DataFrame], most: int = 4) -> DataFrame:

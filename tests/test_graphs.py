@@ -67,3 +67,30 @@ def test_embedding_pairs_of_clusters_and_noise(spark, monkeypatch):
         for pivots, unit in ((128, 4096), (8, 7)):
             got = embedding_pairs(df, theta, 72, pivots, unit).collect()
             assert len(got) == len(want) and {(r["i"], r["j"]): r["cosine"] for r in got} == pytest.approx(want)
+
+
+def test_later_passes_decide_on_what_has_changed(spark):
+    """Three full passes, each deciding on all pairs, give the same stories and links; the second and third decide on fewer pairs."""
+    from storyloom.operators.similarity import decided, merge_apply
+    from storyloom.plans.products import merge_passes
+
+    rng = random.Random(5)
+    words = "council school river budget strike fire election trial storm harbour museum airport clinic bridge market protest verdict senate tunnel stadium".split()
+    start = dt.datetime(2024, 1, 1)
+    titles = [" ".join(rng.sample(words, rng.choice((3, 4, 5)))) for _ in range(150)]
+    titles[:40] = [None if rng.random() < 0.2 else t for t in titles[:40]]
+    rows = [(f"s{k:03d}", t, t, rng.choice(("active", "active", "pinned")), start, start + dt.timedelta(hours=rng.randrange(400)), rng.randrange(1, 5)) for k, t in enumerate(titles)]
+    stories = spark.createDataFrame(rows, "id string, title string, summary string, status string, first_seen timestamp_ntz, last_seen timestamp_ntz, article_count long")
+    links = spark.createDataFrame([(f"s{k:03d}", k) for k in range(150)], "story_id string, article_id long")
+    s, x = stories, links
+    full = []
+    for _ in range(3):
+        decisions = decided(s).cache()
+        full.append(decisions.count())
+        plan = merge_plan(s, decisions).cache()
+        if plan.isEmpty():
+            break
+        s, x = (y.cache() for y in merge_apply(s, x, plan.select("source", "target")))
+    got_s, got_x, counts = merge_passes(stories, links, lambda t, touched: decided(t, touched=touched))
+    assert sorted(map(repr, got_s.collect())) == sorted(map(repr, s.collect())) and sorted(map(tuple, got_x.collect())) == sorted(map(tuple, x.collect()))
+    assert len(counts) >= 2 and counts[0] == full[0] and all(a < b for a, b in zip(counts[1:], full[1:])), (counts, full)
