@@ -62,10 +62,10 @@ def drop_stashes(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> int:
     return len(gone)
 
 
-def parts_of(df: DataFrame, size: int = 256 << 20) -> int:
-    """Partitions for a shuffle of df: the session's setting, or more if Spark's estimate of its bytes asks for it."""
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(200_000, -(-estimate // size)))
+def parts_of(df: DataFrame, text_col: str = "text", size: int = 64 << 20) -> int:
+    """Partitions for a shuffle of df: the session's setting, or more if the bytes of its texts, which are counted, ask for it."""
+    total = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ from storyloom.llm.common import MOST_OF_KEY, by_key, documents, parts_of, runs,
 
 BITS, TERM_WORDS, RADIUS = 128, 3, 4
 _BLOCK = 1 << 15
+#: Ids of a range that are looked at to place its bounds, where ids are no whole numbers.
+SAMPLED = 20
 
 
 def fingerprint(text: str | None) -> bytes:
@@ -67,23 +69,35 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """(doc_id, text, next_text): each row beside the next one by descending id (ties by text, nulls last), the last beside the first.
 
-    Ids are dealt to ranges by approximate quantiles; the largest id of each range is then taken exactly, one small row a range, and
-    that document goes to the range before as well. Texts are shuffled once and read in order; a task holds two of them at a time.
+    Ids are dealt to ranges, whole numbers by approximate quantiles, other ids by a sample of fixed size for each range, as strings in the
+    order of their UTF-8 bytes; the largest id of each range is then taken exactly, one small row a range, and that document goes to the
+    range before as well. Texts are shuffled once and read in order; a task holds two of them at a time.
     """
-    parts = parts or parts_of(docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    kind = "long" if whole else "string"
+    parts = parts or parts_of(docs, text_col)
+    rows = docs.select(F.col(id_col).cast(kind).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     ranges = 4 * parts if 1 < parts <= 10_000 else parts  # several to a task, so that tasks get alike shares
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] if ranges > 1 else None
-    cuts = np.array(sorted(set(cuts or ())), dtype=np.int64)
+    if ranges == 1:
+        cuts = []
+    elif whole:
+        cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] or []
+    else:
+        some = ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED * ranges).toArrow().column(0).to_pylist()
+        cuts = sorted(some, key=str.encode)[SAMPLED - 1 :: SAMPLED]
+    key = int if whole else str.encode
+    cuts = sorted({key(c) for c in cuts})
+    known_cuts = np.array(cuts, dtype=np.int64 if whole else object)
 
     @F.pandas_udf("int")
     def part_of(doc_id):  # noqa: ANN001, ANN202
         import pandas as pd
 
         known = doc_id.notna().to_numpy()
-        out = np.full(len(doc_id), len(cuts) + 1, dtype=np.int32)  # null ids come last
-        out[known] = len(cuts) - np.searchsorted(cuts, doc_id[known].to_numpy().astype(np.int64), side="left")
+        out = np.full(len(doc_id), len(known_cuts) + 1, dtype=np.int32)  # null ids come last
+        values = np.array([key(x) for x in doc_id[known]], dtype=known_cuts.dtype)
+        out[known] = len(known_cuts) - np.searchsorted(known_cuts, values, side="left")
         return pd.Series(out)
 
     heads = sorted((r["part"], r["head"]) for r in ids.select(part_of("doc_id").alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect())
@@ -95,7 +109,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     def places(part, doc_id):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([[p] if (x := None if pd.isna(d) else int(d)) not in before else [p, ~before[x]] for p, d in zip(part, doc_id)])
+        return pd.Series([[p] if (x := None if pd.isna(d) else int(d) if whole else d) not in before else [p, ~before[x]] for p, d in zip(part, doc_id)])
 
     dealt = rows.withColumn("part", part_of("doc_id")).withColumn("place", F.explode(places("part", "doc_id")))
     dealt = dealt.select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("part"), (F.col("place") < 0).alias("ahead"), "doc_id", "text")
@@ -110,9 +124,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                     for into, what in zip(out, (held[2], held[3], text)):
                         into.append(what)
                 held = (part, ahead or (held is not None and held[0] == part and held[1]), doc_id, text)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "text", "next_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64() if whole else pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "text", "next_text"])
 
-    return dealt.mapInArrow(pair, "doc_id long, text string, next_text string")
+    return dealt.mapInArrow(pair, f"doc_id {kind}, text string, next_text string")
 
 
 def neighbours(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, most: int = MOST_OF_KEY) -> DataFrame:

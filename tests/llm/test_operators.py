@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from storyloom.llm import bpe_chunks, fingerprints, host_rules, language_id, mincut_html, poisson_mix, quality_trees, quote_links, simhash_dedup, substring_dedup
-from storyloom.llm.common import bloom, by_key, components, in_bloom
+from storyloom.llm.common import bloom, by_key, components, in_bloom, parts_of
 from tests.llm.conftest import SCHEMA, awkward, prose
 
 ROWS = awkward()
@@ -346,6 +346,19 @@ def test_all_within_radius(spark):
 def test_one_and_no_document(spark, nothing):
     assert [(r["text"], r["next_text"]) for r in fingerprints.with_next(spark.createDataFrame([(5, "abc")], "doc_id long, text string")).collect()] == [("abc", "abc")]
     assert fingerprints.with_next(nothing).collect() == []
+    assert parts_of(spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").repartition(2)) == 4 and parts_of(nothing) == 4
+
+
+def test_next_of_ids_of_any_type(spark):
+    """String ids follow each other by their bytes, small and negative numbers by value; null ids come last."""
+    rng = random.Random(4)
+    for kind, ids in (("string", [f"{rng.choice('abzÄ漢')}{k}" for k in range(150)] + [None]), ("int", [rng.randrange(-500, 500) for _ in range(150)] + [None])):
+        rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+        order = sorted(rows, key=lambda r: (r[0] is None, tuple(-b for b in r[0].encode()) + (1,) if isinstance(r[0], str) else -(r[0] or 0), r[1]))
+        want = sorted(((a[0], a[1], b[1]) for a, b in zip(order, order[1:] + order[:1])), key=repr)
+        for parts in (1, 3):
+            got = fingerprints.with_next(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3), parts=parts)
+            assert rows_of(got, "doc_id", "text", "next_text") == want
 
 
 # --- 5 ---
