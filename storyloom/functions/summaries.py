@@ -135,6 +135,57 @@ def sql_display(rows: str) -> str:
     dz AS (SELECT id, kind, CASE WHEN NOT ({bad} OR len(string_split(t, ' ')) < 8 OR (len(w) >= 16 AND len(list_distinct(w)) / len(w) < 0.55)) THEN CASE WHEN length(t) > {LONGEST} THEN concat(trim(substr(t, 1, {LONGEST}), ' '), '…') ELSE t END END AS clean FROM dy)"""
 
 
+MONTH_DAY = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)\b\s+\d{1,2}\b"
+_SYNTHETIC = "|".join([*TEMPLATES, GENERIC_REASON])
+
+
+def synthetic(c: Column) -> Column:
+    """Whether a text is one of the templates that summaries without a source are made from."""
+    return F.trim(c).rlike(f"(?i){_SYNTHETIC}")
+
+
+def sql_synthetic(c: str) -> str:
+    return f"regexp_matches(trim({c}), {_lit('(?i)' + _SYNTHETIC)})"
+
+
+def near_text(c: Column) -> Column:
+    """What two texts are compared by: letters and digits in lower case, without a month and its day."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), MONTH_DAY, " "), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def sql_near_text(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), {_lit(MONTH_DAY)}, ' ', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def headline_echo(title: Column, summary: Column) -> Column:
+    """Whether a summary only repeats the title: the same words, nearly all of the longer words and few more, or the title and a little."""
+    return let(near_text(title), lambda a: let(near_text(summary), lambda b: _echoes(a, b)))
+
+
+def _echoes(a: Column, b: Column) -> Column:
+    words = lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != ""))
+    longer = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: F.length(w) >= 4))
+    shared = F.size(F.array_intersect(longer(a), longer(b))) / F.greatest(F.lit(1), F.least(F.size(longer(a)), F.size(longer(b))))
+    most = (shared >= 0.92) & (words(b) <= words(a) + 7)
+    on = b.startswith(a) & (F.length(b) <= F.length(a) + 55)
+    return (a != "") & (b != "") & ((a == b) | ((F.size(longer(a)) > 0) & (F.size(longer(b)) > 0) & (most | on)))
+
+
+def sql_headline_echo(title: str, summary: str) -> str:
+    a, b = sql_near_text(title), sql_near_text(summary)
+    words = lambda x: f"len(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+    longer = lambda x: f"list_distinct(list_filter(string_split({x}, ' '), lambda w: length(w) >= 4))"
+    la, lb = longer(a), longer(b)
+    return f"""({a} <> '' AND {b} <> '' AND ({a} = {b} OR (len({la}) > 0 AND len({lb}) > 0 AND ((len(list_intersect({la}, {lb})) / greatest(1, least(len({la}), len({lb}))) >= 0.92 AND {words(b)} <= {words(a)} + 7)
+      OR (starts_with({b}, {a}) AND length({b}) <= length({a}) + 55)))))"""
+
+
+def sql_low_quality(c: str) -> str:
+    w = f"list_filter(list_transform(regexp_split_to_array(lower({c}), '\\s+'), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: x <> '')"
+    repeats = " OR ".join(f"regexp_matches({c}, {_lit('(?i)' + p)})" for p in REPEATS)
+    return f"""(length({c}) < {SHORTEST} OR regexp_matches({c}, {_lit('(?i)' + '|'.join(JUNK))}) OR {repeats} OR (len({w}) >= 16 AND len(list_distinct({w})) / len({w}) < 0.55) OR len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')) < 8)"""
+
+
 def low_quality(c: Column) -> Column:
     """Whether a text is no summary: short, junk, or repeating itself."""
     t = F.coalesce(c, F.lit(""))

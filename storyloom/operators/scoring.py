@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.functions import lexicons as L
-from storyloom.functions.summaries import display_summary, fallback_summary, sanitized, sql_display, sql_fallback, sql_sanitized
+from storyloom.functions.summaries import display_summary, fallback_summary, headline_echo, low_quality, sanitized, sql_display, sql_fallback, sql_headline_echo, sql_low_quality, sql_sanitized, sql_synthetic, synthetic
 from storyloom.functions.text import hits, sql_hits
 from storyloom.operators.filters import DATA_AUDIENCE, SERVABLE_SQL, audiences, servable, sql_audience
 from storyloom.operators.graphs import stored
@@ -190,77 +190,85 @@ register("newsletter_ranking", BOARD, lambda *t: newsletter_ranking(board(*t, re
 _SAN = sql_sanitized("v_articles", "id, source_id, title, ts")
 
 
-def echo(title: Column, summary: Column) -> Column:
-    """Whether a summary only repeats the title: equal words, or it begins with the title and goes on little."""
-    from storyloom.functions.text import normal
-
-    a, b = normal(title), normal(summary)
-    return (a != "") & ((a == b) | (b.startswith(a) & (F.length(b) <= F.length(a) + 55)))
-
-
 def summary_cleaning(articles: DataFrame) -> DataFrame:
     """Each article's cleaned summary, or why it has none."""
     s = sanitized(F.col("summary"))
-    reason = F.when(F.trim(F.coalesce("summary", F.lit(""))) == "", "blank").when(s == "", "short_or_repetitive").when(echo(F.col("title"), s), "headline_echo")
+    reason = F.when(F.trim(F.coalesce("summary", F.lit(""))) == "", "blank").when(s == "", "short_or_repetitive").when(headline_echo(F.col("title"), s), "headline_echo")
     return articles.select("id", F.when(reason.isNull(), s).alias("summary"), reason.alias("reason"))
 
 
-_N = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
-_ECHO = f"({_N('title')} <> '' AND ({_N('title')} = {_N('summary')} OR (starts_with({_N('summary')}, {_N('title')}) AND length({_N('summary')}) <= length({_N('title')}) + 55)))"
+_ECHO = sql_headline_echo("title", "summary")
 register(
     "summary_cleaning", "v_articles", summary_cleaning,
     _SAN + f" SELECT id, CASE WHEN reason IS NULL THEN summary END AS summary, reason FROM (SELECT id, summary, CASE WHEN t = '' THEN 'blank' WHEN summary = '' THEN 'short_or_repetitive' WHEN {_ECHO} THEN 'headline_echo' END AS reason FROM s)",
 )
 
 
-def candidate_score(title: Column, summary: Column, kind: Column) -> Column:
-    """0.45 and what speaks for or against a candidate, between 0 and 1; templates have a fixed score."""
-    n = F.length(summary)
-    s = F.lit(0.45) + F.when(n >= 80, 0.15).otherwise(0.0) + F.when(n >= 160, 0.1).otherwise(0.0) + F.when(summary.rlike("[0-9]"), 0.05).otherwise(0.0) - F.when(echo(title, summary), 0.4).otherwise(0.0) - F.when(summary == "", 0.35).otherwise(0.0)
-    return F.when(kind == "fallback", 0.38).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 4))
+#: Fixed value: words that a summary of this field has.
+TOPICAL = "district|school board|state|federal|teacher|students|curriculum|funding|policy|classroom|superintendent|principal|k-12|education"
 
 
-_CS = f"CASE WHEN kind = 'fallback' THEN 0.38 ELSE round(greatest(0, least(1, 0.45::DOUBLE + CASE WHEN length(summary) >= 80 THEN 0.15 ELSE 0 END + CASE WHEN length(summary) >= 160 THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(summary, '[0-9]') THEN 0.05 ELSE 0 END - CASE WHEN {_ECHO} THEN 0.4 ELSE 0 END - CASE WHEN summary = '' THEN 0.35 ELSE 0 END)), 4) END"
+def candidate_score(title: Column, summary: Column, kind: Column) -> Column:
+    """What speaks for and against a cleaned candidate, between 0 and 1 with two decimals; nothing for an empty one, a fixed score for a
+    template."""
+    n = F.size(F.filter(F.split(summary, r"\s+"), lambda w: w != ""))
+    part = lambda when, value: F.when(when, value).otherwise(0.0)
+    score = F.lit(0.45) + part(~low_quality(summary), 0.25) + part(n >= 10, 0.12) + part(n >= 16, 0.08) - part(n > 60, 0.08) + part(summary.rlike(f"(?i)({TOPICAL})"), 0.07) + part(summary.rlike("[0-9]"), 0.03)
+    score = score - part(headline_echo(title, summary), 0.4) - part(synthetic(summary), 0.35)
+    return F.when(summary == "", 0.0).when(kind == "fallback", 0.38).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2))
+
+
+_WORDS = "len(list_filter(regexp_split_to_array(summary, '\\s+'), lambda x: x <> ''))"
+_CS = f"""CAST(CASE WHEN summary = '' THEN 0 WHEN kind = 'fallback' THEN 0.38 ELSE round(greatest(0, least(1, 0.45::DOUBLE + CASE WHEN {sql_low_quality('summary')} THEN 0 ELSE 0.25 END + CASE WHEN {_WORDS} >= 10 THEN 0.12 ELSE 0 END + CASE WHEN {_WORDS} >= 16 THEN 0.08 ELSE 0 END
+    - CASE WHEN {_WORDS} > 60 THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(summary, '(?i)({TOPICAL})') THEN 0.07 ELSE 0 END + CASE WHEN regexp_matches(summary, '[0-9]') THEN 0.03 ELSE 0 END - CASE WHEN {_ECHO} THEN 0.4 ELSE 0 END - CASE WHEN {sql_synthetic('summary')} THEN 0.35 ELSE 0 END)), 2) END AS DOUBLE)"""
 register(
-    "summary_candidate_score", "v_articles", lambda a: a.select("id", candidate_score(F.col("title"), sanitized(F.col("summary")), F.expr("if(id % 8 = 0, 'fallback', 'feed')")).alias("score")),
-    _SAN + f" SELECT id, CAST({_CS} AS DOUBLE) AS score FROM (SELECT *, CASE WHEN id % 8 = 0 THEN 'fallback' ELSE 'feed' END AS kind FROM s)",
+    "summary_candidate_score", "v_articles", lambda a: a.select("id", candidate_score(F.col("title"), sanitized(F.col("summary")), F.expr("if(id % 8 = 0, 'fallback', 'existing')")).alias("score")),
+    _SAN + f" SELECT id, {_CS} AS score FROM (SELECT *, CASE WHEN id % 8 = 0 THEN 'fallback' ELSE 'existing' END AS kind FROM s)",
 )
 
 
-def summary_adjudication(candidates: DataFrame) -> DataFrame:
-    """candidates (id, title, summary, kind, ord) -> one decision each: equal texts count once (first source), then best score, then
-    longest; the lead over the second gives the confidence."""
-    scored = candidates.withColumn("score", candidate_score(F.col("title"), F.col("summary"), F.col("kind")))
-    once = scored.groupBy("id", F.lower("summary").alias("k")).agg(F.min_by(F.struct("summary", "kind", "score"), "ord").alias("c")).select("id", "c.*")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc(F.length("summary")), "summary")
-    best = once.withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w)}).where("r = 1")
-    gap = F.col("score") - F.coalesce("next", F.lit(0.0))
-    confidence = F.greatest(F.lit(0.35), F.least(F.lit(0.9), 0.52 + 0.9 * gap + 0.35 * F.greatest(F.lit(0.0), F.col("score") - 0.55)))
-    return best.select("id", "kind", "summary", F.round(confidence, 4).alias("confidence"))
+def admitted(candidates: DataFrame) -> DataFrame:
+    """(id, title, summary, kind, ord, score) of candidates (id, title, summary, kind, ord): cleaned, without empty ones and echoes of the
+    title, equal texts once (the first)."""
+    clean = candidates.withColumn("summary", sanitized(F.col("summary")))
+    once = clean.groupBy("id", F.lower("summary").alias("k")).agg(F.min_by(F.struct("title", "summary", "kind", "ord"), "ord").alias("c")).select("id", "c.*")
+    once = once.where("summary <> ''").where(~headline_echo(F.col("title"), F.col("summary")))  # after the aggregate, so that each text is cleaned once
+    return once.withColumn("score", candidate_score(F.col("title"), F.col("summary"), F.col("kind")))
 
 
-_CAND = "SELECT id, title, kind, ord, summary FROM (SELECT *, 'feed' AS kind, 1 AS ord FROM s UNION ALL SELECT * REPLACE (regexp_extract(summary, '^[^.!?]*[.!?]?', 0) AS summary), 'page' AS kind, 2 AS ord FROM s UNION ALL SELECT * REPLACE (concat('Coverage of ', title) AS summary), 'fallback', 3 FROM s)"
+def summary_adjudication(candidates: DataFrame) -> DataFrame:
+    """candidates (id, title, summary, kind, ord) -> (id, title, kind, summary, confidence, reasons): the best score, then the longest, then the
+    first. The lead over the second, or 0.2 where there is none, and the score give the confidence. No row where no candidate is admitted."""
+    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc(F.length("summary")), "ord")
+    best = admitted(candidates).withColumns({"r": F.row_number().over(w), "next": F.lead("score").over(w)}).where("r = 1")
+    gap = F.when(F.col("next").isNull(), 0.2).otherwise(F.greatest(F.lit(0.0), F.col("score") - F.col("next")))
+    confidence = F.greatest(F.lit(0.35), F.least(F.lit(0.9), 0.52 + 0.9 * gap + 0.35 * F.greatest(F.lit(0.0), F.col("score") - 0.55)))
+    reasons = F.array_compact(F.array(F.lit("heuristic_quality_score"), F.when(gap >= 0.12 - 1e-9, "clear_quality_margin"), F.when(F.col("kind") == "scrape", "scraped_main_content"), F.when(F.col("kind") == "llm", "llm_rewrite_selected"), F.when(F.col("kind") == "fallback", "fallback_generated_brief")))
+    return best.select("id", "title", "kind", "summary", F.round(confidence, 2).alias("confidence"), reasons.alias("reasons"))
 
 
 def _candidates(a: DataFrame) -> DataFrame:
-    s = a.withColumn("summary", sanitized(F.col("summary")))
-    page, fallback = s.withColumn("summary", F.regexp_extract("summary", "^[^.!?]*[.!?]?", 0)), s.withColumn("summary", F.concat(F.lit("Coverage of "), "title"))
-    parts = [(s, "feed", 1), (page, "page", 2), (fallback, "fallback", 3)]
-    return parts[0][0].sparkSession.createDataFrame([], "id long, title string, summary string, kind string, ord int").unionByName(_stack(parts))
-
-
-def _stack(parts: list) -> DataFrame:
-    out = None
-    for df, kind, ord_ in parts:
-        one = df.select("id", "title", "summary", F.lit(kind).alias("kind"), F.lit(ord_).alias("ord"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-ADJUDICATED = _SAN + f""", x AS ({_CAND}), y AS (SELECT id, summary, kind, ord, title, CAST({_CS} AS DOUBLE) AS score FROM x), o AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY id, lower(summary) ORDER BY ord) = 1),
-    b AS (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS r FROM o WINDOW w AS (PARTITION BY id ORDER BY score DESC, length(summary) DESC, summary)),
-    d AS (SELECT id, kind, summary, round(greatest(0.35, least(0.9, 0.52::DOUBLE + 0.9::DOUBLE * (score - coalesce(nxt, 0)) + 0.35::DOUBLE * greatest(0, score - 0.55::DOUBLE))), 4) AS confidence FROM b WHERE r = 1)"""
-register("summary_adjudication", "v_articles", lambda a: summary_adjudication(_candidates(a)), ADJUDICATED + " SELECT id, kind, summary, confidence FROM d")
+    """Three candidates of each article from one scan: its summary, the first sentence of it, a template."""
+    own = sanitized(F.col("summary"))
+    rows = a.withColumn("own", own).select("id", "title", F.explode(F.array(
+        F.struct(F.col("own").alias("summary"), F.lit("existing").alias("kind"), F.lit(1).alias("ord")), F.struct(F.regexp_extract("own", "^[^.!?]*[.!?]?", 0).alias("summary"), F.lit("scrape").alias("kind"), F.lit(2).alias("ord")),
+        F.struct(F.concat(F.lit("New coverage highlights something that is reported of "), "title", F.lit(" and of all that follows.")).alias("summary"), F.lit("fallback").alias("kind"), F.lit(3).alias("ord")),
+    )).alias("c"))
+    return rows.select("id", "title", "c.*")
+
+
+_RAW = """(SELECT id, title, 'existing' AS kind, 1 AS ord, summary FROM s1st UNION ALL SELECT id, title, 'scrape', 2, regexp_extract(summary, '^[^.!?]*[.!?]?', 0) FROM s1st
+    UNION ALL SELECT id, title, 'fallback', 3, concat('New coverage highlights something that is reported of ', title, ' and of all that follows.') FROM s1st)"""
+ADJUDICATED = f"""WITH s1st AS ({_SAN} SELECT id, source_id, title, ts, summary FROM s), x AS ({sql_sanitized(_RAW, 'id, title, kind, ord')} SELECT id, title, kind, ord, summary FROM s),
+    o AS (SELECT *, {_CS} AS score FROM x WHERE summary <> '' AND NOT {_ECHO} QUALIFY row_number() OVER (PARTITION BY id, lower(summary) ORDER BY ord) = 1),
+    b AS (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS r FROM o WINDOW w AS (PARTITION BY id ORDER BY score DESC, length(summary) DESC, ord)),
+    g AS (SELECT *, CASE WHEN nxt IS NULL THEN 0.2::DOUBLE ELSE greatest(0, score - nxt) END AS gap FROM b WHERE r = 1),
+    d AS (SELECT id, title, kind, summary, round(greatest(0.35, least(0.9, 0.52::DOUBLE + 0.9::DOUBLE * gap + 0.35::DOUBLE * greatest(0, score - 0.55::DOUBLE))), 2) AS confidence,
+      list_filter(['heuristic_quality_score', CASE WHEN gap >= 0.12::DOUBLE - 1e-9 THEN 'clear_quality_margin' END, CASE kind WHEN 'scrape' THEN 'scraped_main_content' WHEN 'fallback' THEN 'fallback_generated_brief' END], lambda y: y IS NOT NULL) AS reasons FROM g)"""
+register(
+    "summary_adjudication", "v_articles", lambda a: summary_adjudication(_candidates(a)).select("id", "kind", "summary", "confidence", F.array_join("reasons", ",").alias("reasons")),
+    ADJUDICATED + " SELECT id, kind, summary, confidence, array_to_string(reasons, ',') AS reasons FROM d",
+)
 
 
 def summary_verdict_apply(decisions: DataFrame, candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -272,13 +280,13 @@ def summary_verdict_apply(decisions: DataFrame, candidates: DataFrame, verdicts:
 
 
 def _verdicts(a: DataFrame) -> DataFrame:
-    return a.where("id % 3 = 0").select("id", F.lit("page").alias("winner"), F.expr("id % 2 = 0").alias("reject"))
+    return a.where("id % 3 = 0").select("id", F.lit("scrape").alias("winner"), F.expr("id % 2 = 0").alias("reject"))
 
 
 register(
-    "summary_verdict_apply", "v_articles", lambda a: summary_verdict_apply(summary_adjudication(_candidates(a)), _candidates(a), _verdicts(a)),
-    ADJUDICATED + """ SELECT d.id, CASE WHEN d.id % 6 = 0 THEN 'fallback' WHEN d.id % 3 = 0 THEN 'page' ELSE d.kind END AS kind, CASE WHEN d.id % 3 = 0 THEN x.summary ELSE d.summary END AS summary,
-    CASE WHEN d.id % 6 = 0 THEN 'ai_reject_fallback' WHEN d.id % 3 = 0 THEN 'ai' ELSE 'deterministic' END AS method FROM d LEFT JOIN x ON x.id = d.id AND x.kind = CASE WHEN d.id % 6 = 0 THEN 'fallback' ELSE 'page' END""",
+    "summary_verdict_apply", "v_articles", lambda a: summary_verdict_apply(summary_adjudication(_candidates(a)), admitted(_candidates(a)), _verdicts(a)),
+    ADJUDICATED + """ SELECT d.id, coalesce(o.kind, d.kind) AS kind, coalesce(o.summary, d.summary) AS summary, CASE WHEN o.id IS NULL THEN 'deterministic' WHEN d.id % 6 = 0 THEN 'ai_reject_fallback' ELSE 'ai' END AS method
+    FROM d LEFT JOIN o ON o.id = d.id AND d.id % 3 = 0 AND o.kind = CASE WHEN d.id % 6 = 0 THEN 'fallback' ELSE 'scrape' END""",
 )
 
 
@@ -290,46 +298,59 @@ register("method_stats", "v_articles", lambda a: method_stats(summary_adjudicati
 
 
 def story_preview(decisions: DataFrame) -> DataFrame:
-    """What is shown of a decision: full, an excerpt, or the headline alone, by kind and confidence."""
-    kind = F.when((F.col("kind") == "fallback") | (F.col("confidence") < 0.58) | (F.col("summary") == ""), "headline_only").when(F.length("summary") >= 160, "full").otherwise("excerpt")
-    out = decisions.withColumn("preview_type", kind)
-    return out.select("id", "preview_type", F.when(F.col("preview_type") == "headline_only", None).otherwise(F.col("summary")).alias("preview"), "confidence")
+    """(id, preview_type, preview, confidence, reason) of decisions (id, title, kind, summary, confidence, reasons).
 
+    Full only from a model's text, else an excerpt; the headline alone for empty texts, templates, echoes of the title, and where the confidence is
+    below MIN_CONFIDENCE.
+    """
+    c = F.col
+    rows = decisions.withColumns({"text": sanitized(c("summary")), "sure": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c("confidence"))), 2)})
+    held = F.when(c("kind") == "fallback", "fallback_suppressed").when(synthetic(c("text")), "synthetic_suppressed").when(headline_echo(c("title"), c("text")), "headline_echo_suppressed")
+    rows = rows.withColumn("held", held)
+    why = F.when(c("text") == "", "empty_preview_text").when(c("held").isNotNull(), c("held")).when(c("sure") < MIN_CONFIDENCE, "low_confidence")
+    rows = rows.withColumn("why", why)
+    sure = F.when(c("text") == "", 0.0).when(c("held").isNotNull(), F.least(c("sure"), F.lit(0.34))).otherwise(c("sure"))
+    kind = F.when(c("why").isNotNull(), "headline_only").when(c("kind") == "llm", "full").otherwise("excerpt")
+    return rows.select("id", kind.alias("preview_type"), F.when(c("why").isNull(), c("text")).alias("preview"), sure.alias("confidence"), F.coalesce("why", F.get("reasons", 0), F.lit("candidate_selected")).alias("reason"))
 
-register(
-    "story_preview", "v_articles", lambda a: story_preview(summary_adjudication(_candidates(a))),
-    ADJUDICATED + " SELECT id, t AS preview_type, CASE WHEN t <> 'headline_only' THEN summary END AS preview, confidence FROM (SELECT *, CASE WHEN kind = 'fallback' OR confidence < 0.58 OR summary = '' THEN 'headline_only' WHEN length(summary) >= 160 THEN 'full' ELSE 'excerpt' END AS t FROM d)",
-)
+
+PREVIEWED = ADJUDICATED + f""", pt AS ({sql_sanitized("(SELECT id, title, kind, summary, confidence, reasons FROM d)", "id, title, kind, confidence, reasons")} SELECT id, title, kind, confidence, reasons, summary FROM s),
+    ph AS (SELECT *, CASE WHEN kind = 'fallback' THEN 'fallback_suppressed' WHEN {sql_synthetic('summary')} THEN 'synthetic_suppressed' WHEN {_ECHO} THEN 'headline_echo_suppressed' END AS held FROM pt),
+    pw AS (SELECT *, CASE WHEN summary = '' THEN 'empty_preview_text' WHEN held IS NOT NULL THEN held WHEN confidence < {MIN_CONFIDENCE} THEN 'low_confidence' END AS why FROM ph),
+    pv AS (SELECT id, CASE WHEN why IS NOT NULL THEN 'headline_only' ELSE 'excerpt' END AS preview_type, CASE WHEN why IS NULL THEN summary END AS preview, CAST(CASE WHEN summary = '' THEN 0 WHEN held IS NOT NULL THEN least(confidence, 0.34) ELSE confidence END AS DOUBLE) AS confidence,
+      coalesce(why, reasons[1], 'candidate_selected') AS reason FROM pw)"""
+register("story_preview", "v_articles", lambda a: story_preview(summary_adjudication(_candidates(a))), PREVIEWED + " SELECT id, preview_type, preview, confidence, reason FROM pv")
 
 
 def preview_resolution(scored: DataFrame, previews: DataFrame) -> DataFrame:
-    """Score after the preview: headline-only stories lose a tenth, excerpts four hundredths. scored (id, score, editor_summary)."""
+    """(id, preview_type, score) of scored (id, score, editor_summary): an editor's summary keeps the score; without a preview a tenth goes, with one
+    of a confidence below 0.66 four hundredths; two decimals."""
     joined = scored.join(previews, "id", "left")
-    kind = F.when(F.col("editor_summary").isNotNull(), "editor").otherwise(F.coalesce("preview_type", F.lit("headline_only")))
-    factor = F.when(kind == "headline_only", 0.9).when(kind == "excerpt", 0.96).otherwise(1.0)
-    return joined.select("id", kind.alias("preview_type"), F.round(F.col("score") * factor, 4).alias("score"))
+    editor = F.col("editor_summary").isNotNull()
+    factor = F.when(editor, 1.0).when(F.col("preview").isNull(), 0.9).when(F.col("confidence") < MIN_CONFIDENCE + 0.08, 0.96).otherwise(1.0)
+    return joined.select("id", F.when(editor, "editor").otherwise(F.coalesce("preview_type", F.lit("headline_only"))).alias("preview_type"), F.round(F.col("score") * factor, 2).alias("score"))
 
 
 register(
     "preview_resolution", "v_articles",
     lambda a: preview_resolution(a.select("id", (F.col("id") % 50 + 0.5).cast("double").alias("score"), F.expr("if(id % 10 = 0, title, null)").alias("editor_summary")), story_preview(summary_adjudication(_candidates(a.where("id % 4 <> 0"))))),
-    ADJUDICATED + """, p AS (SELECT id, CASE WHEN kind = 'fallback' OR confidence < 0.58 OR summary = '' THEN 'headline_only' WHEN length(summary) >= 160 THEN 'full' ELSE 'excerpt' END AS t FROM d WHERE id % 4 <> 0),
-    k AS (SELECT v.id, CASE WHEN v.id % 10 = 0 THEN 'editor' ELSE coalesce(t, 'headline_only') END AS t FROM v_articles v LEFT JOIN p USING (id))
-    SELECT id, t AS preview_type, round((id % 50 + 0.5::DOUBLE) * CASE t WHEN 'headline_only' THEN 0.9 WHEN 'excerpt' THEN 0.96 ELSE 1 END, 4) AS score FROM k""",
+    PREVIEWED + f""" SELECT v.id, CASE WHEN v.id % 10 = 0 THEN 'editor' ELSE coalesce(preview_type, 'headline_only') END AS preview_type,
+    round((v.id % 50 + 0.5::DOUBLE) * CASE WHEN v.id % 10 = 0 THEN 1 WHEN preview IS NULL THEN 0.9::DOUBLE WHEN confidence < {MIN_CONFIDENCE + 0.08} THEN 0.96::DOUBLE ELSE 1 END, 2) AS score FROM v_articles v LEFT JOIN pv ON pv.id = v.id AND v.id % 4 <> 0""",
 )
 
 
 def rerank_apply(ranked: DataFrame, verdict: DataFrame, limit: int = 60) -> DataFrame:
     """ranked (id, pos) after a verdict (id, place, demote): listed first, then the rest in their order, demoted ones out."""
     joined = ranked.join(verdict, "id", "left").where(~F.coalesce("demote", F.lit(False)))
-    keys = (F.coalesce("place", F.col("pos") + 1_000_000), "id")
-    return joined.withColumn("k", keys[0]).orderBy("k", "id").limit(limit).select("id", F.row_number().over(Window.orderBy("k", "id")).alias("pos"))
+    keys = (F.col("place").isNull(), F.col("place"), F.col("pos"), F.col("id"))
+    first = joined.orderBy(*keys).limit(limit).withColumn("listed", F.col("place").isNull())
+    return first.select("id", F.row_number().over(Window.orderBy("listed", "place", "pos", "id")).alias("pos"))
 
 
 register(
     "rerank_apply", "orders",
     lambda o: rerank_apply(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("pos")), o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), (F.lit(10**9) - F.col("o_orderkey")).alias("place"), F.expr("o_orderkey % 10 = 0").alias("demote"))),
-    """SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 = 0 THEN 1000000000 - o_orderkey ELSE o_orderkey + 1000000 END, o_orderkey) AS INT) AS pos FROM orders WHERE o_orderkey % 10 <> 0 QUALIFY pos <= 60""",
+    """SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_orderkey % 5 <> 0, CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END) AS INT) AS pos FROM orders WHERE o_orderkey % 10 <> 0 QUALIFY pos <= 60""",
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from storyloom.operators.graphs import merge_plan, stored
 from storyloom.operators.rollups import dominant_value
 from storyloom.operators.scoring import BOARD, HOME_SQL, board, story_ranking
 from storyloom.operators.similarity import _ENT_SQL, _STATE_SQL, _veto, cluster_outlier_counts, coverage_join, decided, entity_tokens, group_by_story_key, merge_apply, split_mixed, state_of, with_tokens
+from storyloom.operators.upserts import article_upsert
 from storyloom.plans.homepage import DATA, Rules, homepage_rank_refresh, top_stories
 from storyloom.plans.products import merge_passes, summary_refill
 from storyloom.registry import register
@@ -107,7 +109,7 @@ def publish_gate(stories: DataFrame, links: DataFrame, articles: DataFrame, sour
     """
     details = None
     for _ in range(passes):
-        top = top_stories(stories, links, articles, sources, rules, scan, as_of=as_of).where("edition = 'all'").orderBy("pos").limit(size)
+        top = top_stories(stories, links, articles, sources, rules, scan, as_of=as_of, edition="all").orderBy("pos").limit(size)
         top = stored(_first_ten(top.withColumn("rank", F.col("pos")), rules))
         found = stored(gate_pass(top, _outliers(top, links, articles, rules), as_of).withColumnRenamed("id", "story_id"))
         details = found if details is None else details.unionByName(found)
@@ -237,58 +239,94 @@ def guardrail_alerts(n: dict[str, int], merged: int = 80, ratio: float = 0.8, ou
     return [text for hit, text in found if hit]
 
 
-def run_pipeline(items: DataFrame, articles: DataFrame, stories: DataFrame, links: DataFrame, sources: DataFrame, rules: Rules, us: list[str], non_us: list[str], as_of: str = AS_OF, rank: int = 60) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int], list[str]]:
-    """(stories, links, ranked, counters, alerts) after a batch of new items (id, url, title, summary, source_id, ts, lang).
+def taken_in(articles: DataFrame, good: DataFrame) -> DataFrame:
+    """articles after the admitted items: of items with one url the latest counts; a known url keeps its id and source and takes title, time,
+    and the better summary by article_upsert(), a new one comes as it is. Columns of good, and `action`."""
+    latest = good.groupBy("url").agg(F.max_by(F.struct(*good.columns), F.struct("ts", "id")).alias("n")).select("n.*")
+    old = articles.select(*good.columns)
+    merged = article_upsert(old.withColumn("relevance", F.lit(None).cast("double")), latest.withColumn("relevance", F.lit(None).cast("double")))
+    merged = merged.select("url", "title", "summary", F.col("ts").cast("timestamp_ntz").alias("ts"), "action")
+    changing = ("url", "title", "summary", "ts")
+    rest = old.join(latest.select("url"), "url", "left_anti").withColumn("action", F.lit("kept"))
+    fixed = old.join(latest.select("url"), "url", "left_semi").unionByName(latest.join(old.select("url"), "url", "left_anti")).drop(*(c for c in changing if c != "url"))
+    return rest.select(*good.columns, "action").unionByName(fixed.join(merged, "url").select(*good.columns, "action"))
 
-    Admission, upsert, rescan of quality, grouping by key, merges, splits, summaries, publish gate, corroboration, ranks, duplicates. Each
-    stage's snapshot is stored; the counters are sums of a row each.
+
+def with_primaries(links: DataFrame, before: DataFrame) -> DataFrame:
+    """links (story_id, article_id) with is_primary from before (story_id, article_id, is_primary): an article is still its story's primary one if
+    it was that of the same story."""
+    return links.join(before.where("is_primary").select("story_id", "article_id", F.lit(True).alias("was")).distinct(), ["story_id", "article_id"], "left").select("story_id", "article_id", F.coalesce("was", F.lit(False)).alias("is_primary"))
+
+
+def run_events(n: dict[str, int], alerts: list[str], gate: DataFrame, added: DataFrame, as_of: str) -> DataFrame:
+    """(created_at, event_type, story_id, detail) of a run: its counters, its alerts, each story that the gate named, each link that was found."""
+    spark = gate.sparkSession
+    run = spark.createDataFrame([("ingest_run", None, json.dumps(n)), *((("grouping_guardrail", None, json.dumps({"alerts": alerts})),) if alerts else ())], "event_type string, story_id string, detail string")
+    named = gate.select(F.lit("publish_gate").alias("event_type"), F.col("story_id").cast("string").alias("story_id"), F.to_json(F.struct("reasons")).alias("detail"))
+    found = added.select(F.lit("corroboration_linked").alias("event_type"), F.col("story_id").cast("string").alias("story_id"), F.to_json(F.struct("article_id")).alias("detail"))
+    return run.unionByName(named).unionByName(found).select(F.expr(f"TIMESTAMP_NTZ '{as_of}'").alias("created_at"), "event_type", "story_id", "detail")
+
+
+def run_pipeline(
+    items: DataFrame, articles: DataFrame, stories: DataFrame, links: DataFrame, sources: DataFrame, rules: Rules, us: list[str], non_us: list[str], as_of: str = AS_OF, rank: int = 60
+) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int], list[str], DataFrame]:
+    """(stories, links, ranked, counters, alerts, events) after a batch of new items (id, url, title, summary, source_id, ts, lang).
+
+    Admission, upsert of new and known urls, rescan of quality, grouping by key, merges, splits, summaries, publish gate, corroboration, ranks,
+    duplicates. Each stage's snapshot is stored; the counters are sums of a row each. A story keeps its primary article; one that has
+    none gets its newest. events are what event_append() takes, by type.
     """
     n = dict.fromkeys(COUNTERS, 0)
     judged = stored(item_admission(items, rules.topic).join(items.select("id", us_only("title", "summary", us, non_us).alias("us")), "id").withColumn("reject_reason", F.when(~F.col("us") & F.col("reject_reason").isNull(), "not_us").otherwise(F.col("reject_reason"))))
     by = {r["reject_reason"]: r["count"] for r in judged.groupBy("reject_reason").count().collect()}  # a row for each reason
     n["fetchedItems"], n["feeds"] = sum(by.values()), items.select("source_id").distinct().count()
     n["skipped"] = sum(v for k, v in by.items() if k)
+    n["relevanceChecked"] = n["fetchedItems"]
     n["nonArticleBlocked"], n["relevanceRejected"] = by.get("non_article", 0), by.get("off_topic", 0) + by.get("no_signal", 0)
     good = items.join(judged.where("reject_reason is null").select("id"), "id", "left_semi")
-    known = articles.select("url").distinct()
-    n["inserted"] = good.join(known, "url", "left_anti").select("url").distinct().count()
-    n["updated"] = good.select("url").distinct().count() - n["inserted"]
-    new = stored(good.join(known, "url", "left_anti").dropDuplicates(["url"]))
-    every = stored(article_quality(articles.select(*new.columns).unionByName(new)).select(*(c for c in new.columns if c != "quality_label"), "quality_label"))
+    taken = stored(taken_in(articles, good))
+    done = {r["action"]: r["count"] for r in taken.groupBy("action").count().collect()}  # a row for each action
+    n["inserted"], n["updated"] = done.get("inserted", 0), done.get("updated", 0)
+    every = stored(article_quality(taken).select(*(c for c in good.columns if c != "quality_label"), "quality_label"))
     n["qualityChecked"], n["nonArticleFlagged"] = every.count(), every.where("quality_label = 'non_article'").count()
     # Grouping of what is in no story.
     free = every.where("quality_label <> 'non_article'").join(links.select(F.col("article_id").alias("id")), "id", "left_anti")
     grouped = stored(group_by_story_key(free.withColumn("story_key", story_key(F.col("title"))), stories.withColumn("story_key", story_key(F.col("title"))), as_of))
     n["grouped"] = grouped.count()
-    linked = links.select("story_id", "article_id").unionByName(grouped.select("story_id", F.col("id").alias("article_id")))
+    owned = stored(links.select("story_id", "article_id", "is_primary").unionByName(grouped.select("story_id", F.col("id").alias("article_id"), "is_primary")))
+    linked = owned.select("story_id", "article_id")
     order = F.struct(~F.col("is_primary"), "id")
     made = grouped.where("is_new").join(every.drop("story_key"), "id").groupBy("story_id").agg(F.min_by("title", order).alias("title"), F.min_by("summary", order).alias("summary"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("article_count"))
     snapshot = stored(stories.select("id", "title", "summary", "status", "first_seen", "last_seen", "article_count").unionByName(made.select(F.col("story_id").alias("id"), "title", "summary", F.lit("active").alias("status"), "first_seen", "last_seen", "article_count")))
     before = snapshot.count()
-    merged, linked, _ = merge_passes(snapshot, linked, lambda t: decided(t, 0.56), 3)
-    merged, linked = stored(merged), stored(linked)
+    merged, linked, _ = merge_passes(snapshot, linked, lambda t, touched: decided(t, 0.56, touched=touched), 3)
+    merged, linked = stored(merged), stored(with_primaries(linked, owned))
     n["mergedStories"] = before - merged.count()
     # Splits of mixed clusters.
     dated = every.select(F.col("id").alias("article_id"), "ts", "title", state_of(F.concat_ws(" ", "title", "url"), rules.states).alias("state"), story_key(F.col("title")).alias("story_key"), "quality_label")
-    rows = stored(linked.join(dated.where("quality_label <> 'non_article'"), "article_id").withColumn("is_primary", F.lit(False)))
+    rows = stored(linked.join(dated.where("quality_label <> 'non_article'"), "article_id"))
     own = merged.select(F.col("id").alias("story_id"), state_of(F.col("title"), rules.states).alias("own_state"))
     _, split_links, counts = split_mixed(merged.withColumn("story_key", story_key(F.col("title"))), rows, dominant_value(rows.select("story_id", "state"), own))
     c = counts.first()
     n["mixedStoryCandidates"], n["mixedStoryOutliers"], n["mixedStoriesSplit"] = c["candidates"], c["flagged"], c["split"]
-    links_now = stored(split_links.unionByName(linked.join(rows.select("story_id", "article_id"), ["story_id", "article_id"], "left_anti").withColumn("is_primary", F.lit(False))))
+    links_now = stored(split_links.unionByName(linked.join(rows.select("story_id", "article_id"), ["story_id", "article_id"], "left_anti").select("story_id", "article_id", "is_primary")))
     alerts = guardrail_alerts(n)
     n["guardrailAlerts"] = len(alerts)
     split_off = links_now.join(merged.select(F.col("id").alias("story_id")), "story_id", "left_anti").join(every.select(F.col("id").alias("article_id"), "title", "summary", "ts"), "article_id")
-    extra = split_off.groupBy(F.col("story_id").alias("id")).agg(F.first("title").alias("title"), F.first("summary").alias("summary"), F.lit("active").alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("article_count"))
+    extra = split_off.groupBy(F.col("story_id").alias("id")).agg(F.min_by("title", "article_id").alias("title"), F.min_by("summary", "article_id").alias("summary"), F.lit("active").alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("article_count"))
     now = stored(merged.join(links_now.select(F.col("story_id").alias("id")), "id", "left_semi").unionByName(extra))
     # Summaries of those that need one.
-    refill = stored(summary_refill(now, links_now, every).withColumnRenamed("summary", "refilled"))
-    n["summariesEnriched"] = n["summaryAdjudicatedDeterministic"] = refill.count()
-    now = now.join(refill, "id", "left").withColumn("summary", F.coalesce("refilled", "summary")).drop("refilled")
     nothing = {"editor_title": "string", "editor_summary": "string", "preview_text": "string", "preview_type": "string", "preview_confidence": "double", "preview_reason": "string", "homepage_rank": "int"}
-    now = stored(now.withColumns({k: F.lit(None).cast(v) for k, v in nothing.items()}))
+    now = now.withColumns({k: F.lit(None).cast(v) for k, v in nothing.items()})
+    refill = stored(summary_refill(now, links_now, every).select("id", F.col("summary").alias("refilled"), "kind", F.col("preview_type").alias("shown_as"), "preview", "confidence", "reason"))
+    n["summaryAdjudicatedDeterministic"] = refill.count()
+    n["summariesEnriched"] = refill.where("kind <> 'fallback'").count()
+    fresh = lambda new, old: F.when(F.col("refilled").isNotNull(), F.col(new)).otherwise(F.col(old))
+    previews = {"preview_text": fresh("preview", "preview_text"), "preview_type": fresh("shown_as", "preview_type"), "preview_confidence": fresh("confidence", "preview_confidence"), "preview_reason": fresh("reason", "preview_reason")}
+    now = now.join(refill, "id", "left").withColumns({**previews, "summary": F.coalesce("refilled", "summary")})
+    now = stored(now.drop("refilled", "kind", "shown_as", "preview", "confidence", "reason"))
     # Publish gate, after a merge among the top stories.
-    first = stored(top_stories(now, links_now, every, sources, rules, 20, as_of=as_of).where("edition = 'all'").select("id"))
+    first = stored(top_stories(now, links_now, every, sources, rules, 20, as_of=as_of, edition="all").select("id"))
     plan = stored(merge_plan(now.join(first, "id", "left_semi"), decided(now.join(first, "id", "left_semi"), 0.54, 10), 4))
     if not plan.isEmpty():
         n["mergedStories"] += plan.count()
@@ -296,18 +334,20 @@ def run_pipeline(items: DataFrame, articles: DataFrame, stories: DataFrame, link
         now, links_now = stored(after.withColumns({k: F.lit(None).cast(v) for k, v in nothing.items()})), stored(pairs.join(links_now, ["story_id", "article_id"], "left").select("story_id", "article_id", F.coalesce("is_primary", F.lit(False)).alias("is_primary")))
     was = now.where("status = 'demoted'").count()
     now, details = publish_gate(now, links_now, every, sources, rules, as_of=as_of)
-    n["publishGateChecked"], n["publishGateFlagged"], n["publishGateDemoted"] = 10, details.count(), now.where("status = 'demoted'").count() - was
+    details = stored(details)
+    n["publishGateChecked"], n["publishGateFlagged"], n["publishGateDemoted"] = min(10, now.count()), details.count(), now.where("status = 'demoted'").count() - was
     # Corroboration of what has one source.
     seeds, found = corroboration_sides(now, links_now, every, sources, rules, us, non_us, as_of)
     matches = stored(corroboration_match(seeds.where("skipped is null"), found, rules))
     n["singleSourceAuditChecked"], n["corroborationDiscovered"] = seeds.count(), matches.where("reason <> 'unchecked'").count()
     added = matches.where("reason = 'linked'").select(F.col("seed").alias("story_id"), F.col("cand").alias("article_id"), F.lit(False).alias("is_primary"))
+    added = stored(added)
     n["corroborationLinked"] = added.count()
-    links_now = stored(links_now.unionByName(added).dropDuplicates(["story_id", "article_id"]))
-    top = stored(top_stories(now, links_now, every, sources, rules, rank, as_of=as_of))
-    n["homepageRanked"] = top.where("edition = 'all'").count()
-    n["topStoryDuplicatePairs"] = decided(now.join(top.where("edition = 'all' and pos <= 20").select("id"), "id", "left_semi"), 0.54).where("should_merge").count()
-    return now, links_now, homepage_rank_refresh(now, top), n, alerts
+    links_now = stored(links_now.unionByName(added).groupBy("story_id", "article_id").agg(F.max("is_primary").alias("is_primary")))
+    top = stored(top_stories(now, links_now, every, sources, rules, rank, as_of=as_of, edition="all"))
+    n["homepageRanked"] = top.count()
+    n["topStoryDuplicatePairs"] = decided(now.join(top.where("pos <= 20").select("id"), "id", "left_semi"), 0.54).where("should_merge").count()
+    return now, links_now, homepage_rank_refresh(now, top), n, alerts, run_events(n, alerts, details, added, as_of)
 
 
 def _batch(s: DataFrame, x: DataFrame, a: DataFrame, c: DataFrame) -> DataFrame:
@@ -315,7 +355,7 @@ def _batch(s: DataFrame, x: DataFrame, a: DataFrame, c: DataFrame) -> DataFrame:
     old = x.where("is_primary")
     known = a.join(old.select(F.col("article_id").alias("id")), "id", "left_semi")
     items = a.join(old.select(F.col("article_id").alias("id")), "id", "left_anti")
-    now, _, ranked, n, alerts = run_pipeline(items, known, s, old, c, DATA, _US, _NON)
+    now, _, ranked, n, alerts, _ = run_pipeline(items, known, s, old, c, DATA, _US, _NON)
     rows = now.select("id", "status", "article_count").join(ranked.select("id", "homepage_rank"), "id").select("id", F.col("status").alias("what"), F.coalesce("homepage_rank", F.lit(0)).cast("long").alias("n"))
     spark = s.sparkSession
     counters = spark.createDataFrame([("counter", k, v) for k, v in n.items()] + [("alert", k, 1) for k in alerts], rows.schema)

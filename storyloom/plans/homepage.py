@@ -61,25 +61,27 @@ def shown_titles(rolled: DataFrame) -> DataFrame:
     return good.where(~non_story(F.col("title"), F.lit("")))
 
 
-def candidates(rolled: DataFrame, rules: Rules, limit: int, as_of: str = AS_OF) -> DataFrame:
-    """Scored rows for each edition: on the topic or pinned, and with a preview if there are enough of those."""
+def candidates(rolled: DataFrame, rules: Rules, limit: int, as_of: str = AS_OF, edition: str | None = None) -> DataFrame:
+    """Scored rows for each edition, or for one: on the topic or pinned, and with a preview if there are enough of those."""
     scored = story_ranking(shown_titles(rolled), as_of, rules.lexicon).withColumn("score", F.round(F.col("score") * F.col("preview_factor"), 2))
     scored = topic_flags(scored.withColumn("url", F.lit("")), rules.topic).where("status = 'pinned' or strict_signal")
     who = audiences(F.concat_ws(" ", "title", "summary"), rules.audience)
-    rows = scored.withColumn("edition", F.explode(F.concat(F.array(F.lit("all")), who))).withColumns({"pinned": F.col("status") == "pinned", "ready": (F.col("status") == "pinned") | F.col("summary").isNotNull(), "opinion": is_opinion()})
+    editions = F.concat(F.array(F.lit("all")), who)
+    editions = editions if edition is None else F.filter(editions, lambda e: e == edition)
+    rows = scored.withColumn("edition", F.explode(editions)).withColumns({"pinned": F.col("status") == "pinned", "ready": (F.col("status") == "pinned") | F.col("summary").isNotNull(), "opinion": is_opinion()})
     enough = F.sum(F.col("ready").cast("int")).over(Window.partitionBy("edition")) >= min(limit, 12)
     keep = ["edition", "id", "title", "summary", "auto_summary", "editor_summary", "status", "pinned", "urgent", "story_type", "lead_eligible", "lead_reason", "score", "homepage_rank", "preview_type", "article_count", "source_count", "family_count", "recent_count", "latest_at"]
     return rows.withColumn("enough", enough).where("ready or not enough").select(*keep, "opinion")
 
 
-def top_stories(stories: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, rules: Rules, limit: int = 20, pool: int | None = 200, stored_rank: bool = False, verdict: DataFrame | None = None, as_of: str = AS_OF) -> DataFrame:
-    """(edition, pos, id, shown, ...): each edition's list.
+def top_stories(stories: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, rules: Rules, limit: int = 20, pool: int | None = 200, stored_rank: bool = False, verdict: DataFrame | None = None, as_of: str = AS_OF, edition: str | None = None) -> DataFrame:
+    """(edition, pos, id, shown, ...): each edition's list, or that of one edition alone.
 
     Live, stories are ordered by score (pinned first), cut where they repeat one above, reordered by a verdict (id, place, demote) if there
     is one, chosen with diversity, filled up with demoted ones, led by an eligible one. With stored_rank an edition that has stored ranks
     keeps their order, and its lead. Summaries are shown once.
     """
-    rows = stored(candidates(board(stories, links, articles, sources, as_of, k=pool), rules, limit, as_of))
+    rows = stored(candidates(board(stories, links, articles, sources, as_of, k=pool), rules, limit, as_of, edition))
     has = F.max(F.col("homepage_rank").isNotNull().cast("int")).over(Window.partitionBy("edition")) == 1 if stored_rank else F.lit(False)
     ready = rows.withColumn("kept_order", has).where("not opinion")
     per = Window.partitionBy("edition")
@@ -96,8 +98,8 @@ def top_stories(stories: DataFrame, links: DataFrame, articles: DataFrame, sourc
     again = again.withColumn("pos", F.row_number().over(per.orderBy(*order)))
     if verdict is not None:
         judged = again.join(verdict, "id", "left").where(stays | ~F.coalesce("demote", F.lit(False)))
-        place = F.when(stays, F.col("pos")).otherwise(F.coalesce("place", F.col("pos") + 1_000_000))
-        again = judged.withColumn("pos", F.row_number().over(per.orderBy(place, "pos"))).drop("place", "demote")
+        rest, place = ~stays & F.col("place").isNull(), F.when(stays, F.col("pos")).otherwise(F.col("place"))
+        again = judged.withColumn("pos", F.row_number().over(per.orderBy(rest, place, "pos"))).drop("place", "demote")
     again = stored(again.where(stays | (F.col("pos") <= max(limit, 30))))
     chosen = diverse_selection(again, rules.traits(again.select("id", "title", "summary").dropDuplicates(["id"])), limit, 10**9)
     # Demoted stories fill up what is left, best first.
@@ -121,7 +123,7 @@ def homepage_rank_refresh(stories: DataFrame, top: DataFrame) -> DataFrame:
     return rank_apply_join(stories, top.where("edition = 'all'").select(F.col("id").alias("story_id"), F.col("pos").alias("rank")))
 
 
-register("homepage_rank_refresh", BOARD, lambda s, *t: homepage_rank_refresh(s, top_stories(s, *t, DATA, 60)))
+register("homepage_rank_refresh", BOARD, lambda s, *t: homepage_rank_refresh(s, top_stories(s, *t, DATA, 60, edition="all")))
 
 
 # --- weekly menu -------------------------------------------------------------------------------------------------------------------
@@ -204,7 +206,7 @@ def preview_quality_report(shown: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _report(s: DataFrame, *t: DataFrame) -> DataFrame:
-    top = stored(top_stories(s, *t, DATA, 60).where("edition = 'all'").select("id", "pos", "shown", "preview_type", "lead_eligible"))
+    top = stored(top_stories(s, *t, DATA, 60, edition="all").select("id", "pos", "shown", "preview_type", "lead_eligible"))
     return preview_quality_report(top, overlap_pairs(data_topical(s.join(top, "id", "left_semi")), least=0.4).select("i", "j"))
 
 

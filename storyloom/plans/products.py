@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyloom.functions.summaries import TEMPLATES, fallback_summary, headline_echo, sanitized, sql_fallback, sql_sanitized, sql_synthetic, synthetic
 from storyloom.functions.text import family
+from storyloom.operators.filters import SERVABLE_SQL, servable
 from storyloom.operators.graphs import merge_plan, stored
-from storyloom.operators.scoring import _CS, _SAN, candidate_score, sanitized
+from storyloom.operators.scoring import _CS, _ECHO, MIN_CONFIDENCE, story_preview, summary_adjudication
 from storyloom.operators.similarity import decided, merge_apply
 from storyloom.registry import register
 from storyloom.sources.pages import domain
@@ -106,32 +108,82 @@ register(
 # --- summaries ---------------------------------------------------------------------------------------------------------------------
 
 
-def story_summary_choice(links: DataFrame, articles: DataFrame) -> DataFrame:
-    """(story_id, summary): the best of a story's three newest cleaned summaries, or a template."""
-    clean = articles.select(F.col("id").alias("article_id"), "title", "ts", sanitized(F.col("summary")).alias("summary"))
-    rows = links.select("story_id", "article_id").join(clean, "article_id")
-    r = F.row_number().over(Window.partitionBy("story_id").orderBy(F.desc("ts"), F.desc("article_id")))
-    near = rows.withColumn("r", r).where("r <= 3").withColumn("score", candidate_score(F.col("title"), F.col("summary"), F.lit("feed")))
-    best = near.groupBy("story_id").agg(F.min_by("summary", F.when(F.col("summary") != "", F.struct((-F.col("score")).alias("s"), "r"))).alias("summary"), F.min_by("title", "r").alias("title"))
-    return best.select("story_id", F.coalesce("summary", F.concat(F.lit("Coverage of "), "title")).alias("summary"))
+def story_summary_choice(stories: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
+    """(id, summary) of stories (id, title, summary): the selected summary if it is usable once cleaned, else the first of the three newest
+    articles' that is, else one made from the title. Templates and echoes of the title are not usable."""
+    clean = articles.select(F.col("id").alias("article_id"), "ts", sanitized(F.col("summary")).alias("text"))
+    rows = links.select(F.col("story_id").alias("id"), "article_id").join(clean, "article_id")
+    order = Window.partitionBy("id").orderBy(F.desc("ts"), F.desc("article_id"))
+    near = rows.withColumn("r", F.row_number().over(order)).where("r <= 3").join(stories.select("id", "title"), "id")
+    usable = lambda text: (text != "") & ~synthetic(text) & ~headline_echo(F.col("title"), text)
+    other = near.where(usable(F.col("text"))).groupBy("id").agg(F.min_by("text", "r").alias("other"))
+    own = stories.select("id", "title", sanitized(F.col("summary")).alias("own")).join(other, "id", "left")
+    return own.select("id", F.when(usable(F.col("own")), F.col("own")).otherwise(F.when(F.col("other").isNotNull(), sanitized(F.col("other"))).otherwise(fallback_summary(F.col("title")))).alias("summary"))
 
 
+_USABLE = f"(summary <> '' AND NOT {sql_synthetic('summary')} AND NOT {_ECHO})"
 register(
-    "story_summary_choice", "v_links v_articles", story_summary_choice,
-    _SAN + f""", n AS (SELECT story_id, s.*, row_number() OVER (PARTITION BY story_id ORDER BY s.ts DESC, s.id DESC) AS r FROM v_links l JOIN s ON s.id = l.article_id QUALIFY r <= 3), fd AS (SELECT *, 'feed' AS kind FROM n),
-    d AS (SELECT *, CAST({_CS} AS DOUBLE) AS score FROM fd)
-    SELECT story_id, coalesce(first(summary ORDER BY score DESC, r) FILTER (WHERE summary <> ''), concat('Coverage of ', first(title ORDER BY r))) AS summary FROM d GROUP BY story_id""",
+    "story_summary_choice", "v_stories v_links v_articles", story_summary_choice,
+    f"""WITH own AS ({sql_sanitized('v_stories', 'id, title')} SELECT id, title, summary FROM s), art AS ({sql_sanitized('v_articles', 'id, ts')} SELECT id, ts, summary FROM s),
+    n AS (SELECT v.id, v.title, a.summary, row_number() OVER (PARTITION BY v.id ORDER BY a.ts DESC, a.id DESC) AS r FROM v_links l JOIN art a ON a.id = l.article_id JOIN v_stories v ON v.id = l.story_id QUALIFY r <= 3),
+    o AS (SELECT id, first(summary ORDER BY r) AS summary FROM n WHERE {_USABLE} GROUP BY id), oc AS ({sql_sanitized('o', 'id')} SELECT id, summary AS other FROM s), fb AS ({sql_fallback('v_stories')})
+    SELECT own.id, CASE WHEN {_USABLE} THEN summary ELSE coalesce(other, fallback) END AS summary FROM own LEFT JOIN oc ON oc.id = own.id LEFT JOIN fb ON fb.id = own.id""",
 )
 
+#: What makes a story's summary one to be made anew.
+_GARBAGE = [
+    "(sign up|subscribe|newsletter|republish|sponsor|advertis|getty images|base64|streamlinehq|share on|follow us|facebook|twitter|instagram|linkedin)", r"!\[[^\]]*\]\(", "(contact.*contact|downloads?.*downloads?|share.*share.*share)", *TEMPLATES,
+    r"why it matters:\s*(district leaders and educators may need to adjust policy,\s*staffing,\s*or classroom practice|school systems may need to revisit planning,\s*staffing,\s*or implementation decisions|this could influence district priorities and how schools execute day-to-day operations)",
+]
 
-def summary_refill(stories: DataFrame, links: DataFrame, articles: DataFrame) -> DataFrame:
-    """(id, summary): stories whose summary is missing, short, a template or an echo of the title, with a new one."""
-    s = F.trim(F.coalesce("summary", F.lit("")))
-    needy = stories.where((F.length(s) < 40) | s.startswith("Coverage of ") | (F.lower(s) == F.lower("title")))
-    return needy.select("id").join(story_summary_choice(links, articles).withColumnRenamed("story_id", "id"), "id")
 
+def needs_summary() -> Column:
+    """Whether a story (title, summary, preview_type, preview_text, preview_reason) needs a summary: none or a short one, junk, markup, a
+    template, one that begins with the title; no preview, a made-up one, or one without its text."""
+    s, t = F.lower(F.trim(F.coalesce("summary", F.lit("")))), F.lower(F.trim("title"))
+    blank = F.trim(F.coalesce("preview_text", F.lit(""))) == ""
+    bad = F.col("summary").isNull() | (F.length(s) < 40) | s.rlike("(?is)" + "|".join(_GARBAGE)) | F.coalesce(s.startswith(t), F.lit(False))
+    kind = F.col("preview_type")
+    return bad | kind.isNull() | (kind == "synthetic") | (F.col("preview_reason").isNull() & F.col("preview_text").isNull()) | ((kind != "headline_only") & blank)
 
-register("summary_refill", "v_stories v_links v_articles", lambda s, x, a: summary_refill(s.withColumn("summary", F.expr("if(substr(id, 1, 1) < '6', title, summary)")), x, a).select("id"), "SELECT id FROM v_stories WHERE substr(id, 1, 1) < '6' OR length(trim(summary)) < 40 OR starts_with(trim(summary), 'Coverage of ') OR lower(trim(summary)) = lower(title)")
+
+def summary_refill(stories: DataFrame, links: DataFrame, articles: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, summary, kind, preview_type, preview, confidence, reason): stories that need a summary, the newest `limit` if given, with a new one.
+
+    The seed is a story's newest servable article that is not behind a feed's redirect. Its cleaned summary is the candidate, or one made
+    from its title where that is none; the decision gives the preview, and the summary follows from it by story_summary_choice().
+    """
+    needy = stories.where(needs_summary())
+    if limit is not None:
+        needy = needy.orderBy(F.desc("last_seen"), "id").limit(limit)
+    good = articles.where(servable()).where("lower(url) not like 'https://news.google.com/rss/articles/%'")
+    rows = links.select("story_id", "article_id").join(needy.select(F.col("id").alias("story_id")), "story_id", "left_semi").join(good.select(F.col("id").alias("article_id"), "title", "summary", "ts"), "article_id")
+    seed = rows.groupBy(F.col("story_id").alias("id")).agg(F.max_by(F.struct("title", "summary"), F.struct("ts", "article_id")).alias("a")).select("id", F.col("a.title").alias("own"), F.col("a.summary").alias("given"))
+    seed = seed.join(needy.select("id", "title"), "id").select("id", "title", F.coalesce("own", "title", F.lit("")).alias("own"), sanitized(F.col("given")).alias("given"))
+    has = (F.col("given") != "") & ~headline_echo(F.col("own"), F.col("given"))
+    one = seed.select("id", F.col("own").alias("title"), F.when(has, F.col("given")).otherwise(fallback_summary(F.col("own"))).alias("summary"), F.when(has, "existing").otherwise("fallback").alias("kind"), F.lit(1).alias("ord"))
+    decided_ = summary_adjudication(one)
+    named = decided_.drop("title").join(seed.select("id", "title"), "id")
+    shown = story_preview(named).join(named.select("id", "kind"), "id")
+    chosen = story_summary_choice(named.select("id", "title", "summary"), links, articles)
+    return chosen.join(shown, "id").select("id", "summary", "kind", "preview_type", "preview", "confidence", "reason")
+
+
+_NEEDS = f"""(summary IS NULL OR length(trim(summary)) < 40 OR regexp_matches(lower(trim(summary)), '(?is){"|".join(_GARBAGE)}') OR starts_with(lower(trim(summary)), lower(trim(title))) OR preview_type IS NULL OR preview_type = 'synthetic'
+    OR (preview_reason IS NULL AND preview_text IS NULL) OR (preview_type <> 'headline_only' AND trim(coalesce(preview_text, '')) = ''))"""
+_FED = "SELECT * REPLACE (CASE WHEN substr(id, 1, 1) < '6' THEN title ELSE summary END AS summary) FROM v_stories"
+register(
+    "summary_refill", "v_stories v_links v_articles", lambda s, x, a: summary_refill(s.withColumn("summary", F.expr("if(substr(id, 1, 1) < '6', title, summary)")), x, a).select("id", "kind", "preview_type", "confidence", "reason"),
+    f"""WITH v AS ({_FED}), ne AS (SELECT id, title FROM v WHERE {_NEEDS}), se AS (SELECT ne.id, ne.title AS story, a.title, a.summary FROM ne JOIN v_links l ON l.story_id = ne.id JOIN (SELECT * FROM v_articles WHERE {SERVABLE_SQL}) a ON a.id = l.article_id
+      QUALIFY row_number() OVER (PARTITION BY ne.id ORDER BY a.ts DESC, a.id DESC) = 1),
+    gi AS ({sql_sanitized('se', 'id, story, title')} SELECT id, story, title, summary FROM s), fb AS ({sql_fallback('(SELECT id, title FROM gi)')}),
+    ca AS (SELECT gi.id, story, title, CASE WHEN summary <> '' AND NOT {_ECHO} THEN summary ELSE fallback END AS summary, CASE WHEN summary <> '' AND NOT {_ECHO} THEN 'existing' ELSE 'fallback' END AS kind FROM gi JOIN fb ON fb.id = gi.id),
+    cc AS ({sql_sanitized('ca', 'id, story, title, kind')} SELECT id, story, title, kind, summary FROM s),
+    sc AS (SELECT *, {_CS} AS score FROM cc WHERE summary <> '' AND NOT {_ECHO}), d AS (SELECT id, story AS title, kind, summary, round(greatest(0.35, least(0.9, 0.52::DOUBLE + 0.18::DOUBLE + 0.35::DOUBLE * greatest(0, score - 0.55::DOUBLE))), 2) AS confidence FROM sc),
+    ph AS (SELECT *, CASE WHEN kind = 'fallback' THEN 'fallback_suppressed' WHEN {sql_synthetic('summary')} THEN 'synthetic_suppressed' WHEN {_ECHO} THEN 'headline_echo_suppressed' END AS held FROM d)
+    SELECT id, kind, CASE WHEN held IS NOT NULL OR confidence < {MIN_CONFIDENCE} THEN 'headline_only' ELSE 'excerpt' END AS preview_type, CAST(CASE WHEN held IS NOT NULL THEN least(confidence, 0.34) ELSE confidence END AS DOUBLE) AS confidence,
+      coalesce(held, CASE WHEN confidence < {MIN_CONFIDENCE} THEN 'low_confidence' END, 'heuristic_quality_score') AS reason FROM ph""",
+)
 
 
 def judge_batch(rows: DataFrame, judge: Callable | None, schema: str, budget: int | None = None, order_by: list | None = None) -> DataFrame:
