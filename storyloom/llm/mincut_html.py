@@ -30,14 +30,18 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?:/?[a-zA-Z]|[!?/])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: One attribute: its name, and its value in double quotes, single quotes or none.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMES = ("class", "id", "role", "itemprop")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-#: Elements whose content is no text of the page. One that is not closed ends at its tag, and so does a button or select around blocks.
+#: Elements whose content is no text of the page. One that is not closed ends at its tag, and so does a button or select around others of its
+#: kind, which is not closed either, or around parts of a page.
 _SKIPPED = {x: re.compile(rf"</{x}\s*>", re.I) for x in "noscript template svg textarea select title iframe canvas button".split()}
 _INLINE_ONLY = ("button", "select")
-_BLOCK_START = re.compile(rf"<(?:button|select|{'|'.join(sorted(BLOCKS))})[\s/>]", re.I)
+_PART_START = re.compile(r"<(?:button|select|article|main|section|h1|h2|table)[\s/>]", re.I)
+_AT_END = re.compile(r"\Z")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"[.!?…。！？](?=[\s\"'”’)]|$)")
 
@@ -62,6 +66,8 @@ GOOD = re.compile(r"(?:^|[_-])(?:article\w*|post|entry|story|content|main|body|t
 BAD_NAME, COMMENT_NAME, GOOD_NAME, HIDDEN = -6.0, -8.5, 1.0, -100.0
 #: Edges: from a block to an element that speaks against it or for it, to the one that holds several, and between siblings.
 AGAINST, FOR, HOLDER, NEIGHBOUR = 8.0, 3.0, 1.5, 2.0
+#: Characters of prose from which on an element holds as much as an article does.
+ARTICLE = 1200
 #: What is left of an edge that crosses into an element that speaks against its content.
 CROSSING = 0.2
 
@@ -79,7 +85,7 @@ class Block:
 
 @dataclass(slots=True)
 class Tree:
-    """Elements by number: parent, depth, evidence by kind and by names, whether an article or main element or a bad name is around.
+    """Elements by number: parent, depth, name, evidence by kind and by names.
 
     Number 0 is the page itself.
     """
@@ -89,8 +95,6 @@ class Tree:
     name: list[str] = field(default_factory=lambda: [""])
     kind: list[float] = field(default_factory=lambda: [0.0])
     names: list[float] = field(default_factory=lambda: [0.0])
-    article: list[bool] = field(default_factory=lambda: [False])
-    named: list[bool] = field(default_factory=lambda: [False])
     title: str = ""
 
     def add(self, parent: int, name: str, attrs: str, article: bool) -> int:
@@ -100,8 +104,6 @@ class Tree:
         self.name.append(name)
         self.kind.append(kind)
         self.names.append(names)
-        self.article.append(article or name in ("article", "main"))
-        self.named.append(names < 0 or self.named[parent])
         return len(self.parent) - 1
 
     def steps(self, a: int, b: int) -> int:
@@ -123,9 +125,13 @@ def evidence(name: str, attrs: str, article: bool) -> tuple[float, float]:
     if name == "form":
         kind, names = 0.0, kind  # some pages are one form
     if attrs:
-        if _HIDDEN.search(attrs):
-            return HIDDEN, 0.0
-        words = [w for m in _NAMES.findall(attrs) for x in m for w in x.split()]
+        words = []
+        for m in _ATTRIBUTE.finditer(attrs):
+            attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if attribute == "hidden" or attribute == "style" and _NOT_SHOWN.search(value) or attribute == "aria-hidden" and value.strip().lower() == "true":
+                return HIDDEN, 0.0
+            if attribute in _NAMES:
+                words += value.split()
         if words and name not in ("body", "html"):
             if any(COMMENTS.fullmatch(w) for w in words):
                 return min(kind, 0.0) + COMMENT_NAME, names
@@ -157,7 +163,8 @@ def read(page: str) -> tuple[list[Block], Tree]:
     stack: list[_Open] = []
     places: dict[str, list[int]] = {}
     pieces: list[str] = []
-    unclosed: set[str] = set()
+    ends: dict[str, re.Match | None] = {}  # the next end tag of an element, and the next start of a part: each is looked for once
+    part: re.Match | None = None
     linked = at = 0
 
     def flush() -> None:
@@ -186,10 +193,12 @@ def read(page: str) -> tuple[list[Block], Tree]:
             continue
         attrs = m["attrs"] or ""
         if name in _SKIPPED and not m["close"] and not attrs.endswith("/"):
-            end = None if name in unclosed else _SKIPPED[name].search(page, at)
-            if end is None:
-                unclosed.add(name)
-            elif name not in _INLINE_ONLY or not _BLOCK_START.search(page, at, end.start()):
+            end = ends.get(name)
+            if name not in ends or end is not None and end.start() < at:
+                end = ends[name] = _SKIPPED[name].search(page, at)
+            if end is not None and name in _INLINE_ONLY and (part is None or part.start() < at <= len(page)):
+                part = _PART_START.search(page, at) or _AT_END.search(page, len(page))
+            if end is not None and (name not in _INLINE_ONLY or part.start() >= end.start()):
                 if name == "title" and not tree.title:
                     tree.title = _SPACE.sub(" ", html.unescape(page[at : end.start()])).strip().casefold()
                 at = end.end()
@@ -310,10 +319,31 @@ def cut(n: int, source: list[float], sink: list[float], edges: list[tuple[int, i
 _LEAVES = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def label(found: list[Block], tree: Tree, by_name: bool = True) -> list[bool]:
-    """Which blocks are content. Without by_name, what elements say by their names does not count."""
+def name_weights(found: list[Block], tree: Tree) -> list[float]:
+    """How much the bad name of each element counts, between 0 and 1.
+
+    A name may be wrong, which shows where an element that has it holds nearly all of a page's prose. What it holds is set against the prose
+    that no element speaks against: a sixth of it is enough for the name to count in full, and less where it holds less than an article, as
+    notices and forms are short. Where there is no other prose at all the name does not count.
+    """
+    inside = [0.0] * len(tree.parent)
+    against = [False] * len(tree.parent)
+    for e in range(1, len(tree.parent)):  # inner elements have the larger numbers
+        against[e] = tree.kind[e] < 0 or tree.names[e] < 0 or against[tree.parent[e]]
+    outside = 0.0
+    for b in found:
+        size = len(b.text) if cost(b, tree.title) > 0 else 0
+        inside[b.element] += size
+        outside += size * (not against[b.element])
+    for e in range(len(tree.parent) - 1, 0, -1):
+        inside[tree.parent[e]] += inside[e]
+    return [1.0 if held == 0 or names == 0 else min(1.0, 6 * outside / held * max(1.0, ARTICLE / held)) for held, names in zip(inside, tree.names)]
+
+
+def label(found: list[Block], tree: Tree) -> list[bool]:
+    """Which blocks are content."""
     n = len(found)
-    total = [tree.kind[e] + tree.names[e] * by_name for e in range(len(tree.parent))]
+    total = [k + m * w for k, m, w in zip(tree.kind, tree.names, name_weights(found, tree))]
     zone = [0] * len(total)  # the nearest element with evidence, from each element on
     for e in range(1, len(total)):
         zone[e] = e if total[e] else zone[tree.parent[e]]
@@ -360,20 +390,9 @@ def label(found: list[Block], tree: Tree, by_name: bool = True) -> list[bool]:
 
 
 def content(page: str | None) -> list[str]:
-    """The page's content blocks in order.
-
-    Names are not believed where they leave next to nothing of a page's prose and no article or main element holds what they leave.
-    """
+    """The page's content blocks in order."""
     found, tree = read(page or "")
-    keep = label(found, tree)
-    if any(tree.names):
-        left = [b for b, k in zip(found, keep) if k]
-        sure = any(tree.article[b.element] for b in left)
-        prose = sum(len(b.text) for b in found if tree.named[b.element] and cost(b) > 0)
-        size = sum(len(b.text) for b in left)
-        if not sure and (not left or prose >= max(200, 6 * size)):
-            keep = label(found, tree, by_name=False)
-    return [b.text for b, k in zip(found, keep) if k]
+    return [b.text for b, k in zip(found, label(found, tree)) if k]
 
 
 def main_text(page: str | None) -> str:

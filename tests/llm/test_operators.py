@@ -861,3 +861,34 @@ def test_no_local_folder_on_a_cluster():
 
 def test_schema_is_whole():
     assert len(SCHEMA.split(", ")) == len(ROWS[0])
+
+
+# --- 1: attributes, names, controls ---
+
+LEAD = "".join(f"<p>Paragraph number {k} of the story has some words in it, and it ends right here.</p>" for k in range(3))
+LEAD_TEXT = "\n\n".join(f"Paragraph number {k} of the story has some words in it, and it ends right here." for k in range(3))
+NOTICE = "<p>We use cookies to make this site work. You can turn them off. Some pages need them. Read more about it here.</p>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<article title="The hidden cost of rain"><h1>The hidden cost of rain</h1>{LEAD}</article>', f"The hidden cost of rain\n\n{LEAD_TEXT}"),
+    (f'<div class="container hidden md:block">{LEAD}</div>', LEAD_TEXT), (f'<div data-note="display:none">{LEAD}</div>', LEAD_TEXT),
+    (f'<p aria-label="A hidden gem">A first paragraph stands here, and it is read by all of them.</p>{LEAD}', f"A first paragraph stands here, and it is read by all of them.\n\n{LEAD_TEXT}"),
+    (f"<div hidden><p>Nobody sees this one, though it is long enough.</p></div>{LEAD}", LEAD_TEXT), (f'<div style="color:red; display: none">{NOTICE}</div>{LEAD}', LEAD_TEXT), (f'<div aria-hidden="true">{NOTICE}</div>{LEAD}', LEAD_TEXT),
+    (f'<div id="x"><p>Short news. It is brief.</p></div><div class="cookie-notice">{NOTICE}</div>', "Short news. It is brief."), (f'<div id="x"><p>Short news. It is brief.</p></div><div class="newsletter">{NOTICE}</div>', "Short news. It is brief."),
+    (f"{LEAD}<button><p>Go</p></button>", LEAD_TEXT), (f"{LEAD}<button>Go<div>there</div></button><button>Stop</button>", LEAD_TEXT),
+])
+def test_what_attributes_and_names_say(page, text):
+    assert mincut_html.main_text(page) == text
+
+
+def test_unclosed_controls_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        page = "<button><p>A line of it.</p>" * n + "</button>"
+        began = time.perf_counter()
+        mincut_html.read(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.2
