@@ -16,7 +16,7 @@ costs one row, and no pairs of messages are made.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,10 +33,11 @@ PART = 1000
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, role, text) with own (text without quotations) and units (level, passage, whole)."""
+    """messages (conv_id, turn, role, text) with own (text without quotations), units (level, passage, whole) and, where lines are quoted, quoted:
+    each line as it is with its level, whether it is blank, and the digests of itself and of its passage."""
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, QUOTE, 1), "[^>]", ""))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), ENDS), lambda x: F.struct(level(x).alias("level"), F.when(level(x) > 0, F.regexp_replace(x, QUOTE, "")).otherwise(x).alias("line")))
-    rows = messages.withColumn("lines", lines).withColumn("attribution", F.lit(ATTRIBUTION))
+    rows = messages.withColumn("raw", F.split(F.coalesce("text", F.lit("")), ENDS)).withColumn("lines", lines).withColumn("attribution", F.lit(ATTRIBUTION))
     said = "x.level = 0 and x.line rlike attribution and coalesce(get(lines, i + 1).level, 0) > 0"
     rows = rows.withColumn("lines", F.expr(f"transform(lines, (x, i) -> if({said}, named_struct('level', -1, 'line', ''), x))"))
     own = F.expr("array_join(transform(filter(lines, x -> x.level = 0), x -> x.line), '\\n')")
@@ -51,19 +52,38 @@ def parsed(messages: DataFrame) -> DataFrame:
     unit = lambda level, text, whole: F.struct(level.alias("level"), normal(text).alias("passage"), F.lit(whole).alias("whole"))
     whole = lambda p: F.array(unit(p[0]["level"], F.array_join(F.transform(p, lambda x: x["line"]), " "), True))
     units = F.flatten(F.transform("passages", lambda p: F.when(F.size(p) > 1, F.concat(whole(p), F.transform(p, lambda x: unit(x["level"], x["line"], False)))).otherwise(whole(p))))
-    return rows.select("conv_id", "turn", "role", F.regexp_replace(own, f"^{BLANK}|{BLANK}$", "").alias("own"), F.filter(units, lambda u: u["passage"] != "").alias("units"))
+    rows = rows.withColumn("digests", F.transform("passages", lambda p: F.md5(normal(F.array_join(F.transform(p, lambda x: x["line"]), " ")))))
+    of = "get(digests, size(filter(first, a -> a <= i)) - 1)"
+    line = F.expr(f"transform(lines, (x, i) -> named_struct('raw', raw[i], 'level', x.level, 'blank', not full[i], 'line', x.line, 'passage', if(full[i], {of}, null)))")
+    each = F.transform(line, lambda x: F.struct(x["raw"].alias("raw"), x["level"].alias("level"), x["blank"].alias("blank"), F.md5(normal(x["line"])).alias("own"), x["passage"].alias("passage")))
+    rows = rows.withColumn("quoted", F.when(F.exists("lines", lambda x: x["level"] > 0), each))
+    return rows.select("conv_id", "turn", "role", "quoted", F.regexp_replace(own, f"^{BLANK}|{BLANK}$", "").alias("own"), F.filter(units, lambda u: u["passage"] != "").alias("units"))
 
 
-def reply_links(units: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, n_linked) from (conv_id, turn, level, passage): only messages with a linked quotation."""
+def linked_units(units: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, h, n, origin): quotations (conv_id, turn, level, passage) that an earlier message of the conversation says, by digest."""
     keyed = units.select("conv_id", "turn", "level", F.md5("passage").alias("h"), F.length("passage").alias("n"))
     origins = keyed.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
-    linked = keyed.where("level > 0").join(origins, ["conv_id", "h"]).where("origin < turn")
+    return keyed.where("level > 0").join(origins, ["conv_id", "h"]).where("origin < turn")
+
+
+def reply_links(linked: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, n_linked) from linked_units(): only messages with a linked quotation."""
     by_origin = linked.groupBy("conv_id", "turn", "level", "origin").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
     best = F.min_by("origin", F.struct("level", (-F.col("n")).alias("n"), (-F.col("origin")).alias("o")))
     return by_origin.groupBy("conv_id", "turn").agg(best.alias("reply_to"), F.sum("k").alias("n_linked"))
 
 
+def without_linked() -> Column:
+    """A message's text without the quoted lines that are linked, or whose passage is (their digests in `gone`), and without the line that
+    names whom they quote; a message that loses a quotation loses its blank quoted lines. What nobody said stays as it was written."""
+    gone = F.coalesce("gone", F.array().cast("array<string>"))
+    out = lambda x: (x["level"] > 0) & (F.array_contains(gone, x["own"]) | F.coalesce(F.array_contains(gone, x["passage"]), F.lit(False)) | (x["blank"] & (F.size(gone) > 0)))
+    lines = F.filter("quoted", lambda x, i: F.when(x["level"] == -1, ~out(F.get("quoted", i + 1))).otherwise(~out(x)))
+    text = F.array_join(F.transform(lines, lambda x: x["raw"]), "\n")
+    return F.when(F.col("quoted").isNull(), F.col("own")).otherwise(F.regexp_replace(text, f"^{BLANK}|{BLANK}$", ""))
+
+
 def threads(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(conv_id, turn, thread, depth): for each linked message the first one of its chain of replies, and how many replies lead there."""
     state = checkpointed(links.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")))
@@ -113,16 +133,17 @@ def reply_order(replies: DataFrame, roots: DataFrame, rounds: int = 60) -> DataF
 
 
 def linked_conversations(messages: DataFrame) -> DataFrame:
-    """One row for each message (conv_id, turn, role, text): own text without quotations, reply_to, thread, depth, position in the thread's
+    """One row for each message (conv_id, turn, role, text): its text without linked quotations, reply_to, thread, depth, position in the thread's
     reply order (from 0; a message stands after what it answers, before later answers to the same), n_quotes, n_linked, the formatted turn.
 
     Null texts count as empty, null conversations or turns are never linked, repeated rows keep all their rows, links and places. A
-    quotation that nobody said stays unlinked, though it is taken out of the text. Other columns are left out, an empty table gives an
+    quotation that nobody said before stays in the text. Other columns are left out, an empty table gives an
     empty result.
     """
     rows = stash(parsed(messages.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))))
     units = rows.select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.level", "u.passage")
-    links = checkpointed(reply_links(units))
+    linked = checkpointed(linked_units(units))
+    links = checkpointed(reply_links(linked))
     if links.isEmpty():
         found = links.withColumns({"thread": F.col("turn"), "depth": F.lit(0).cast("long"), "position": F.lit(0).cast("long")})
     else:
@@ -131,7 +152,10 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
         order = checkpointed(reply_order(links.select("conv_id", "turn", "reply_to"), roots))
         whole = order.join(roots, ["conv_id", "turn"], "left_semi").select("conv_id", F.col("turn").alias("thread"), F.col("ahead").alias("whole"))
         found = links.join(above, ["conv_id", "turn"]).join(order, ["conv_id", "turn"]).join(whole, ["conv_id", "thread"]).withColumn("position", F.col("whole") - F.col("ahead"))
-    joined = rows.join(found.select("conv_id", "turn", "reply_to", "n_linked", "thread", "depth", "position"), ["conv_id", "turn"], "left")
+    gone = linked.groupBy("conv_id", "turn").agg(F.collect_set("h").alias("gone"))  # of one message's quotations
+    found = found.join(gone, ["conv_id", "turn"], "left") if not links.isEmpty() else found.withColumn("gone", F.array().cast("array<string>"))
+    joined = rows.join(found.select("gone", "conv_id", "turn", "reply_to", "n_linked", "thread", "depth", "position"), ["conv_id", "turn"], "left")
+    joined = joined.withColumn("own", without_linked())
     role = F.coalesce("role", F.lit("unknown"))
     return joined.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
@@ -168,9 +192,8 @@ OP8_SQL = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS lines FROM conversations),
 l AS (SELECT rid, conv_id, turn, generate_subscripts(lines, 1) AS i, unnest(lines) AS raw FROM m),
 q AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^[ \t]{0,3}(>[> \t]*)?', 1), '[^>]', '', 'g')) AS lv FROM l),
-a AS (SELECT rid, conv_id, turn, i, CASE WHEN lv > 0 THEN regexp_replace(raw, '^[ \t]{0,3}(>[> \t]*)?', '') ELSE raw END AS line,
+a AS (SELECT rid, conv_id, turn, i, raw, CASE WHEN lv > 0 THEN regexp_replace(raw, '^[ \t]{0,3}(>[> \t]*)?', '') ELSE raw END AS line,
   CASE WHEN lv = 0 AND coalesce(lead(lv) OVER (PARTITION BY rid ORDER BY i), 0) > 0 AND regexp_matches(raw, '(?i)\b(wrote|writes|schrieb|écrit|escribió)\s?:\s*$') THEN -1 ELSE lv END AS lv FROM q),
-own AS (SELECT rid, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE lv = 0), ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS own FROM a GROUP BY rid),
 s AS (SELECT *, CASE WHEN lag(lv) OVER w = lv AND trim(lag(line) OVER w, ' ') <> '' THEN 0 ELSE 1 END AS starts FROM a WINDOW w AS (PARTITION BY rid ORDER BY i)),
 g AS (SELECT *, sum(starts) OVER (PARTITION BY rid ORDER BY i) AS grp FROM s),
 u AS (SELECT rid, conv_id, turn, lv, trim(regexp_replace(lower(string_agg(line, ' ' ORDER BY i)), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS passage, true AS whole FROM g
@@ -178,6 +201,13 @@ u AS (SELECT rid, conv_id, turn, lv, trim(regexp_replace(lower(string_agg(line,
   WHERE lv >= 0 AND trim(line, ' ') <> '' QUALIFY count(*) OVER (PARTITION BY rid, lv, grp) > 1),
 un AS (SELECT * FROM u WHERE passage <> ''),
 o AS (SELECT conv_id, passage, min(turn) AS origin FROM un WHERE lv = 0 GROUP BY ALL),
+kp AS (SELECT DISTINCT un.conv_id, un.turn, un.passage FROM un JOIN o USING (conv_id, passage) WHERE un.lv > 0 AND o.origin < un.turn),
+pw AS (SELECT rid, lv, grp, trim(regexp_replace(lower(string_agg(line, ' ' ORDER BY i)), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS pp FROM g WHERE lv > 0 AND trim(line, ' ') <> '' GROUP BY ALL),
+gl AS (SELECT g.*, trim(line, ' ') = '' AS blank, pw.pp, trim(regexp_replace(lower(line), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS lp FROM g LEFT JOIN pw ON pw.rid = g.rid AND pw.lv = g.lv AND pw.grp = g.grp AND trim(line, ' ') <> ''),
+dr AS (SELECT gl.*, gl.lv > 0 AND (a1.passage IS NOT NULL OR a2.passage IS NOT NULL OR (blank AND any_.n > 0)) AS gone FROM gl LEFT JOIN kp a1 ON a1.conv_id = gl.conv_id AND a1.turn = gl.turn AND a1.passage = gl.pp
+  LEFT JOIN kp a2 ON a2.conv_id = gl.conv_id AND a2.turn = gl.turn AND a2.passage = gl.lp LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM kp GROUP BY ALL) any_ ON any_.conv_id = gl.conv_id AND any_.turn = gl.turn),
+dk AS (SELECT *, CASE WHEN lv = -1 THEN lead(gone) OVER (PARTITION BY rid ORDER BY i) ELSE gone END AS out_ FROM dr),
+own AS (SELECT rid, regexp_replace(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(out_, false)), ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS own FROM dk GROUP BY rid),
 k AS (SELECT un.conv_id, un.turn, un.lv, o.origin, sum(length(passage)) AS n, count(*) AS k FROM un JOIN o USING (conv_id, passage) WHERE un.lv > 0 AND origin < un.turn GROUP BY ALL),
 lk AS (SELECT conv_id, turn, first(origin ORDER BY lv, n DESC, origin DESC) AS reply_to, sum(k)::BIGINT AS n_linked FROM k GROUP BY ALL),
 t AS (SELECT conv_id, turn, reply_to AS thread, 1::BIGINT AS depth, [reply_to, turn] AS path FROM lk UNION ALL SELECT t.conv_id, t.turn, lk.reply_to, t.depth + 1, list_prepend(lk.reply_to, path) FROM t JOIN lk ON lk.conv_id = t.conv_id AND lk.turn = t.thread),

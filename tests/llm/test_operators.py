@@ -641,6 +641,7 @@ def test_quotes(spark):
     assert (by[1, 1]["reply_to"], by[1, 2]["reply_to"], by[1, 3]["reply_to"], by[1, 4]["reply_to"], by[1, 5]["reply_to"]) == (0, 0, 1, None, 2)
     assert by[1, 3]["text"] == "Repairs." and by[1, 3]["thread"] == 0 and by[1, 3]["depth"] == 2 and by[1, 2]["text"] == "The ferry is full." and by[3, 1]["reply_to"] is None
     assert [by[1, k]["position"] for k in (0, 1, 3, 2, 5)] == [0, 1, 2, 3, 4]  # the answer to an answer stands before the next answer
+    assert by[1, 4]["text"] == "> nobody ever said this\nHm." and by[2, None]["text"] == "> Hello" and by[1, 5]["text"] == "Both."  # what nobody said stays
     assert by[1, 0]["conversation"].startswith("<|ann|>\nHello all,") and by[1, 0]["conversation"].count("<|") == 6 and by[1, 1]["conversation"] is None
     same_as_sql(got, TALK)
     assert quote_links.conversations(rows.limit(0)).collect() == []
@@ -654,6 +655,20 @@ def test_odd_characters_and_long_attributions_stay(spark):
     same_as_sql(got, rows)
 
 
+def test_unlinked_quotations_stay(spark):
+    """Prompts of a shell, a quotation from outside with its attribution, and one message that quotes both what was said and what was not."""
+    rows = [
+        (1, 0, "a", "Run this:\n>>> import os\n>>> os.getcwd()\nand tell me."), (1, 1, "b", "The paper wrote:\n> a quotation from outside\nSo it says."), (1, 2, "c", "Ann wrote:\n> and tell me.\n> \n> something else\n\nBob wrote:\n> never said\nDone."),
+        (1, 3, "d", "> So it says.\n> with a line of its own\nHm."),
+    ]
+    got = quote_links.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    by = {r["turn"]: r for r in got.collect()}
+    assert by[0]["text"] == rows[0][3] and by[1]["text"] == rows[1][3] and (by[0]["n_linked"], by[1]["n_linked"], by[2]["n_linked"]) == (0, 0, 1)
+    assert by[2]["text"] == "> something else\n\nBob wrote:\n> never said\nDone." and by[3]["text"] == "> with a line of its own\nHm."
+    assert "> a quotation from outside" in by[1]["conversation"]
+    same_as_sql(got, rows)
+
+
 def many_messages(n, convs, seed):
     """Messages that quote earlier ones of their conversation; a third of all are in one, and half of those answer its first one."""
     rng = random.Random(seed)
