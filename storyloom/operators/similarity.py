@@ -473,15 +473,3 @@ TOPICS = [("budget", "edble"), ("safety", "nicht|pour"), ("teaching", "that")]
 
 def topic_of(t: Column, topics: list[tuple[str, str]]) -> Column:
     return F.coalesce(*(F.when(F.lower(t).rlike(p), name) for name, p in topics), F.lit("general"))
-
-
-def geo_topic_tagging(articles: DataFrame, aliases: list[list[str]], topics: list[tuple[str, str]]) -> DataFrame:
-    """Articles by state and topic: the first alias and the first pattern that hit."""
-    t = F.concat_ws(" ", "title", "summary")
-    return articles.select(state_of(t, aliases).alias("state"), topic_of(t, topics).alias("topic")).groupBy("state", "topic").agg(F.count("*").alias("n"))
-
-
-register(
-    "geo_topic_tagging", "v_articles", lambda a: geo_topic_tagging(a, L.DATA["states"], TOPICS),
-    f"""WITH a AS (SELECT concat_ws(' ', title, summary) AS title FROM v_articles) SELECT {_STATE_SQL} AS state, CASE {' '.join(f"WHEN regexp_matches(lower(title), '{p}') THEN '{n}'" for n, p in TOPICS)} ELSE 'general' END AS topic, count(*) AS n FROM a GROUP BY 1, 2""",
-)

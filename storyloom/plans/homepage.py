@@ -34,8 +34,8 @@ class Rules:
     lexicon: dict = field(default_factory=lambda: DEFAULT)
     audience: dict | None = None
     topic: dict = field(default_factory=lambda: P.TOPIC)
-    states: list = field(default_factory=list)
-    topics: list = field(default_factory=list)
+    states: list = field(default_factory=lambda: L.STATES)
+    topics: list = field(default_factory=lambda: L.TOPICS)
     generic: list = field(default_factory=lambda: L.GENERIC_TOKENS)
     actions: list = field(default_factory=lambda: L.ACTION_TOKENS)
     lane_policy: list = field(default_factory=lambda: L.LANE_POLICY)
