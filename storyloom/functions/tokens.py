@@ -32,16 +32,35 @@ def _canonical(x: Column, forms: dict[str, str]) -> Column:
     return out
 
 
-def _with_aliases(x: Column, aliases: dict[str, list[str]]) -> Column:
+def canonical_name(word: str, forms: dict[str, str]) -> str:
+    """The canonical form of a word of a table: the same rule as for a column's words."""
+    names = {form: name for name, listed in reversed(forms.items()) for form in listed.split()}
+    w = "".join(c for c in word.lower() if c.isascii() and c.isalnum())
+    stem = f"{w[:-3]}y" if w.endswith("ies") and len(w) > 4 else w[:-2] if w.endswith("es") and len(w) > 4 else w[:-1] if w.endswith("s") and len(w) > 3 else w
+    stem = stem[:-3] if stem.endswith("ing") and len(stem) > 5 else stem[:-2] if stem.endswith("ed") and len(stem) > 4 else stem
+    return names.get(w) or names.get(stem) or stem
+
+
+def _with_aliases(x: Column, aliases: dict[str, list[str]], forms: dict[str, str]) -> Column:
     out = F.array(x)
     for token, names in aliases.items():
-        out = F.when(x == token, F.array(x, *(F.lit(n) for n in names))).otherwise(out)
+        out = F.when(x == token, F.array(x, *(F.lit(canonical_name(n, forms)) for n in names))).otherwise(out)
     return out
 
 
+def canonical_token(word: Column, forms: dict[str, str] = L.CANONICAL_FORMS) -> Column:
+    """A word's canonical form: that of the word, else that of its stem, else the stem."""
+    w = F.regexp_replace(F.lower(word), "[^a-z0-9]", "")
+    return F.coalesce(_canonical(w, forms), _canonical(_suffix2(_suffix1(w)), forms), _suffix2(_suffix1(w)))
+
+
+def sql_canonical_token(w: str, forms: dict[str, str] = L.CANONICAL_FORMS) -> str:
+    return f"coalesce({_canon_sql(w, forms)}, {_canon_sql('(' + stem_sql(w) + ')', forms)}, {stem_sql(w)})"
+
+
 def _tokens(raw: Column, forms: dict[str, str], aliases: dict[str, list[str]]) -> Column:
     steps = F.transform(F.transform(raw, lambda x: F.struct(x.alias("w"), _suffix1(x).alias("s"))), lambda x: F.coalesce(_canonical(x["w"], forms), _canonical(_suffix2(x["s"]), forms), _suffix2(x["s"])))
-    return F.flatten(F.transform(steps, lambda x: _with_aliases(x, aliases)))
+    return F.flatten(F.transform(steps, lambda x: _with_aliases(x, aliases, forms)))
 
 
 def merge_tokens(title: Column, most: int = 24, stopwords: list[str] = L.STOPWORDS, aliases: dict = L.TOKEN_ALIASES) -> Column:
@@ -87,7 +106,7 @@ def _canon_sql(x: str, forms: dict[str, str]) -> str:
 
 def _tokens_sql(raw: str, forms: dict[str, str]) -> str:
     inner = f"list_transform({raw}, lambda w: coalesce({_canon_sql('w', forms)}, {_canon_sql('(' + stem_sql('w') + ')', forms)}, {stem_sql('w')}))"
-    alias = "list_concat([w], CASE " + " ".join(f"WHEN w = '{k}' THEN [{q(v)}]" for k, v in L.TOKEN_ALIASES.items()) + " ELSE [] END)"
+    alias = "list_concat([w], CASE " + " ".join(f"WHEN w = '{k}' THEN [{q([canonical_name(n, forms) for n in v])}]" for k, v in L.TOKEN_ALIASES.items()) + " ELSE [] END)"
     return f"flatten(list_transform({inner}, lambda w: {alias}))"
 
 

@@ -17,15 +17,19 @@ from pyspark.sql.window import Window
 from storyloom.functions import lexicons as L
 from storyloom.functions.text import q, sql_distinct_first, sql_words, words
 from storyloom.functions.summaries import sanitized, sql_sanitized
-from storyloom.functions.tokens import coverage_tokens, merge_tokens, sql_coverage_tokens, sql_merge_tokens, sql_topic_tokens, topic_tokens
+from storyloom.functions.tokens import canonical_token, coverage_tokens, merge_tokens, sql_canonical_token, sql_coverage_tokens, sql_merge_tokens, sql_topic_tokens, topic_tokens
 from storyloom.operators.graphs import path_compress, stored
 from storyloom.registry import register
 from storyloom.sources.views import AS_OF
 
 
 def with_tokens(stories: DataFrame, actions: list[str] = L.ACTION_TOKENS, generic: list[str] = L.GENERIC_TOKENS, dialect: Callable[[Column], Column] = merge_tokens) -> DataFrame:
-    """stories (id, title, last_seen) with their tokens and those of each class."""
-    out = stories.withColumn("tokens", dialect(F.coalesce("title", F.lit(""))))
+    """stories (id, title, last_seen) with their tokens and those of each class. For merging, the words of a story_key, where there is such a
+    column, follow those of the title."""
+    text = F.coalesce("title", F.lit(""))
+    if dialect is merge_tokens and "story_key" in stories.columns:
+        text = F.concat_ws(" ", text, F.translate(F.coalesce("story_key", F.lit("")), "-", " "))
+    out = stories.withColumn("tokens", dialect(text))
     return out.withColumns({"strong": F.filter("tokens", lambda t: ~t.isin(actions) & ~t.isin(generic)), "action": F.filter("tokens", lambda t: t.isin(actions))})
 
 
@@ -169,20 +173,24 @@ def state_of(t: Column, aliases: list[list[str]]) -> Column:
     return out
 
 
-def entity_tokens(title: Column, stop: list[str]) -> Column:
-    """Capitalised words but the first, and words in capitals, in lower case, at least three letters, no stop token."""
+def entity_tokens(title: Column, generic: list[str], actions: list[str]) -> Column:
+    """Capitalised words but the first, and words in capitals, in canonical form: at least three letters, no stopword, no generic or action
+    token, and none of the words that are written like names."""
     w = F.filter(F.transform(F.split(title, r"\s+"), lambda x: F.regexp_replace(x, r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")), lambda x: x != "")
     named = F.filter(w, lambda x, i: x.rlike("^[A-Z0-9]{2,}$") | ((i > 0) & x.rlike("^[A-Z][a-z]+$")))
-    return F.array_distinct(F.filter(F.transform(named, lambda x: F.lower(x)), lambda x: (F.length(x) >= 3) & ~x.isin(stop)))
+    stop = sorted({*L.STOPWORDS, *generic, *actions, *L.ENTITY_STOPWORDS})
+    return F.array_distinct(F.filter(F.transform(named, lambda x: canonical_token(x)), lambda x: (F.length(x) >= 3) & ~x.isin(stop)))
 
 
 def _states(s: DataFrame) -> DataFrame:
-    return s.select("id", state_of(F.col("title"), L.DATA["states"]).alias("state"), entity_tokens(F.col("title"), L.DATA["generic"]).alias("entities"))
+    text = F.concat_ws(" ", "title", F.translate("story_key", "-", " ")) if "story_key" in s.columns else F.col("title")
+    return s.select("id", state_of(text, L.DATA["states"]).alias("state"), entity_tokens(F.col("title"), L.DATA["generic"], L.DATA["actions"]).alias("entities"))
 
 
 _STATE_SQL = "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains(concat(' ', trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), ' {n} ')''' for n in names)} THEN '{s}'" for s, *names in L.DATA["states"]) + " END"
-_ENT_SQL = f"""list_distinct(list_filter(list_transform(list_filter(list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda x: x <> ''),
-    lambda x, i: regexp_matches(x, '^[A-Z0-9]{{2,}}$') OR (i > 1 AND regexp_matches(x, '^[A-Z][a-z]+$'))), lambda x: lower(x)), lambda x: length(x) >= 3 AND x NOT IN ({q(L.DATA['generic'])})))"""
+_ENT_SQL = f"""list_distinct(list_filter(list_transform(list_transform(list_filter(list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), lambda x: x <> ''),
+    lambda x, i: regexp_matches(x, '^[A-Z0-9]{{2,}}$') OR (i > 1 AND regexp_matches(x, '^[A-Z][a-z]+$'))), lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda w: {sql_canonical_token('w')}),
+    lambda x: length(x) >= 3 AND x NOT IN ({q(sorted({*L.STOPWORDS, *L.DATA['generic'], *L.DATA['actions'], *L.ENTITY_STOPWORDS}))})))"""
 DECIDE_SQL = PAIR_SQL + f""", e AS (SELECT id, {_STATE_SQL} AS state, {_ENT_SQL} AS ent FROM v_stories), v AS (SELECT o.*, CASE WHEN a.state <> b.state THEN 'state_mismatch' WHEN len(a.ent) >= 2 AND len(b.ent) >= 2 AND len(list_intersect(a.ent, b.ent)) = 0 AND n_strong = 0 AND n_action >= 1 THEN 'entity_conflict' END AS veto
     FROM o JOIN e a ON a.id = i JOIN e b ON b.id = j), m AS (SELECT *, veto IS NULL AND CASE WHEN ratio >= 0.56 THEN n_strong >= 1 OR n_action >= 2 ELSE ratio >= 0.3 AND shared >= 3 AND n_action >= 1 AND n_strong >= 1 END AS should_merge FROM v)"""
 
@@ -412,7 +420,7 @@ register(
 def cluster_outlier_counts(links: DataFrame, stories: DataFrame, states: list[list[str]], generic: list[str], actions: list[str], theta: float = 0.56) -> DataFrame:
     """(story_id, n, state_n, entity_n): how many titles a story's articles have, and how many of them the merge decision would veto
     beside the story's own title, for its state or for its entities. links (story_id, title); stories (id, title)."""
-    side = lambda df, key, p: with_tokens(df, actions, generic).select(*key, *(F.col(c).alias(f"{c}_{p}") for c in ("tokens", "strong", "action")), state_of(F.col("title"), states).alias(f"s_{p}"), entity_tokens(F.col("title"), generic).alias(f"e_{p}"))
+    side = lambda df, key, p: with_tokens(df, actions, generic).select(*key, *(F.col(c).alias(f"{c}_{p}") for c in ("tokens", "strong", "action")), state_of(F.col("title"), states).alias(f"s_{p}"), entity_tokens(F.col("title"), generic, actions).alias(f"e_{p}"))
     titled = links.where(F.trim(F.coalesce("title", F.lit(""))) != "")
     both = side(titled, ["story_id"], "j").join(side(stories, [F.col("id").alias("story_id")], "i"), "story_id")
     inter = lambda c: F.size(F.array_intersect(f"{c}_i", f"{c}_j"))

@@ -139,7 +139,7 @@ def corroboration_match(seeds: DataFrame, found: DataFrame, rules: Rules, hours:
     near = coverage_join(seeds.select("id", "title", "summary", "ts"), found.select("id", "title", "summary", "ts"), 2 * hours, search)
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("similarity"), "cand"))
     near = near.withColumn("place", place).where(F.col("place") <= per_story)
-    side = lambda df, p, keep: with_tokens(df, rules.actions, rules.generic).select(F.col("id").alias("seed" if p == "i" else "cand"), *(F.col(k).alias(f"{k}_{p}") for k in ("strong", "action", "ts", *keep)), state_of(F.col("title"), rules.states).alias(f"s_{p}"), entity_tokens(F.col("title"), rules.generic).alias(f"e_{p}"))
+    side = lambda df, p, keep: with_tokens(df, rules.actions, rules.generic).select(F.col("id").alias("seed" if p == "i" else "cand"), *(F.col(k).alias(f"{k}_{p}") for k in ("strong", "action", "ts", *keep)), state_of(F.col("title"), rules.states).alias(f"s_{p}"), entity_tokens(F.col("title"), rules.generic, rules.actions).alias(f"e_{p}"))
     rows = near.join(side(seeds, "i", ["families"]), "seed").join(side(found, "j", ["title", "summary", "url", "domain", "family", "quality_label", "us", "strict_signal", "off_topic", "stories"]), "cand")
     c = F.col
     blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""

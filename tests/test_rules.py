@@ -179,3 +179,20 @@ def test_summaries(spark):
     assert values(spark, hash31(F.col("t")), ["", "a", "abc", "polygenelubricants"]) == [0, 97, 96354, 2147483648]
     made = values(spark, fallback_summary(F.col("t")), ["Budget cuts hit nine schools", "Short"])
     assert made[0].startswith(("Budget coverage now centers on budget cuts", "New finance reporting highlights budget cuts", "District budget attention is shifting toward budget cuts")) and "Why it matters" in made[0] and made[1] == ""
+
+
+def test_entities_and_key_tokens(spark):
+    """Entities in canonical form without any of the four kinds of stop words; a story key's words follow the title's."""
+    from storyloom.functions import lexicons as L
+    from storyloom.functions.tokens import canonical_name
+    from storyloom.operators.similarity import entity_tokens, with_tokens
+
+    titles = ["Chicago Schools sue ICE over Raids", "CPS Parents Amid Lawsuit in Springfield", "The Board of Portland and NYC", "Johnson's plan, says Maria", None]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    got = {r.id: r.e for r in rows.select("id", entity_tokens(F.col("title"), L.GENERIC_TOKENS, L.ACTION_TOKENS).alias("e")).collect()}
+    name = lambda w: canonical_name(w, L.CANONICAL_FORMS)
+    assert got[1] == [x for x in (name("CPS"), name("Springfield")) if len(x) >= 3] and got[2] == [name("Portland"), name("NYC")] and got[3] == [name("Maria")] and not got[4]
+    assert "raid" not in got[0] and name("ICE") in got[0] and "chicago" not in got[0]  # the first word is no entity, an action is none
+    stories = spark.createDataFrame([("a", "Storm hits harbour", "harbour-storm-museum"), ("b", "Storm hits harbour", None)], "id string, title string, story_key string").withColumn("last_seen", F.lit(None).cast("timestamp_ntz"))
+    tokens = {r.id: r.tokens for r in with_tokens(stories).collect()}
+    assert tokens["a"] == [*tokens["b"], "museum"]
