@@ -15,6 +15,8 @@ REPEATS = [r"(\bcontact\b.*){2,}", r"(\bdownloads?\b.*){2,}", r"(\bshare\b.*){3,
 #: Image and link markup, addresses: (pattern, what stays: nothing or the link's text).
 MARKUP = [(r"!\[[^\]]*\]\(<?[^)\s>]+>?\)", False), (r"\[([^\]]+)\]\(<?[^)\s>]+>?\)", True), (r"<[^>]*>", False), (r"https?://\S+", False), (r"\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", False)]
 LONGEST, SHORTEST = 320, 40
+#: What makes a stored summary one that any new one replaces.
+STORED_JUNK = ["(sign up|subscribe|newsletter|republish|sponsor|advertis|getty images|base64|streamlinehq|share on|follow us|facebook|twitter|instagram|linkedin)", r"!\[[^\]]*\]\(", "(contact.*contact|downloads?.*downloads?|share.*share.*share)"]
 
 #: Openings and reasons by topic; the first topic that the title hits, then a variant by the title's hash.
 OPENINGS = [

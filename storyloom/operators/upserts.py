@@ -5,44 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.functions.summaries import SHORTEST, STORED_JUNK
 from storyloom.registry import register
 from storyloom.sources.pages import _HOST, domain
 
+
 def better_summary(old: Column, new: Column) -> Column:
     """The new summary where the old one is blank, short, junk or shorter; never a blank one."""
     o, n = F.coalesce(F.trim(old), F.lit("")), F.coalesce(F.trim(new), F.lit(""))
-    return F.when(n == "", old).when((o == "") | (F.length(o) < 40) | o.rlike(r"(?i)^(read more|click here|subscribe)|!\["), new).when(F.length(n) > F.length(o), new).otherwise(old)
+    return F.when(n == "", old).when((F.length(o) < SHORTEST) | o.rlike("(?is)" + "|".join(STORED_JUNK)), new).when(F.length(new) > F.length(old), new).otherwise(old)
 
 
-def article_upsert(articles: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(url, title, summary, relevance, ts, action): incoming rows overwrite title and time, summaries by better_summary, relevance only
-    if they have one. Of incoming rows with one url the latest counts. One full outer join on the url."""
-    last = incoming.groupBy("url").agg(F.max_by(F.struct("title", "summary", "relevance", "ts"), F.struct("ts", "id")).alias("n"))
+def article_upsert(articles: DataFrame, incoming: DataFrame, replaced: tuple[str, ...] = ()) -> DataFrame:
+    """(url, title, summary, relevance, ts, action, and `replaced`): incoming rows overwrite title, time and the columns `replaced` (quality and
+    choice of the summary, with null too), summaries by better_summary, relevance only if they have one. Of incoming rows with one url the
+    latest counts. One full outer join on the url."""
+    last = incoming.groupBy("url").agg(F.max_by(F.struct("title", "summary", "relevance", "ts", *replaced), F.struct("ts", "id")).alias("n"))
     both = articles.alias("o").join(last.alias("i"), "url", "full_outer")
     old = lambda c: F.col(f"o.{c}")
     new = lambda c: F.col(f"i.n.{c}")
     action = F.when(F.col("i.n").isNull(), "kept").when(old("id").isNull(), "inserted").otherwise("updated")
-    return both.select("url", F.coalesce(new("title"), old("title")).alias("title"), better_summary(old("summary"), new("summary")).alias("summary"), F.coalesce(new("relevance"), old("relevance")).alias("relevance"), F.date_format(F.coalesce(new("ts"), old("ts")), "yyyy-MM-dd HH:mm:ss").alias("ts"), action.alias("action"))
+    more = (F.when(F.col("i.n").isNull(), old(c)).otherwise(new(c)).alias(c) for c in replaced)
+    return both.select("url", F.coalesce(new("title"), old("title")).alias("title"), better_summary(old("summary"), new("summary")).alias("summary"), F.coalesce(new("relevance"), old("relevance")).alias("relevance"), F.date_format(F.coalesce(new("ts"), old("ts")), "yyyy-MM-dd HH:mm:ss").alias("ts"), action.alias("action"), *more)
 
 
+_JUNK = "'(?is)" + "|".join(STORED_JUNK) + "'"
 _ONE = "SELECT url, max(id) AS id FROM v_articles GROUP BY url"
 
 
 def _old(a: DataFrame) -> DataFrame:
-    return a.where("id % 3 <> 0").groupBy("url").agg(F.max_by(F.struct("id", "title", "summary", "ts"), "id").alias("x")).select("url", "x.*").withColumn("relevance", F.expr("if(id % 2 = 0, id % 10 / 10.0D, null)"))
+    return a.where("id % 3 <> 0").groupBy("url").agg(F.max_by(F.struct("id", "title", "summary", "ts", "quality_label"), "id").alias("x")).select("url", "x.*").withColumn("relevance", F.expr("if(id % 2 = 0, id % 10 / 10.0D, null)"))
 
 
 def _new(a: DataFrame) -> DataFrame:
-    return a.where("id % 2 = 0 or id % 3 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.expr("case id % 5 when 0 then '' when 1 then 'Short.' when 2 then concat(summary, ' More of it.') else summary end").alias("summary"), F.expr("if(id % 3 = 0, 0.5D, null)").alias("relevance"), "ts")
+    return a.where("id % 2 = 0 or id % 3 = 0").select("id", "url", F.concat(F.lit("new "), "title").alias("title"), F.expr("case id % 5 when 0 then '' when 1 then 'Short.' when 2 then concat(summary, ' More of it.') else summary end").alias("summary"), F.expr("if(id % 3 = 0, 0.5D, null)").alias("relevance"), "ts", F.expr("if(id % 4 = 0, null, 'seen')").alias("quality_label"))
 
 
 register(
-    "article_upsert", "v_articles", lambda a: article_upsert(_old(a), _new(a)),
-    """WITH o AS (SELECT *, CASE WHEN id % 2 = 0 THEN id % 10 / 10.0::DOUBLE END AS relevance FROM v_articles WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1),
-    n AS (SELECT id, url, concat('new ', title) AS title, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Short.' WHEN 2 THEN concat(summary, ' More of it.') ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE END AS relevance, ts FROM v_articles WHERE id % 2 = 0 OR id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1)
-    SELECT coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, CASE WHEN coalesce(trim(n.summary), '') = '' THEN o.summary WHEN coalesce(trim(o.summary), '') = '' OR length(trim(o.summary)) < 40 OR regexp_matches(trim(o.summary), '(?i)^(read more|click here|subscribe)|!\\[') THEN n.summary
-    WHEN length(trim(n.summary)) > length(trim(o.summary)) THEN n.summary ELSE o.summary END AS summary, coalesce(n.relevance, o.relevance) AS relevance, strftime(coalesce(n.ts, o.ts), '%Y-%m-%d %H:%M:%S') AS ts,
-    CASE WHEN n.url IS NULL THEN 'kept' WHEN o.url IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM o FULL JOIN n ON o.url = n.url""",
+    "article_upsert", "v_articles", lambda a: article_upsert(_old(a), _new(a), ("quality_label",)),
+    f"""WITH o AS (SELECT *, CASE WHEN id % 2 = 0 THEN id % 10 / 10.0::DOUBLE END AS relevance FROM v_articles WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1),
+    n AS (SELECT id, url, concat('new ', title) AS title, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'Short.' WHEN 2 THEN concat(summary, ' More of it.') ELSE summary END AS summary, CASE WHEN id % 3 = 0 THEN 0.5::DOUBLE END AS relevance, ts, CASE WHEN id % 4 <> 0 THEN 'seen' END AS quality_label FROM v_articles WHERE id % 2 = 0 OR id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) = 1)
+    SELECT coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, CASE WHEN coalesce(trim(n.summary), '') = '' THEN o.summary WHEN coalesce(trim(o.summary), '') = '' OR length(trim(o.summary)) < 40 OR regexp_matches(trim(o.summary), {_JUNK}) THEN n.summary
+    WHEN length(n.summary) > length(o.summary) THEN n.summary ELSE o.summary END AS summary, coalesce(n.relevance, o.relevance) AS relevance, strftime(coalesce(n.ts, o.ts), '%Y-%m-%d %H:%M:%S') AS ts,
+    CASE WHEN n.url IS NULL THEN 'kept' WHEN o.url IS NULL THEN 'inserted' ELSE 'updated' END AS action, CASE WHEN n.url IS NULL THEN o.quality_label ELSE n.quality_label END AS quality_label FROM o FULL JOIN n ON o.url = n.url""",
 )
 
 

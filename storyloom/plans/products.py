@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from storyloom.functions.summaries import TEMPLATES, fallback_summary, headline_echo, sanitized, sql_fallback, sql_sanitized, sql_synthetic, synthetic
+from storyloom.functions.summaries import STORED_JUNK, TEMPLATES, fallback_summary, headline_echo, sanitized, sql_fallback, sql_sanitized, sql_synthetic, synthetic
 from storyloom.functions.text import family
 from storyloom.operators.filters import SERVABLE_SQL, servable
 from storyloom.operators.graphs import merge_plan, stored
@@ -132,7 +132,7 @@ register(
 
 #: What makes a story's summary one to be made anew.
 _GARBAGE = [
-    "(sign up|subscribe|newsletter|republish|sponsor|advertis|getty images|base64|streamlinehq|share on|follow us|facebook|twitter|instagram|linkedin)", r"!\[[^\]]*\]\(", "(contact.*contact|downloads?.*downloads?|share.*share.*share)", *TEMPLATES,
+    *STORED_JUNK, *TEMPLATES,
     r"why it matters:\s*(district leaders and educators may need to adjust policy,\s*staffing,\s*or classroom practice|school systems may need to revisit planning,\s*staffing,\s*or implementation decisions|this could influence district priorities and how schools execute day-to-day operations)",
 ]
 
