@@ -1,9 +1,10 @@
 """Embedding clusters: exact cosine pairs within a time window, and stories from them.
 
-Vectors are dealt to cells around pivots (a bounded sample of them, the only thing that goes to every task) and bins of time. What lies
-within the angle tau of a vector of a cell has an angle of at most (its own nearest pivot's) + 2 tau to the cell's pivot, and of at most
-(the cell's radius) + tau: so a vector looks only into cells that pass both, in three bins, and no pair is lost. Cells are counted and cut
-into units of bounded size; a unit is one matrix product in numpy.
+Vectors are dealt to cells around pivots and bins of time, and the vectors of a large cell to cells of a second level around pivots of its own;
+the pivots of both levels are a sample of bounded size, the only thing that goes to every task. What lies within the angle tau of a vector of
+a cell has an angle of at most (its own nearest pivot's) + 2 tau to the cell's pivot, and of at most (the cell's radius) + tau, on either
+level: so a vector looks only into cells that pass both, in three bins, and no pair is lost. Cells are counted and cut into units of bounded
+size; a unit is one matrix product in numpy.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from storyloom.operators.graphs import path_compress, stored
 from storyloom.registry import register
 
 #: Pivots at most, and vectors of one side of a unit.
 PIVOTS, UNIT = 128, 4096
-#: Vectors for each pivot at least.
-PER_PIVOT = 512
+#: Vectors for each pivot at least, and numbers of all pivots of the second level at most (32 MB).
+PER_PIVOT, NUMBERS = 512, 4 << 20
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -33,19 +35,25 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
-def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int = UNIT) -> DataFrame:
-    """(i, j, cosine): vectors (id, ts, embedding) i < j within some hours of each other with a cosine above theta, exact.
+def _radii(own: DataFrame, cells: int) -> np.ndarray:
+    """The largest angle of a vector to its cell's pivot, by cell, -1 for empty cells: a number for each pivot."""
+    out = np.full(cells, -1.0)
+    for r in own.groupBy("cell").agg(F.max("angle").alias("r")).collect():
+        out[r["cell"]] = r["r"]
+    return out
 
-    Null vectors and times match nothing.
-    """
+
+def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int = UNIT) -> DataFrame:
+    """(bin, cell, p, q, asks, id, t, v): in each unit (bin, cell, p, q) every vector that asks meets every one that does not."""
     kind = vectors.schema["id"].dataType.simpleString()
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     rows = vectors.where("embedding is not null and ts is not null").select("id", seconds.alias("t"), F.floor(seconds / F.lit(hours * 3600)).alias("bin"), F.col("embedding").cast("array<double>").alias("v"))
     # A pivot for some hundred vectors: more cells would cost more copies than they spare products.
-    most = min(pivots, 1 + rows.count() // PER_PIVOT)
+    per_pivot = PER_PIVOT
+    most = min(pivots, 1 + rows.count() // per_pivot)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toArrow().column("v")
     if not len(sample):
-        return rows.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("cosine"))
+        return rows.select("bin", F.lit(0).alias("cell"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("asks"), "id", "t", "v")
     centres, tau = _unit(sample), float(np.arccos(min(1.0, theta - 5e-5))) + 1e-9
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,22 +63,57 @@ def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
                 own = angles.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angles.min(axis=1))], names=["id", "t", "bin", "v", "cell", "angle"])
 
-    own = stored(rows.mapInArrow(dealt, f"id {kind}, t long, bin long, v array<double>, cell int, angle double"))
-    radius = np.full(len(centres), -1.0)  # a number for each pivot
-    for r in own.groupBy("cell").agg(F.max("angle").alias("r")).collect():
-        radius[r["cell"]] = r["r"]
+    schema = f"id {kind}, t long, bin long, v array<double>, cell int, angle double"
+    own = stored(rows.mapInArrow(dealt, schema))
+    radius = _radii(own, len(centres))
+    # The second level: pivots of a cell's own, in proportion to its vectors; a cell with one keeps its pivot.
+    fan = max(1, min(pivots, NUMBERS // (len(centres) * centres.shape[1])))
+    sizes = own.groupBy("cell").agg(F.least(F.lit(fan), 1 + F.floor(F.count("*") / per_pivot)).alias("fan")).where("fan > 1")
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+    picked = own.join(sizes, "cell").withColumn("place", place).where("place <= fan").select("cell", "v").toArrow()
+    below = [centres[c : c + 1] for c in range(len(centres))]
+    if picked.num_rows:
+        of, vectors_of = picked.column("cell").to_numpy(), _unit(picked.column("v"))
+        below = [vectors_of[of == c] if (of == c).any() else below[c] for c in range(len(centres))]
+    first = np.r_[0, np.cumsum([len(x) for x in below])]  # the first leaf of each cell
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, cell = _unit(batch.column(3)), batch.column(4).to_numpy()
+                leaf, angle = np.zeros(len(x), dtype=np.int32), np.zeros(len(x))
+                for c in np.unique(cell):
+                    at = np.flatnonzero(cell == c)
+                    angles = _angles(x[at], below[c])
+                    leaf[at], angle[at] = first[c] + angles.argmin(axis=1), angles.min(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(leaf), pa.array(angle)], names=["id", "t", "bin", "v", "cell", "angle"])
+
+    if picked.num_rows:
+        own = stored(own.mapInArrow(leaves, schema))
+        leaf_radius = _radii(own, int(first[-1]))
+    else:
+        leaf_radius = radius
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            angles = _angles(_unit(batch.column(3)), centres)
+            x = _unit(batch.column(3))
+            angles = _angles(x, centres)
             near = (radius >= 0) & (angles <= angles.min(axis=1, keepdims=True) + 2 * tau) & (angles <= radius + tau)
-            row, cell = np.nonzero(near)
+            rows_found, leaves_found = [], []
+            for c in np.flatnonzero(near.any(axis=0)):
+                at = np.flatnonzero(near[:, c])
+                inner, limit = _angles(x[at], below[c]), leaf_radius[first[c] : first[c + 1]]
+                row, leaf = np.nonzero((limit >= 0) & (inner <= inner.min(axis=1, keepdims=True) + 2 * tau) & (inner <= limit + tau))
+                rows_found.append(at[row])
+                leaves_found.append(first[c] + leaf)
+            row = np.concatenate(rows_found) if rows_found else np.zeros(0, dtype=np.int64)
+            cell = np.concatenate(leaves_found) if leaves_found else np.zeros(0, dtype=np.int64)
             row, cell, step = np.repeat(row, 3), np.repeat(cell, 3), np.tile([-1, 0, 1], row.size)
             take = pa.array(row)
-            bins = batch.column(2).to_numpy()[row] + step
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(bins), batch.column(3).take(take), pa.array(cell.astype(np.int32))], names=["id", "t", "bin", "v", "cell"])
+            days = batch.column(2).to_numpy()[row] + step
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(days), batch.column(3).take(take), pa.array(cell.astype(np.int32))], names=["id", "t", "bin", "v", "cell"])
 
     asks = own.select("id", "t", "bin", "v").mapInArrow(asking, f"id {kind}, t long, bin long, v array<double>, cell int")
     # A cell of many vectors is cut on both sides; every two parts meet in a unit.
@@ -79,7 +122,21 @@ def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
     held = own.select("id", "t", "bin", "v", "cell").join(parts, ["bin", "cell"]).withColumn("p", part("held")).withColumn("q", F.explode(F.expr("sequence(0, 3 * parts - 1)")))
     # Vectors of three bins ask, so that side has three times the parts.
     asks = asks.join(parts, ["bin", "cell"]).withColumn("q", F.pmod(F.xxhash64("id", F.lit("asks")), 3 * F.col("parts")).cast("int")).withColumn("p", F.explode(F.expr("sequence(0, parts - 1)")))
-    every = held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).select("bin", "cell", "p", "q", "asks", "id", "t", "v")
+    return held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).select("bin", "cell", "p", "q", "asks", "id", "t", "v")
+
+
+def products(units: DataFrame) -> int:
+    """How many products of two vectors embedding_units() asks for."""
+    return units.groupBy("bin", "cell", "p", "q").agg((F.count_if("asks") * F.count_if(~F.col("asks"))).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int = UNIT) -> DataFrame:
+    """(i, j, cosine): vectors (id, ts, embedding) i < j within some hours of each other with a cosine above theta, exact.
+
+    Null vectors and times match nothing.
+    """
+    kind = vectors.schema["id"].dataType.simpleString()
+    every = embedding_units(vectors, theta, hours, pivots, unit)
 
     def product(table: pa.Table) -> pa.Table:
         asking = np.array(table.column("asks").to_pylist(), dtype=bool)

@@ -94,3 +94,31 @@ def test_later_passes_decide_on_what_has_changed(spark):
     got_s, got_x, counts = merge_passes(stories, links, lambda t, touched: decided(t, touched=touched))
     assert sorted(map(repr, got_s.collect())) == sorted(map(repr, s.collect())) and sorted(map(tuple, got_x.collect())) == sorted(map(tuple, x.collect()))
     assert len(counts) >= 2 and counts[0] == full[0] and all(a < b for a, b in zip(counts[1:], full[1:])), (counts, full)
+
+
+def test_two_levels_of_pivots_lose_no_pair_and_spare_products(spark, monkeypatch):
+    """Clusters in clusters: all pairs above theta are found, with less than a third of the products that one level of pivots asks for."""
+    import numpy as np
+
+    from storyloom.operators import embeddings
+
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 4)
+    rng = np.random.default_rng(5)
+    counts, groups = [], rng.normal(size=(6, 24))
+    for n in (600, 2400):
+        centres = np.concatenate([g + 0.5 * rng.normal(size=(n // 60, 24)) for g in groups])
+        x = np.concatenate([c + 0.03 * rng.normal(size=(10, 24)) for c in centres])
+        at = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=int(h)) for h in rng.integers(0, 60, len(x))]
+        df = spark.createDataFrame([(k, v.tolist(), t) for k, (v, t) in enumerate(zip(x, at))], "id long, embedding array<double>, ts timestamp_ntz").repartition(4).cache()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        cosine = np.round(u @ u.T, 4)
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cosine > 0.99, 1)))}
+        got = embeddings.embedding_pairs(df, 0.99, 72, 40).collect()
+        assert {(r["i"], r["j"]) for r in got} == want and len(got) == len(want)
+        two = embeddings.products(embeddings.embedding_units(df, 0.99, 72, 40))
+        monkeypatch.setattr(embeddings, "NUMBERS", 1)
+        one = embeddings.products(embeddings.embedding_units(df, 0.99, 72, 40))
+        monkeypatch.setattr(embeddings, "NUMBERS", 4 << 20)
+        counts.append((two, one))
+        df.unpersist()
+    assert all(3 * two < one for two, one in counts), counts
