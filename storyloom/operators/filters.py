@@ -85,7 +85,10 @@ register("reject_titles", "v_articles", lambda a: reject_titles(_varied(a)), f"S
 
 
 def article_quality(articles: DataFrame) -> DataFrame:
-    """articles with quality_score, quality_label and the reasons in order: a sum of signals from 0.5, then three overrides."""
+    """articles with quality_score, quality_label and the reasons in order: a sum of signals from 0.5, then three overrides.
+
+    Flags are columns before anything is made of them, so each pattern is tried once on a row.
+    """
     title, summary = F.trim(text("title")), F.trim(text("summary"))
     both, path = F.concat_ws(" ", title, summary), path_of(F.col("url"))
     segments = F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
@@ -101,21 +104,24 @@ def article_quality(articles: DataFrame) -> DataFrame:
     bad_title = t.rlike(P.NON_STORY_TITLE) | (t.rlike(P.NON_STORY_SHORT) & (n <= F.when(F.lower(t).startswith("privacy"), 6).otherwise(7)))
     bio, promo = both.rlike(P.BIOGRAPHY), both.rlike(P.PROMOTION)
     personal = reduce(lambda a, b: a + b, (both.rlike(p).cast("int") for p in P.PERSONAL))
+    flags = {"index": index, "person": person, "section": section, "hint": hint, "bad_path": bad_path, "bad_url": bad_url, "bad_title": bad_title, "bio": bio, "promo": promo, "personal": personal, "summary_length": F.length(summary), "title_length": F.length(title)}
+    flagged = articles.withColumns({f"_quality_{k}": v for k, v in flags.items()})
+    index, person, section, hint, bad_path, bad_url, bad_title, bio, promo, personal, summary_length, title_length = (F.col(f"_quality_{k}") for k in flags)
     signals = [
         (bad_path, -0.55, "non_article_url_path"), (bad_url, -0.6, "non_story_url_path"), (bad_title, -0.65, "non_story_title_pattern"), (hint, 0.2, "article_url_path_hint"),
         (bio, -0.45, "biography_text_pattern"), (promo, -0.25, "promotional_text_pattern"), (section, -0.45, "section_index_title"), (index & ~hint, -0.5, "section_index_path"),
         (person, -0.2, "person_name_title"), (personal >= 2, -0.35, "personal_blog_pattern"), (personal == 1, -0.15, "personal_blog_hint"),
-        (F.length(summary) >= 80, 0.08, None), ((F.length(title) >= 32) & ~person, 0.08, None),
+        (summary_length >= 80, 0.08, None), ((title_length >= 32) & ~person, 0.08, None),
     ]
     score = F.lit(0.5)
     for flag, weight, _ in signals:
         score = score + F.when(flag, weight).otherwise(0.0)
     bounded = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2)
     override = (
-        F.when((bad_path | bad_url | bad_title) & ~hint, 0.06).when(bad_path & (bio | person), 0.1).when(index & (section | (F.length(summary) < 70)) & ~hint, 0.08)
+        F.when((bad_path | bad_url | bad_title) & ~hint, 0.06).when(bad_path & (bio | person), 0.1).when(index & (section | (summary_length < 70)) & ~hint, 0.08)
     )
     reasons = F.array_compact(F.array(*(F.when(flag, F.lit(name)) for flag, _, name in signals if name)))
-    out = articles.withColumns({"quality_score": F.coalesce(override, bounded), "quality_reasons": reasons, "_hard": override.isNotNull()})
+    out = flagged.withColumns({"quality_score": F.coalesce(override, bounded), "quality_reasons": reasons, "_hard": override.isNotNull()}).drop(*(f"_quality_{k}" for k in flags))
     label = F.when(F.col("_hard") | (F.col("quality_score") <= 0.35), "non_article").when(F.col("quality_score") >= 0.65, "article").otherwise("uncertain")
     return out.withColumn("quality_label", label).drop("_hard")
 
