@@ -25,36 +25,72 @@ def event_alert_explode(events: DataFrame, prefix: str) -> DataFrame:
 register("event_alert_explode", "v_events", lambda e: event_alert_explode(with_detail(e.where("event_type = 'alert'")), "split:"), "SELECT id, CAST(k * 2 AS INT) AS value FROM v_events WHERE event_type = 'alert' AND k IS NOT NULL")
 
 
-def guardrail_health(events: DataFrame, at: str, hours: int = 24) -> DataFrame:
+def with_desk_detail(events: DataFrame) -> DataFrame:
+    """The derived events with a detail as the desk's runs write it: of gates, alerts and mails."""
+    k = F.coalesce("k", F.lit(0))
+    reasons = F.array(F.struct(F.array(F.concat(F.lit("r"), k % 4), F.lit("stale")).alias("reasons")), F.struct(F.array(F.lit("stale")).alias("reasons")))
+    return events.withColumn("detail", F.to_json(F.struct(
+        F.struct(k.alias("suggested"), (k % 3).alias("merged")).alias("topStoryPremerge"), (k % 5).alias("demoted"), F.lit(10).alias("checked"), (k % 7).alias("flagged"), reasons.alias("details"),
+        F.array(F.concat(F.lit("top_story_duplicate_pairs:"), k), F.concat(F.lit("mixed_splits:"), k % 6)).alias("guardrailAlerts"), (k % 9).alias("mixedStoryOutliers"), (k % 6).alias("mixedStoriesSplit"), k.alias("mergedStories"),
+        (F.col("id") % 2 == 0).alias("sent"), F.when(F.col("id") % 3 == 0, "top_story_duplicate_pairs").otherwise("mixed_splits").alias("alertType"),
+    )))
+
+
+def _number(path: str) -> Column:
+    return F.coalesce(F.get_json_object("detail", path).cast("int"), F.lit(0))
+
+
+def _alerts() -> Column:
+    return F.coalesce(F.from_json(F.get_json_object("detail", "$.guardrailAlerts"), "array<string>"), F.array().cast("array<string>"))
+
+
+def guardrail_health(events: DataFrame, at: str, hours: int = 24, alert: str = "top_story_duplicate_pairs") -> DataFrame:
+    """One row on the last hours: gate runs, merges before the gate that were suggested and made, stories demoted, the last run; how often the
+    alert was raised and with what sum, and how many mails on it were sent."""
     recent = events.where((F.col("created_at") >= F.expr(f"TIMESTAMP_NTZ '{at}' - INTERVAL {hours} HOURS")) & (F.col("created_at") < F.expr(f"TIMESTAMP_NTZ '{at}'")))
-    n = F.get_json_object("detail", "$.calls").cast("int")
     kind = lambda t: F.col("event_type") == t
+    total = lambda t, x: F.coalesce(F.sum(F.when(kind(t), x)), F.lit(0)).cast("long")
+    raised = F.filter(_alerts(), lambda x: x.startswith(f"{alert}:"))
+    pairs = F.aggregate(raised, F.lit(0), lambda s, x: s + F.coalesce(F.get(F.split(x, ":"), F.lit(1)).cast("int"), F.lit(0)))
+    sent = kind("email") & F.coalesce(F.get_json_object("detail", "$.sent").cast("boolean"), F.lit(False)) & (F.get_json_object("detail", "$.alertType") == alert)
     return recent.agg(
-        F.count_if(kind("gate")).alias("gate_runs"), F.sum(F.when(kind("gate"), n)).cast("long").alias("suggested"), F.date_format(F.max(F.when(kind("gate"), F.col("created_at"))), "yyyy-MM-dd HH:mm:ss").alias("last_gate"),
-        F.count_if(kind("alert")).alias("alerts"), F.count_if(kind("email")).alias("emails"),
+        F.count_if(kind("gate")).alias("gate_runs"), total("gate", _number("$.topStoryPremerge.suggested")).alias("suggested"), total("gate", _number("$.topStoryPremerge.merged")).alias("merged"), total("gate", _number("$.demoted")).alias("demoted"),
+        F.date_format(F.max(F.when(kind("gate"), F.col("created_at"))), "yyyy-MM-dd HH:mm:ss").alias("last_gate"), total("alert", F.size(raised)).alias("alerts"), total("alert", pairs).alias("pairs"), F.count_if(sent).alias("emails"),
     )
 
 
 _AT = "2024-01-20 00:00:00"
 register(
-    "guardrail_health_24h", "v_events", lambda e: guardrail_health(with_detail(e), _AT),
-    f"""SELECT count(*) FILTER (WHERE event_type = 'gate') AS gate_runs, CAST(sum(k) FILTER (WHERE event_type = 'gate') AS BIGINT) AS suggested, strftime(max(created_at) FILTER (WHERE event_type = 'gate'), '%Y-%m-%d %H:%M:%S') AS last_gate,
-    count(*) FILTER (WHERE event_type = 'alert') AS alerts, count(*) FILTER (WHERE event_type = 'email') AS emails FROM v_events WHERE created_at >= TIMESTAMP '{_AT}' - INTERVAL 24 HOURS AND created_at < TIMESTAMP '{_AT}'""",
+    "guardrail_health_24h", "v_events", lambda e: guardrail_health(with_desk_detail(e), _AT),
+    f"""SELECT count(*) FILTER (WHERE event_type = 'gate') AS gate_runs, CAST(coalesce(sum(coalesce(k, 0)) FILTER (WHERE event_type = 'gate'), 0) AS BIGINT) AS suggested, CAST(coalesce(sum(coalesce(k, 0) % 3) FILTER (WHERE event_type = 'gate'), 0) AS BIGINT) AS merged,
+    CAST(coalesce(sum(coalesce(k, 0) % 5) FILTER (WHERE event_type = 'gate'), 0) AS BIGINT) AS demoted, strftime(max(created_at) FILTER (WHERE event_type = 'gate'), '%Y-%m-%d %H:%M:%S') AS last_gate, count(*) FILTER (WHERE event_type = 'alert') AS alerts,
+    CAST(coalesce(sum(coalesce(k, 0)) FILTER (WHERE event_type = 'alert'), 0) AS BIGINT) AS pairs, count(*) FILTER (WHERE event_type = 'email' AND id % 2 = 0 AND id % 3 = 0) AS emails
+    FROM v_events WHERE created_at >= TIMESTAMP '{_AT}' - INTERVAL 24 HOURS AND created_at < TIMESTAMP '{_AT}'""",
 )
 
 
 def guardrail_alert_report(events: DataFrame, n: int = 20) -> DataFrame:
-    """(kind, name, n): over the last n alert and gate events, alerts by name and reasons by name."""
+    """(kind, name, n): over the last n alerts and the last n gate runs their totals, each alert's text and each gate reason by how often."""
     last = lambda t: events.where(F.col("event_type") == t).orderBy(F.desc("created_at"), F.desc("id")).limit(n)
-    alerts = last("alert").select(F.explode(F.from_json(F.get_json_object("detail", "$.alerts"), "array<string>")).alias("a")).select(F.lit("alert").alias("kind"), F.split("a", ":")[0].alias("name"))
-    reasons = last("gate").select(F.explode(F.map_keys(F.from_json(F.get_json_object("detail", "$.reasons"), "map<string,int>"))).alias("name")).select(F.lit("reason").alias("kind"), "name")
-    return alerts.union(reasons).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    alerts, gates = last("alert"), last("gate")
+
+    def totals(rows: DataFrame, kind: str, names: tuple[str, ...]) -> DataFrame:
+        sums = rows.agg(F.count("*").alias("runs"), *(F.coalesce(F.sum(_number(f"$.{x}")), F.lit(0)).cast("long").alias(x) for x in names))
+        return sums.select(F.explode(F.array(*(F.struct(F.lit(x).alias("name"), F.col(x).alias("n")) for x in ("runs", *names)))).alias("x")).select(F.lit(kind).alias("kind"), "x.name", "x.n")
+
+    texts = alerts.select(F.lit("alert").alias("kind"), F.explode(_alerts()).alias("name"))
+    reasons = gates.select(F.explode(F.from_json(F.get_json_object("detail", "$.details"), "array<struct<reasons:array<string>>>")).alias("d")).select(F.lit("reason").alias("kind"), F.explode("d.reasons").alias("name"))
+    counted = texts.union(reasons).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    return counted.union(totals(alerts, "alert_total", ("mergedStories", "mixedStoryOutliers", "mixedStoriesSplit"))).union(totals(gates, "gate_total", ("checked", "flagged", "demoted")))
 
 
 register(
-    "guardrail_alert_report", "v_events", lambda e: guardrail_alert_report(with_detail(e)),
-    """WITH l AS (SELECT * FROM v_events WHERE event_type IN ('alert', 'gate') QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY created_at DESC, id DESC) <= 20), x AS (SELECT 'alert' AS kind, unnest(['merged', 'split']) AS name FROM l WHERE event_type = 'alert' UNION ALL SELECT 'reason', unnest([concat('r', k % 4), 'no_match']) FROM l WHERE event_type = 'gate')
-    SELECT kind, name, count(*) AS n FROM x GROUP BY 1, 2""",
+    "guardrail_alert_report", "v_events", lambda e: guardrail_alert_report(with_desk_detail(e)),
+    """WITH l AS (SELECT event_type, coalesce(k, 0) AS k FROM v_events WHERE event_type IN ('alert', 'gate') QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY created_at DESC, id DESC) <= 20),
+    x AS (SELECT 'alert' AS kind, unnest([concat('top_story_duplicate_pairs:', k), concat('mixed_splits:', k % 6)]) AS name FROM l WHERE event_type = 'alert' UNION ALL SELECT 'reason', unnest([concat('r', k % 4), 'stale', 'stale']) FROM l WHERE event_type = 'gate'),
+    a AS (SELECT count(*) AS runs, coalesce(sum(k), 0) AS merged, coalesce(sum(k % 9), 0) AS outliers, coalesce(sum(k % 6), 0) AS splits FROM l WHERE event_type = 'alert'), g AS (SELECT count(*) AS runs, 10 * count(*) AS checked, coalesce(sum(k % 7), 0) AS flagged, coalesce(sum(k % 5), 0) AS demoted FROM l WHERE event_type = 'gate')
+    SELECT kind, name, count(*) AS n FROM x GROUP BY 1, 2 UNION ALL SELECT 'alert_total', unnest(['runs', 'mergedStories', 'mixedStoryOutliers', 'mixedStoriesSplit']), unnest([runs, merged, outliers, splits])::BIGINT FROM a
+    UNION ALL SELECT 'gate_total', unnest(['runs', 'checked', 'flagged', 'demoted']), unnest([runs, checked, flagged, demoted])::BIGINT FROM g""",
 )
 
 
