@@ -192,9 +192,10 @@ _SAN = sql_sanitized("v_articles", "id, source_id, title, ts")
 
 def summary_cleaning(articles: DataFrame) -> DataFrame:
     """Each article's cleaned summary, or why it has none."""
-    s = sanitized(F.col("summary"))
-    reason = F.when(F.trim(F.coalesce("summary", F.lit(""))) == "", "blank").when(s == "", "short_or_repetitive").when(headline_echo(F.col("title"), s), "headline_echo")
-    return articles.select("id", F.when(reason.isNull(), s).alias("summary"), reason.alias("reason"))
+    rows = articles.select("id", "title", (F.trim(F.coalesce("summary", F.lit(""))) == "").alias("blank"), sanitized(F.col("summary")).alias("clean"))
+    rows = rows.withColumn("echo", headline_echo(F.col("title"), F.col("clean")))
+    reason = F.when(F.col("blank"), "blank").when(F.col("clean") == "", "short_or_repetitive").when(F.col("echo"), "headline_echo")
+    return rows.withColumn("reason", reason).select("id", F.when(F.col("reason").isNull(), F.col("clean")).alias("summary"), "reason")
 
 
 _ECHO = sql_headline_echo("title", "summary")
