@@ -129,6 +129,15 @@ def test_a_late_row_joins_two_closed_sessions(spark, tmp_path):
     assert rows_of(session_totals(spark, path, 12 * 3600)) == [(1, "2024-01-20 00:00:00", 3), (1, "2024-02-01 12:00:00", 1)]
 
 
+def test_sessions_hold_to_the_microsecond(spark, tmp_path):
+    times = ["2024-01-01 00:00:00.900000", "2024-01-02 00:00:00.100000", "2024-01-03 00:00:00.100000", "2024-01-04 00:00:00.099999"]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(times)], "user_id long, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows.write.parquet(str(tmp_path / "in"))
+    path = str(tmp_path / "out")
+    story_sessions(stream(spark, tmp_path / "in"), path)
+    assert rows_of(session_totals(spark, path)) == [(1, "2024-01-01 00:00:00", 2), (1, "2024-01-03 00:00:00", 2)]
+
+
 def test_merging_sessions_is_associative(spark):
     rows = spark.createDataFrame(events(3, 80, 3, 24 * 30), EVENTS)
     once = merged_sessions(bins(rows, 40_000), 40_000)
