@@ -10,7 +10,7 @@ from storyloom.operators.rollups import feed_health, state_saturation, story_rol
 from storyloom.operators.selection import select_diverse
 from storyloom.functions.tokens import merge_tokens
 from storyloom.operators.similarity import merge_decision, overlap_pairs, state_of, with_tokens
-from storyloom.operators.upserts import article_upsert
+from storyloom.operators.upserts import article_upsert, discovered_article_upsert
 from storyloom.sources.pages import feed_items_scan, normal_url, page_canonical_url, page_lede
 
 
@@ -121,6 +121,15 @@ def test_upsert_policy(spark):
     assert got["u"] == ("n", "s" * 50, 0.3, "updated") and got["v"] == ("n", "x" * 45, 0.9, "updated") and got["w"] == ("m", None, None, "inserted")
 
 
+def test_found_rows_that_tie_give_one_summary(spark):
+    articles = spark.createDataFrame([], "url string, title string, summary string")
+    links, stories = spark.createDataFrame([], "story_id string, url string"), spark.createDataFrame([], "id string, last_seen timestamp_ntz")
+    rows = [("u", "s", "T", text, dt.datetime(2024, 1, 1)) for text in ("One text of an article.", "Two: another text.")]
+    for found in (rows, rows[::-1]):
+        frame = spark.createDataFrame(found, "url string, story_id string, title string, summary string, ts timestamp_ntz").coalesce(1)
+        assert [r.summary for r in discovered_article_upsert(articles, links, stories, frame)[0].collect()] == ["Two: another text."]
+
+
 def test_page_meta(spark):
     page = '<html><head><link rel="canonical" href="/real?utm_source=q"><meta property="og:description" content="A description of more than forty characters, surely."></head><body><article><p>Text.</p></article></body></html>'
     rows = spark.createDataFrame([(1, "https://a.org/x", page)], "page_id int, url string, html string")
