@@ -205,3 +205,20 @@ def test_entities_and_key_tokens(spark):
     stories = spark.createDataFrame([("a", "Storm hits harbour", "harbour-storm-museum"), ("b", "Storm hits harbour", None)], "id string, title string, story_key string").withColumn("last_seen", F.lit(None).cast("timestamp_ntz"))
     tokens = {r.id: r.tokens for r in with_tokens(stories).collect()}
     assert tokens["a"] == [*tokens["b"], "museum"]
+
+
+def test_pairs_are_made_once_and_not_shuffled(spark):
+    """Pairs above a ratio come from one join, each under the first token shared: no exchange on the ids of pairs, not for decisions either."""
+    from storyloom.operators.similarity import decided, near_miss_audit, story_key_jaccard
+
+    titles = ["budget vote school board", "school board budget vote delayed", "board vote on school budget", "harbour storm warning", "storm warning for harbour town"]
+    rows = spark.createDataFrame([(f"s{k}", t, dt.datetime(2024, 1, 1 + k), 1) for k, t in enumerate(titles)], "id string, title string, last_seen timestamp_ntz, article_count long")
+    pairs = overlap_pairs(with_tokens(rows), 5, 0.3)
+    found = [(r.i, r.j) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and {("s0", "s1"), ("s0", "s2"), ("s1", "s2"), ("s3", "s4")} <= set(found)
+    some = [(r.i, r.j) for r in overlap_pairs(with_tokens(rows), 5, 0.3, rows.where("id in ('s1', 's2')").select("id")).collect()]
+    assert sorted(some) == sorted(p for p in found if {"s1", "s2"} & set(p))
+    for df in (pairs, decided(rows), story_key_jaccard(rows)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in ("hashpartitioning(i#", "hashpartitioning(j#") if x in plan]
+    assert near_miss_audit(decided(rows), rows).count()
