@@ -37,6 +37,26 @@ def test_merge_plan(spark, bound):
     assert [(r["source"], r["target"]) for r in sorted(merge_plan(df, decisions, 4, bound).collect(), key=lambda r: r["seq"])] == want[:4]
 
 
+def test_a_long_plan_ends_in_few_slices(spark):
+    """A chain in which each merge waits for the one before: the slices follow from the number of pairs, not from the length of the chain."""
+    from storyloom.operators.graphs import greedy_slices
+
+    n = 240
+    pairs = [(f"s{k:03d}", f"s{k + 1:03d}", f"{k:04d}", False, 1 + k % 3, n - k, False, 1 + (k + 1) % 3, n - k - 1) for k in range(n)]
+    rows = spark.createDataFrame(pairs, "a string, b string, seq string, pinned_a boolean, n_a long, t_a long, pinned_b boolean, n_b long, t_b long")
+    state, gone, want = {}, set(), []
+    for a, b, _, pa, na, ta, pb, nb, tb in pairs:
+        x, y = state.setdefault(a, [pa, na, ta]), state.setdefault(b, [pb, nb, tb])
+        if a in gone or b in gone:
+            continue
+        target, source = (a, b) if x >= y else (b, a)
+        gone.add(source)
+        state[target] = [False, x[1] + y[1], max(x[2], y[2])]
+        want.append((source, target))
+    got = sorted(greedy_slices(rows, 60, rounds=8).collect(), key=lambda r: r["seq"])
+    assert [(r["source"], r["target"]) for r in got] == want
+
+
 @pytest.mark.parametrize("bound", [100_000, 0])
 def test_components_and_chains(spark, bound):
     pairs = [(k, k + 1) for k in range(20)] + [(50, 53), (53, 51), (7, 7)]
