@@ -24,10 +24,13 @@ from storyloom.registry import register
 PIVOTS, UNIT = 128, 4096
 #: Vectors for each pivot at least, and numbers of all pivots of the second level at most (32 MB).
 PER_PIVOT, NUMBERS = 512, 4 << 20
+#: Vectors that look for cells at a time, and the share of all cells from which on cells are given up.
+ASKING, SPREAD = 256, 0.5
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=float)
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
@@ -47,7 +50,9 @@ def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
     """(bin, cell, p, q, asks, id, t, v): in each unit (bin, cell, p, q) every vector that asks meets every one that does not."""
     kind = vectors.schema["id"].dataType.simpleString()
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    rows = vectors.where("embedding is not null and ts is not null").select("id", seconds.alias("t"), F.floor(seconds / F.lit(hours * 3600)).alias("bin"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where("embedding is not null and ts is not null").select("id", seconds.alias("t"), F.floor(seconds / F.lit(hours * 3600)).alias("bin"), "embedding")
+    numbers = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = rows.select("id", "t", "bin", F.col("embedding").cast(numbers).alias("v"))
     # A pivot for some hundred vectors: more cells would cost more copies than they spare products.
     per_pivot = PER_PIVOT
     most = min(pivots, 1 + rows.count() // per_pivot)
@@ -63,9 +68,14 @@ def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
                 own = angles.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angles.min(axis=1))], names=["id", "t", "bin", "v", "cell", "angle"])
 
-    schema = f"id {kind}, t long, bin long, v array<double>, cell int, angle double"
+    schema = f"id {kind}, t long, bin long, v {numbers}, cell int, angle double"
     own = stored(rows.mapInArrow(dealt, schema))
     radius = _radii(own, len(centres))
+    # Where a vector looks into most of the cells they spare nothing, and each would cost a copy of it: one cell then, cut into units as it is.
+    probe = _angles(_unit(own.orderBy(F.xxhash64("id"), "id").limit(1000).select("v").toArrow().column("v")), centres)
+    if ((radius >= 0) & (probe <= probe.min(axis=1, keepdims=True) + 2 * tau) & (probe <= radius + tau)).mean() > SPREAD:
+        centres, radius, own = centres[:1], np.array([np.pi]), own.withColumns({"cell": F.lit(0), "angle": F.lit(0.0)})
+        per_pivot = 1 << 62
     # The second level: pivots of a cell's own, in proportion to its vectors; a cell with one keeps its pivot.
     fan = max(1, min(pivots, NUMBERS // (len(centres) * centres.shape[1])))
     sizes = own.groupBy("cell").agg(F.least(F.lit(fan), 1 + F.floor(F.count("*") / per_pivot)).alias("fan")).where("fan > 1")
@@ -95,9 +105,7 @@ def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
         leaf_radius = radius
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part.slice(k, ASKING) for part in batches for k in range(0, part.num_rows, ASKING)):
             x = _unit(batch.column(3))
             angles = _angles(x, centres)
             near = (radius >= 0) & (angles <= angles.min(axis=1, keepdims=True) + 2 * tau) & (angles <= radius + tau)
@@ -115,7 +123,7 @@ def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
             days = batch.column(2).to_numpy()[row] + step
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(days), batch.column(3).take(take), pa.array(cell.astype(np.int32))], names=["id", "t", "bin", "v", "cell"])
 
-    asks = own.select("id", "t", "bin", "v").mapInArrow(asking, f"id {kind}, t long, bin long, v array<double>, cell int")
+    asks = own.select("id", "t", "bin", "v").mapInArrow(asking, f"id {kind}, t long, bin long, v {numbers}, cell int")
     # A cell of many vectors is cut on both sides; every two parts meet in a unit.
     parts = own.groupBy("bin", "cell").agg(F.ceil(F.count("*") / F.lit(float(unit))).cast("int").alias("parts"))
     part = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("parts")).cast("int")

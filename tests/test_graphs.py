@@ -142,3 +142,20 @@ def test_two_levels_of_pivots_lose_no_pair_and_spare_products(spark, monkeypatch
         counts.append((two, one))
         df.unpersist()
     assert all(3 * two < one for two, one in counts), counts
+
+
+def test_vectors_that_cells_cannot_part_are_copied_for_units_only(spark, monkeypatch):
+    """Noise under a wide angle: the copies of a vector follow from the units of its bins, not from the number of pivots."""
+    import numpy as np
+
+    from storyloom.operators import embeddings
+
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 32))
+    df = spark.createDataFrame([(k, v.tolist(), dt.datetime(2024, 1, 1) + dt.timedelta(hours=k % 60)) for k, v in enumerate(x)], "id long, embedding array<float>, ts timestamp_ntz").repartition(3)
+    assert embeddings.embedding_units(df, 0.35).count() <= 7 * 300
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.round(u @ u.T, 4) > 0.35, 1)))}
+    assert {(r["i"], r["j"]) for r in embeddings.embedding_pairs(df, 0.35).collect()} == want
