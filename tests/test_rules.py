@@ -9,7 +9,8 @@ from storyloom.operators.filters import article_quality, audiences, non_story, t
 from storyloom.operators.rollups import feed_health, state_saturation, story_rollup
 from storyloom.operators.selection import select_diverse
 from storyloom.functions.tokens import merge_tokens
-from storyloom.operators.similarity import merge_decision, overlap_pairs, state_of, with_tokens
+from storyloom.functions.tokens import coverage_tokens
+from storyloom.operators.similarity import coverage_join, merge_decision, overlap_pairs, state_of, with_tokens
 from storyloom.operators.upserts import article_upsert, discovered_article_upsert
 from storyloom.sources.pages import feed_items_scan, normal_url, page_canonical_url, page_lede
 
@@ -222,3 +223,37 @@ def test_pairs_are_made_once_and_not_shuffled(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in ("hashpartitioning(i#", "hashpartitioning(j#") if x in plan]
     assert near_miss_audit(decided(rows), rows).count()
+
+
+def _shuffled(df):
+    """Names of the columns that the exchanges of a plan carry."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line for line in lines if "Exchange" in line]
+
+
+def test_coverage_pairs_are_not_shuffled_and_none_is_lost(spark):
+    import random
+
+    random.seed(5)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    text = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(hours=random.randrange(400))
+    rows = [(i, text(random.randrange(5)) if i % 7 else None, text(random.randrange(12)) if i % 5 else "", at() if i % 11 else None) for i in range(150)]
+    articles = spark.createDataFrame(rows, "id long, title string, summary string, ts timestamp").cache()
+    stories = spark.createDataFrame([(f"s{i}", *r) for i, *r in rows[:40]], articles.schema.simpleString()[7:-1].replace("id:bigint", "id:string").replace(":", " ")).cache()
+    sets = {i: (set(w), set(b), ts) for i, w, b, ts in articles.unionByName(stories.withColumn("id", F.expr("-1 - cast(substr(id, 2) as long)"))).select("id", coverage_tokens(F.coalesce("title", F.lit(""))), coverage_tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))), "ts").collect()}
+
+    def like(i, j, hours):
+        if sets[i][2] is None or sets[j][2] is None or abs((sets[i][2] - sets[j][2]).total_seconds()) > hours * 3600:
+            return -1.0
+        return max(round(len(a & b) / min(len(a), len(b)), 3) if a and b else 0.0 for a, b in zip(sets[i][:2], sets[j][:2]))
+
+    for hours, least in ((72, 0.28), (24, 0.5)):
+        found = coverage_join(articles, articles, hours, least)
+        want = sorted((i, j, like(i, j, hours)) for i in range(150) for j in range(150) if i != j and like(i, j, hours) >= least)
+        assert sorted((r.seed, r.cand, round(r.similarity, 3)) for r in found.collect()) == want and want
+        mixed = coverage_join(stories, articles, hours, least)
+        want = sorted((f"s{-1 - i}", j, like(i, j, hours)) for i in range(-40, 0) for j in range(150) if like(i, j, hours) >= least)
+        assert sorted((r.seed, r.cand, round(r.similarity, 3)) for r in mixed.collect()) == want and want
+        # What is shuffled are the rows by key, never pairs.
+        assert not any("seed" in line or "cand" in line for df in (found, mixed) for line in _shuffled(df))
