@@ -1,9 +1,11 @@
 """The summary chain against cases worked out by hand from its rules."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.functions.summaries import headline_echo, low_quality, near_text, synthetic
+from storyloom.functions.summaries import JUNK, headline_echo, low_quality, near_text, sanitized, synthetic
 from storyloom.operators.scoring import admitted, candidate_score, preview_resolution, rerank_apply, story_preview, summary_adjudication
 from storyloom.plans.products import needs_summary, story_summary_choice, summary_refill
 
@@ -108,3 +110,24 @@ def test_choice_and_refill(spark):
     new = {r.id: (r.kind, r.preview_type, r.summary) for r in summary_refill(stories, links, articles).collect()}
     assert new["unseen"] == ("existing", "excerpt", TEACHERS)  # the newest article that counts is the first one
     assert new["template"][0] == "fallback" if "template" in new else True  # its newest article has a short summary and a short title
+
+
+def test_a_score_cleans_its_summary_once(spark):
+    rows = spark.createDataFrame([(1, "A vote", TEACHERS), (2, "A vote", PLAIN), (3, "A vote", None)], "id long, title string, summary string")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    alone, given = (plan(c).count("[ML](HTTP") for c in (sanitized(F.concat(F.lit("[ML](HTTP"), "summary")), candidate_score(F.col("title"), sanitized(F.concat(F.lit("[ML](HTTP"), "summary")), F.lit("existing"))))
+    assert alone == given == 1
+    assert [r.x for r in rows.orderBy("id").select(candidate_score(F.col("title"), sanitized(F.col("summary")), F.lit("existing")).alias("x")).collect()] == [0.97, 0.82, 0.0]
+
+
+def test_guarded_patterns_cut_as_the_patterns_alone(spark):
+    """Each pattern is tried only on texts with one of its words; case, the Kelvin sign and white space in between change nothing."""
+    lead = "The board of the city met on Monday to talk about the plans for its schools"
+    junk = ["Sign Up", "SUBSCRIBE", "newsletter", "Republish", "Become A", "Sponsor", "donate", "support our JOURNALISM", "Support Journalism", "Advertising", "Getty Images", "base64", "StreamlineHQ", "Share On", "Follow Us", "FaceBook", "twitter", "Instagram", "LinkedIn"]
+    rows = [f"{lead} {x} and more" for x in junk]
+    assert len({p for p in JUNK for x in junk if re.search(p, x, re.I)}) == len(JUNK)
+    rows += [f"{lead} journalism \t and  more", f"{lead} ![x](http://a.b/c) [now](HTTPS://x.y) <b>a\n@b.org HTTP://z", f"{lead}. The Post Budget\nappeared first on X.", f"{lead} contact us, Contact me", f"{lead} faceboo\u212a and", None, ""]
+    made = [r.x for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(sanitized(F.col("t")).alias("x")).collect()]
+    n = len(junk)
+    assert made[:n] == [lead] * n
+    assert made[n:] == [f"{lead} journalism and more", f"{lead} now a @b.org", f"{lead}.", "", f"{lead} faceboo\u212a and", "", ""]
