@@ -1,7 +1,7 @@
 """Rollups of stories kept up to date from partial aggregates.
 
 A cell holds how many articles of a story came from a source in an hour, and the latest of them. Cells add up: a batch's own cells are united
-with those there are, and only what the batch has is aggregated; articles themselves are not read again. Cells of removed articles are
+with those there are, and of articles only those of the batch are aggregated; others are not read again. Cells of removed articles are
 counted anew from the articles of these cells alone, as a latest time cannot be taken back; merged stories' cells take the target's name and
 are added up. A rollup reads cells, which are at most one a story, source and hour.
 """
@@ -34,12 +34,14 @@ def _same(a: DataFrame, b: DataFrame):  # noqa: ANN202
     return on
 
 
+def _together(parts: DataFrame) -> DataFrame:
+    """Cells of one story, source and hour as one."""
+    return parts.groupBy(*CELL).agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
+
+
 def added(table: DataFrame, more: DataFrame) -> DataFrame:
-    """The table after more cells: those that both have are added up, the others stay as they are."""
-    touched = more.select(*CELL).distinct()
-    kept = table.join(touched, _same(table, touched), "left_anti")
-    again = table.join(touched, _same(table, touched), "left_semi").unionByName(more)
-    return kept.unionByName(again.groupBy(*CELL).agg(F.sum("n").alias("n"), F.max("latest").alias("latest")))
+    """The table after more cells: one aggregate of cells, which reads the table once, so that deltas in a row do not multiply."""
+    return _together(table.unionByName(more))
 
 
 def removed(table: DataFrame, gone: DataFrame, links: DataFrame) -> DataFrame:
@@ -52,9 +54,8 @@ def removed(table: DataFrame, gone: DataFrame, links: DataFrame) -> DataFrame:
 
 def merged(table: DataFrame, plan: DataFrame) -> DataFrame:
     """The table after merges (source, target), each source with its last target: the sources' cells are added to the targets'."""
-    moved = table.join(plan, table["story_id"] == plan["source"]).select(F.col("target").alias("story_id"), *CELL[1:], "n", "latest")
-    moved = moved.groupBy(*CELL).agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
-    return added(table.join(plan, table["story_id"] == plan["source"], "left_anti"), moved)
+    to = plan.select(F.col("source").alias("story_id"), "target")
+    return _together(table.join(to, "story_id", "left").withColumn("story_id", F.coalesce("target", "story_id")).drop("target"))
 
 
 def rollup(table: DataFrame, sources: DataFrame, at: str, recent_hours: int = 24, days: int | None = None) -> DataFrame:
