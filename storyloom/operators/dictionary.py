@@ -1,8 +1,8 @@
 """Classes of texts by a dictionary of terms, as a join of word runs with a table.
 
 A text's runs of one to as many words as the longest term has are joined with the terms by equality; the term of the least place gives the
-class. The work does not grow with the dictionary, and a run that is no term ends where it is made, as terms are few and Spark sends them
-along. Places are those of a table in its order, so the result is that of trying one term after the other.
+class. The work does not grow with the dictionary, and a run that is no term ends where it is made, as SENT terms at most are sent along to
+all tasks; more are joined by a shuffle. Places are those of a table in its order, so the result is that of trying one term after the other.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import lexicons as L
-from storyloom.functions.text import family, normal
+from storyloom.functions.text import family
 from storyloom.operators.similarity import _STATE_SQL, TOPICS, topic_of
 from storyloom.registry import register
 from storyloom.sources.pages import _HOST, domain
 
+#: Terms that are sent to all tasks, at most.
+SENT = 10_000
+
 
 def terms_table(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
     """(term, class, place, words) of rows [class, term, ...]; terms in normal form, the first row that has a term names its class."""
@@ -30,15 +33,23 @@ def terms_table(spark: SparkSession, rows: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(list(found.values()), "term string, class string, place int, words int")
 
 
+def _spaced(c: Column) -> Column:
+    """What normal() gives; single spaces are no match, so nothing is copied for them."""
+    return F.trim(F.regexp_replace(F.lower(c), "(?:[^a-z0-9 ]| [^a-z0-9])[^a-z0-9]*", " "))
+
+
 def first_class(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, class) for each row of texts (id, text): that of the term with the least place, null if no term stands in the text."""
-    longest = terms.agg(F.max("words")).first()[0] or 0
+    longest, many = terms.agg(F.coalesce(F.max("words"), F.lit(0)), F.count("*")).first()
     if not longest:
         return texts.select("id", F.lit(None).cast("string").alias("class"))
-    w = F.filter(F.split(normal(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
-    run = f"flatten(transform(sequence(1, {longest}), n -> if(size(w) < n, array(), transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' ')))))"
-    runs = texts.select("id", w.alias("w")).select("id", F.explode(F.array_distinct(F.expr(run))).alias("term"))
-    hits = runs.join(terms, "term").groupBy("id").agg(F.min_by("class", "place").alias("class"))
+    # Each length from the one before, by one pass over the words; what stands past the end is null, and no term is null or empty.
+    runs = texts.select("id", F.split(_spaced(F.coalesce("text", F.lit(""))), " ").alias("run1"))
+    for n in range(2, longest + 1):
+        runs = runs.withColumn(f"run{n}", F.zip_with(f"run{n - 1}", F.slice("run1", n, F.size("run1")), lambda a, b: F.concat(a, F.lit(" "), b)))
+    runs = runs.select("id", F.explode(F.array_distinct(F.concat(*(f"run{n}" for n in range(1, longest + 1))))).alias("term"))
+    # Spark knows no size of rows made on the driver, and would shuffle the runs of all texts.
+    hits = runs.join(F.broadcast(terms) if many <= SENT else terms, "term").groupBy("id").agg(F.min_by("class", "place").alias("class"))
     return texts.select("id").join(hits, "id", "left")
 
 
