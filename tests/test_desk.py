@@ -5,8 +5,10 @@ import random
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from storyloom import catalog
 from storyloom.functions.summaries import display_summary, low_quality
 from storyloom.functions.tokens import search_query, topic_tokens
 from storyloom.operators.events import parse_blurb
@@ -162,3 +164,10 @@ def test_primaries_stay_where_their_story_stays(spark):
     events = run_events({"inserted": 2}, ["high_merge_count:90"], gate, after.where("article_id = 3"), "2024-01-02 00:00:00").collect()
     assert sorted((r.event_type, r.story_id) for r in events) == sorted([("ingest_run", None), ("grouping_guardrail", None), ("publish_gate", "a"), ("corroboration_linked", "a")], key=repr) or len(events) == 4
     assert {r.created_at for r in events} == {dt.datetime(2024, 1, 2)} and any('"inserted": 2' in r.detail for r in events)
+
+
+@pytest.mark.parametrize("name", ["publish_gate"])
+def test_the_board_is_made_once(spark, name):
+    """The ranked rows are stored: no reader of them cleans and ranks all stories again."""
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("originally published") == 0
