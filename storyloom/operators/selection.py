@@ -193,8 +193,8 @@ def editions(rolled: DataFrame, k: int = 200, lexicon: dict = DATA_LEXICON, audi
 
 
 def _chosen(s: DataFrame, *t: DataFrame) -> DataFrame:
-    rolled = board(s, *t)
-    return diverse_selection(editions(rolled), with_traits(rolled), 20)
+    pool = stored(editions(board(s, *t)).select("edition", "id", "pos", "pinned", "urgent", "source_count", "recent_count", "latest_at", "title", "summary"))
+    return diverse_selection(pool, with_traits(pool.select("id", "title", "summary").dropDuplicates(["id"])), 20)
 
 
 register("diverse_selection", BOARD, _chosen)

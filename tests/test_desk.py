@@ -166,7 +166,7 @@ def test_primaries_stay_where_their_story_stays(spark):
     assert {r.created_at for r in events} == {dt.datetime(2024, 1, 2)} and any('"inserted": 2' in r.detail for r in events)
 
 
-@pytest.mark.parametrize("name", ["publish_gate"])
+@pytest.mark.parametrize("name", ["publish_gate", "diverse_selection"])
 def test_the_board_is_made_once(spark, name):
     """The ranked rows are stored: no reader of them cleans and ranks all stories again."""
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
