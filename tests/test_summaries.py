@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.functions.summaries import JUNK, headline_echo, low_quality, near_text, sanitized, synthetic
+from storyloom.functions import summaries
+from storyloom.functions.summaries import DISCARDED, JUNK, display_summary, headline_echo, low_quality, near_text, sanitized, synthetic
 from storyloom.operators.scoring import admitted, candidate_score, preview_resolution, rerank_apply, story_preview, summary_adjudication
 from storyloom.plans.products import needs_summary, story_summary_choice, summary_refill
 
@@ -131,3 +132,16 @@ def test_guarded_patterns_cut_as_the_patterns_alone(spark):
     n = len(junk)
     assert made[:n] == [lead] * n
     assert made[n:] == [f"{lead} journalism and more", f"{lead} now a @b.org", f"{lead}.", "", f"{lead} faceboo\u212a and", "", ""]
+
+
+def test_cleaning_is_cheap_and_exact(spark):
+    """No negated class on whole texts; the word guards hold for every junk word; words and comparisons as by the plain rules."""
+    odd = "A\u00e9b\x0bC3-d\ufffd \U0001f600x K9 \u212a \u0130 [y]`{z}~ \x7f \u2028!"
+    plan = spark.createDataFrame([(odd,)], "t string").select(sanitized(F.col("t")), display_summary(F.col("t")), near_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9" not in plan
+    for words, parts in ((sum(summaries._JUNK_WORDS, []), summaries._JUNK_PARTS), (sum(summaries._TAIL_WORDS, []), summaries._TAIL_PARTS), ([*DISCARDED, "why it matters:"], summaries._HIDDEN_PARTS)):
+        assert [w for w in words if not any(p in w for p in parts)] == []
+    assert one(spark, summaries._words(F.lower(F.lit(odd)))) == [w for w in (re.sub("[^a-z0-9]", "", w) for w in odd.lower().split(" ")) if w]
+    assert one(spark, near_text(F.lit(odd))) == re.sub("[ \t\n\x0b\f\r]+", " ", re.sub("[^a-z0-9 \t\n\x0b\f\r]", " ", odd.lower())).strip(" ")
+    for text in ("a b", " a  b ", "a\tb\n c", "a \n", "\f a\x0b b\u00a0 c", "\n\n", "a\r\nb  \t c d"):
+        assert one(spark, summaries._squeezed(F.lit(text))) == re.sub("[ \t\r\n\f]+", " ", text).strip(" ")
