@@ -3,8 +3,8 @@
 Vectors are dealt to cells around pivots and bins of time, and the vectors of a large cell to cells of a second level around pivots of its own;
 the pivots of both levels are a sample of bounded size, the only thing that goes to every task. What lies within the angle tau of a vector of
 a cell has an angle of at most (its own nearest pivot's) + 2 tau to the cell's pivot, and of at most (the cell's radius) + tau, on either
-level: so a vector looks only into cells that pass both, in three bins, and no pair is lost. Cells are counted and cut into units of bounded
-size; a unit is one matrix product in numpy.
+level: so a vector looks only into cells that pass both, in its own bin and the next one, and no pair is lost. Cells are counted, and those
+held in one are cut into units of bounded size, which what asks passes in a stream, as matrix products in numpy.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from storyloom.operators.graphs import path_compress, stored
+from storyloom.operators.setjoin import in_units
 from storyloom.registry import register
 
-#: Pivots at most, and vectors of one side of a unit.
-PIVOTS, UNIT = 128, 4096
+#: Pivots at most, vectors held in a unit where there are few and where there are many, their numbers at most (64 MB), and partitions at least.
+PIVOTS, UNIT, LARGE, HELD, TASKS = 128, 4096, 65_536, 8 << 20, 200
 #: Vectors for each pivot at least, and numbers of all pivots of the second level at most (32 MB).
 PER_PIVOT, NUMBERS = 512, 4 << 20
 #: Vectors that look for cells at a time, and the share of all cells from which on cells are given up.
@@ -46,8 +47,8 @@ def _radii(own: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
-def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int = UNIT) -> DataFrame:
-    """(bin, cell, p, q, asks, id, t, v): in each unit (bin, cell, p, q) every vector that asks meets every one that does not."""
+def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int | None = None) -> DataFrame:
+    """(bin, cell, p, q, asks, id, t, v): in each unit (bin, cell, p, q) every vector that asks meets every one that does not; q is 0."""
     kind = vectors.schema["id"].dataType.simpleString()
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     rows = vectors.where("embedding is not null and ts is not null").select("id", seconds.alias("t"), F.floor(seconds / F.lit(hours * 3600)).alias("bin"), "embedding")
@@ -55,10 +56,13 @@ def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
     rows = rows.select("id", "t", "bin", F.col("embedding").cast(numbers).alias("v"))
     # A pivot for some hundred vectors: more cells would cost more copies than they spare products.
     per_pivot = PER_PIVOT
-    most = min(pivots, 1 + rows.count() // per_pivot)
+    total = rows.count()
+    most = min(pivots, 1 + total // per_pivot)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(most).select("v").toArrow().column("v")
     if not len(sample):
         return rows.select("bin", F.lit(0).alias("cell"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(True).alias("asks"), "id", "t", "v")
+    if unit is None:
+        unit = max(1, min(max(UNIT, total // 16), LARGE, HELD // max(1, len(sample[0]))))
     centres, tau = _unit(sample), float(np.arccos(min(1.0, theta - 5e-5))) + 1e-9
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +122,19 @@ def embedding_units(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pi
                 leaves_found.append(first[c] + leaf)
             row = np.concatenate(rows_found) if rows_found else np.zeros(0, dtype=np.int64)
             cell = np.concatenate(leaves_found) if leaves_found else np.zeros(0, dtype=np.int64)
-            row, cell, step = np.repeat(row, 3), np.repeat(cell, 3), np.tile([-1, 0, 1], row.size)
+            row, cell, step = np.repeat(row, 2), np.repeat(cell, 2), np.tile([0, 1], row.size)
             take = pa.array(row)
             days = batch.column(2).to_numpy()[row] + step
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(days), batch.column(3).take(take), pa.array(cell.astype(np.int32))], names=["id", "t", "bin", "v", "cell"])
 
     asks = own.select("id", "t", "bin", "v").mapInArrow(asking, f"id {kind}, t long, bin long, v {numbers}, cell int")
-    # A cell of many vectors is cut on both sides; every two parts meet in a unit.
-    parts = own.groupBy("bin", "cell").agg(F.ceil(F.count("*") / F.lit(float(unit))).cast("int").alias("parts"))
-    part = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col("parts")).cast("int")
-    held = own.select("id", "t", "bin", "v", "cell").join(parts, ["bin", "cell"]).withColumn("p", part("held")).withColumn("q", F.explode(F.expr("sequence(0, 3 * parts - 1)")))
-    # Vectors of three bins ask, so that side has three times the parts.
-    asks = asks.join(parts, ["bin", "cell"]).withColumn("q", F.pmod(F.xxhash64("id", F.lit("asks")), 3 * F.col("parts")).cast("int")).withColumn("p", F.explode(F.expr("sequence(0, parts - 1)")))
-    return held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True))).select("bin", "cell", "p", "q", "asks", "id", "t", "v")
+    # A cell of many vectors is cut; what asks passes each of its parts.
+    parts = stored(own.groupBy("bin", "cell").agg(F.ceil(F.count("*") / F.lit(float(unit))).cast("int").alias("parts")))
+    parts = F.broadcast(parts) if parts.count() <= 100_000 else parts
+    held = own.select("id", "t", "bin", "v", "cell").join(parts, ["bin", "cell"]).withColumn("p", F.pmod(F.xxhash64("id", F.lit("held")), F.col("parts")).cast("int"))
+    asks = asks.join(parts, ["bin", "cell"]).withColumn("p", F.explode(F.expr("sequence(0, parts - 1)")))
+    every = held.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)))
+    return every.select("bin", "cell", "p", F.lit(0).alias("q"), "asks", "id", "t", "v")
 
 
 def products(units: DataFrame) -> int:
@@ -138,29 +142,39 @@ def products(units: DataFrame) -> int:
     return units.groupBy("bin", "cell", "p", "q").agg((F.count_if("asks") * F.count_if(~F.col("asks"))).alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
-def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int = UNIT) -> DataFrame:
+def embedding_pairs(vectors: DataFrame, theta: float = 0.85, hours: int = 72, pivots: int = PIVOTS, unit: int | None = None) -> DataFrame:
     """(i, j, cosine): vectors (id, ts, embedding) i < j within some hours of each other with a cosine above theta, exact.
 
     Null vectors and times match nothing.
     """
     kind = vectors.schema["id"].dataType.simpleString()
-    every = embedding_units(vectors, theta, hours, pivots, unit)
-
-    def product(table: pa.Table) -> pa.Table:
-        asking = np.array(table.column("asks").to_pylist(), dtype=bool)
-        ids, t, v = np.array(table.column("id").to_pylist()), table.column("t").to_numpy(), _unit(table.column("v"))
-        found: tuple[list, list, list] = ([], [], [])
-        hi, ht, hv = ids[~asking], t[~asking], v[~asking]
-        for at in range(0, int(asking.sum()), 1024):
-            ai, a_t, av = ids[asking][at : at + 1024], t[asking][at : at + 1024], v[asking][at : at + 1024]
-            cosine = np.round(av @ hv.T, 4)
-            a, b = np.nonzero((cosine > theta) & (ai[:, None] < hi[None, :]) & (np.abs(a_t[:, None] - ht[None, :]) <= hours * 3600))
-            for into, what in zip(found, (ai[a], hi[b], cosine[a, b])):
-                into.append(what)
-        columns = [np.concatenate(x) if x else np.zeros(0) for x in found]
-        return pa.table({"i": pa.array(columns[0].tolist(), table.schema.field("id").type), "j": pa.array(columns[1].tolist(), table.schema.field("id").type), "cosine": pa.array(columns[2], pa.float64())})
-
-    return every.groupBy("bin", "cell", "p", "q").applyInArrow(product, f"i {kind}, j {kind}, cosine double")
+    # Hashes bring several units together in a partition, in order, so that partitions are alike; those of a unit's rows that are held come first.
+    every = embedding_units(vectors, theta, hours, pivots, unit).withColumn("unit", F.xxhash64("bin", "cell", "p"))
+    every = every.repartition(max(TASKS, int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bin", "cell", "p").sortWithinPartitions("bin", "cell", "p", "asks")
+
+    def build(held: pa.Table) -> tuple:
+        v = _unit(held.column("v"))
+        return np.array(held.column("id").to_pylist()), held.column("t").to_numpy(), held.column("bin")[0].as_py(), v, v.astype(np.float32)
+
+    def answer(held: tuple, piece: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, t, v = np.array(piece.column("id").to_pylist()), piece.column("t").to_numpy(), _unit(piece.column("v"))
+        hi, ht, day, hv, rough = held
+        for at in range(0, len(ids), ASKING):
+            # Single precision finds what can pass, double precision decides.
+            a, b = np.nonzero(v[at : at + ASKING].astype(np.float32) @ rough.T > theta - 1e-3)
+            a = a + at
+            # Of one bin's pairs the smaller id asks; those of two bins are asked for once, by the earlier one.
+            here = (np.abs(t[a] - ht[b]) <= hours * 3600) & ((ids[a] < hi[b]) | ((t[a] // (hours * 3600) != day) & (ids[a] != hi[b])))
+            a, b = a[here], b[here]
+            for k in range(0, len(a), 1 << 16):
+                x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                cosine = np.round(np.einsum("ij,ij->i", v[x], hv[y]), 4)
+                x, y, cosine = x[cosine > theta], y[cosine > theta], cosine[cosine > theta]
+                if len(x):
+                    ends = [np.where(ids[x] < hi[y], *pick) for pick in ((ids[x], hi[y]), (hi[y], ids[x]))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(e.tolist(), piece.schema.field("id").type) for e in ends), pa.array(cosine, pa.float64())], names=["i", "j", "cosine"])
+
+    return every.mapInArrow(lambda batches: in_units(batches, build, answer), f"i {kind}, j {kind}, cosine double")
 
 
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4)"

@@ -159,3 +159,18 @@ def test_vectors_that_cells_cannot_part_are_copied_for_units_only(spark, monkeyp
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.round(u @ u.T, 4) > 0.35, 1)))}
     assert {(r["i"], r["j"]) for r in embeddings.embedding_pairs(df, 0.35).collect()} == want
+
+
+def test_what_is_held_is_not_copied_for_what_asks(spark):
+    """Vectors of one cell cut into parts: one copy of each is held, and one asks for each part of its bin and the next."""
+    import numpy as np
+
+    from storyloom.operators import embeddings
+
+    x = np.random.default_rng(9).normal(size=(200, 16))
+    df = spark.createDataFrame([(k, v.tolist(), dt.datetime(2024, 1, 1) + dt.timedelta(hours=k % 60)) for k, v in enumerate(x)], "id long, embedding array<float>, ts timestamp_ntz").repartition(3).cache()
+    units = embeddings.embedding_units(df, 0.35, unit=20).cache()
+    parts = units.agg({"p": "max"}).first()[0] + 1
+    assert parts > 5 and units.where("not asks").count() == 200 and units.count() <= 200 * (1 + 2 * parts)
+    one = sorted(map(tuple, embeddings.embedding_pairs(df, 0.35).collect()))
+    assert one and sorted(map(tuple, embeddings.embedding_pairs(df, 0.35, unit=20).collect())) == one
