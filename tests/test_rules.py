@@ -257,3 +257,24 @@ def test_coverage_pairs_are_not_shuffled_and_none_is_lost(spark):
         assert sorted((r.seed, r.cand, round(r.similarity, 3)) for r in mixed.collect()) == want and want
         # What is shuffled are the rows by key, never pairs.
         assert not any("seed" in line or "cand" in line for df in (found, mixed) for line in _shuffled(df))
+
+
+def test_words_before_patterns_change_no_label(spark):
+    """A pattern is tried only where one of its words is; texts of every alternative, in any case, still count."""
+    import re
+
+    from storyloom.functions import patterns as P
+
+    samples = [
+        "With OVER 20 years of experience", "I have served", "I was a", "Nonresident Fellow", "founder and principal", "About the Author", "this biography", "SUBSCRIBE", "newsletter", "Republish", "sponsored", "partner content",
+        "My Classroom", "my students", "my school", "in my class", "I teach", "i use", "I created", "I started", "I love", "I decided", "I tried", "Here are 7 ways", "tips for teachers", "how I", "Running a chess club", "running student clubs and a club",
+        "teacher tip", "classroom hack", "lesson idea", "activity idea", "give feedback", "share your thoughts", "take our survey", "Join us", "sign up for", "subscribers of newsletters", "howitzer", "nothing",
+    ]
+    hit = {s: [p for p in P.GUARDED if re.search(p, s)] for s in samples}
+    assert {p for found in hit.values() for p in found} == set(P.GUARDED) == {P.BIOGRAPHY, P.PROMOTION, *P.PERSONAL}
+    assert all(any(w in s.lower() for w in P.GUARDED[p]) for s, found in hit.items() for p in found)
+    rows = spark.createDataFrame([(k, "A plain title", s, "https://a.org/x-1") for k, s in enumerate(samples)], "id int, title string, summary string, url string")
+    for r in article_quality(rows).collect():
+        found = hit[samples[r.id]]
+        assert ("biography_text_pattern" in r.quality_reasons) == (P.BIOGRAPHY in found) and ("promotional_text_pattern" in r.quality_reasons) == (P.PROMOTION in found)
+        assert ("personal_blog_hint" in r.quality_reasons) == (sum(p in found for p in P.PERSONAL) == 1)
