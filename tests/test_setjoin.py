@@ -40,3 +40,24 @@ def test_the_best_of_each_seed_over_small_units(spark, monkeypatch):
     assert sorted(every) == sorted(x for x in want if x[2] >= 0.1)
     best = lambda rows: {s: sorted((-v, c) for t, c, v in rows if t == s)[:3] for s, *_ in rows}
     assert best(some) == best(every) and set(some) <= set(every) and len(some) < len(every)
+
+
+def test_a_plan_reads_pairs_that_merge_and_passes_store_no_others(spark, monkeypatch):
+    from storyloom.operators.graphs import merge_plan
+    from storyloom.operators.similarity import decided
+    from storyloom.plans import products
+
+    rng = random.Random(8)
+    words = "council school budget strike vote election trial lawsuit museum clinic closure teacher probe ban".split()
+    rows = [(f"s{k:03d}", " ".join(rng.sample(words, rng.choice((2, 4, 6, 7)))), "active", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(300)), 1 + k % 3) for k in range(90)]
+    stories = spark.createDataFrame(rows, "id string, title string, status string, first_seen timestamp_ntz, last_seen timestamp_ntz, article_count long").withColumn("summary", F.col("title"))
+    for theta in (0.56, 0.9):
+        every = decided(stories, theta).cache()
+        some = decided(stories, theta, alike=True).cache()
+        assert sorted(map(tuple, some.where("should_merge").collect())) == sorted(map(tuple, every.where("should_merge").collect())) and some.count() < every.count()
+        assert sorted(map(tuple, merge_plan(stories, some).collect())) == sorted(map(tuple, merge_plan(stories, every).collect()))
+    kept = []
+    real = products.stored
+    monkeypatch.setattr(products, "stored", lambda df: (kept.append((out := real(df))), out)[1])
+    _, _, counts = products.merge_passes(stories, spark.createDataFrame([("s001", 1)], "story_id string, article_id long"), lambda t, touched: decided(t, 0.9, touched=touched), 1)
+    assert counts == [every.count()] and kept[0].count() == every.where("should_merge").count() < counts[0]
